@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BLOCK_SAMPLES, HALO_SAMPLES
+from ..session import materialise
 from .ordered import neighbour, segment_of
 
 
@@ -54,6 +55,9 @@ def edges(blocks: DataFrame, keys: list[str], high: Callable[[Column], Column],
           initial_high_counts: bool = True, close_at_end: bool = False) -> DataFrame:
     """Level changes as rows ``(keys, sample_index, direction)``; direction is 1 up, -1 down.
 
+    The edges are landed once: ordered operators read their input twice, and edges are few where
+    samples are many.
+
     The level before a block comes from its halo. A recording that starts high has an edge at 0
     only when ``initial_high_counts``. ``close_at_end`` adds a falling edge at ``n`` when the
     recording ends high.
@@ -77,10 +81,11 @@ def edges(blocks: DataFrame, keys: list[str], high: Callable[[Column], Column],
         ends_high = (F.col("_after") == 0) & (F.element_at("_lv", -1) == 1)
         tail = F.array(F.struct(F.lit(-1).alias("d"), F.col("_n").alias("p")))
         steps = F.when(ends_high, F.concat(steps, tail)).otherwise(steps)
-    return b.select(*keys, "block_start", F.explode(steps).alias("_e")).select(
+    found = b.select(*keys, "block_start", F.explode(steps).alias("_e")).select(
         *keys, (F.col("block_start") + F.col("_e.p")).alias("sample_index"),
         F.col("_e.d").alias("direction"),
     )
+    return materialise(found, "edges")
 
 
 def runs(blocks: DataFrame, keys: list[str], high: Callable[[Column], Column]) -> DataFrame:

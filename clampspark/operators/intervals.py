@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BLOCK_SAMPLES
+from ..session import materialise
 from .ordered import running, segment_of
 
 
@@ -43,7 +44,7 @@ def merge_overlaps(windows: DataFrame, keys: list[str], start: str = "start", en
     """Union of half-open windows per key as disjoint ``(keys, start, end)``."""
     w = windows.where(F.col(end) > F.col(start)).groupBy(*keys, start).agg(F.max(end).alias(end))
     seg = segment_of(start)
-    w = running(w, keys, [start], seg, {"_reach": ("max", F.col(end))}, inclusive=False)
+    w = materialise(running(w, keys, [start], seg, {"_reach": ("max", F.col(end))}, inclusive=False), "reach")
     fresh = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
     w = running(w.withColumn("_fresh", fresh), keys, [start], seg, {"_head": ("last", F.col("_fresh"))})
     return w.groupBy(*keys, "_head").agg(F.max(end).alias(end)).select(

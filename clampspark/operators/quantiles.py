@@ -2,68 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import join_small
+PER_OCTAVE = 4096
+_NAN = (1 << 62) + 1
+_INF = 1 << 62
 
-BUCKETS = 65536
+
+def _bucket(x: Column) -> Column:
+    """Order-preserving bucket of a double: 4,096 per factor of two, so about 0.02 % wide."""
+    mag = F.floor((F.log2(F.abs(x)) + 1100) * PER_OCTAVE).cast("bigint") + 1
+    return (
+        F.when(F.isnan(x), F.lit(_NAN)).when(x == 0, F.lit(0).cast("bigint"))
+        .when(F.abs(x) == float("inf"), F.when(x > 0, F.lit(_INF)).otherwise(F.lit(-_INF)))
+        .when(x > 0, mag).otherwise(-mag)
+    )
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     skip_nan: bool = False) -> DataFrame:
     """Linear-interpolation quantiles per key, without holding a group in one task.
 
-    Equal values collapse first (a 16-bit converter yields at most 65,536 of them). The values of
-    a key are then counted in equal-width buckets between its extremes; only the buckets that hold
-    a wanted rank are ordered, each on its own. A NaN makes the result null unless ``skip_nan``.
-    Output: ``keys``, one column per name in ``probs``, and ``n`` (the number of values used).
+    First pass: a histogram per key over order-preserving buckets, combined before the shuffle.
+    It tells which buckets hold the wanted ranks. Second pass: only values of those buckets are
+    shuffled, equal values collapse, and each bucket is ordered on its own. A NaN makes the result
+    null unless ``skip_nan``. Output: ``keys``, one column per name in ``probs``, and ``n``.
     """
     keys = list(keys)
-    x = F.col("_x")
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    real = F.when(~F.isnan(x), x)
-    span = counts.groupBy(*keys).agg(
-        F.min(real).alias("_lo"), F.max(real).alias("_hi"),
-        F.sum(F.when(~F.isnan(x), F.col("_c"))).alias("n"),
-        F.max(F.isnan(x)).alias("_bad"),
-    )
-    span = span.where("n is not null")
-    width = F.col("_hi") - F.col("_lo")
-    frac = F.when(width > 0, (x - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    placed = join_small(counts.where(~F.isnan(x)), span.select(*keys, "_lo", "_hi"), keys, x).select(
-        *keys, "_x", "_c", F.floor(frac * (BUCKETS - 1)).cast("int").alias("_b")
-    )
-    per_key = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    hist = hist.withColumn("_b_end", F.sum("_bc").over(per_key)).withColumn(
-        "_b_start", F.col("_b_end") - F.col("_bc"))
-
-    names = list(probs)
-    wanted = span.select(
-        *keys, "n", "_bad",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(probs[k])).alias("q")) for k in names])).alias("_p"),
-    ).select(*keys, "n", "_bad", F.col("_p.name").alias("_name"), (F.col("_p.q") * (F.col("n") - 1)).alias("_pos"))
-    wanted = wanted.withColumn(
-        "_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-    hits = wanted.join(hist, keys).where("_rank >= _b_start AND _rank < _b_end")
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    d = d.withColumn("_b", _bucket(F.col("_x")))
+    real = F.col("_b") != _NAN
+    per_key = Window.partitionBy(*keys)
+    upto = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    hist = hist.select(
+        *keys, "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_from"), F.sum("_c").over(upto).alias("_to"),
+        F.sum(F.when(real, F.col("_c"))).over(per_key).alias("n"), F.max(~real).over(per_key).alias("_bad"))
+    asked = []
+    for name, q in probs.items():
+        pos = F.lit(float(q)) * (F.col("n") - 1)
+        for rank in (F.floor(pos), F.ceil(pos)):
+            asked.append(F.struct(F.lit(name).alias("name"), pos.alias("pos"), rank.alias("rank")))
+    mine = F.filter(F.array(*asked), lambda a: (a["rank"] >= F.col("_from")) & (a["rank"] < F.col("_to")))
+    hits = hist.where(real & F.col("n").isNotNull()).select(*keys, "_b", "_from", "n", "_bad", F.array_distinct(mine).alias("_asked")).where(F.size("_asked") > 0)
 
+    near = d.join(hits.select(*keys, "_b", "_from", "n", "_bad", "_asked"), [*keys, "_b"])
+    near = near.groupBy(*keys, "_b", "_x").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_from").alias("_from"), F.first("n").alias("n"),
+        F.first("_bad").alias("_bad"), F.first("_asked").alias("_asked"))
     within = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = placed.join(hits.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-    chosen = chosen.withColumn("_end", F.sum("_c").over(within)).withColumn("_start", F.col("_end") - F.col("_c"))
-    found = chosen.join(hits, [*keys, "_b"]).where(
-        "_rank - _b_start >= _start AND _rank - _b_start < _end")
-    low, high = F.min_by("_x", "_rank"), F.max_by("_x", "_rank")
-    share = F.max("_pos") - F.min("_rank")
-    q = found.groupBy(*keys, "_name").agg(
-        (low + (high - low) * share).alias("_q"), F.max("n").alias("n"), F.max("_bad").alias("_bad"))
-    ok = F.lit(True) if skip_nan else ~F.col("_bad")
-    return q.groupBy(*keys).agg(
-        *[F.max(F.when((F.col("_name") == k) & ok, F.col("_q"))).alias(k) for k in names],
-        F.max("n").alias("n"),
-    )
+    near = near.withColumn("_end", F.col("_from") + F.sum("_c").over(within))
+    got = F.filter("_asked", lambda a: (a["rank"] >= F.col("_end") - F.col("_c")) & (a["rank"] < F.col("_end")))
+    found = near.select(*keys, "_x", "n", "_bad", F.explode(got).alias("_a"))
+    ok = F.lit(True) if skip_nan else ~F.max("_bad")
+    out = []
+    for name in probs:
+        here = F.col("_a.name") == name
+        low = F.min(F.when(here, F.struct(F.col("_a.rank"), F.col("_x"))))
+        high = F.max(F.when(here, F.struct(F.col("_a.rank"), F.col("_x"))))
+        share = F.max(F.when(here, F.col("_a.pos"))) - low["rank"]
+        out.append(F.when(ok, low["_x"] + (high["_x"] - low["_x"]) * share).alias(name))
+    return found.groupBy(*keys).agg(*out, F.max("n").alias("n"))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import CHUNK_SIZE, MV_PER_VOLT, PA_PER_VOLT, SAMPLE_RATE
 from ..functions.scalar import ms_to_samples, step_amplitudes
 from .intervals import latest_before
-from .ordered import neighbour, segment_of
+from .ordered import neighbour, running, segment_of
 
 
 def apply_windows(events: DataFrame, lengths: DataFrame, keys: list[str], order: str = "event_seq",
@@ -88,13 +88,12 @@ def planned_timeline(trials: DataFrame, keys: list[str], rate: int = SAMPLE_RATE
 
     ``trials`` needs ``trial_pos, pre_ms, post_ms, iti_ms, waveform_samples`` (0 for baseline).
     A run starts with one interval; the waveform already holds its own pre and post parts, which
-    this timeline adds again, as the recorder does. A run's trial list is one protocol's list.
+    this timeline adds again, as the recorder does.
     """
     pre, post, iti = (ms_to_samples(c, rate) for c in ("pre_ms", "post_ms", "iti_ms"))
     length = pre + F.col("waveform_samples") + post + iti
-    w = Window.partitionBy(*keys).orderBy("trial_pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(length).over(w), F.lit(0))
-    t = trials.withColumn("apply_offset", iti + before + pre)
+    t = running(trials, keys, ["trial_pos"], segment_of("trial_pos", 4096), {"_before": ("sum", length)}, inclusive=False)
+    t = t.withColumn("apply_offset", iti + F.col("_before") + pre).drop("_before")
     return t.withColumn("clear_offset", F.col("apply_offset") + F.col("waveform_samples") + post)
 
 
@@ -119,8 +118,8 @@ def trial_bounds(trials: DataFrame, keys: list[str], rate: int = SAMPLE_RATE, ch
     pre = ms_to_samples("pre_ms", rate)
     wait = phase(ms_to_samples("iti_ms", rate))
     hold = phase(pre) + phase(F.col("n_samples") - pre)
-    w = Window.partitionBy(*keys).orderBy("trial_pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = trials.withColumn("data_start", wait + F.coalesce(F.sum(wait + hold).over(w), F.lit(0)))
+    t = running(trials, keys, ["trial_pos"], segment_of("trial_pos", 4096), {"_before": ("sum", wait + hold)}, inclusive=False)
+    t = t.withColumn("data_start", wait + F.col("_before")).drop("_before")
     return t.withColumn("n_saved", F.least(F.col("n_samples"), hold))
 
 

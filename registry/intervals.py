@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from clampspark.operators import align, intervals as I, pulses as P, stimulus as S
 from . import query
-from .views import BLOCK, KEY, RATE, evt, proto, rec_lengths, sig_blocks, sql
+from .views import BLOCK, KEY, RATE, evt, proto, rec_lengths, sig_blocks, sql, stored
 
 APPLY = dict(
     nx="SELECT *, lead(sample_index) OVER (PARTITION BY recording_id ORDER BY event_seq) AS nxt FROM evt",
@@ -25,7 +25,7 @@ FRAMES = dict(
 
 
 def frames(spark, d):
-    return align.frame_samples(sig_blocks(spark, d), KEY, 60.0)
+    return stored(spark, d, "frames", lambda: align.frame_samples(sig_blocks(spark, d), KEY, 60.0))
 
 
 @query("apply_windows", sql("evt len", "SELECT recording_id, stimulus_name, stimulus_index, start, stop FROM win", **APPLY))
