@@ -167,3 +167,25 @@ def history_rows(checks: DataFrame, run_keys: list[str], names: list[str], metri
         cols.append(F.max(F.when(here, F.col("status"))).alias(f"{n}__status"))
         cols += [F.max(F.when(here, F.try_element_at("metrics", F.lit(m)))).alias(f"{n}__{m}") for m in metrics]
     return checks.groupBy(*run_keys).agg(*cols)
+
+
+def loopback_latency(sweeps: DataFrame, keys: list[str], rate: int) -> DataFrame:
+    """Delay of each recorded sweep ``rec`` behind its command ``exp``."""
+    from .kernels import xcorr_lag
+    n = F.least(F.size("exp"), F.size("rec"))
+    s = sweeps.select(*keys, F.slice("exp", F.lit(1), n).alias("exp"), F.slice("rec", F.lit(1), n).alias("rec"))
+
+    def mean(a: str) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+
+    flat = (F.array_max("exp") - F.array_min("exp") < 1e-9) | (F.array_max("rec") - F.array_min("rec") < 1e-9)
+    lag = xcorr_lag(F.col("exp"), F.col("rec"), mean("exp"), mean("rec"), flat)
+    r = s.select(*keys, (lag / rate * 1000.0).alias("lag_ms"))
+    return r.withColumn("status", status_by(F.abs("lag_ms"), 0.5, 2.0))
+
+
+def capacitance_tau(sweeps: DataFrame, keys: list[str], rate: int) -> DataFrame:
+    """Decay constant of each sweep's onset response; a fit that fails is a warning."""
+    from .kernels import decay_fit
+    r = sweeps.select(*keys, decay_fit(F.col("samples"), rate).alias("_f")).select(*keys, "_f.*")
+    return r.withColumn("status", F.when(F.col("converged"), "pass").otherwise("warn"))

@@ -27,7 +27,8 @@ def slices(blocks: DataFrame, windows: DataFrame, keys: list[str], size: int = B
     hi = F.least(F.col(end), F.col("block_start") + F.size("samples"))
     j = b.join(w, [*keys, "block_no"])
     j = j.withColumn("part_start", lo).withColumn("_len", (hi - lo).cast("int")).where("_len > 0")
-    part = F.slice("samples", (F.col("part_start") - F.col("block_start") + 1).cast("int"), F.col("_len"))
+    part = F.slice("samples", (F.col("part_start") - F.col("block_start") + 1).cast("int"),
+                   F.greatest(F.col("_len"), F.lit(0)))
     return j.select(*windows.columns, "part_start", part.alias("part"))
 
 

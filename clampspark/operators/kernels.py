@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from ..config import LINE_BAND_HZ, LINE_FREQS_HZ
 
@@ -56,7 +56,7 @@ def _lag(expected: np.ndarray, recorded: np.ndarray) -> int:
     return int(np.argmax(np.abs(full))) - (expected.size - 1)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _lag_udf(expected: pd.Series, recorded: pd.Series, mean_e: pd.Series, mean_r: pd.Series, flat: pd.Series) -> pd.Series:
     return pd.Series([
         0 if f or not len(e) or not len(r) else _lag(np.asarray(e, float) - a, np.asarray(r, float) - b)

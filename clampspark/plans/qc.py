@@ -301,7 +301,9 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     err = F.transform("part", lambda x: x - F.col("volts"))
     s = s.withColumn("_err", err)
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    piece = F.when(F.col("part_start") < XCORR_CAP, F.struct("part_start", "part", "volts"))
     g = s.groupBy(*keys).agg(
+        *([F.array_sort(F.collect_list(piece)).alias("_p")] if with_lag else []),
         F.sum(F.size("part")).cast("bigint").alias("n_samples"), F.max(F.abs("volts")).alias("peak_cmd_v"),
         F.sum(total("_err", lambda x: x * x)).alias("_sq"),
         F.max(F.array_max(F.transform("_err", F.abs))).alias("peak_error_v"),
@@ -317,12 +319,9 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     status = F.when(F.col("rmse_v") > fail, "fail").when(F.col("rmse_v") > warn, "warn").otherwise("pass")
     if not with_lag:
         return g.withColumn("status", status).drop(*[c for c in g.columns if c.startswith("_")])
-    head = s.where(F.col("part_start") < XCORR_CAP).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("part_start", "part", "volts"))).alias("_p"))
     rec = F.flatten(F.transform("_p", lambda x: x["part"]))
-    exp = F.flatten(F.transform("_p", lambda x: F.transform(x["part"], lambda _: x["volts"])))
-    j = g.join(head, keys)
-    j = j.withColumn("timing_offset_ms", xcorr_lag(exp, rec, F.col("_me"), F.col("_mr"), F.col("_flat")) / rate * 1000.0)
+    exp = F.flatten(F.transform("_p", lambda x: F.array_repeat(x["volts"], F.size(x["part"]))))
+    j = g.withColumn("timing_offset_ms", xcorr_lag(exp, rec, F.col("_me"), F.col("_mr"), F.col("_flat")) / rate * 1000.0)
     late = F.abs("timing_offset_ms")
     both = F.when((F.col("rmse_v") > fail) | (late > 5.0), "fail").when((F.col("rmse_v") > warn) | (late > 1.0), "warn").otherwise("pass")
     return j.withColumn("status", both).drop(*[c for c in j.columns if c.startswith("_")])
