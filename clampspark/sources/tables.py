@@ -33,3 +33,9 @@ def concat_offsets(trials: DataFrame, keys: list[str]) -> DataFrame:
     n = trials.groupBy(*keys, "trial_index").agg(F.sum(F.size("samples")).cast("bigint").alias("_n"))
     n = running(n, keys, ["trial_index"], segment_of("trial_index", 4096), {"concat_start": ("sum", F.col("_n"))}, inclusive=False)
     return trials.join(n.drop("_n"), [*keys, "trial_index"])
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append logged stimulus events; ``event_seq`` keeps the order of the log."""
+    cols = ["recording_id", "event_seq", "sample_index", "event_type", "stimulus_name", "stimulus_index"]
+    events.select(*cols).write.mode("append").parquet(path)
