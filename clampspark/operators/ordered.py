@@ -36,9 +36,7 @@ def running(
     ``order`` must be unique within a key.
     """
     keys = list(keys)
-    d = df.withColumn("_seg", segment)
-    for n, (_, expr) in values.items():
-        d = d.withColumn(f"_v_{n}", expr)
+    d = df.select("*", segment.alias("_seg"), *[expr.alias(f"_v_{n}") for n, (_, expr) in values.items()])
     sort = [F.col(o).desc() if reverse else F.col(o).asc() for o in order]
     inner = (
         Window.partitionBy(*keys, "_seg").orderBy(*sort)
@@ -48,37 +46,28 @@ def running(
     outer = Window.partitionBy(*keys).orderBy(seg_sort).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*[F.col(o) for o in order])
     pick = F.min_by if reverse else F.max_by
-
     fold = {"sum": F.sum, "max": F.max, "min": F.min}
-    summary, carried = [], []
+
+    summary, carried, local, out = [], [], [], []
     for n, (how, _) in values.items():
-        v = F.col(f"_v_{n}")
+        v, loc, car = F.col(f"_v_{n}"), F.col(f"_l_{n}"), F.col(f"_c_{n}")
         if how == "last":
             summary.append(pick(v, F.when(v.isNotNull(), place)).alias(f"_s_{n}"))
             carried.append(F.last(f"_s_{n}", ignorenulls=True).over(outer).alias(f"_c_{n}"))
-            d = d.withColumn(f"_l_{n}", F.last(v, ignorenulls=True).over(inner))
-        else:
-            summary.append(fold[how](v).alias(f"_s_{n}"))
-            carried.append(fold[how](F.col(f"_s_{n}")).over(outer).alias(f"_c_{n}"))
-            d = d.withColumn(f"_l_{n}", fold[how](v).over(inner))
-
-    base = df.withColumn("_seg", segment)
-    for n, (_, expr) in values.items():
-        base = base.withColumn(f"_v_{n}", expr)
-    carry = base.groupBy(*keys, "_seg").agg(*summary).select(*keys, "_seg", *carried)
-
-    out = d.join(carry, [*keys, "_seg"], "left")
-    cols = [F.col(c) for c in df.columns]
-    for n, (how, _) in values.items():
-        loc, car = F.col(f"_l_{n}"), F.col(f"_c_{n}")
+            local.append(F.last(v, ignorenulls=True).over(inner).alias(f"_l_{n}"))
+            out.append(F.coalesce(loc, car).alias(n))
+            continue
+        summary.append(fold[how](v).alias(f"_s_{n}"))
+        carried.append(fold[how](F.col(f"_s_{n}")).over(outer).alias(f"_c_{n}"))
+        local.append(fold[how](v).over(inner).alias(f"_l_{n}"))
         if how == "sum":
-            e = F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
-        elif how == "last":
-            e = F.coalesce(loc, car)
+            out.append((F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))).alias(n))
         else:
-            e = (F.greatest if how == "max" else F.least)(loc, car)
-        cols.append(e.alias(n))
-    return out.select(*cols)
+            out.append((F.greatest if how == "max" else F.least)(loc, car).alias(n))
+
+    carry = d.groupBy(*keys, "_seg").agg(*summary).select(*keys, "_seg", *carried)
+    inside = d.select(*df.columns, "_seg", *local)
+    return inside.join(carry, [*keys, "_seg"], "left").select(*df.columns, *out)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], segment: Column, name: str) -> DataFrame:
@@ -93,9 +82,7 @@ def neighbour(
     """Previous (or next) row's columns: ``cols`` maps a source column to its output name."""
     packed = F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
     out = running(df, keys, order, segment, {"_near": ("last", packed)}, inclusive=False, reverse=ahead)
-    for n in cols.values():
-        out = out.withColumn(n, F.col("_near").getField(n))
-    return out.drop("_near")
+    return out.select(*df.columns, *[F.col(f"_near.{n}").alias(n) for n in cols.values()])
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], spread: Column, n: int = 16,

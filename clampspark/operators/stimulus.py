@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CHUNK_SIZE, MV_PER_VOLT, PA_PER_VOLT, SAMPLE_RATE
-from ..functions.scalar import ms_to_samples, step_amplitudes
+from ..functions.scalar import ms_to_samples
 from .intervals import latest_before
 from .ordered import neighbour, running, segment_of
 
@@ -44,43 +44,61 @@ def with_protocol(events: DataFrame, protocol_runs: DataFrame, keys: list[str],
     return latest_before(events, protocol_runs, keys, at, "start_sample", F.col("run_seq"), keep)
 
 
+def _plan(rate: int) -> dict[str, Column]:
+    """Sample counts of a trial's phases. In staircase fields zero counts as absent."""
+    def given(c: str, default: float) -> Column:
+        return F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(default))
+
+    zero = F.lit(0).cast("bigint")
+    lo, hi, step = given("min_pA", 0.0), given("max_pA", 0.0), given("step_pA", 1.0)
+    n = F.when((step > 0) & (hi - lo + 1e-9 >= 0), F.floor((hi - lo + 1e-9) / step).cast("bigint") + 1).otherwise(zero)
+    quiet, volt = F.col("type") == "baseline", F.col("clamp_mode") == "voltage_clamp"
+    stairs = ~quiet & ~volt
+    lead = stairs & F.col("pulse_ms").isNotNull()
+    width = F.greatest(F.lit(1).cast("bigint"), ms_to_samples(given("step_width_ms", 500.0), rate))
+    gap = ms_to_samples(given("gap_ms", 0.0), rate)
+    pre, post = ms_to_samples("pre_ms", rate), ms_to_samples("post_ms", rate)
+    pulse = F.when(lead, ms_to_samples("pulse_ms", rate)).otherwise(zero)
+    base = pre + pulse + F.when(lead, gap).otherwise(zero)
+    steps = F.when(stairs, n * given("staircase_repeats", 1).cast("bigint")).otherwise(zero)
+    hold = F.when(~quiet & volt, ms_to_samples(given("duration_ms", 500.0), rate)).otherwise(zero)
+    end = base + steps * (width + gap) + hold
+    return dict(lo=lo, step=step, n=n, stairs=stairs, width=width, gap=gap, pre=pre, pulse=pulse, base=base, steps=steps, hold=hold, end=end, total=end + post)
+
+
+def planned_samples(rate: int = SAMPLE_RATE) -> Column:
+    """Length of the whole trial waveform, pre and post parts included."""
+    return _plan(rate)["total"]
+
+
 def expected_segments(stimuli: DataFrame, keys: list[str], rate: int = SAMPLE_RATE) -> DataFrame:
-    """Commanded voltage of a trial as ``(keys, seg_no, seg_start, seg_end, volts)``.
+    """Commanded voltage of a trial as ``(keys, seg_start, seg_end, volts)``.
 
     ``stimuli`` needs ``type, clamp_mode, pre_ms, post_ms, mv_per_volt, pulse_pA, pulse_ms, min_pA,
     max_pA, step_pA, step_width_ms, gap_ms, staircase_repeats, step_mV, duration_ms``; ``pulse_ms``
-    is null without a leading pulse. In staircase fields zero counts as absent.
+    is null without a leading pulse. Starts follow from the step number, so nothing is shuffled.
     """
-    def given(c: str, default: float) -> Column:
-        return F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(default))
-
-    def piece(length: Column, volts: Column) -> Column:
-        return F.struct(length.cast("bigint").alias("len"), volts.cast("double").alias("volts"))
-
-    pre, post = piece(ms_to_samples("pre_ms", rate), F.lit(0.0)), piece(ms_to_samples("post_ms", rate), F.lit(0.0))
-    gap_len = ms_to_samples(given("gap_ms", 0.0), rate)
-    width_len = F.greatest(F.lit(1).cast("bigint"), ms_to_samples(given("step_width_ms", 500.0), rate))
-    amps = step_amplitudes(given("min_pA", 0.0), given("max_pA", 0.0), given("step_pA", 1.0))
-    one_pass = F.flatten(F.transform(amps, lambda a: F.array(
-        piece(width_len, a / PA_PER_VOLT), piece(gap_len, F.lit(0.0)))))
-    stairs = F.flatten(F.array_repeat(one_pass, given("staircase_repeats", 1).cast("int")))
-    none = F.filter(F.array(pre), lambda s: F.lit(False))
-    lead = F.when(F.col("pulse_ms").isNotNull(), F.array(
-        piece(ms_to_samples("pulse_ms", rate), F.col("pulse_pA") / PA_PER_VOLT), piece(gap_len, F.lit(0.0)))).otherwise(none)
-    step = F.array(piece(ms_to_samples(given("duration_ms", 500.0), rate),
-                         F.coalesce(F.col("step_mV"), F.lit(0.0)) / F.coalesce(F.col("mv_per_volt"), F.lit(MV_PER_VOLT))))
-    middle = (
-        F.when(F.col("type") == "baseline", none)
-        .when(F.col("clamp_mode") == "voltage_clamp", step)
-        .otherwise(F.concat(lead, stairs))
-    )
-    plan = F.concat(F.array(pre), middle, F.array(post))
-    s = stimuli.select(*keys, F.posexplode(plan).alias("seg_no", "_s"))
-    # A trial's plan is one short list, so its running length stays within one row's pieces.
-    w = Window.partitionBy(*keys).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("seg_end", F.sum("_s.len").over(w))
-    s = s.select(*keys, "seg_no", (F.col("seg_end") - F.col("_s.len")).alias("seg_start"), "seg_end", F.col("_s.volts").alias("volts"))
-    return s.where("seg_end > seg_start")
+    parts = _plan(rate)
+    s = stimuli.select("*", *[c.alias(f"_{k}") for k, c in parts.items()])
+
+    def piece(start: Column, length: Column, volts: Column) -> Column:
+        return F.struct(start.cast("bigint").alias("a"), (start + length).cast("bigint").alias("b"), volts.cast("double").alias("v"))
+
+    c = {k: F.col(f"_{k}") for k in parts}
+    period = c["width"] + c["gap"]
+    grid = F.sequence(F.lit(0).cast("bigint"), F.greatest(c["steps"] - 1, F.lit(0)))
+    at = lambda k: c["base"] + k * period
+    on = F.transform(grid, lambda k: piece(at(k), F.when(c["steps"] > 0, c["width"]).otherwise(F.lit(0)),
+                                           F.round(c["lo"] + F.pmod(k, F.greatest(c["n"], F.lit(1))) * c["step"], 6) / PA_PER_VOLT))
+    off = F.transform(grid, lambda k: piece(at(k) + c["width"], F.when(c["steps"] > 0, c["gap"]).otherwise(F.lit(0)), F.lit(0.0)))
+    zero = F.lit(0.0)
+    rest = F.array(
+        piece(F.lit(0), c["pre"], zero), piece(c["pre"], c["pulse"], F.coalesce(F.col("pulse_pA"), zero) / PA_PER_VOLT),
+        piece(c["pre"] + c["pulse"], c["base"] - c["pre"] - c["pulse"], zero),
+        piece(c["base"], c["hold"], F.coalesce(F.col("step_mV"), zero) / F.coalesce(F.col("mv_per_volt"), F.lit(MV_PER_VOLT))),
+        piece(c["end"], c["total"] - c["end"], zero))
+    s = s.select(*keys, F.explode(F.concat(rest, on, off)).alias("_s"))
+    return s.select(*keys, F.col("_s.a").alias("seg_start"), F.col("_s.b").alias("seg_end"), F.col("_s.v").alias("volts")).where("seg_end > seg_start")
 
 
 def planned_timeline(trials: DataFrame, keys: list[str], rate: int = SAMPLE_RATE) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from clampspark.operators import stimulus as S
 from . import query
-from .views import KEY, RATE, rec, sql, stim, table
+from .views import KEY, RATE, sql, stim, stored, table
 
 PIECES = {
     # One row per piece of the plan; ord sorts pieces within a trial.
@@ -48,6 +48,10 @@ TRIAL = {
 
 
 def trials(spark, d):
+    return stored(spark, d, "trials", lambda: _trials(spark, d))
+
+
+def _trials(spark, d):
     """Trial order of a run: the order's items; every trial carries its planned waveform length."""
     from clampspark.operators.ordered import ordinal
     li = table(spark, d, "lineitem").select(
@@ -55,9 +59,7 @@ def trials(spark, d):
         "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity")
     t = ordinal(li, KEY, ["stimulus_index", "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity"],
                 F.floor(F.col("stimulus_index") / 65536), "trial_pos").select("recording_id", "trial_pos", "stimulus_index")
-    s = stim(spark, d)
-    n = S.expected_segments(s, ["stimulus_index"], RATE).groupBy("stimulus_index").agg(F.max("seg_end").alias("n_samples"))
-    s = s.join(n, "stimulus_index")
+    s = stim(spark, d).withColumn("n_samples", S.planned_samples(RATE))
     return t.join(s, "stimulus_index").withColumn(
         "waveform_samples", F.when(F.col("type") == "baseline", 0).otherwise(F.col("n_samples")).cast("bigint"))
 
