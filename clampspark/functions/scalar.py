@@ -107,3 +107,11 @@ def truthy(x) -> Column:
 def not_finite(x) -> Column:
     v = _c(x)
     return F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+
+
+def array_median(a: Column) -> Column:
+    """Median of an array of bounded length; null when empty or with NaN."""
+    s = F.array_sort(a)
+    n = F.size(a)
+    mid = (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2 + 1).cast("int"))) / 2
+    return F.when((n > 0) & ~F.exists(a, F.isnan), mid)

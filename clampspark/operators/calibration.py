@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BLOCK_SAMPLES
-from .intervals import samples_in
-from .quantiles import exact_median
+from ..session import materialise
+from ..functions.scalar import array_median
+from .quantiles import exact_median, window_medians
 
 
 def status_by(value: Column, warn: float, fail: float | None = None) -> Column:
@@ -25,7 +26,7 @@ def input_resistance(response: DataFrame, pulses: DataFrame, keys: list[str], id
         F.struct(F.lit("steady").alias("kind"), (on + F.floor((off - on) / 2)).cast("bigint").alias("start"), off.cast("bigint").alias("end")),
         F.struct(F.lit("base").alias("kind"), F.col("base_start").cast("bigint").alias("start"), F.col("base_end").cast("bigint").alias("end")),
     )).alias("w")).select(*keys, *ident, "w.*")
-    m = exact_median(samples_in(response, w, keys, size), [*keys, *ident, "kind"], "v", "m")
+    m = window_medians(response, materialise(w, "median-windows"), keys, [*keys, *ident, "kind"], "m", size)
     m = m.groupBy(*keys, *ident).agg(F.max(F.when(F.col("kind") == "steady", F.col("m"))).alias("steady"),
                                      F.max(F.when(F.col("kind") == "base", F.col("m"))).alias("base"))
     p = pulses.select(*keys, *ident, "amplitude").join(m, [*keys, *ident], "left")
@@ -39,14 +40,6 @@ def reference_check(resistances: DataFrame, expected: float, tolerance: float =
     return resistances.withColumn("deviation", dev).withColumn("status", status_by(dev, tolerance))
 
 
-def array_median(a: Column) -> Column:
-    """Median of one sweep's slice, which is bounded by the sweep; null when empty or with NaN."""
-    s = F.array_sort(a)
-    n = F.size(a)
-    mid = (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2 + 1).cast("int"))) / 2
-    return F.when((n > 0) & ~F.exists(a, F.isnan), mid)
-
-
 def overlay_baseline(segments: DataFrame, keys: list[str], ident: str) -> DataFrame:
     """Median over segments of each segment's median before its onset."""
     before = F.slice("samples", F.lit(1), F.col("onset_in_segment").cast("int"))

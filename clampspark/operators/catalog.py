@@ -122,33 +122,36 @@ def coerce_log(log: DataFrame) -> DataFrame:
     return out
 
 
-def filter_catalog(log: DataFrame, search: str | None = None, one_of: dict[str, list[str]] | None = None,
-                   flags: list[str] = (), first_day: str | None = None, last_day: str | None = None) -> DataFrame:
-    """Catalogue filter: case-insensitive regular expression on the id, value lists, flags, and a
-    day range that includes its last day. All of it is plain predicates, so it reaches the scan."""
-    out = log
+def catalog_filter(search: str | None = None, one_of: dict[str, list[str]] | None = None,
+                   flags: list[str] = (), first_day: str | None = None, last_day: str | None = None) -> Column:
+    """Catalogue predicate: case-insensitive regular expression on the id, value lists, flags, and
+    a day range that includes its last day. Used in ``where`` it reaches the scan."""
+    out = F.lit(True)
     if search:
-        out = out.where(F.coalesce(F.col("expt_id").cast("string").rlike(f"(?i){search}"), F.lit(False)))
+        out = out & F.coalesce(F.col("expt_id").cast("string").rlike(f"(?i){search}"), F.lit(False))
     for c, vals in (one_of or {}).items():
         if vals:
-            out = out.where(F.col(c).isin(vals))
+            out = out & F.col(c).isin(vals)
     for c in flags:
-        out = out.where(F.col(c))
+        out = out & F.col(c)
     if first_day and last_day:
         lo = F.lit(first_day).cast("timestamp_ntz")
         hi = F.lit(last_day).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
-        out = out.where((F.col("start_time") >= lo) & (F.col("start_time") < hi))
+        out = out & (F.col("start_time") >= lo) & (F.col("start_time") < hi)
     return out
 
 
-def kpis(shown: DataFrame, total: DataFrame) -> DataFrame:
-    """Headline figures of the filtered log."""
-    a = shown.groupBy().agg(
-        F.count(F.lit(1)).alias("n_shown"), F.countDistinct("expt_id").alias("n_ids"),
-        (F.coalesce(F.sum("duration_seconds"), F.lit(0.0)) / 3600).alias("hours"),
-        F.count_if("has_video").alias("n_video"), F.count_if("has_trials").alias("n_trials"))
-    # Two single rows.
-    return a.crossJoin(F.broadcast(total.groupBy().agg(F.count(F.lit(1)).alias("n_total"))))
+def kpis(log: DataFrame, shown: Column) -> DataFrame:
+    """Headline figures of the rows shown, and how many there are in all; one pass, with one row
+    per id before the last step."""
+    s = F.coalesce(shown, F.lit(False))
+    per_id = log.groupBy("expt_id").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(s).alias("_shown"), F.sum(F.when(s, F.col("duration_seconds"))).alias("_sec"),
+        F.count_if(s & F.col("has_video")).alias("_video"), F.count_if(s & F.col("has_trials")).alias("_trials"))
+    return per_id.groupBy().agg(
+        F.sum("_shown").alias("n_shown"), F.count_if((F.col("_shown") > 0) & F.col("expt_id").isNotNull()).alias("n_ids"),
+        (F.coalesce(F.sum("_sec"), F.lit(0.0)) / 3600).alias("hours"), F.sum("_video").alias("n_video"),
+        F.sum("_trials").alias("n_trials"), F.sum("_all").alias("n_total"))
 
 
 def facets(log: DataFrame, columns: list[str]) -> DataFrame:

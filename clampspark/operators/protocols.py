@@ -15,7 +15,7 @@ _PROTO = [
     ("pre_ms", T.DoubleType(), 1000.0), ("post_ms", T.DoubleType(), 1000.0), ("iti_ms", T.DoubleType(), 2000.0),
     ("repeats_per_stimulus", T.IntegerType(), 5), ("ao_mv_per_volt", T.DoubleType(), 20.0),
 ]
-_PULSE = [("amplitude_pA", T.DoubleType(), -50.0), ("duration_ms", T.DoubleType(), 500.0)]
+_PULSE = [("amplitude_pA", T.DoubleType(), -50.0), ("duration_ms", T.DoubleType(), 100.0)]
 
 STIMULUS_TYPE = T.StructType([T.StructField(n, t) for n, t, _ in _STIM])
 PULSE_TYPE = T.StructType([T.StructField(n, t) for n, t, _ in _PULSE])

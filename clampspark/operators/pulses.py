@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import BLOCK_SAMPLES, MIN_AMP_PA
 from ..session import materialise
 from .blocks import runs
-from .intervals import samples_in
 from .ordered import neighbour, ordinal, running, segment_of
-from .quantiles import exact_median
+from .quantiles import window_medians
 
 
 def command_runs(blocks: DataFrame, keys: list[str], min_amp: float = MIN_AMP_PA) -> DataFrame:
@@ -22,8 +21,7 @@ def find_pulses(blocks: DataFrame, keys: list[str], min_samples: int, min_amp: f
     """Runs of at least ``min_samples`` with their median as ``amplitude``."""
     r = command_runs(blocks, keys, min_amp).where(F.col("offset") - F.col("onset") >= min_samples)
     r = materialise(r, "runs")
-    inside = samples_in(blocks, r, keys, size, "onset", "offset")
-    return exact_median(inside, [*keys, "onset", "offset"], "v", "amplitude")
+    return window_medians(blocks, r, keys, [*keys, "onset", "offset"], "amplitude", size, "onset", "offset")
 
 
 def group_by_gap(pulses: DataFrame, keys: list[str], max_gap: int) -> DataFrame:

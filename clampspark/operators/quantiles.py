@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..config import BLOCK_SAMPLES
+from ..functions.scalar import array_median
+from .intervals import samples_in, slices
+from .ordered import running
+
 PER_OCTAVE = 4096
 _NAN = (1 << 62) + 1
 _INF = 1 << 62
 
 
+def _grid(x: Column) -> Column:
+    return (F.log2(F.abs(x)) + 1100) * PER_OCTAVE
+
+
 def _bucket(x: Column) -> Column:
     """Order-preserving bucket of a double: 4,096 per factor of two, so about 0.02 % wide."""
-    mag = F.floor((F.log2(F.abs(x)) + 1100) * PER_OCTAVE).cast("bigint") + 1
+    mag = F.floor(_grid(x)).cast("bigint") + 1
     return (
         F.when(F.isnan(x), F.lit(_NAN)).when(x == 0, F.lit(0).cast("bigint"))
         .when(F.abs(x) == float("inf"), F.when(x > 0, F.lit(_INF)).otherwise(F.lit(-_INF)))
@@ -19,14 +28,21 @@ def _bucket(x: Column) -> Column:
     )
 
 
+def _part(x: Column) -> Column:
+    """Order-preserving part of a value's bucket, one of 65,536."""
+    part = F.floor((_grid(x) - F.floor(_grid(x))) * 65536).cast("bigint")
+    finite = (x != 0) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.when(x > 0, part).otherwise(-part)).otherwise(F.lit(0).cast("bigint"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     skip_nan: bool = False) -> DataFrame:
     """Linear-interpolation quantiles per key, without holding a group in one task.
 
     First pass: a histogram per key over order-preserving buckets, combined before the shuffle.
     It tells which buckets hold the wanted ranks. Second pass: only values of those buckets are
-    shuffled, equal values collapse, and each bucket is ordered on its own. A NaN makes the result
-    null unless ``skip_nan``. Output: ``keys``, one column per name in ``probs``, and ``n``.
+    shuffled, equal values collapse, and a bucket is ordered in up to 65,536 parts, so a crowded
+    one does not fall to one task. A NaN makes the result null unless ``skip_nan``. Output: ``keys``, one column per name in ``probs``, and ``n``.
     """
     keys = list(keys)
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
@@ -46,12 +62,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     mine = F.filter(F.array(*asked), lambda a: (a["rank"] >= F.col("_from")) & (a["rank"] < F.col("_to")))
     hits = hist.where(real & F.col("n").isNotNull()).select(*keys, "_b", "_from", "n", "_bad", F.array_distinct(mine).alias("_asked")).where(F.size("_asked") > 0)
 
-    near = d.join(hits.select(*keys, "_b", "_from", "n", "_bad", "_asked"), [*keys, "_b"])
-    near = near.groupBy(*keys, "_b", "_x").agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_from").alias("_from"), F.first("n").alias("n"),
-        F.first("_bad").alias("_bad"), F.first("_asked").alias("_asked"))
-    within = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.withColumn("_end", F.col("_from") + F.sum("_c").over(within))
+    near = d.join(hits.select(*keys, "_b"), [*keys, "_b"]).groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    near = running(near, [*keys, "_b"], ["_x"], _part(F.col("_x")), {"_cum": ("sum", F.col("_c"))})
+    near = near.join(hits, [*keys, "_b"]).withColumn("_end", F.col("_from") + F.col("_cum"))
     got = F.filter("_asked", lambda a: (a["rank"] >= F.col("_end") - F.col("_c")) & (a["rank"] < F.col("_end")))
     found = near.select(*keys, "_x", "n", "_bad", F.explode(got).alias("_a"))
     ok = F.lit(True) if skip_nan else ~F.max("_bad")
@@ -68,3 +81,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
                  skip_nan: bool = False) -> DataFrame:
     return exact_quantiles(df, keys, value, {name: 0.5}, skip_nan).select(*keys, name)
+
+
+SHORT_WINDOW = 1 << 18
+
+
+def window_medians(blocks: DataFrame, windows: DataFrame, keys: list[str], group: list[str], name: str,
+                   size: int = BLOCK_SAMPLES, start: str = "start", end: str = "end", short: int = SHORT_WINDOW) -> DataFrame:
+    """Median of the samples in each window; ``group`` identifies a window.
+
+    Windows of at most ``short`` samples are put together as one array each. Longer ones, where
+    there are any, take the exact two-pass route. ``windows`` is read twice: land it first.
+    """
+    long = F.col(end) - F.col(start) > short
+    s = slices(blocks, windows.where(~long), keys, size, start, end)
+    out = s.groupBy(*group).agg(array_median(F.flatten(F.collect_list("part"))).alias(name))
+    wide = windows.where(long)
+    if wide.isEmpty():
+        return out
+    return out.unionByName(exact_median(samples_in(blocks, wide, keys, size, start, end), group, "v", name))

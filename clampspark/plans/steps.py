@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import (BASELINE_MARGIN_MS, BLOCK_SAMPLES, HALO_SAMPLES, MAX_GAP_MS, MIN_AMP_PA, MIN_STEP_MS, SAMPLE_RATE)
 from ..functions.scalar import ms_count
 from ..operators.blocks import running_median
-from ..operators.intervals import latest_before, samples_in
+from ..operators.intervals import latest_before
 from ..operators.ordered import ordinal, segment_of
 from ..operators.pulses import clip_runs, command_runs, group_by_gap, number_pulses
-from ..operators.quantiles import exact_median
+from ..operators.quantiles import window_medians
 from ..operators.stimulus import apply_windows
 from ..session import materialise
 
@@ -65,8 +65,8 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
     """One row per staircase, unrounded: times, steps, amplitude range, resting level, resistance.
 
     ``command`` and ``response`` are block tables in display units (pA, mV); ``protocol_runs`` has
-    ``run_seq, start_sample, has_pulse``. All medians come from one interval join and one quantile
-    pass: pulses on the command, baselines and the last half of leading pulses on the response.
+    ``run_seq, start_sample, has_pulse``. All medians come from one interval
+    join: pulses on the command, baselines and the last half of leading pulses on the response.
     """
     smooth = smooth_command(command, s)
     pulses = detect(smooth, events, lengths, keys, s)
@@ -88,8 +88,7 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
     cols = [*keys, "block_no", "block_start", "samples"]
     wanted = materialise(wanted, "median-windows")
     both = smooth.select(*cols).withColumn("_ch", F.lit(1)).unionByName(response.select(*cols).withColumn("_ch", F.lit(0)))
-    values = samples_in(both, wanted, [*keys, "_ch"], s.block)
-    med = exact_median(values, [*stair, "_kind", "pulse_seq"], "v", "_m")
+    med = window_medians(both, wanted, [*keys, "_ch"], [*stair, "_kind", "pulse_seq"], "_m", s.block)
     med = materialise(med, "medians")
 
     amps = med.where("_kind = 'amp'").select(*stair, "pulse_seq", F.col("_m").alias("amplitude"))

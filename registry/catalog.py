@@ -175,19 +175,19 @@ def log_upsert(spark, d):
 WHERE = """regexp_matches(expt_id, '(?i)customer#0000000?[0-4]') AND genotype IN ('1-URGENT', '2-HIGH') AND has_video AND start_time >= TIMESTAMP '1996-01-01' AND start_time < TIMESTAMP '1999-01-01'"""
 
 
-def filtered(spark, d):
-    return K.filter_catalog(rec(spark, d), "customer#0000000?[0-4]", {"genotype": ["1-URGENT", "2-HIGH"], "owner": []}, ["has_video"], "1996-01-01", "1998-12-31")
+def shown():
+    return K.catalog_filter("customer#0000000?[0-4]", {"genotype": ["1-URGENT", "2-HIGH"], "owner": []}, ["has_video"], "1996-01-01", "1998-12-31")
 
 
 @query("catalog_filter", sql("rec", f"SELECT recording_id, expt_id, genotype FROM rec WHERE {WHERE}"))
 def catalog_filter(spark, d):
-    return filtered(spark, d).select("recording_id", "expt_id", "genotype")
+    return rec(spark, d).where(shown()).select("recording_id", "expt_id", "genotype")
 
 
 @query("catalog_kpis", sql("rec", f"""SELECT count(*) AS n_shown, count(DISTINCT expt_id) AS n_ids, round(sum(duration_seconds) / 3600, 4) AS hours, count(*) FILTER (WHERE has_video) AS n_video,
     count(*) FILTER (WHERE has_trials) AS n_trials, (SELECT count(*) FROM rec) AS n_total FROM rec WHERE {WHERE}"""))
 def catalog_kpis(spark, d):
-    return K.kpis(filtered(spark, d), rec(spark, d)).withColumn("hours", F.round("hours", 4))
+    return K.kpis(rec(spark, d), shown()).withColumn("hours", F.round("hours", 4))
 
 
 @query("facets", sql("rec", """SELECT DISTINCT 'genotype' AS facet, genotype AS value FROM rec UNION SELECT DISTINCT 'clamp_mode', clamp_mode FROM rec WHERE clamp_mode IS NOT NULL

@@ -87,7 +87,7 @@ def frame_align(spark, d):
     from clampspark.operators.ordered import ordinal
     from .views import table
     e = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("recording_id"), "ts", "event_id")
-    video = ordinal(e, KEY, ["ts", "event_id"], F.date_trunc("hour", "ts"), "frame_no")
+    video = ordinal(e, KEY, ["ts", "event_id"], F.date_trunc("minute", "ts"), "frame_no")
     video = video.select("recording_id", "frame_no", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_ms"))
     return align.pair_frames(frames(spark, d), video, KEY).select("recording_id", "frame_no", "sample_index", "ts_ms")
 

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from clampspark.operators import intervals as I
-from clampspark.operators.quantiles import exact_median
+from clampspark.operators.quantiles import window_medians
 from clampspark.plans import steps
+from clampspark.session import materialise
 from . import query
 from .intervals import APPLY
 from .views import BLOCK, HALO, KEY, RATE, blk, channel_blocks, evt, proto, rec_lengths, sig, sql
@@ -75,8 +75,8 @@ def rmp(spark, d):
     from clampspark.operators.stimulus import apply_windows
     from .views import sig_blocks
     w = apply_windows(evt(spark, d), rec_lengths(spark, d), KEY).select("recording_id", "event_seq", "start", "end")
-    s = I.samples_in(sig_blocks(spark, d), w, KEY, BLOCK)
-    return exact_median(s, ["recording_id", "event_seq"], "v", "rmp").withColumn("rmp", F.round("rmp", 6))
+    m = window_medians(sig_blocks(spark, d), materialise(w, "windows"), KEY, ["recording_id", "event_seq"], "rmp", BLOCK)
+    return m.withColumn("rmp", F.round("rmp", 6))
 
 
 RI = dict(

@@ -58,7 +58,7 @@ def _trials(spark, d):
         F.col("l_orderkey").alias("recording_id"), F.col("l_partkey").alias("stimulus_index"),
         "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity")
     t = ordinal(li, KEY, ["stimulus_index", "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity"],
-                F.floor(F.col("stimulus_index") / 65536), "trial_pos").select("recording_id", "trial_pos", "stimulus_index")
+                F.floor(F.col("stimulus_index") / 1024), "trial_pos").select("recording_id", "trial_pos", "stimulus_index")
     s = stim(spark, d).withColumn("n_samples", S.planned_samples(RATE))
     return t.join(s, "stimulus_index").withColumn(
         "waveform_samples", F.when(F.col("type") == "baseline", 0).otherwise(F.col("n_samples")).cast("bigint"))

@@ -39,7 +39,7 @@ def _sig(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(
         F.col("user_id").alias("recording_id"), "ts", "event_id", F.col("value").alias("v"), "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    s = ordinal(e, KEY, ["ts", "event_id"], F.date_trunc("hour", "ts"), "sample_index")
+    s = ordinal(e, KEY, ["ts", "event_id"], F.date_trunc("minute", "ts"), "sample_index")
     return s.select("recording_id", "sample_index", "v", "event_type", "k")
 
 
@@ -102,12 +102,12 @@ def blk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pulse(spark: SparkSession, d: str) -> DataFrame:
-    """Pulses of an order: its line items in column order, amplitude from the quantity."""
+    """Pulses of an order: its line items by part, amplitude from the quantity."""
     li = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("recording_id"), (F.col("l_quantity") - 25).alias("amplitude"),
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "amplitude", "l_shipdate"]
-    return ordinal(li, KEY, order, F.col("l_linenumber"), "pulse_seq").select("recording_id", "pulse_seq", "amplitude")
+    order = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "amplitude", "l_shipdate"]
+    return ordinal(li, KEY, order, segment_of("l_partkey", 1024), "pulse_seq").select("recording_id", "pulse_seq", "amplitude")
 
 
 def stim(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ CTE: dict[str, tuple[str, str]] = {
         CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS trial_index FROM embeddings"""),
     "bs": ("blk", """SELECT recording_id, trial_index, vec_id, CAST(unnest(range(0, len(embedding))) AS BIGINT) AS sample_index,
         CAST(unnest(embedding) AS DOUBLE) AS v FROM blk"""),
-    "pulse": ("", """SELECT l_orderkey AS recording_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+    "pulse": ("", """SELECT l_orderkey AS recording_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber,
         l_extendedprice, l_discount, l_tax, l_quantity, l_shipdate) - 1 AS BIGINT) AS pulse_seq, l_quantity - 25 AS amplitude FROM lineitem"""),
     "stim": ("", """SELECT p_brand AS protocol, p_partkey AS stimulus_index, p_name AS name,
         CASE WHEN p_type IN ('ECONOMY','SMALL','MEDIUM') THEN 'staircase' WHEN p_type IN ('LARGE','STANDARD') THEN 'voltage_step' ELSE 'baseline' END AS type,

@@ -166,7 +166,7 @@ def test_protocol_decode(spark):
     rows = [('{"version": 1, "name": "p", "hyperpolarization": null, "stimuli": [{"type": "baseline"}]}',), ('{"hyperpolarization": {"amplitude_pA": -20}, "odd": 1}',), ("not json",)]
     r = [x.p for x in spark.createDataFrame(rows, "j string").select(decode(F.col("j")).alias("p")).collect()]
     assert r[0].name == "p" and r[0].hyperpolarization is None and r[0].stimuli[0].min_pA == -50.0 and r[0].pre_ms == 1000.0
-    assert r[1].hyperpolarization.amplitude_pA == -20.0 and r[1].hyperpolarization.duration_ms is not None and r[1].stimuli == []
+    assert r[1].hyperpolarization.amplitude_pA == -20.0 and r[1].hyperpolarization.duration_ms == 100.0 and r[1].stimuli == []
     assert r[2] is None
     odd = [x.k for x in spark.createDataFrame(rows[:2], "j string").select(unknown_keys(F.col("j")).alias("k")).collect()]
     assert odd == [[], ["odd"]]

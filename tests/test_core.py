@@ -144,3 +144,16 @@ def test_interval_join_has_no_nested_loop(spark):
     w = spark.createDataFrame([(1, 3, 9)], "recording_id bigint, start bigint, end bigint")
     plan = I.samples_in(b, w, KEY, 16)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_window_medians_long_and_short_agree(spark):
+    from clampspark.operators.quantiles import window_medians
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=300)
+    b = B.pack(long_table(spark, {1: x}), KEY, 32, 2)
+    win = [(1, 0, 300), (1, 5, 6), (1, 30, 70), (1, 250, 900)]
+    w = spark.createDataFrame(win, "recording_id bigint, start bigint, end bigint")
+    want = {(a, z): np.median(x[a:z]) for _, a, z in win}
+    for short in (1000, 45, 0):
+        got = window_medians(b, w, KEY, ["start", "end"], "m", 32, short=short).collect()
+        assert {(r.start, r.end): r.m for r in got} == pytest.approx(want)
