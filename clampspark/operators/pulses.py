@@ -24,13 +24,21 @@ def find_pulses(blocks: DataFrame, keys: list[str], min_samples: int, min_amp: f
     return window_medians(blocks, r, keys, [*keys, "onset", "offset"], "amplitude", size, "onset", "offset")
 
 
-def group_by_gap(pulses: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
-    """Number the groups of pulses that no silence longer than ``max_gap`` separates."""
+def start_by_gap(pulses: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
+    """Add ``apply_sample``: the onset of the first pulse of the group that no silence longer than
+    ``max_gap`` interrupts."""
     seg = segment_of("onset")
     p = neighbour(pulses, keys, ["onset"], seg, {"offset": "_prev"}, ahead=False)
-    fresh = F.when(F.col("onset") - F.col("_prev") > max_gap, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    p = running(p.withColumn("_fresh", fresh), keys, ["onset"], seg, {"staircase_index": ("sum", F.col("_fresh"))})
-    return p.drop("_prev", "_fresh")
+    joins = F.coalesce(F.col("onset") - F.col("_prev") <= max_gap, F.lit(False))
+    p = running(p, keys, ["onset"], seg, {"apply_sample": ("last", F.when(~joins, F.col("onset")))})
+    return p.drop("_prev")
+
+
+def staircases(pulses: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group with its extent, numbered in order: ``found_steps, apply_sample,
+    clear_sample, staircase_index``."""
+    g = pulses.groupBy(*keys, "apply_sample").agg(F.count(F.lit(1)).alias("found_steps"), F.max("offset").alias("clear_sample"))
+    return ordinal(g, keys, ["apply_sample"], segment_of("apply_sample"), "staircase_index")
 
 
 def number_pulses(pulses: DataFrame, group: list[str]) -> DataFrame:

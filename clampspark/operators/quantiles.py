@@ -35,16 +35,36 @@ def _part(x: Column) -> Column:
     return F.when(finite, F.when(x > 0, part).otherwise(-part)).otherwise(F.lit(0).cast("bigint"))
 
 
+SMALL_GROUP = 1 << 18
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    skip_nan: bool = False) -> DataFrame:
-    """Linear-interpolation quantiles per key, without holding a group in one task.
+                    skip_nan: bool = False, small: int = SMALL_GROUP) -> DataFrame:
+    """Linear-interpolation quantiles per key: ``keys``, one column per name in ``probs``, and
+    ``n``. A NaN makes the result null unless ``skip_nan``.
+
+    The largest group is counted first, over the key columns alone. Groups of at most ``small``
+    values fit one aggregation buffer each; beyond that the two-pass form is used.
+    """
+    top = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (top or 0) > small:
+        return _two_pass(df, list(keys), value, probs, skip_nan)
+    x = F.col(value).cast("double")
+    real = F.when(~F.isnan(x), x)
+    q = F.percentile(real, F.array(*[F.lit(float(p)) for p in probs.values()]))
+    g = df.groupBy(*keys).agg(q.alias("_q"), F.count(real).alias("n"), F.max(F.isnan(x)).alias("_bad")).where("n > 0")
+    ok = F.lit(True) if skip_nan else ~F.col("_bad")
+    return g.select(*keys, *[F.when(ok, F.col("_q")[i]).alias(k) for i, k in enumerate(probs)], "n")
+
+
+def _two_pass(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], skip_nan: bool) -> DataFrame:
+    """Quantiles without holding a group in one task.
 
     First pass: a histogram per key over order-preserving buckets, combined before the shuffle.
     It tells which buckets hold the wanted ranks. Second pass: only values of those buckets are
     shuffled, equal values collapse, and a bucket is ordered in up to 65,536 parts, so a crowded
-    one does not fall to one task. A NaN makes the result null unless ``skip_nan``. Output: ``keys``, one column per name in ``probs``, and ``n``.
+    one does not fall to one task.
     """
-    keys = list(keys)
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
     d = d.withColumn("_b", _bucket(F.col("_x")))
     real = F.col("_b") != _NAN

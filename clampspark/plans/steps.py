@@ -11,7 +11,7 @@ from ..functions.scalar import ms_count
 from ..operators.blocks import running_median
 from ..operators.intervals import latest_before
 from ..operators.ordered import ordinal, segment_of
-from ..operators.pulses import clip_runs, command_runs, group_by_gap, number_pulses
+from ..operators.pulses import clip_runs, command_runs, number_pulses, start_by_gap
 from ..operators.quantiles import window_medians
 from ..operators.stimulus import apply_windows
 from ..session import materialise
@@ -41,23 +41,19 @@ def detect(command: DataFrame, events: DataFrame, lengths: DataFrame, keys: list
     """Pulse windows of every staircase, event windows first.
 
     A recording whose events give no pulse falls back to grouping its pulses by silence. Rows:
-    ``keys, apply_sample, clear_sample, stimulus_name, stimulus_index, onset, offset``.
+    ``keys, apply_sample, stimulus_name, stimulus_index, onset, offset``.
     """
     min_samples = ms_count(s.min_step_ms, s.rate)
-    found = command_runs(command, keys, s.min_amp)
-    windows = apply_windows(events, lengths, keys).select(*keys, "stimulus_name", "stimulus_index", "start", "end")
-    by_event = clip_runs(found, windows.withColumn("apply_sample", F.col("start")).withColumn("clear_sample", F.col("end")),
-                         keys, min_samples, s.block).drop("start", "end")
+    found = materialise(command_runs(command, keys, s.min_amp), "runs")
+    windows = apply_windows(events, lengths, keys).withColumn("apply_sample", F.col("start"))
+    by_event = clip_runs(found, windows.drop("event_seq"), keys, min_samples, s.block).drop("start", "end")
     by_event = materialise(by_event, "event-pulses")
     long_runs = found.where(F.col("offset") - F.col("onset") >= min_samples)
     rest = long_runs.join(by_event.select(*keys).distinct(), keys, "left_anti")
-    grouped = group_by_gap(rest, keys, ms_count(s.max_gap_ms, s.rate))
-    span = grouped.groupBy(*keys, "staircase_index").agg(
-        F.min("onset").alias("apply_sample"), F.max("offset").alias("clear_sample"))
-    by_gap = grouped.join(span, [*keys, "staircase_index"]).select(
-        *keys, F.lit("unknown").alias("stimulus_name"), F.lit(-1).alias("stimulus_index"),
-        "apply_sample", "clear_sample", "onset", "offset")
-    return by_event.unionByName(by_gap)
+    grouped = start_by_gap(rest, keys, ms_count(s.max_gap_ms, s.rate))
+    by_gap = grouped.select(
+        *keys, F.lit("unknown").alias("stimulus_name"), F.lit(-1).alias("stimulus_index"), "apply_sample", "onset", "offset")
+    return by_event.select(by_gap.columns).unionByName(by_gap)
 
 
 def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengths: DataFrame,
@@ -98,7 +94,7 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
 
     p = pulses.join(amps, [*stair, "pulse_seq"])
     lead = F.col("pulse_seq") == 0
-    g = p.groupBy(*stair, "clear_sample", "stimulus_name", "stimulus_index").agg(
+    g = p.groupBy(*stair, "stimulus_name", "stimulus_index").agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.when(lead, F.col("amplitude"))).alias("_a0"),
         F.min("onset").alias("_on_all"), F.max("offset").alias("_off_all"),
         F.min(F.when(~lead, F.col("onset"))).alias("_on_rest"), F.max(F.when(~lead, F.col("offset"))).alias("_off_rest"),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from clampspark.operators import align, blocks as B, decimate, pulses as P
+from clampspark.session import materialise
 from . import query
 from .views import BLOCK, CH, HALO, KEY, blk, rec_lengths, sig, sig_blocks, sql, two_channels
 
@@ -49,8 +50,8 @@ STAIRS = dict(
     FROM st GROUP BY 1, 2""", **STAIRS))
 def staircase_group(spark, d):
     p = P.command_runs(sig_blocks(spark, d), KEY, 60.0).where(F.col("offset") - F.col("onset") >= 2)
-    return P.group_by_gap(p, KEY, 5).groupBy("recording_id", "staircase_index").agg(
-        F.count(F.lit(1)).alias("found_steps"), F.min("onset").alias("apply_sample"), F.max("offset").alias("clear_sample"))
+    s = P.staircases(materialise(P.start_by_gap(p, KEY, 5), "staircase-pulses"), KEY)
+    return s.select("recording_id", "staircase_index", "found_steps", "apply_sample", "clear_sample")
 
 
 @query("hyperpol_split", sql("pulse", """SELECT recording_id, pulse_seq, amplitude, pulse_seq = 0 AND amplitude < 0 AND

@@ -131,7 +131,7 @@ def stim(spark: SparkSession, d: str) -> DataFrame:
 def rec(spark: SparkSession, d: str) -> DataFrame:
     """Recording dimension from orders and their customers."""
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.select(
         F.col("o_orderkey").alias("recording_id"), F.col("c_name").alias("expt_id"), F.col("n_name").alias("owner"),
         F.when(F.col("o_orderstatus") == "F", "voltage_clamp").when(F.col("o_orderstatus") == "O", "current_clamp").alias("clamp_mode"),

@@ -121,7 +121,8 @@ def test_asof_with_ties(spark):
         (1, 4, "a"), (1, 5, "a"), (1, 5, "a"), (1, 8, "c"), (1, 50, ""), (2, 3, "z"), (2, 4, "z")]
 
 
-def test_quantiles_are_exact(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_quantiles_are_exact(spark, small):
     rng = np.random.default_rng(3)
     groups = {
         1: rng.normal(-65, 0.01, 501), 2: rng.integers(-3, 3, 400).astype(float), 3: np.array([4.0]),
@@ -130,12 +131,12 @@ def test_quantiles_are_exact(spark):
     }
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k int, v double")
     probs = {"p01": 0.01, "mid": 0.5, "p99": 0.99}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, small=small).collect()}
     for k in (1, 2, 3, 5):
         for n, q in probs.items():
             assert got[k][n] == pytest.approx(np.quantile(groups[k], q), rel=1e-12, abs=1e-12)
     assert got[4].mid is None and 6 not in got and got[7].mid == 1.0
-    skip = {r.k: r.mid for r in exact_quantiles(df, ["k"], "v", {"mid": 0.5}, skip_nan=True).collect()}
+    skip = {r.k: r.mid for r in exact_quantiles(df, ["k"], "v", {"mid": 0.5}, skip_nan=True, small=small).collect()}
     assert skip[4] == 2.0
 
 
