@@ -11,7 +11,7 @@ def minmax_decimate(samples: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """At most ``cap`` points per key: both extremes of each bin at their true index.
 
     Keys with no more than ``cap`` samples pass unchanged. Otherwise ``cap // 2`` equal bins are
-    used and the samples behind the last whole bin are left out, as in the reference behaviour.
+    used and the samples behind the last whole bin are left out.
     """
     n = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bins = max(2, cap // 2)
