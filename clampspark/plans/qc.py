@@ -145,7 +145,7 @@ def events(log: DataFrame, lengths: DataFrame, keys: list[str], order: str = "ev
     """
     seg = segment if segment is not None else segment_of(order)
     at = F.col("sample_index")
-    e = materialise(neighbour(log, keys, [order], seg, {"sample_index": "_prev"}, ahead=False), "event-log")
+    e = neighbour(log, keys, [order], seg, {"sample_index": "_prev"}, ahead=False)
     e = neighbour(e, [*keys, "stimulus_index"], [order], seg, {"event_type": "_prev_type"}, ahead=False)
     e = join_small(e, lengths, keys, F.col(order), how="left")
     was_open = F.coalesce(F.col("_prev_type") == "apply", F.lit(False))
@@ -154,13 +154,13 @@ def events(log: DataFrame, lengths: DataFrame, keys: list[str], order: str = "ev
     e = e.withColumn("_double", double).withColumn("_orphan", orphan)
     text = (F.when(F.col("_double"), F.concat(F.lit("stimulus_index="), F.col("stimulus_index"), F.lit(" applied twice without clear")))
             .when(F.col("_orphan"), F.concat(F.lit("stimulus_index="), F.col("stimulus_index"), F.lit(" cleared without a prior apply"))))
+    e = materialise(e, "event-pairs")
     g = e.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"), F.min(at).alias("min_index"), F.max(at).alias("max_index"),
         F.max(F.col("n_samples")).alias("n_samples"), F.count_if(F.col("_prev") > at).alias("n_backward"),
         F.count_if((at < 0) | (at >= F.col("n_samples"))).alias("n_outside"),
         F.count_if("_double").alias("n_double"), F.count_if("_orphan").alias("n_orphan"))
     # Only the first three pairing issues of a recording are ever gathered.
-    e = materialise(e, "event-pairs")
     named = ordinal(e.where("_double OR _orphan").withColumn("_text", text), keys, [order], seg, "_rank").where("_rank < 3")
     named = named.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_text"))), lambda s: s["_text"]).alias("_pair"))
     last = log.groupBy(*keys, "stimulus_index").agg(F.max_by("event_type", F.col(order)).alias("_t")).where("_t = 'apply'")
@@ -186,11 +186,13 @@ def missing_trials(expected: DataFrame, trials: DataFrame, keys: list[str], firs
 def trial_table(expected: DataFrame, trials: DataFrame, keys: list[str]) -> DataFrame:
     """Trial count, numbering and channel count per recording; ``trials`` has ``trial_index,
     n_channels``. Numbering is right exactly when the n distinct numbers span 0 to n - 1."""
-    t = trials.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observed"), F.min("trial_index").alias("_lo"), F.max("trial_index").alias("_hi"),
-        F.min("n_channels").alias("_c0"), F.max("n_channels").alias("_c1"))
-    repeats = trials.groupBy(*keys, "trial_index").count().groupBy(*keys).agg(F.max("count").alias("_rep"))
-    j = expected.join(t, keys, "left").join(repeats, keys, "left").join(missing_trials(expected, trials, keys), keys, "left")
+    one = trials.groupBy(*keys, F.col("trial_index").cast("bigint").alias("trial_index")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("n_channels").alias("_c0"), F.max("n_channels").alias("_c1"))
+    one = materialise(one, "trial-numbers")
+    t = one.groupBy(*keys).agg(
+        F.sum("_n").alias("observed"), F.min("trial_index").alias("_lo"), F.max("trial_index").alias("_hi"), F.max("_n").alias("_rep"),
+        F.min("_c0").alias("_c0"), F.max("_c1").alias("_c1"))
+    j = expected.join(t, keys, "left").join(missing_trials(expected, one, keys), keys, "left")
     contiguous = (F.col("_lo") == 0) & (F.col("_hi") == F.col("observed") - 1) & (F.col("_rep") == 1)
     bad = (F.col("observed") != F.col("n_expected")) | ~contiguous | (F.col("_c0") != F.col("_c1"))
     return j.select(

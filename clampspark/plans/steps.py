@@ -11,7 +11,7 @@ from ..functions.scalar import ms_count
 from ..operators.blocks import running_median
 from ..operators.intervals import latest_before
 from ..operators.ordered import ordinal, segment_of
-from ..operators.pulses import clip_runs, command_runs, number_pulses, start_by_gap
+from ..operators.pulses import clip_runs, command_runs, start_by_gap
 from ..operators.quantiles import window_medians
 from ..operators.stimulus import apply_windows
 from ..session import materialise
@@ -44,7 +44,7 @@ def detect(command: DataFrame, events: DataFrame, lengths: DataFrame, keys: list
     ``keys, apply_sample, stimulus_name, stimulus_index, onset, offset``.
     """
     min_samples = ms_count(s.min_step_ms, s.rate)
-    found = materialise(command_runs(command, keys, s.min_amp), "runs")
+    found = command_runs(command, keys, s.min_amp)
     windows = apply_windows(events, lengths, keys).withColumn("apply_sample", F.col("start"))
     by_event = clip_runs(found, windows.drop("event_seq"), keys, min_samples, s.block).drop("start", "end")
     by_event = materialise(by_event, "event-pulses")
@@ -67,12 +67,12 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
     smooth = smooth_command(command, s)
     pulses = detect(smooth, events, lengths, keys, s)
     stair = [*keys, "apply_sample"]
-    pulses = materialise(number_pulses(materialise(pulses, "pulses"), stair), "numbered-pulses")
-    first = pulses.where("pulse_seq = 0")
+    pulses = materialise(pulses, "pulses")
+    first = pulses.groupBy(*stair).agg(F.min_by("offset", "onset").alias("offset"), F.min("onset").alias("onset"))
     margin = ms_count(s.margin_ms, s.rate)
 
     def window(df: DataFrame, channel: int, kind: str, start, end) -> DataFrame:
-        return df.select(*keys, F.lit(channel).alias("_ch"), "apply_sample", F.lit(kind).alias("_kind"), "pulse_seq",
+        return df.select(*keys, F.lit(channel).alias("_ch"), "apply_sample", F.lit(kind).alias("_kind"), "onset",
                          start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
 
     on, off = F.col("onset"), F.col("offset")
@@ -84,16 +84,16 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
     cols = [*keys, "block_no", "block_start", "samples"]
     wanted = materialise(wanted, "median-windows")
     both = smooth.select(*cols).withColumn("_ch", F.lit(1)).unionByName(response.select(*cols).withColumn("_ch", F.lit(0)))
-    med = window_medians(both, wanted, [*keys, "_ch"], [*stair, "_kind", "pulse_seq"], "_m", s.block)
+    med = window_medians(both, wanted, [*keys, "_ch"], [*stair, "_kind", "onset"], "_m", s.block)
     med = materialise(med, "medians")
 
-    amps = med.where("_kind = 'amp'").select(*stair, "pulse_seq", F.col("_m").alias("amplitude"))
+    amps = med.where("_kind = 'amp'").select(*stair, "onset", F.col("_m").alias("amplitude"))
     sides = med.where("_kind <> 'amp'").groupBy(*stair).agg(
         F.max(F.when(F.col("_kind") == "base", F.col("_m"))).alias("rmp_mV"),
         F.max(F.when(F.col("_kind") == "steady", F.col("_m"))).alias("_steady"))
 
-    p = pulses.join(amps, [*stair, "pulse_seq"])
-    lead = F.col("pulse_seq") == 0
+    p = pulses.join(amps, [*stair, "onset"]).join(first.select(*stair, F.col("onset").alias("_on0")), stair)
+    lead = F.col("onset") == F.col("_on0")
     g = p.groupBy(*stair, "stimulus_name", "stimulus_index").agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.when(lead, F.col("amplitude"))).alias("_a0"),
         F.min("onset").alias("_on_all"), F.max("offset").alias("_off_all"),

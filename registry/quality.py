@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from clampspark.functions.scalar import to_the_second  # noqa: F401
 from clampspark.operators import align
 from clampspark.plans import qc
+from clampspark.session import materialise
 from . import query
 from .intervals import PAIRED
 from .scalars import CHANNELS_SQL, channels
@@ -228,7 +228,8 @@ def qc_cmd_trial(spark, d):
 def result_rows(spark, d):
     """Check results of every recording: finite, saturation, offset, counts, events, log order."""
     n = rec_lengths(spark, d)
-    stats = qc.channel_stats(channel_samples(spark, d), CH)
+    # One pass over the samples serves three checks.
+    stats = materialise(qc.channel_stats(channel_samples(spark, d), CH), "channel-stats")
     sat = qc.first_offender(qc.saturation(stats).join(cc(spark).select("channel_index", "name"), "channel_index"), KEY, "channel_index", "name", "saturated_fraction")
     fin = qc.finite(stats, KEY)
     off = stats.groupBy("recording_id").agg(F.avg("mean_v").alias("mean_v")).withColumn("status", F.lit("pass"))
