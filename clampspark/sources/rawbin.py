@@ -23,10 +23,15 @@ _ARROW = pa.schema([
     ("samples", pa.list_(pa.float64())), ("before", pa.list_(pa.float64())), ("after", pa.list_(pa.float64()))])
 
 
-def _open(path: str):
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and inner path of a URI or plain path; ``file:/x`` counts as ``/x``."""
     if "://" not in path and ":" in path.split("/")[0]:
         path = path.split(":", 1)[1]
-    system, inner = pafs.FileSystem.from_uri(path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def _open(path: str):
+    system, inner = locate(path)
     return system.open_input_file(inner)
 
 
@@ -100,7 +105,7 @@ class _Reader(DataSourceReader):
         self.chunk, self.halo = int(options.get("chunk", CHUNK_SIZE)), int(options.get("halo", HALO_SAMPLES))
 
     def partitions(self):
-        system, inner = pafs.FileSystem.from_uri(self.o["path"])
+        system, inner = locate(self.o["path"])
         out = []
         for f in system.get_file_info(pafs.FileSelector(inner, recursive=True)):
             if f.is_file and f.path.endswith(".bin"):

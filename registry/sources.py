@@ -14,10 +14,7 @@ CHUNK, RAW_BLOCK, RAW_HALO, PIECE = 4, 16, 3, 1 << 20
 
 
 def _write(path: str, data: np.ndarray) -> None:
-    from pyarrow import fs as pafs
-    if "://" not in path and ":" in path.split("/")[0]:
-        path = path.split(":", 1)[1]
-    system, inner = pafs.FileSystem.from_uri(path)
+    system, inner = rawbin.locate(path)
     with system.open_output_stream(inner) as f:
         f.write(np.ascontiguousarray(data, dtype="<f8").tobytes())
 
@@ -25,8 +22,7 @@ def _write(path: str, data: np.ndarray) -> None:
 def raw_files(spark, d) -> str:
     """Chunk-interleaved files of five channels, ``v + channel``, one per recording and stretch."""
     path = scratch_path(spark, "raw")
-    from pyarrow import fs as pafs
-    system, inner = pafs.FileSystem.from_uri(path)
+    system, inner = rawbin.locate(path)
     system.create_dir(inner, recursive=True)
 
     def write(p: pd.DataFrame) -> pd.DataFrame:
@@ -58,8 +54,7 @@ def scan_rawbin(spark, d):
 @query("scan_trialbin", sql("bs", "SELECT recording_id, trial_index, c AS channel_index, count(*) AS n, round(sum(v * (c + 1)), 6) AS total FROM bs CROSS JOIN (SELECT unnest(range(0, 2))::INTEGER AS c) GROUP BY 1, 2, 3"))
 def scan_trialbin(spark, d):
     path = scratch_path(spark, "trial-raw")
-    from pyarrow import fs as pafs
-    system, inner = pafs.FileSystem.from_uri(path)
+    system, inner = rawbin.locate(path)
     system.create_dir(inner, recursive=True)
 
     def write(p: pd.DataFrame) -> pd.DataFrame:

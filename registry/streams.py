@@ -7,22 +7,22 @@ from clampspark.session import scratch_path
 from clampspark.streaming import live
 from . import query
 from .intervals import FRAMES
-from .views import KEY, sig, sql, stored
+from .views import KEY, sample_path, sig, sql, stored_path
 
 CHUNK = 4
 
 
-def chunk_table(spark, d):
-    """Chunks of four samples of each recording."""
+def chunk_path(spark, d) -> str:
+    """Stored chunks of four samples of each recording."""
     def build():
         b = pack(sig(spark, d), KEY, CHUNK, 0)
         return b.select("recording_id", F.lit(0).alias("channel_index"), F.col("block_no").alias("chunk_seq"), "samples")
-    return stored(spark, d, "chunks", build)
+    return stored_path(spark, d, "chunks", build)
 
 
 def chunk_stream(spark, d):
-    t = chunk_table(spark, d)
-    return spark.readStream.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
+    path = chunk_path(spark, d)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def event_stream(spark, d):
@@ -74,8 +74,8 @@ def stream_segment(spark, d):
     SELECT al.recording_id, (al.sample_index + 1) * 200 AS sample_index, CAST(floor(f.v * 10) AS BIGINT) AS available FROM al JOIN f ON f.recording_id = al.recording_id AND f.sample_index = al.sample_index""").replace("WITH sig", "WITH RECURSIVE sig", 1))
 def stream_alerts(spark, d):
     """One chunk per sample; the backlog is ten times its value."""
-    t = stored(spark, d, "samples", lambda: sig(spark, d))
-    s = spark.readStream.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
+    path = sample_path(spark, d)
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     fill = s.select("recording_id", F.col("sample_index").alias("chunk_seq"), F.floor(F.col("v") * 10).cast("bigint").alias("available"))
     return live.run_available(live.backlog_alerts(fill, 1000, 5), scratch_path(spark, "alerts"))
 

@@ -25,14 +25,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+def stored_path(spark: SparkSession, d: str, name: str, build) -> str:
     """Land a derived table once per session in the shared folder, as an archive would hold it."""
     at = (spark.sparkContext.applicationId, d, name)
     if at not in _STORED:
         path = scratch_path(spark, name)
         build().write.parquet(path)
         _STORED[at] = path
-    return spark.read.parquet(_STORED[at])
+    return _STORED[at]
+
+
+def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    return spark.read.parquet(stored_path(spark, d, name, build))
 
 
 def _sig(spark: SparkSession, d: str) -> DataFrame:
@@ -43,9 +47,13 @@ def _sig(spark: SparkSession, d: str) -> DataFrame:
     return s.select("recording_id", "sample_index", "v", "event_type", "k")
 
 
+def sample_path(spark: SparkSession, d: str) -> str:
+    return stored_path(spark, d, "samples", lambda: _sig(spark, d))
+
+
 def sig(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     """One recording per user, one sample per event in time order."""
-    return stored(spark, d, "samples", lambda: _sig(spark, d)).select("recording_id", "sample_index", "v", *extra)
+    return spark.read.parquet(sample_path(spark, d)).select("recording_id", "sample_index", "v", *extra)
 
 
 def sig_blocks(spark: SparkSession, d: str) -> DataFrame:
