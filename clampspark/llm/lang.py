@@ -192,35 +192,59 @@ def train(docs: DataFrame, vocab_path: str, sample_docs: int = SAMPLE_DOCS, roun
     return Model(langs, vocab, probs)
 
 
-def predict(docs: DataFrame, model: Model, least_letters: int = 1) -> DataFrame:
+def _predictor(model: Model):
+    """Function from (lower-cased texts, whether each has a letter) to (languages, scores, numbers of words)."""
+    langs, probs, look = model.langs, model.probs, Lookup(model.vocab)
+
+    def predict(texts: pa.Array, letters: list):
+        w = words(texts, LETTER)
+        n = np.diff(w.bounds)
+        total = np.zeros((len(n), max(1, len(langs))))
+        if langs and len(w.ids):
+            ll = np.zeros((len(w.ids) + 1, len(langs)))
+            np.cumsum(model.word_scores(w.distinct, look, probs)[w.ids], 0, out=ll[1:])
+            total = ll[w.bounds[1:]] - ll[w.bounds[:-1]]
+        total = total * (np.minimum(n, 16) / np.maximum(n, 1))[:, None]
+        best = total.argmax(1)
+        p = np.exp(total - total.max(1, keepdims=True))
+        p = p[np.arange(len(best)), best] / p.sum(1)
+        known = np.array(letters, bool) & (n > 0) & bool(langs)
+        return [langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, p, 0.0), n
+
+    return predict
+
+
+_LETTERS = r"coalesce(text rlike '\\p{L}', false)"
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, lang_pred, score, n_letter_words)``, one row per input row.
 
     ``score`` is the posterior of ``lang_pred`` under equal priors with the log likelihood per word, capped at
     a weight of 16 words, so that long texts do not all end at 1. Null text, text without a letter, or a model without
-    languages: ``und`` with score 0. Ties go to the first language in order.
+    languages: ``und`` with score 0. Ties go to the first language in order. Columns other than doc_id and text are ignored.
     """
-    langs, vocab, probs = model.langs, model.vocab, model.probs
-
     def run(batches):
-        look, m = Lookup(vocab), Model(langs, vocab, probs)
+        predict = _predictor(model)
         for chunk, texts in chunks(batches):
-            w = words(texts, LETTER)
-            n = np.diff(w.bounds)
-            if langs and len(w.ids):
-                ll = m.word_scores(w.distinct, look, probs)
-                total = np.zeros((len(w.ids) + 1, len(langs)))
-                np.cumsum(ll[w.ids], 0, out=total[1:])
-                total = total[w.bounds[1:]] - total[w.bounds[:-1]]
-            else:
-                total = np.zeros((len(n), max(1, len(langs))))
-            total *= (np.minimum(n, 16) / np.maximum(n, 1))[:, None]
-            best = total.argmax(1)
-            p = np.exp(total - total.max(1, keepdims=True))
-            p = p[np.arange(len(best)), best] / p.sum(1)
-            known = np.array(column(chunk, "letters").to_pylist(), bool) & (n > 0) & bool(langs)
-            yield pa.RecordBatch.from_arrays([
-                column(chunk, "doc_id"), pa.array([langs[b] if k else "und" for b, k in zip(best, known)], pa.string()),
-                pa.array(np.where(known, p, 0.0)), pa.array(n.astype(np.int64))], names=["doc_id", "lang_pred", "score", "n_letter_words"])
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.coalesce(F.expr(r"text rlike '\\p{L}'"), F.lit(False)).alias("letters"))
+            langs, scores, n = predict(texts, column(chunk, "letters").to_pylist())
+            yield pa.RecordBatch.from_arrays([column(chunk, "doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(n.astype(np.int64))],
+                                             names=["doc_id", "lang_pred", "score", "n_letter_words"])
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.expr(_LETTERS).alias("letters"))
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, n_letter_words long")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns unchanged, whose language is told with a score of at least ``least``; no shuffle.
+
+    ``und`` has score 0, so null texts and texts without a letter go.
+    """
+    def run(batches):
+        predict = _predictor(model)
+        for chunk, texts in chunks(batches, column="_lower"):
+            _, scores, _ = predict(texts, column(chunk, "_letters").to_pylist())
+            yield chunk.select(docs_columns).filter(pa.array(scores >= least))
+
+    docs_columns = docs.columns
+    return docs.withColumns({"_lower": F.lower("text"), "_letters": F.expr(_LETTERS)}).mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clampspark.llm import decontaminate, lang, mixing, query, repair, simhash
+from clampspark.llm import chat, decontaminate, lang, mixing, quality, query, recompress, repair, secrets, simhash, winnow
 from clampspark.session import scratch_path
 
 
@@ -21,6 +21,20 @@ def bucket(n: int) -> str:
     return f"pmod(crc32(cast(cast(doc_id as string) as binary)), {n})"
 
 
+@query("op1_secrets")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets of every document, by way of a new ledger: see ``secrets.scan``."""
+    paths = table(spark, d, "documents").select(F.col("doc_id").alias("path_id"), "text")
+    found = secrets.scan(paths, scratch_path(spark, "ledger"))
+    base = F.filter("findings", lambda f: f["kind_no"] < len(secrets.BASE))
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("path_id").alias("doc_id"), *[count(r.kind) for r in secrets.BASE],
+                        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("findings")).alias("spans"))
+
+
 @query("op2_repair")
 def op2(spark: SparkSession, d: str) -> DataFrame:
     """Encoded, Re-Pair compressed, written, and read back: see ``repair``."""
@@ -29,6 +43,12 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     return repair.read(spark, path)
 
 
+@query("op3_winnowing")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and its edited text: see ``winnow.neighbours``."""
+    return winnow.neighbours(table(spark, d, "documents"))
+
+
 @query("op4_string_tiling")
 def op4(spark: SparkSession, d: str) -> DataFrame:
     """Contaminated (document, item) pairs: see ``decontaminate.contaminated``."""
@@ -52,6 +72,36 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.expr(f"{bucket(5)} = 0"), F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_recompression")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without passages of 13 words that a smaller doc_id has: see ``recompress.repeats``."""
+    return recompress.repeats(table(spark, d, "documents"))
+
+
+@query("op8_compression_quality")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    """Quality score of every document; learned from labels outside fold 2."""
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"), keep=f"{bucket(4)} <> 2")
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(F.expr(f"{bucket(4)} = 2"), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op9_chat")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation formatted and read back, with one that quotes control strings: see ``chat``."""
+    real = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    messages = real.union(quoted).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    path = scratch_path(spark, "chat")
+    chat.render(messages).write.parquet(path)
+    out = chat.parse(spark.read.parquet(path)).withColumn("loss_text", F.array_join("loss_texts", ""))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+                      F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
 @query("op10_fair_queueing")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """What the mix takes of every document: see ``mixing.mix``."""

@@ -23,7 +23,9 @@ SHARD_IDS = 1 << 20
 ROUNDS = 8
 MOST_SYMBOLS = 1 << 16
 LEAST = 8          # a pair must occur this often in a shard to become a rule
-PART_BYTES = 24 << 20
+PART_BYTES = 64 << 20
+CHUNK_BYTES = 12 << 20
+KNOWN_PIECES = 1_500_000  # pieces whose ids a task remembers; others are encoded again
 SHARD_SCHEMA = ("part int, shard int, first_doc long, n_docs long, n_ids long, base int, doc_ids binary, doc_symbols binary, doc_starts binary, "
                 "rules binary, expansion binary, symbols binary, width int")
 
@@ -42,31 +44,51 @@ def encoder(path: str):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # such strings in a text are ordinary text
-    known: dict[bytes, np.ndarray] = {}
+    id_bytes = np.zeros(tok.get_vocab_size(), np.int64)
+    for piece, i in tok.get_vocab().items():
+        id_bytes[i] = len(piece)  # byte-level vocabulary: one character per byte
+    known, known_begin, known_size, known_ids = pa.array([], pa.large_binary()), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32)
+
+    def encode_strings(strings: list[str]) -> np.ndarray:
+        out = [np.zeros(0, np.int32)]
+        for at in range(0, len(strings), 512):
+            out += [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(strings[at:at + 512], add_special_tokens=False)]
+        return np.concatenate(out)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known, known_begin, known_size, known_ids
         buf, off = raw(texts)
         n = len(buf)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         cut = np.zeros(n + 1, bool)
-        cut[:-2] = (buf[:-1] == 0x20) & _AFTER[buf[1:]]
+        np.logical_and(buf[:-1] == 0x20, _AFTER[buf[1:]], out=cut[:-2])
+        safe = cut.copy()
         cut[off] = True
         at = np.flatnonzero(cut)
-        enc = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
-        pieces, index = enc.dictionary.to_pylist(), enc.indices.to_numpy(zero_copy_only=False)
-        todo = [p for p in pieces if p not in known]
-        if len(known) + len(todo) > 400_000:  # bounds the memory only
-            known.clear()
-            todo = pieces
-        for s in range(0, len(todo), 20_000):
-            part = todo[s:s + 20_000]
-            for p, e in zip(part, tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[p] = np.array(e.ids, np.int32)
-        ids = [known[p] for p in pieces]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        enc = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
+        index = enc.indices.to_numpy(zero_copy_only=False)
+        # Pieces that begin at a sure boundary may stand behind one another; the others begin a string of their own.
+        pieces = enc.dictionary
+        joins = np.zeros(len(pieces), bool)
+        joins[index] = safe[at[:-1]]
+        old = pc.fill_null(pc.index_in(pieces, value_set=known), -1).to_numpy(zero_copy_only=False)
+        alone, rest = np.flatnonzero(~joins & (old < 0)), np.flatnonzero(joins & (old < 0))
+        strings = [x.decode() for x in pieces.take(pa.array(alone)).to_pylist()]
+        chars, ends = raw(pieces.take(pa.array(rest)))
+        strings += [chars[ends[i]:ends[min(i + 1000, len(rest))]].tobytes().decode() for i in range(0, len(rest), 1000)]
+        fresh = encode_strings(strings)
+        order = np.concatenate([alone, rest])
+        width = np.diff(raw(pieces)[1])[order]
+        first = np.searchsorted(np.cumsum(id_bytes[fresh]), np.cumsum(width) - width, "right")
+        flat = np.concatenate([known_ids, fresh])
+        begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        seen = old >= 0
+        begin[seen], size[seen] = known_begin[old[seen]], known_size[old[seen]]
+        begin[order], size[order] = first + len(known_ids), np.diff(np.append(first, len(fresh)))
+        if len(known) + len(order) <= KNOWN_PIECES:
+            known = pa.concat_arrays([known, pieces.take(pa.array(order))])
+            known_begin, known_size, known_ids = np.concatenate([known_begin, begin[order]]), np.concatenate([known_size, size[order]]), flat
         m = size[index]
         total = np.concatenate([[0], np.cumsum(m)])
         take = np.arange(total[-1]) - np.repeat(total[:-1] - begin[index], m)
@@ -76,63 +98,66 @@ def encoder(path: str):
     return encode
 
 
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash slot of each id pair, 18 bits."""
+    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
+
+
 def compress(ids: np.ndarray, lens: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
     """Re-Pair of the documents of one shard: ``(symbols, symbols per document, rules, expansion lengths)``.
 
     ``base`` is the first nonterminal. Each round counts the adjacent pairs within documents and replaces all whose
-    count reaches the round's threshold, which falls fourfold per round from the count of the commonest pair; where chosen pairs overlap,
-    they are replaced left to right.
+    count reaches the round's threshold, which falls fourfold per round from the count of the commonest pair. Where chosen
+    pairs overlap, they are replaced left to right; of two that share a hash slot the commoner one is replaced, the other
+    in a later round.
     """
-    sym = ids.astype(np.int64)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    rules = np.zeros((0, 2), np.int64)
-    limit = None
+    sym = ids.astype(np.int32)
+    last = np.zeros(len(sym), bool)
+    last[np.cumsum(lens) - 1] = True
+    rules, limit = np.zeros((0, 2), np.int64), None
     for _ in range(rounds):
         if len(sym) < 2:
             break
-        same = doc[1:] == doc[:-1]
-        key = (sym[:-1] << 32) | sym[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        often = np.bincount(slot[same], minlength=1 << 18)[slot] >= least
-        at = np.flatnonzero(often & same)
-        pair, inv, n = np.unique(key[at], return_inverse=True, return_counts=True)
+        slot = _slots(sym[:-1], sym[1:])
+        often = np.bincount(slot, minlength=1 << 18) >= least
+        at = np.flatnonzero(often[slot] & ~last[:-1])
+        key = (sym[at].astype(np.int64) << 32) | sym[at + 1]
+        ordered = np.sort(key)
+        head = np.flatnonzero(np.diff(ordered, prepend=-1))
+        n = np.diff(np.append(head, len(ordered)))
         top = int(n.max(initial=0))
-        if top < least:
-            break
-        limit = max(least, top // 4 if limit is None else min(top, limit) // 4)
-        good = n >= limit
         room = MOST_SYMBOLS - base - len(rules)
-        if good.sum() > room:  # symbols stay within 16 bits: the commonest pairs go first
-            good &= n > np.sort(n)[::-1][max(0, room)]
-        if not good.any():
+        if top < least or room <= 0:
             break
-        name = np.full(len(pair), -1, np.int64)
-        name[good] = base + len(rules) + np.arange(int(good.sum()))
-        new = np.full(len(sym), -1, np.int64)
-        new[at] = name[inv]
-        hit = new >= 0
+        limit = max(least, (top if limit is None else min(top, limit)) // 4)
+        good = np.flatnonzero(n >= limit)
+        good = good[np.argsort(-n[good], kind="stable")][:room]  # symbols stay within 16 bits: the commonest pairs first
+        pairs = ordered[head[good]]
+        table = np.full(1 << 18, -1, np.int64)
+        table[_slots(pairs[::-1] >> 32, pairs[::-1] & 0xFFFFFFFF)] = np.arange(len(pairs))[::-1]
+        which = table[slot[at]]
+        ok = (which >= 0) & (pairs[which] == key)
+        at, which = at[ok], which[ok]
         # In a run of overlapping hits every second one is taken.
-        first = hit.copy()
-        first[1:] &= ~hit[:-1]
-        idx = np.arange(len(sym))
-        since = idx - np.maximum.accumulate(np.where(first, idx, 0))
-        hit &= since % 2 == 0
-        used = np.unique(new[hit])
-        rank = np.full(int(good.sum()), -1, np.int64)
-        rank[used - base - len(rules)] = np.arange(len(used))
-        sym = sym.copy()
-        sym[hit] = base + len(rules) + rank[new[hit] - base - len(rules)]
-        left = pair[good][used - base - len(rules)]
-        rules = np.concatenate([rules, np.stack([left >> 32, left & 0xFFFFFFFF], 1)])
+        order = np.arange(len(at))
+        first = np.diff(at, prepend=-2) != 1
+        ok = (order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 0
+        at, which = at[ok], which[ok]
+        used = np.flatnonzero(np.bincount(which, minlength=len(pairs)))
+        rank = np.zeros(len(pairs), np.int64)
+        rank[used] = np.arange(len(used))
+        sym[at] = base + len(rules) + rank[which]
+        rules = np.concatenate([rules, np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1)])
+        last[at] = last[at + 1]
         keep = np.ones(len(sym), bool)
-        keep[1:] = ~hit[:-1]
-        sym, doc = sym[keep], doc[keep]
-        if limit == least and _ > 3:
+        keep[at + 1] = False
+        sym, last = sym[keep], last[keep]
+        if limit == least:
             break
     size = np.ones(len(rules), np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         size[i] = (size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1)
-    return sym, np.bincount(doc, minlength=len(lens)), rules, size
+    return sym, np.diff(np.flatnonzero(last), prepend=-1), rules, size
 
 
 def expand(sym: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -183,7 +208,7 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int = SHA
             held, n, shard = [], 0, shard + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
 
-        for chunk, texts in chunks(batches, limit=1 << 20):
+        for chunk, texts in chunks(batches, limit=CHUNK_BYTES):
             ids, lens = encode(texts)
             ends = np.cumsum(lens + 1) - 1
             out = np.full(len(ids) + len(lens), end, np.int32)
