@@ -92,42 +92,49 @@ class Index:
         return self.hash[self.bounds[item]:self.bounds[item + 1]]
 
 
+def _search(texts: pa.Array, index: Index, least: int, coverage: float) -> list[tuple]:
+    """``(row, item_id, coverage, n_tiles, n_matched, n_item_words)`` of every item found in lower-cased texts."""
+    w = words(texts, ALNUM)
+    if len(w.ids) < least or not len(index.key):
+        return []
+    h = word_hashes(w.distinct)[w.ids]
+    key = rolling(h, least)
+    at = np.flatnonzero(index.seen[key >> index.shift])
+    key = key[at]
+    lo = np.searchsorted(index.key, key, "left")
+    n = np.searchsorted(index.key, key, "right") - lo
+    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+    doc = np.searchsorted(w.bounds, at, "right") - 1
+    ok = at + least <= w.bounds[doc + 1]
+    at, lo, n, doc = at[ok], lo[ok], n[ok], doc[ok]
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b, m, d in zip(at.tolist(), lo.tolist(), n.tolist(), doc.tolist()):
+        for k in range(b, b + m):
+            pairs.setdefault((d, int(index.item[k])), []).append((a - int(w.bounds[d]), int(index.pos[k])))
+    rows = []
+    for (d, it), seeds in pairs.items():
+        text, item = h[w.bounds[d]:w.bounds[d + 1]], index.words_of(it)
+        # Verify the Karp-Rabin hits word by word, then tile.
+        seeds = [(i, j) for i, j in seeds if np.array_equal(text[i:i + least], item[j:j + least])]
+        found = tiles(text, item, seeds, least)
+        matched = sum(x[2] for x in found)
+        if matched and matched >= coverage * len(item):
+            rows.append((d, index.ids[it], matched / len(item), len(found), matched, len(item)))
+    return rows
+
+
 def _scan(docs: DataFrame, items: list[tuple[int, str]], least: int, coverage: float) -> DataFrame:
     index = Index(items, least)
     names = ["doc_id", "item_id", "coverage", "n_tiles", "n_matched", "n_item_words"]
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches):
         for chunk, texts in chunks(batches):
-            w = words(texts, ALNUM)
-            if len(w.ids) < least:
-                continue
-            h = word_hashes(w.distinct)[w.ids]
-            key = rolling(h, least)
-            at = np.flatnonzero(index.seen[key >> index.shift])
-            key = key[at]
-            lo = np.searchsorted(index.key, key, "left")
-            n = np.searchsorted(index.key, key, "right") - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            doc = np.searchsorted(w.bounds, at, "right") - 1
-            ok = at + least <= w.bounds[doc + 1]
-            at, lo, n, doc = at[ok], lo[ok], n[ok], doc[ok]
-            pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for a, b, m, d in zip(at.tolist(), lo.tolist(), n.tolist(), doc.tolist()):
-                for k in range(b, b + m):
-                    pairs.setdefault((d, int(index.item[k])), []).append((a - int(w.bounds[d]), int(index.pos[k])))
-            rows = []
-            ids = column(chunk, "doc_id").to_pylist() if pairs else []
-            for (d, it), seeds in pairs.items():
-                text, item = h[w.bounds[d]:w.bounds[d + 1]], index.words_of(it)
-                # Verify the Karp-Rabin hits, then tile.
-                seeds = [(i, j) for i, j in seeds if np.array_equal(text[i:i + least], item[j:j + least])]
-                found = tiles(text, item, seeds, least)
-                matched = sum(x[2] for x in found)
-                if matched and matched >= coverage * len(item):
-                    rows.append((ids[d], index.ids[it], matched / len(item), len(found), matched, len(item)))
+            rows = _search(texts, index, least, coverage)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
-                    pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+                ids = column(chunk, "doc_id").to_pylist()
+                rows = [(ids[d], *rest) for d, *rest in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(
         run, "doc_id long, item_id long, coverage double, n_tiles long, n_matched long, n_item_words long")
@@ -160,3 +167,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
         part = _scan(docs, items, least, coverage)
         out = part if out is None else out.union(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of ``docs`` that ``contaminated`` does not report, all columns unchanged; one narrow pass per benchmark block, no shuffle."""
+    names, schema = docs.columns, docs.schema
+    for items in blocks(benchmark, block_bytes):
+        index = Index(items, least)
+
+        def run(batches, index=index):
+            for chunk, texts in chunks(batches, column="_lower"):
+                keep = np.ones(chunk.num_rows, bool)
+                keep[[r[0] for r in _search(texts, index, least, coverage)]] = False
+                yield chunk.select(names).filter(pa.array(keep))
+
+        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(run, schema)
+    return docs

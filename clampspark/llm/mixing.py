@@ -112,3 +112,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 def _finish(turn):
     """Virtual finish time of a document's copy in pass ``turn``."""
     return (F.col("reached") + turn * F.col("source_size")) / F.col("target")
+
+
+def apply(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns unchanged, each as often as the mix takes it.
+
+    Rows that agree in doc_id, source and size share their copies, in order of text.
+    """
+    keys = ["doc_id", "source", "size"]
+    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "copies", "rows")
+    size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_mix_size") == F.col("_size"))
+    j = docs.withColumn("_mix_size", size).join(plan, on)
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_size").orderBy("text"))
+    n = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    j = j.withColumn("_place", place).withColumn("_n", n.cast("int")).where("_n > 0")
+    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

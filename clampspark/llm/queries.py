@@ -106,3 +106,10 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """What the mix takes of every document: see ``mixing.mix``."""
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus pipeline of the repository top."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, d)

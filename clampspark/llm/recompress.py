@@ -51,7 +51,7 @@ def round_of(sym, lo, hi, start, doc, salt: int):
     start, doc = start[first], doc[first]
     # Pairs of a left-class symbol with a right-class one.
     n = len(sym)
-    left = (mix(sym + np.uint64(salt) * _A) & np.uint64(1)) == 0
+    left = (mix(sym + _A * np.array([salt], np.uint64)) & np.uint64(1)) == 0
     joined = np.zeros(n, bool)
     same = doc[1:] == doc[:-1]
     joined[:-1] = left[:-1] & ~left[1:] & same
