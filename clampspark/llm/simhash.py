@@ -167,16 +167,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, budget: i
     return fps.join(nodes, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, all columns unchanged: of each component the document with the smallest doc_id, once.
-
-    Rows without a doc_id stay only if their component has no document with one, equal texts of these once.
-    """
-    near = near_duplicates(docs, **options)
-    ids = near.where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "leftsemi")
-    return kept.dropDuplicates(["doc_id", "text"])
-
-
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
