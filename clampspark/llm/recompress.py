@@ -78,14 +78,21 @@ def _rolling(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
     return out
 
 
-def windows(hashes: np.ndarray, bounds: np.ndarray, width: int, rounds: int = ROUNDS):
-    """Every window of ``width`` words within a document: ``(first word, document, representative)``."""
-    n = len(hashes)
+def starts(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every window of ``width`` words within a document: ``(first word, document)``."""
+    n = int(bounds[-1])
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at = np.arange(max(n - width + 1, 0))
     at = at[doc[at] == doc[at + width - 1]] if len(at) else at
+    return at, doc[at] if len(at) else at
+
+
+def windows(hashes: np.ndarray, bounds: np.ndarray, at: np.ndarray, width: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The representative of every window."""
+    n = len(hashes)
     if not len(at):
-        return at, at, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     sym, lo, hi, start, d = hashes, np.arange(n), np.arange(n) + 1, np.arange(n), doc
     for r in range(rounds):
         sym, lo, hi, start, d = round_of(sym, lo, hi, start, d, r + 1)
@@ -102,7 +109,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int, rounds: int = RO
         fits = hi - lo + off <= width
         np.minimum.at(best, lo[fits] - off + width, name[fits])
     rep = best[at + width]
-    return at, doc[at], np.where(rep == none, mix(whole_window[at]), rep)
+    return np.where(rep == none, mix(whole_window[at]), rep)
 
 
 def _reach_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
@@ -125,13 +132,14 @@ def _least_by(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Batch:
     """Words and windows of one batch of documents."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table, width: int, represent: bool = True):
         self.ids = np.array([LAST if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
         self.texts = whole(table.column("text"))
         self.words = words(self.texts, WORD)
         d = self.words.distinct
         self.hash = word_hashes(d, 1)[self.words.ids] if len(d) else np.zeros(0, np.uint64)
-        self.at, self.doc, self.rep = windows(self.hash, self.words.bounds, width)
+        self.at, self.doc = starts(self.words.bounds, width)
+        self.rep = windows(self.hash, self.words.bounds, self.at, width) if represent else None
         self.width = width
 
     def full(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +237,7 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         return _by_range(key[0].as_py() if key[0] is not None else 0, h1[head], h2[head], ids[head], ids[head] != ids[last], ranges)
 
     def third(key, table, back):
-        b = Batch(table, width)
+        b = Batch(table, width, represent=False)
         n_words = np.diff(b.words.bounds)
         gone = np.zeros(len(b.words.ids) + 1, np.int64)
         k1, k2, least = (_unpack(back.column(c), t) for c, t in (("keys", np.uint64), ("extra", np.uint64), ("least", np.int64)))
