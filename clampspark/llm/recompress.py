@@ -6,7 +6,7 @@ names without a naming shuffle. Whether a symbol is formed depends only on the w
 reach. Two equal windows of words hold the same symbols wherever the reach lies inside, so a window is represented by the smallest
 name of such an interior symbol (named by all words of its reach); a window without one is named by all its words.
 
-Pass 1 finds representatives that several documents share, pass 2 compares the windows they stand for by 128 bits of hash and finds
+Pass 1 finds representatives that several documents share, pass 2 compares the windows they stand for by 96 bits of hash and finds
 the smallest document of each. Both passes send one row per batch of documents and hash range, with packed arrays in which each name
 occurs once per batch, so a passage shared by a third of all documents adds one entry per batch. The answers return to the
 batches, and meet the texts there; all uses of the texts share one shuffle by batch.
@@ -26,6 +26,7 @@ BATCH_BYTES = 4 << 20
 RANGE_WORDS = 2_000_000
 ROUNDS = 2
 LAST = (1 << 63) - 1
+NAME = np.uint64((1 << 48) - 1)
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -143,63 +144,89 @@ class Batch:
         self.width = width
 
     def full(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of hash of the picked windows."""
+        """96 bits of hash of the picked windows."""
         h1, h2 = _rolling(self.hash, self.width, _A), _rolling(mix(self.hash), self.width, _C)
-        return mix(h1[self.at[pick]]), mix(h2[self.at[pick]])
+        return mix(h1[self.at[pick]]), mix(h2[self.at[pick]]) >> np.uint64(32)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+NAME_BYTES = 6   # of a representative: a chance agreement costs one comparison in pass 2, no error
+FULL_BYTES, MORE_BYTES = 8, 4   # 96 bits decide whether two windows are equal
 
 
-def _unpack(col, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), kind)
+def _pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(col, width: int) -> np.ndarray:
+    return _wide(np.frombuffer(b"".join(col.to_pylist()), np.uint8), width)
+
+
+def _wide(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def _pack_ids(x: np.ndarray) -> bytes:
+    """Ids in as few bytes as the largest needs, behind one byte that tells how many."""
+    width = 8 if len(x) and x.min() < 0 else max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + _pack(x, width)
+
+
+def _unpack_ids(col) -> np.ndarray:
+    parts = [_wide(np.frombuffer(x, np.uint8, offset=1), x[0]) for x in col.to_pylist()]
+    return np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
 ANSWER = "batch long, keys binary, extra binary, least binary"
+SENT = "range long, batch long, keys binary, extra binary, ids binary, more binary"
 
 
-def _by_range(batch: int, keys, extra, ids, more, ranges: int) -> pa.Table:
-    """One row per hash range that the batch has keys in."""
-    part = (keys >> np.uint64(40)).astype(np.int64) % ranges
+def _by_range(batch: int, keys, extra, ids, more, ranges: int, key_bytes: int) -> pa.Table:
+    """One row per hash range that the batch has keys in. ``extra`` may be None."""
+    part = (keys >> np.uint64(8)).astype(np.int64) % ranges
     order = np.argsort(part, kind="stable")
-    part, keys, extra, ids, more = part[order], keys[order], extra[order], ids[order], more[order]
+    part, keys, ids, more = part[order], keys[order], ids[order], more[order]
+    extra = None if extra is None else extra[order]
     at = np.flatnonzero(np.diff(part, prepend=-1))
-    end = np.append(at[1:], len(part)) if len(at) else at
-    s = list(zip(at.tolist(), end.tolist()))
+    s = list(zip(at.tolist(), [*at[1:].tolist(), len(part)]))
     return pa.table({
         "range": pa.array(part[at], pa.int64()), "batch": pa.array(np.full(len(at), batch, np.int64)),
-        "keys": pa.array([_pack(keys[a:b]) for a, b in s], pa.binary()), "extra": pa.array([_pack(extra[a:b]) for a, b in s], pa.binary()),
-        "ids": pa.array([_pack(ids[a:b]) for a, b in s], pa.binary()), "more": pa.array([_pack(more[a:b]) for a, b in s], pa.binary())})
-
-
-SENT = "range long, batch long, keys binary, extra binary, ids binary, more binary"
+        "keys": pa.array([_pack(keys[a:b], key_bytes) for a, b in s], pa.binary()),
+        "extra": pa.array([b"" if extra is None else _pack(extra[a:b], MORE_BYTES) for a, b in s], pa.binary()),
+        "ids": pa.array([_pack_ids(ids[a:b]) for a, b in s], pa.binary()), "more": pa.array([np.packbits(more[a:b]).tobytes() for a, b in s], pa.binary())})
 
 
-def _shared(sent: DataFrame) -> DataFrame:
-    """Per hash range: keys that more than one document has, with the smallest document, sent back to every batch that has them."""
+def _shared(sent: DataFrame, key_bytes: int, final: bool) -> DataFrame:
+    """Per hash range: keys that more than one document has, sent back to the batches that have them. The ``final`` answer
+    holds the smallest document, and goes only to batches with another document than that."""
     def answer(key, table):
-        lens = np.array([len(x) // 8 for x in table.column("keys").to_pylist()], np.int64)
-        keys, extra = _unpack(table.column("keys"), np.uint64), _unpack(table.column("extra"), np.uint64)
-        ids, more = _unpack(table.column("ids"), np.int64), _unpack(table.column("more"), np.bool_)
-        batch = np.repeat(table.column("batch").to_numpy(), lens)
-        order = np.lexsort((ids, extra, keys))
-        k, e, i, m, b = keys[order], extra[order], ids[order], more[order], batch[order]
+        lens = np.array([len(x) // key_bytes for x in table.column("keys").to_pylist()], np.int64)
+        k = _unpack(table.column("keys"), key_bytes)
+        e = _unpack(table.column("extra"), MORE_BYTES) if final else np.zeros(len(k), np.uint64)
+        i = _unpack_ids(table.column("ids"))
+        m = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table.column("more").to_pylist(), lens.tolist())] or [np.zeros(0, bool)])
+        b = np.repeat(table.column("batch").to_numpy(), lens)
+        order = np.lexsort((i, e, k))
+        k, e, i, m, b = k[order], e[order], i[order], m[order], b[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (e[1:] != e[:-1])
         group = np.cumsum(new) - 1
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(k)) - 1
-        many = (i[head] != i[last]) | (np.add.reduceat(m, head) > 0 if len(head) else np.zeros(0, bool))
+        last = np.append(head[1:], len(k)) - 1 if len(head) else head
+        many = (i[head] != i[last]) | (np.add.reduceat(m, head) > 0) if len(head) else np.zeros(0, bool)
         ok = many[group]
+        if final:
+            ok &= m | (i != i[head][group])
         k, e, b, least = k[ok], e[ok], b[ok], i[head][group[ok]]
         order = np.argsort(b, kind="stable")
         k, e, b, least = k[order], e[order], b[order], least[order]
         at = np.flatnonzero(np.diff(b, prepend=-1))
-        end = np.append(at[1:], len(b)) if len(at) else at
-        s = list(zip(at.tolist(), end.tolist()))
-        return pa.table({"batch": pa.array(b[at], pa.int64()), "keys": pa.array([_pack(k[x:y]) for x, y in s], pa.binary()),
-                         "extra": pa.array([_pack(e[x:y]) for x, y in s], pa.binary()), "least": pa.array([_pack(least[x:y]) for x, y in s], pa.binary())})
+        s = list(zip(at.tolist(), [*at[1:].tolist(), len(b)]))
+        return pa.table({"batch": pa.array(b[at], pa.int64()), "keys": pa.array([_pack(k[x:y], key_bytes) for x, y in s], pa.binary()),
+                         "extra": pa.array([_pack(e[x:y], MORE_BYTES) if final else b"" for x, y in s], pa.binary()),
+                         "least": pa.array([_pack_ids(least[x:y]) if final else b"" for x, y in s], pa.binary())})
 
     return sent.groupBy("range").applyInArrow(answer, ANSWER)
 
@@ -220,12 +247,12 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
     def first(key, table):
         b = Batch(table, width)
-        keys, ids, more = _least_by(b.rep, b.ids[b.doc])
-        return _by_range(key[0].as_py(), keys, np.zeros(len(keys), np.uint64), ids, more, ranges)
+        keys, ids, more = _least_by(b.rep & NAME, b.ids[b.doc])
+        return _by_range(key[0].as_py(), keys, None, ids, more, ranges, NAME_BYTES)
 
     def second(key, table, back):
         b = Batch(table, width)
-        pick = np.flatnonzero(_member(b.rep, _unpack(back.column("keys"), np.uint64)))
+        pick = np.flatnonzero(_member(b.rep & NAME, _unpack(back.column("keys"), NAME_BYTES)))
         h1, h2 = b.full(pick)
         ids = b.ids[b.doc[pick]]
         order = np.lexsort((ids, h2, h1))
@@ -234,13 +261,13 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         head = np.flatnonzero(new)
         last = np.append(head[1:], len(h1)) - 1 if len(head) else head
-        return _by_range(key[0].as_py() if key[0] is not None else 0, h1[head], h2[head], ids[head], ids[head] != ids[last], ranges)
+        return _by_range(key[0].as_py() if key[0] is not None else 0, h1[head], h2[head], ids[head], ids[head] != ids[last], ranges, FULL_BYTES)
 
     def third(key, table, back):
         b = Batch(table, width, represent=False)
         n_words = np.diff(b.words.bounds)
         gone = np.zeros(len(b.words.ids) + 1, np.int64)
-        k1, k2, least = (_unpack(back.column(c), t) for c, t in (("keys", np.uint64), ("extra", np.uint64), ("least", np.int64)))
+        k1, k2, least = _unpack(back.column("keys"), FULL_BYTES), _unpack(back.column("extra"), MORE_BYTES), _unpack_ids(back.column("least"))
         if len(k1) and len(b.at):
             h1, h2 = b.full(np.arange(len(b.at)))
             order = np.lexsort((k2, k1))
@@ -265,8 +292,8 @@ def repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array((n_words - np.diff(kept)).astype(np.int64)),
                          "kept_sha256": pa.array(sha, pa.string()), "n_kept_chars": pa.array(chars, pa.int64())})
 
-    shared = _shared(grouped.applyInArrow(first, SENT))
-    exact = _shared(grouped.cogroup(shared.groupBy("batch")).applyInArrow(second, SENT))
+    shared = _shared(grouped.applyInArrow(first, SENT), NAME_BYTES, False)
+    exact = _shared(grouped.cogroup(shared.groupBy("batch")).applyInArrow(second, SENT), FULL_BYTES, True)
     return grouped.cogroup(exact.groupBy("batch")).applyInArrow(third, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_kept_chars long")
 
 
