@@ -21,11 +21,13 @@ from clampspark.llm.text import chunks, column, raw
 END = 2
 SHARD_IDS = 1 << 20
 ROUNDS = 8
+STEP = 8
+SLOT_BITS = 18
 MOST_SYMBOLS = 1 << 16
-LEAST = 8          # a pair must occur this often in a shard to become a rule
-PART_BYTES = 64 << 20
-CHUNK_BYTES = 12 << 20
-KNOWN_PIECES = 1_500_000  # pieces whose ids a task remembers; others are encoded again
+LEAST = 16         # a pair must occur this often in a shard to become a rule
+PART_BYTES = 48 << 20
+CHUNK_BYTES = 6 << 20
+KNOWN_PIECES = 1_000_000  # pieces whose ids a task remembers; others are encoded again
 SHARD_SCHEMA = ("part int, shard int, first_doc long, n_docs long, n_ids long, base int, doc_ids binary, doc_symbols binary, doc_starts binary, "
                 "rules binary, expansion binary, symbols binary, width int")
 
@@ -47,12 +49,12 @@ def encoder(path: str):
     id_bytes = np.zeros(tok.get_vocab_size(), np.int64)
     for piece, i in tok.get_vocab().items():
         id_bytes[i] = len(piece)  # byte-level vocabulary: one character per byte
-    known, known_begin, known_size, known_ids = pa.array([], pa.large_binary()), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.int32)
+    known, known_begin, known_size, known_ids = pa.array([], pa.large_binary()), *[np.zeros(0, np.int32)] * 3
 
     def encode_strings(strings: list[str]) -> np.ndarray:
         out = [np.zeros(0, np.int32)]
-        for at in range(0, len(strings), 512):
-            out += [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(strings[at:at + 512], add_special_tokens=False)]
+        for at in range(0, len(strings), 32):  # an encoding takes some hundred bytes per token
+            out += [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(strings[at:at + 32], add_special_tokens=False)]
         return np.concatenate(out)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def encoder(path: str):
         begin[order], size[order] = first + len(known_ids), np.diff(np.append(first, len(fresh)))
         if len(known) + len(order) <= KNOWN_PIECES:
             known = pa.concat_arrays([known, pieces.take(pa.array(order))])
-            known_begin, known_size, known_ids = np.concatenate([known_begin, begin[order]]), np.concatenate([known_size, size[order]]), flat
+            known_begin, known_size, known_ids = np.concatenate([known_begin, begin[order].astype(np.int32)]), np.concatenate([known_size, size[order].astype(np.int32)]), flat
         m = size[index]
         total = np.concatenate([[0], np.cumsum(m)])
         take = np.arange(total[-1]) - np.repeat(total[:-1] - begin[index], m)
@@ -99,15 +101,15 @@ def encoder(path: str):
 
 
 def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash slot of each id pair, 18 bits."""
-    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
+    """Hash slot of each id pair."""
+    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
 
 
 def compress(ids: np.ndarray, lens: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
     """Re-Pair of the documents of one shard: ``(symbols, symbols per document, rules, expansion lengths)``.
 
     ``base`` is the first nonterminal. Each round counts the adjacent pairs within documents and replaces all whose
-    count reaches the round's threshold, which falls fourfold per round from the count of the commonest pair. Where chosen
+    count reaches the round's threshold, which falls ``STEP``-fold per round from the count of the commonest pair. Where chosen
     pairs overlap, they are replaced left to right; of two that share a hash slot the commoner one is replaced, the other
     in a later round.
     """
@@ -119,21 +121,21 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int, rounds: int = ROUNDS,
         if len(sym) < 2:
             break
         slot = _slots(sym[:-1], sym[1:])
-        often = np.bincount(slot, minlength=1 << 18) >= least
-        at = np.flatnonzero(often[slot] & ~last[:-1])
+        filled = np.bincount(slot, minlength=1 << SLOT_BITS)
+        # A slot's count bounds that of its pairs, so only slots that reach the threshold are looked at pair by pair.
+        top, room = int(filled.max()), MOST_SYMBOLS - base - len(rules)
+        if top < least or room <= 0:
+            break
+        limit = max(least, (top if limit is None else min(top, limit)) // STEP)
+        at = np.flatnonzero((filled >= limit)[slot] & ~last[:-1])
         key = (sym[at].astype(np.int64) << 32) | sym[at + 1]
         ordered = np.sort(key)
         head = np.flatnonzero(np.diff(ordered, prepend=-1))
         n = np.diff(np.append(head, len(ordered)))
-        top = int(n.max(initial=0))
-        room = MOST_SYMBOLS - base - len(rules)
-        if top < least or room <= 0:
-            break
-        limit = max(least, (top if limit is None else min(top, limit)) // 4)
         good = np.flatnonzero(n >= limit)
         good = good[np.argsort(-n[good], kind="stable")][:room]  # symbols stay within 16 bits: the commonest pairs first
         pairs = ordered[head[good]]
-        table = np.full(1 << 18, -1, np.int64)
+        table = np.full(1 << SLOT_BITS, -1, np.int64)
         table[_slots(pairs[::-1] >> 32, pairs[::-1] & 0xFFFFFFFF)] = np.arange(len(pairs))[::-1]
         which = table[slot[at]]
         ok = (which >= 0) & (pairs[which] == key)
