@@ -11,15 +11,14 @@ def minmax_decimate(samples: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """At most ``cap`` points per key: both extremes of each bin at their true index.
 
     Keys with no more than ``cap`` samples pass unchanged. Otherwise ``cap // 2`` equal bins are
-    used and the samples behind the last whole bin are left out.
+    used; the samples behind the last whole bin belong to it.
     """
     n = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bins = max(2, cap // 2)
     s = join_small(samples, n, keys, F.col("sample_index"))
     size = F.floor(F.col("_n") / bins).cast("bigint")
     small = F.col("_n") <= cap
-    s = s.withColumn("_bin", F.when(small, F.col("sample_index")).otherwise(F.floor(F.col("sample_index") / size)))
-    s = s.where(small | (F.col("_bin") < bins))
+    s = s.withColumn("_bin", F.when(small, F.col("sample_index")).otherwise(F.least(F.floor(F.col("sample_index") / size), F.lit(bins - 1))))
     at = F.col("sample_index")
     g = s.groupBy(*keys, "_bin", small.alias("_small")).agg(
         F.min(F.struct(F.col("v"), at.alias("i"))).alias("lo"),

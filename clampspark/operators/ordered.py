@@ -9,6 +9,9 @@ handles one row per segment.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Samples per segment: about 52 s at 20 kHz. A month of one recording has about 50,000 segments.
@@ -66,8 +69,11 @@ def running(
             out.append((F.greatest if how == "max" else F.least)(loc, car).alias(n))
 
     carry = d.groupBy(*keys, "_seg").agg(*summary).select(*keys, "_seg", *carried)
-    inside = d.select(*df.columns, "_seg", *local)
-    return inside.join(carry, [*keys, "_seg"], "left").select(*df.columns, *out)
+    inside = d.select(*df.columns, "_seg", *local).alias("_in")
+    # A null key (or segment) is a key like any other.
+    carry = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_seg"])], *[f"_c_{n}" for n in values])
+    on = [F.col(f"_in.{k}").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_seg"])]
+    return inside.join(carry, reduce(and_, on), "left").select(*[F.col(f"_in.{c}") for c in df.columns], *out)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str], segment: Column, name: str) -> DataFrame:

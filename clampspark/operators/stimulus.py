@@ -26,7 +26,7 @@ def apply_windows(events: DataFrame, lengths: DataFrame, keys: list[str], order:
 def paired_windows(events: DataFrame, lengths: DataFrame, keys: list[str], order: str = "event_seq",
                    segment: Column | None = None) -> DataFrame:
     """Window from each apply to the clear of the same stimulus. A second apply replaces the
-    first, a clear without an apply is ignored, an apply left open runs to the end."""
+    first, a clear without an apply is ignored, an apply left open runs to the end; empty windows are dropped."""
     seg = segment if segment is not None else segment_of(order)
     e = neighbour(events, [*keys, "stimulus_index"], [order], seg,
                   {"sample_index": "_next", "event_type": "_next_type"}, ahead=True)
@@ -35,7 +35,7 @@ def paired_windows(events: DataFrame, lengths: DataFrame, keys: list[str], order
     return e.select(
         *keys, "stimulus_index", F.col("sample_index").alias("start"), stop.alias("end"),
         F.col("_next_type").isNull().alias("open"),
-    )
+    ).where("end > start")
 
 
 def with_protocol(events: DataFrame, protocol_runs: DataFrame, keys: list[str], at: str,

@@ -230,11 +230,12 @@ def acquisition_log(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- signal ---------------------------------------------------------------------------------
 
-def baseline_windows(lengths: DataFrame, log: DataFrame, keys: list[str], cap: int = SAMPLE_RATE * 60) -> DataFrame:
-    """Pre-stimulus window ``[0, first apply - 1)``; without applies the recording's first part."""
+def baseline_windows(lengths: DataFrame, log: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
+    """Pre-stimulus window ``[0, first apply - 1)``; without applies the whole recording, or its first ``cap`` samples."""
     first = log.where("event_type = 'apply'").groupBy(*keys).agg(F.min("sample_index").alias("_a"))
     j = lengths.join(first, keys, "left")
-    stop = F.when(F.col("_a").isNull(), F.least(F.col("n_samples"), F.lit(cap))).otherwise(F.greatest(F.lit(0), F.col("_a") - 1))
+    whole = F.col("n_samples") if cap is None else F.least(F.col("n_samples"), F.lit(cap))
+    stop = F.when(F.col("_a").isNull(), whole).otherwise(F.greatest(F.lit(0), F.col("_a") - 1))
     return j.select(*keys, F.lit(0).cast("bigint").alias("start"), stop.cast("bigint").alias("end"))
 
 
@@ -253,16 +254,16 @@ def baseline_rms(samples: DataFrame, windows: DataFrame, keys: list[str], group:
     return g.withColumn("rms_v", F.when(ok, F.col("rms_v"))).withColumn("status", F.when(ok, "pass").otherwise("skip"))
 
 
-def drift(samples: DataFrame, lengths: DataFrame, keys: list[str], rate: int, points: int = 20000) -> DataFrame:
-    """Straight-line fit over every ``n // points``-th sample: slope, total change, residual."""
-    step = F.greatest(F.lit(1), F.floor(F.col("n_samples") / points))
-    s = join_small(samples, lengths, keys, F.col("sample_index")).where(F.col("n_samples") >= rate).where(F.col("sample_index") % step == 0)
-    x = F.col("sample_index") / rate
-    g = s.groupBy(*keys).agg(
-        F.regr_slope(F.col("v"), x).alias("slope_v_per_s"), F.max("n_samples").alias("n_samples"), F.count(F.lit(1)).alias("_m"),
-        F.regr_syy(F.col("v"), x).alias("_syy"), F.regr_sxy(F.col("v"), x).alias("_sxy"))
-    rest = F.sqrt(F.greatest(F.lit(0.0), F.col("_syy") - F.col("slope_v_per_s") * F.col("_sxy")) / F.col("_m"))
-    return g.select(*keys, "slope_v_per_s", (F.col("slope_v_per_s") * F.col("n_samples") / rate).alias("total_change_v"), rest.alias("residual_std_v"))
+def drift(samples: DataFrame, keys: list[str], rate: int) -> DataFrame:
+    """Straight-line fit over all samples: slope, total change, residual; null below one second.
+
+    One aggregation: only sums per key and task are shuffled, and the sample count comes with them."""
+    x, v = F.col("sample_index") / rate, F.col("v")
+    g = samples.groupBy(*keys).agg(
+        F.regr_slope(v, x).alias("slope_v_per_s"), F.count(F.lit(1)).alias("n_samples"), F.regr_syy(v, x).alias("_syy"), F.regr_sxy(v, x).alias("_sxy"))
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.col("_syy") - F.col("slope_v_per_s") * F.col("_sxy")) / F.col("n_samples"))
+    cols = {"slope_v_per_s": F.col("slope_v_per_s"), "total_change_v": F.col("slope_v_per_s") * F.col("n_samples") / rate, "residual_std_v": rest}
+    return g.select(*keys, *[F.when(F.col("n_samples") >= rate, c).alias(n) for n, c in cols.items()])
 
 
 def leading_samples(blocks: DataFrame, keys: list[str], limit: int) -> DataFrame:

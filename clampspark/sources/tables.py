@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import BLOCK_SAMPLES
 from ..operators.blocks import unpack
 from ..operators.ordered import running, segment_of
 
@@ -16,13 +17,14 @@ def write_blocks(blocks: DataFrame, path: str, keys: list[str], partition_by: li
     (w.partitionBy(*partition_by) if partition_by else w).option("compression", "zstd").parquet(path)
 
 
-def read_range(blocks: DataFrame, keys: list[str], start_s: float, end_s: float, rate: int, scale: float = 1.0) -> DataFrame:
+def read_range(blocks: DataFrame, keys: list[str], start_s: float, end_s: float, rate: int, scale: float = 1.0, block: int = BLOCK_SAMPLES) -> DataFrame:
     """Samples of ``[int(start_s * rate), int(end_s * rate))`` in display units with their time.
 
-    The block predicate reaches the scan; the sample predicate trims the edges.
+    No block is longer than ``block`` samples, so both bounds on ``block_start`` reach the scan; the sample predicate
+    trims the edges.
     """
     lo, hi = max(0, int(start_s * rate)), int(end_s * rate)
-    b = blocks.where((F.col("block_start") < hi) & (F.col("block_start") + F.size("samples") > lo))
+    b = blocks.where((F.col("block_start") < hi) & (F.col("block_start") > lo - block))
     s = unpack(b, keys).where((F.col("sample_index") >= lo) & (F.col("sample_index") < hi))
     return s.select(*keys, "sample_index", (F.col("sample_index") / rate).alias("t_s"), (F.col("v") * scale).alias("v_display"))
 

@@ -15,7 +15,7 @@ PAIRED = dict(
     px="""SELECT *, lead(sample_index) OVER w AS nxt, lead(event_type) OVER w AS nxt_type FROM evt
         WINDOW w AS (PARTITION BY recording_id, stimulus_index ORDER BY event_seq)""",
     pw="""SELECT recording_id, stimulus_index, sample_index AS start, coalesce(nxt, n_samples) AS stop, nxt IS NULL AS is_open
-        FROM px JOIN len USING (recording_id) WHERE event_type = 'apply' AND (nxt_type = 'clear' OR nxt_type IS NULL)""",
+        FROM px JOIN len USING (recording_id) WHERE event_type = 'apply' AND (nxt_type = 'clear' OR nxt_type IS NULL) AND coalesce(nxt, n_samples) > sample_index""",
 )
 FRAMES = dict(
     ed="SELECT recording_id, sample_index, v, lag(v >= 60, 1, false) OVER (PARTITION BY recording_id ORDER BY sample_index) AS prev FROM sig",

@@ -76,20 +76,20 @@ def qc_dc_offset(spark, d):
 
 @query("qc_baseline_rms", sql("sig evt len", """SELECT recording_id, name, round(CASE WHEN stop >= 3 THEN rms END, 6) AS rms_v, CASE WHEN stop >= 3 THEN 'pass' ELSE 'skip' END AS status FROM (
     SELECT nm.recording_id, name, stop, stddev_pop(v) FILTER (WHERE sample_index < stop) AS rms FROM nm JOIN bw USING (recording_id) WHERE name IN ('ScAmpOut', 'RawAmpOut') GROUP BY 1, 2, 3)""",
-    ch=CHANNELS_SQL, nm=NAMED, bw="""SELECT l.recording_id, CASE WHEN a IS NULL THEN least(n_samples, 60) ELSE greatest(0, a - 1) END AS stop FROM len l
+    ch=CHANNELS_SQL, nm=NAMED, bw="""SELECT l.recording_id, CASE WHEN a IS NULL THEN n_samples ELSE greatest(0, a - 1) END AS stop FROM len l
         LEFT JOIN (SELECT recording_id, min(sample_index) AS a FROM evt WHERE event_type = 'apply' GROUP BY 1) USING (recording_id)"""))
 def qc_baseline_rms(spark, d):
-    w = qc.baseline_windows(rec_lengths(spark, d), evt(spark, d), KEY, 60)
+    w = qc.baseline_windows(rec_lengths(spark, d), evt(spark, d), KEY)
     named = channel_samples(spark, d).join(cc(spark).select("channel_index", "name"), "channel_index").where("name IN ('ScAmpOut', 'RawAmpOut', 'I_mem', 'V_pip')")
     r = qc.baseline_rms(named, w, KEY, ["recording_id", "name"], least=3)
     return r.select("recording_id", "name", F.round("rms_v", 6).alias("rms_v"), "status")
 
 
-@query("qc_drift", sql("sig len", """SELECT recording_id, round(slope, 6) AS slope_v_per_s, round(slope * n / 50.0, 6) AS total_change_v, round(sqrt(greatest(0, syy - slope * sxy) / m), 6) AS residual_std_v FROM (
-    SELECT recording_id, max(n_samples) AS n, count(*) AS m, regr_slope(v, sample_index / 50.0::DOUBLE) AS slope, regr_syy(v, sample_index / 50.0::DOUBLE) AS syy, regr_sxy(v, sample_index / 50.0::DOUBLE) AS sxy
-    FROM sig JOIN len USING (recording_id) WHERE n_samples >= 50 AND sample_index % greatest(1, n_samples // 20) = 0 GROUP BY 1)"""))
+@query("qc_drift", sql("sig len", """SELECT recording_id, round(slope, 6) AS slope_v_per_s, round(slope * n / 50.0, 6) AS total_change_v, CASE WHEN n >= 50 THEN round(sqrt(greatest(0, syy - slope * sxy) / n), 6) END AS residual_std_v FROM (
+    SELECT recording_id, n_samples AS n, regr_slope(v, sample_index / 50.0::DOUBLE) AS slope, regr_syy(v, sample_index / 50.0::DOUBLE) AS syy, regr_sxy(v, sample_index / 50.0::DOUBLE) AS sxy
+    FROM (SELECT recording_id, n_samples, sample_index, CASE WHEN n_samples >= 50 THEN v END AS v FROM sig JOIN len USING (recording_id)) GROUP BY 1, 2)"""))
 def qc_drift(spark, d):
-    r = qc.drift(sig(spark, d), rec_lengths(spark, d), KEY, 50, 20)
+    r = qc.drift(sig(spark, d), KEY, 50)
     return r.select("recording_id", *[F.round(c, 6).alias(c) for c in ("slope_v_per_s", "total_change_v", "residual_std_v")])
 
 

@@ -121,8 +121,8 @@ def median_of_medians(spark, d):
     WHERE sample_index >= 7 AND sample_index < 33"""))
 def time_range_slice(spark, d):
     from clampspark.sources.tables import read_range
-    from .views import sig_blocks
-    r = read_range(sig_blocks(spark, d), KEY, 0.007, 0.0335, RATE, scale=10.0)
+    from .views import BLOCK, sig_blocks
+    r = read_range(sig_blocks(spark, d), KEY, 0.007, 0.0335, RATE, scale=10.0, block=BLOCK)
     return r.select("recording_id", "sample_index", "t_s", F.round("v_display", 6).alias("v_display"))
 
 
@@ -136,9 +136,9 @@ def concat_trials(spark, d):
         "recording_id", "trial_index", (F.col("concat_start") + F.col("p")).alias("concat_index"), "v")
 
 
-@query("baseline_window", sql("evt len", """SELECT l.recording_id, CAST(CASE WHEN a IS NULL THEN least(n_samples, 60) ELSE greatest(0, a - 1) END AS BIGINT) AS stop
+@query("baseline_window", sql("evt len", """SELECT l.recording_id, CAST(CASE WHEN a IS NULL THEN n_samples ELSE greatest(0, a - 1) END AS BIGINT) AS stop
     FROM len l LEFT JOIN (SELECT recording_id, min(sample_index) AS a FROM evt WHERE event_type = 'apply' AND stimulus_index = 2 GROUP BY 1) USING (recording_id)"""))
 def baseline_window(spark, d):
     from clampspark.plans.qc import baseline_windows
     e = evt(spark, d).where("stimulus_index = 2")
-    return baseline_windows(rec_lengths(spark, d), e, KEY, cap=60).select("recording_id", F.col("end").alias("stop"))
+    return baseline_windows(rec_lengths(spark, d), e, KEY).select("recording_id", F.col("end").alias("stop"))

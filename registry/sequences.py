@@ -76,9 +76,9 @@ def running_median(spark, d):
 @query("minmax_decimate", sql("sig len", """SELECT recording_id, sample_index, v FROM (
     SELECT recording_id, sample_index, v FROM sig JOIN len USING (recording_id) WHERE n_samples <= 60
     UNION ALL SELECT recording_id, lo_i, lo FROM g UNION ALL SELECT recording_id, hi_i, hi FROM g)""",
-    b="SELECT s.*, sample_index // (n_samples // 30) AS bin FROM sig s JOIN len USING (recording_id) WHERE n_samples > 60",
+    b="SELECT s.*, least(sample_index // (n_samples // 30), 29) AS bin FROM sig s JOIN len USING (recording_id) WHERE n_samples > 60",
     g="""SELECT recording_id, bin, min(v) AS lo, max(v) AS hi, arg_min(sample_index, (v, sample_index)) AS lo_i, arg_min(sample_index, (-v, sample_index)) AS hi_i
-        FROM b WHERE bin < 30 GROUP BY 1, 2"""))
+        FROM b GROUP BY 1, 2"""))
 def minmax_decimate(spark, d):
     return decimate.minmax_decimate(sig(spark, d), KEY, 60)
 
@@ -91,9 +91,9 @@ def minmax_envelope(spark, d):
     return decimate.minmax_envelope(sig(spark, d), rec_lengths(spark, d), KEY, 40)
 
 
-@query("stride_decimate", sql("sig", "SELECT recording_id, sample_index, v FROM sig WHERE sample_index < 50 AND sample_index % 4 = 0"))
+@query("stride_decimate", sql("sig", "SELECT recording_id, sample_index, v FROM sig WHERE sample_index % 4 = 0"))
 def stride_decimate(spark, d):
-    return decimate.stride(sig(spark, d), 4, 50)
+    return decimate.stride(sig(spark, d), 4)
 
 
 @query("range_pad", sql("", """SELECT user_id AS recording_id, round(min(value) - (max(value) - min(value)) * 0.08, 6) AS y_lo,

@@ -46,9 +46,11 @@ RAW = dict(c="SELECT unnest(range(0, 5))::INTEGER AS channel_index")
 def scan_rawbin(spark, d):
     files = rawbin.manifest(spark, raw_files(spark, d), 5, CHUNK)
     b = rawbin.scan(files, 5, RAW_BLOCK, CHUNK, RAW_HALO)
-    g = unpack(b, ["path", "channel_index"]).groupBy("path", "channel_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
-    g = g.join(files.select("path", "tail_bytes"), "path")
-    return g.select(F.regexp_extract("path", r"/rec(\d+)_", 1).cast("bigint").alias("recording_id"), "channel_index", "n", "total", "tail_bytes")
+    recording = F.regexp_extract("path", r"/rec(\d+)_", 1).cast("bigint").alias("recording_id")
+    s = unpack(b, ["path", "channel_index"]).select(recording, "channel_index", "v")
+    g = s.groupBy("recording_id", "channel_index").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
+    # A recording may lie in several files; only its last one has a partial tail.
+    return g.join(files.groupBy(recording).agg(F.sum("tail_bytes").alias("tail_bytes")), "recording_id")
 
 
 @query("scan_trialbin", sql("bs", "SELECT recording_id, trial_index, c AS channel_index, count(*) AS n, round(sum(v * (c + 1)), 6) AS total FROM bs CROSS JOIN (SELECT unnest(range(0, 2))::INTEGER AS c) GROUP BY 1, 2, 3"))

@@ -158,3 +158,27 @@ def test_window_medians_long_and_short_agree(spark):
     for short in (1000, 45, 0):
         got = window_medians(b, w, KEY, ["start", "end"], "m", 32, short=short).collect()
         assert {(r.start, r.end): r.m for r in got} == pytest.approx(want)
+
+
+def test_running_keeps_null_keys_and_segments(spark):
+    rows = [(None, i) for i in range(6)] + [(1, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "recording_id bigint, sample_index bigint")
+    got = O.ordinal(df, ["recording_id"], ["sample_index"], O.segment_of("sample_index", 2), "n").collect()
+    assert all(r.n == r.sample_index for r in got) and len(got) == len(rows)
+
+
+def test_read_range_prunes_on_both_sides(spark, tmp_path):
+    from clampspark.sources.tables import read_range
+    b = spark.createDataFrame([(1, k, [float(k)] * 4) for k in range(0, 40, 4)], "recording_id bigint, block_start bigint, samples array<double>")
+    b.write.parquet(str(tmp_path / "b"))
+    q = read_range(spark.read.parquet(str(tmp_path / "b")), ["recording_id"], 9, 14, 1, block=4)
+    assert sorted(r.sample_index for r in q.collect()) == [9, 10, 11, 12, 13]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(block_start,5)" in plan and "LessThan(block_start,14)" in plan
+
+
+def test_drift_of_short_recordings_is_null(spark):
+    from clampspark.plans import qc
+    df = spark.createDataFrame([(1, i, 2.0 * i) for i in range(20)] + [(2, 0, 1.0)], "recording_id bigint, sample_index bigint, v double")
+    got = {r.recording_id: r for r in qc.drift(df, ["recording_id"], 10).collect()}
+    assert abs(got[1].slope_v_per_s - 20.0) < 1e-9 and got[2].slope_v_per_s is None

@@ -1,18 +1,14 @@
-"""Registered queries against their SQL. ``CHECK_ALL=1`` runs every one of them."""
-
-import os
+"""Every registered query against its SQL."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import registry
 from tools.check import TABLES, norm
 
 SF = "/root/testdata/sf0.001"
-SOME = ["edges_fixed", "pulse_detect", "staircase_group", "asof_protocol", "interval_mask", "region_to_frames", "frame_window", "expected_segments",
-        "planned_timeline", "trial_segment", "qc_saturation", "qc_first_offender", "qc_trials", "qc_worst", "narrowband_rms", "history_append",
-        "companion_files", "log_upsert", "catalog_filter", "stream_edges"]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else SOME
+NAMES = sorted(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -36,4 +32,4 @@ def test_entry_has_rows(spark):
 
 
 def test_only_spectral_checks_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"noise_floor", "qc_line_noise"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"noise_floor", "qc_line_noise"}
