@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from clampspark.session import materialise
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
-SEGMENT_ROWS = 100_000
+SEGMENT_ROWS = 20_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     base = materialise(sizes(docs).withColumn("h", h), "sizes")
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     biggest = per_source.agg(F.max("n")).first()[0] or 0
-    bits = min(24, max(1, (int(biggest) // SEGMENT_ROWS).bit_length()))
+    bits = min(24, max(5, (int(biggest) // SEGMENT_ROWS).bit_length()))
     goals = materialise(targets(per_source.select("source", "source_size"), weights, share, most), "targets")
     queue = base.withColumn("segment", F.shiftrightunsigned("h", 64 - bits))
     queue = _cumulate(queue, ["source"], "segment", ["h", F.col("doc_id").asc_nulls_first()], "size", "reached")
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     copies = queue.where("size > 0").select("source", "h", "size", "target", "source_size", "reached", "budget",
                                             F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"))
     copies = copies.withColumn("finish", _finish(F.col("turn")))
-    slices = 1 << (bits + 12)
+    slices = 1 << (bits + 8)
     copies = copies.withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(8 * slices)))
     filled = copies.groupBy("slice").agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
     filled = _cumulate(filled.withColumn("block", F.floor(F.col("slice") / 4096)).withColumn("all", F.lit(0)), ["all"], "block", ["slice"], "words", "upto")
@@ -120,12 +120,12 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     Rows that agree in doc_id, source and size share their copies, in order of text.
     """
     keys = ["doc_id", "source", "size"]
-    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "copies", "rows")
+    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "_copies", "_rows")
     size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_mix_size") == F.col("_size"))
     j = docs.withColumn("_mix_size", size).join(plan, on)
     place = F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_size").orderBy("text"))
-    n = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    n = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     j = j.withColumn("_place", place).withColumn("_n", n.cast("int")).where("_n > 0")
     return j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

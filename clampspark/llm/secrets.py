@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from clampspark.session import materialise
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -107,6 +109,8 @@ def scan(paths: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> Data
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     found = _ledger(spark, ledger, "found", FOUND).where(F.col("rule").isin([r.name for r in rules])).distinct()
     found = found.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", place[F.col("rule")].alias("kind_no"), "kind", "stop"))).alias("findings"))
+    # Written, so that the join meets two plain shuffles and a blob with many paths can be split.
+    found = materialise(found, "findings")
     none = F.array().cast("array<struct<start:int,kind_no:int,kind:string,stop:int>>")
     out = texts.select("path_id", blob_id(F.col("text")).alias("blob_id")).join(found, "blob_id", "left")
     return out.select("path_id", "blob_id", F.coalesce("findings", none).alias("findings"))
