@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clampspark.llm import chat, decontaminate, lang, mixing, quality, query, recompress, repair, secrets, simhash, winnow
+from clampspark.llm.text import small_batches
 from clampspark.session import scratch_path
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from clampspark.llm.text import chunks, column, raw
 
 END = 2
-SHARD_IDS = 1 << 20
+SHARD_IDS = 3 << 18
 ROUNDS = 8
 STEP = 8
 SLOT_BITS = 18
 MOST_SYMBOLS = 1 << 16
 LEAST = 16         # a pair must occur this often in a shard to become a rule
 PART_BYTES = 48 << 20
-CHUNK_BYTES = 6 << 20
-KNOWN_PIECES = 1_000_000  # pieces whose ids a task remembers; others are encoded again
+CHUNK_BYTES = 2 << 20
+KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; others are encoded again
 SHARD_SCHEMA = ("part int, shard int, first_doc long, n_docs long, n_ids long, base int, doc_ids binary, doc_symbols binary, doc_starts binary, "
                 "rules binary, expansion binary, symbols binary, width int")
 

@@ -113,6 +113,6 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def distinct_columns(docs, *names: str):
-    """Only the named columns, so that extra columns (also with clashing names) cannot interfere."""
-    return docs.select(*names)
+def small_batches(spark, rows: int = 1000) -> None:
+    """Documents are long: fewer rows per Arrow batch keep both ends of the exchange with Python small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
