@@ -21,27 +21,44 @@ from .ordered import neighbour, segment_of
 
 def pack(samples: DataFrame, keys: list[str], size: int = BLOCK_SAMPLES, halo: int = HALO_SAMPLES,
          index: str = "sample_index", value: str = "v") -> DataFrame:
-    """Long rows ``(keys, index, value)`` to blocks. One shuffle, groups of ``size + 2 halo`` rows."""
+    """Long rows ``(keys, index, value)`` to blocks. One shuffle, groups of ``size + 2 halo`` rows.
+
+    A value's place follows from its index: a missing sample is null, and an index given twice is an error.
+    """
     i = F.col(index)
     first = F.greatest(F.floor((i - halo) / size), F.lit(0)).cast("bigint")
     last = F.floor((i + halo) / size).cast("bigint")
     rows = samples.select(
         *keys, i.alias("i"), F.col(value).alias("v"), F.explode(F.sequence(first, last)).alias("block_no")
     )
-    b = rows.groupBy(*keys, "block_no").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
+    b = rows.groupBy(*keys, "block_no").agg(F.sort_array(F.collect_list(F.struct("i", F.col("v").cast("double").alias("v")))).alias("p"))
     start = F.col("block_no") * size
     b = b.withColumn("block_start", start)
 
-    def part(test: Callable[[Column], Column]) -> Column:
-        return F.transform(F.filter("p", lambda s: test(s["i"])), lambda s: s["v"])
-
+    none = F.array().cast("array<double>")
+    lo, hi = F.element_at("p", 1)["i"], F.element_at("p", -1)["i"]
+    # Where the indices are not simply consecutive, the missing ones are added.
+    given, wanted = F.col("p")["i"], F.sequence(lo, hi)
+    gaps = F.array_except(wanted, given)
+    filled = F.sort_array(F.concat("p", F.transform(gaps, lambda k: F.struct(k.alias("i"), F.lit(None).cast("double").alias("v")))))["v"]
+    twice = F.raise_error(F.lit("a sample index is given twice")).cast("array<double>")
+    b = b.withColumn("_lo", lo).withColumn("_hi", hi + 1).withColumn("_v", F.when(given == wanted, F.col("p")["v"]).when(
+        F.size("p") + F.size(gaps) > hi - lo + 1, twice).otherwise(filled))
+
+    def part(a: Column, z: Column) -> Column:
+        a, z = F.greatest(a, F.col("_lo")), F.least(z, F.col("_hi"))
+        return F.when(z > a, F.slice("_v", (a - F.col("_lo") + 1).cast("int"), (z - a).cast("int"))).otherwise(none)
+
+    # A block whose first samples are missing still begins at its first index; one without any sample is left out.
+    own = F.exists("p", lambda s: (s["i"] >= start) & (s["i"] < start + size))
+    gap = F.greatest(F.lit(0), F.least(F.col("_lo"), start + size) - start).cast("int")
     b = b.select(
-        *keys, "block_no", "block_start",
-        part(lambda k: (k >= start) & (k < start + size)).alias("samples"),
-        part(lambda k: k < start).alias("before"),
-        part(lambda k: k >= start + size).alias("after"),
+        *keys, "block_no", "block_start", "_lo",
+        F.concat(F.array_repeat(F.lit(None).cast("double"), gap), part(start, start + size)).alias("samples"),
+        part(F.lit(0), start).alias("before"),
+        part(start + size, F.col("_hi")).alias("after"), own.alias("_own"),
     )
-    return b.where(F.size("samples") > 0)
+    return b.where("_own").drop("_lo", "_own")
 
 
 def unpack(blocks: DataFrame, keep: list[str]) -> DataFrame:
@@ -58,15 +75,16 @@ def edges(blocks: DataFrame, keys: list[str], high: Callable[[Column], Column],
     The edges are landed once: ordered operators read their input twice, and edges are few where
     samples are many.
 
-    The level before a block comes from its halo. A recording that starts high has an edge at 0
-    only when ``initial_high_counts``. ``close_at_end`` adds a falling edge at ``n`` when the
+    The level before a block comes from its halo; where the samples before it are missing, it is that of the
+    block's own first sample. A recording that starts high has an edge at 0 only when ``initial_high_counts``. ``close_at_end`` adds a falling edge at ``n`` when the
     recording ends high.
     """
     def level(x: Column) -> Column:
         return F.when(high(x), F.lit(1)).otherwise(F.lit(0))
 
     first = F.lit(0) if initial_high_counts else level(F.element_at("samples", 1))
-    prior = F.when(F.size("before") > 0, level(F.element_at("before", -1))).otherwise(first)
+    prior = (F.when(F.size("before") > 0, level(F.element_at("before", -1))).when(F.col("block_start") == 0, first)
+             .otherwise(level(F.element_at("samples", 1))))
     b = blocks.select(
         *keys, "block_start", F.size("samples").alias("_n"), F.size("after").alias("_after"),
         F.transform("samples", level).alias("_lv"), prior.alias("_prior"),

@@ -1,5 +1,5 @@
-"""Vector kernels numpy does better than SQL. Each sees one bounded array at a time: the first
-ten seconds of a channel, a capped trial, or the fit window of a sweep."""
+"""Vector kernels numpy does better than SQL. Each sees one bounded array at a time: one second
+of a channel, a trial, or the fit window of a sweep."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 from ..config import LINE_BAND_HZ, LINE_FREQS_HZ
 
-XCORR_CAP = 100_000
-PSD_SECONDS = 10
-
 
 def _welch(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """One-sided density: half-overlapping segments, periodic Hann, mean removed per segment."""
@@ -49,6 +46,25 @@ def line_fraction(samples: Column, rate: int, freqs=LINE_FREQS_HZ, band: float =
     return kernel(samples)
 
 
+def line_power(samples: Column, rate: int, freqs=LINE_FREQS_HZ, band: float = LINE_BAND_HZ) -> Column:
+    """One segment of Welch's method: struct of the power within ``band`` of the line frequencies, the whole power, and
+    whether all samples are finite. A segment shorter than one second adds no power."""
+    freqs = tuple(freqs)
+
+    def one(x: np.ndarray) -> tuple[float, float, bool]:
+        good = bool(np.all(np.isfinite(x)))
+        if x.size < rate or not good:
+            return 0.0, 0.0, good
+        f, p = _welch(x, rate)
+        near = [(f >= f0 - band) & (f <= f0 + band) for f0 in freqs]
+        return float(sum(np.trapezoid(p[m], f[m]) for m in near)), float(np.trapezoid(p, f)), True
+
+    @F.pandas_udf("line double, total double, good boolean")
+    def kernel(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(np.asarray(x, float)) for x in s], columns=["line", "total", "good"])
+    return kernel(samples)
+
+
 def _lag(expected: np.ndarray, recorded: np.ndarray) -> int:
     size = 1 << int(expected.size + recorded.size - 1).bit_length()
     full = np.fft.irfft(np.fft.rfft(recorded, size) * np.conj(np.fft.rfft(expected, size)), size)
@@ -65,8 +81,8 @@ def _lag_udf(expected: pd.Series, recorded: pd.Series, mean_e: pd.Series, mean_r
 
 def xcorr_lag(expected: Column, recorded: Column, mean_e: Column, mean_r: Column, flat: Column) -> Column:
     """Lag in samples at the largest absolute cross-correlation, positive when ``recorded``
-    trails; 0 for flat input. Means are those of the whole overlap, the arrays its first part."""
-    return _lag_udf(F.slice(expected, 1, XCORR_CAP), F.slice(recorded, 1, XCORR_CAP), mean_e, mean_r, flat)
+    trails; 0 for flat input. The whole of both arrays counts."""
+    return _lag_udf(expected, recorded, mean_e, mean_r, flat)
 
 
 def _fit_decay(y: np.ndarray, rate: int) -> tuple:

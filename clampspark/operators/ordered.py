@@ -23,6 +23,13 @@ def segment_of(index: str | Column, size: int = SEGMENT_SAMPLES) -> Column:
     return F.floor(c / size).cast("bigint")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` in which null equals null; the keys come once, from ``left``."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: list[str],

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import BLOCK_SAMPLES
 from ..functions.scalar import array_median
 from .intervals import samples_in, slices
-from .ordered import running
+from .ordered import null_safe_join, running
 
 PER_OCTAVE = 4096
 _NAN = (1 << 62) + 1
@@ -35,42 +35,23 @@ def _part(x: Column) -> Column:
     return F.when(finite, F.when(x > 0, part).otherwise(-part)).otherwise(F.lit(0).cast("bigint"))
 
 
-SMALL_GROUP = 1 << 18
-
-
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    skip_nan: bool = False, small: int = SMALL_GROUP) -> DataFrame:
+                    skip_nan: bool = False) -> DataFrame:
     """Linear-interpolation quantiles per key: ``keys``, one column per name in ``probs``, and
-    ``n``. A NaN makes the result null unless ``skip_nan``.
+    ``n``. A NaN makes the result null unless ``skip_nan``; a null key is a key like any other.
 
-    The largest group is counted first, over the key columns alone. Groups of at most ``small``
-    values fit one aggregation buffer each; beyond that the two-pass form is used.
-    """
-    top = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (top or 0) > small:
-        return _two_pass(df, list(keys), value, probs, skip_nan)
-    x = F.col(value).cast("double")
-    real = F.when(~F.isnan(x), x)
-    q = F.percentile(real, F.array(*[F.lit(float(p)) for p in probs.values()]))
-    g = df.groupBy(*keys).agg(q.alias("_q"), F.count(real).alias("n"), F.max(F.isnan(x)).alias("_bad")).where("n > 0")
-    ok = F.lit(True) if skip_nan else ~F.col("_bad")
-    return g.select(*keys, *[F.when(ok, F.col("_q")[i]).alias(k) for i, k in enumerate(probs)], "n")
-
-
-def _two_pass(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], skip_nan: bool) -> DataFrame:
-    """Quantiles without holding a group in one task.
-
-    First pass: a histogram per key over order-preserving buckets, combined before the shuffle.
-    It tells which buckets hold the wanted ranks. Second pass: only values of those buckets are
-    shuffled, equal values collapse, and a bucket is ordered in up to 65,536 parts, so a crowded
-    one does not fall to one task.
+    One way for groups of any size, and no group is held in one task. Equal values collapse before
+    the first shuffle. A histogram per key over order-preserving buckets tells which buckets hold the
+    wanted ranks; only their values are ordered, a bucket in up to 65,536 parts, so a crowded one
+    does not fall to one task.
     """
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
     d = d.withColumn("_b", _bucket(F.col("_x")))
     real = F.col("_b") != _NAN
     per_key = Window.partitionBy(*keys)
     upto = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    d = d.groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    hist = d.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
     hist = hist.select(
         *keys, "_b", (F.sum("_c").over(upto) - F.col("_c")).alias("_from"), F.sum("_c").over(upto).alias("_to"),
         F.sum(F.when(real, F.col("_c"))).over(per_key).alias("n"), F.max(~real).over(per_key).alias("_bad"))
@@ -82,9 +63,9 @@ def _two_pass(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     mine = F.filter(F.array(*asked), lambda a: (a["rank"] >= F.col("_from")) & (a["rank"] < F.col("_to")))
     hits = hist.where(real & F.col("n").isNotNull()).select(*keys, "_b", "_from", "n", "_bad", F.array_distinct(mine).alias("_asked")).where(F.size("_asked") > 0)
 
-    near = d.join(hits.select(*keys, "_b"), [*keys, "_b"]).groupBy(*keys, "_b", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    near = null_safe_join(d, hits.select(*keys, "_b"), [*keys, "_b"])
     near = running(near, [*keys, "_b"], ["_x"], _part(F.col("_x")), {"_cum": ("sum", F.col("_c"))})
-    near = near.join(hits, [*keys, "_b"]).withColumn("_end", F.col("_from") + F.col("_cum"))
+    near = null_safe_join(near, hits, [*keys, "_b"]).withColumn("_end", F.col("_from") + F.col("_cum"))
     got = F.filter("_asked", lambda a: (a["rank"] >= F.col("_end") - F.col("_c")) & (a["rank"] < F.col("_end")))
     found = near.select(*keys, "_x", "n", "_bad", F.explode(got).alias("_a"))
     ok = F.lit(True) if skip_nan else ~F.max("_bad")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import RAIL_BAND_V, RAIL_V, SAMPLE_RATE
 from ..functions.scalar import not_finite
 from ..operators.intervals import merge_overlaps, slices
-from ..operators.kernels import PSD_SECONDS, XCORR_CAP, line_fraction, xcorr_lag
-from ..operators.ordered import join_small, neighbour, ordinal, segment_of
+from ..operators.kernels import line_power, xcorr_lag
+from ..operators.ordered import join_small, neighbour, null_safe_join, ordinal, segment_of
 from ..session import materialise
 
 
@@ -141,7 +141,7 @@ def dc_offset(stats: DataFrame, channels: DataFrame) -> DataFrame:
 def events(log: DataFrame, lengths: DataFrame, keys: list[str], order: str = "event_seq", segment: Column | None = None) -> DataFrame:
     """Event table check: order, range and apply/clear pairing, with the first three issues.
 
-    Open applies are listed but do not change the status.
+    Open applies are listed but do not change the status. Every recording of ``lengths`` has a row; one without events is skipped.
     """
     seg = segment if segment is not None else segment_of(order)
     at = F.col("sample_index")
@@ -169,9 +169,11 @@ def events(log: DataFrame, lengths: DataFrame, keys: list[str], order: str = "ev
     head = F.array(
         F.when(F.col("n_backward") > 0, F.lit("sample_index not monotonic")),
         F.when(F.col("n_outside") > 0, F.concat(F.col("n_outside"), F.lit(" events outside [0,"), F.col("n_samples"), F.lit(")"))))
+    counts = ("n_events", "n_backward", "n_outside", "n_double", "n_orphan")
+    g = lengths.select(*keys).join(g, keys, "full").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts})
     issues = F.slice(F.concat(F.array_compact(head), F.coalesce("_pair", F.array().cast("array<string>"))), 1, 3)
     return g.withColumn("message", F.array_join(issues, "; ")).withColumn(
-        "status", F.when(F.size(issues) > 0, "warn").otherwise("pass")).withColumn(
+        "status", F.when(F.col("n_events") == 0, "skip").when(F.size(issues) > 0, "warn").otherwise("pass")).withColumn(
         "unclosed", F.coalesce("unclosed", F.array().cast("array<int>"))).drop("_pair")
 
 
@@ -266,18 +268,28 @@ def drift(samples: DataFrame, keys: list[str], rate: int) -> DataFrame:
     return g.select(*keys, *[F.when(F.col("n_samples") >= rate, c).alias(n) for n, c in cols.items()])
 
 
-def leading_samples(blocks: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """First ``limit`` samples per key as one array. The block predicate prunes the scan, and the
-    limit bounds the array."""
-    b = blocks.where(F.col("block_start") < limit).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("block_start", "samples"))).alias("_b"))
-    return b.select(*keys, F.slice(F.flatten(F.transform("_b", lambda s: s["samples"])), 1, limit).alias("samples"))
+def line_share(blocks: DataFrame, keys: list[str], rate: int, **bands) -> DataFrame:
+    """Line-frequency share of whole recordings by Welch's method: ``keys, line_fraction``; null below one second, without
+    any power, or with a sample that is not finite.
+
+    A one-second segment gathers its samples from the blocks it touches. Each segment yields two numbers, whose sums
+    are the powers of the averaged spectrum, so no recording is held in one task.
+    """
+    hop = rate - rate // 2
+    at, n, seg = F.col("block_start"), F.size("samples"), F.col("_seg")
+    first = F.greatest(F.lit(0), F.floor((at - rate) / hop) + 1).cast("bigint")
+    p = blocks.select(*keys, "block_start", "samples", F.explode(F.sequence(first, F.floor((at + n - 1) / hop).cast("bigint"))).alias("_seg"))
+    lo, hi = F.greatest(seg * hop, at), F.least(seg * hop + rate, at + n)
+    p = p.select(*keys, "_seg", F.struct(lo.alias("at"), F.slice("samples", (lo - at + 1).cast("int"), (hi - lo).cast("int")).alias("part")).alias("_p"))
+    p = p.groupBy(*keys, "_seg").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
+    p = p.select(*keys, line_power(F.flatten(F.transform("_p", lambda s: s["part"])), rate, **bands).alias("_w"))
+    g = p.groupBy(*keys).agg(F.sum("_w.line").alias("_line"), F.sum("_w.total").alias("_total"), F.min("_w.good").alias("_good"))
+    return g.select(*keys, F.when(F.col("_good") & (F.col("_total") > 0), F.col("_line") / F.nullif(F.col("_total"), F.lit(0.0))).alias("line_fraction"))
 
 
 def line_noise(blocks: DataFrame, keys: list[str], rate: int, **bands) -> DataFrame:
-    """Line-frequency share of the first ten seconds."""
-    s = leading_samples(blocks, keys, PSD_SECONDS * rate)
-    s = s.select(*keys, line_fraction(F.col("samples"), rate, **bands).alias("line_fraction"))
+    """Line-frequency share of each recording, all of it."""
+    s = line_share(blocks, keys, rate, **bands)
     status = F.when(F.col("line_fraction").isNull(), "skip").otherwise(ladder(F.col("line_fraction"), 0.10, 0.30))
     return s.withColumn("status", status)
 
@@ -286,8 +298,7 @@ def noise_floor(blocks: DataFrame, keys: list[str], rate: int, scale: float = 1.
     """RMS around the mean and line share of a quiet sweep."""
     from ..operators.calibration import status_by
     stats = blocks.select(*keys, F.explode("samples").alias("v")).groupBy(*keys).agg((F.stddev_pop("v") * scale).alias("rms_display"))
-    line = leading_samples(blocks, keys, PSD_SECONDS * rate).select(*keys, line_fraction(F.col("samples"), rate, **bands).alias("line_fraction"))
-    j = stats.join(line, keys).withColumn("line_fraction", F.coalesce("line_fraction", F.lit(0.0)))
+    j = null_safe_join(stats, line_share(blocks, keys, rate, **bands), keys).withColumn("line_fraction", F.coalesce("line_fraction", F.lit(0.0)))
     return j.withColumn("status", status_by(F.col("line_fraction"), 0.10, 0.30))
 
 
@@ -297,14 +308,14 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     """Per trial: peak command, RMS error, peak error and lag over the overlap.
 
     ``trials`` is a block table keyed by ``keys`` (recording and trial); ``segments`` has the same
-    keys with ``seg_start, seg_end, volts``. The command is never expanded to samples except for
-    the capped stretch the lag needs.
+    keys with ``seg_start, seg_end, volts``. The command is expanded to samples only for the lag,
+    one trial at a time.
     """
     s = slices(trials, segments, keys, size, "seg_start", "seg_end")
     err = F.transform("part", lambda x: x - F.col("volts"))
     s = s.withColumn("_err", err)
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
-    piece = F.when(F.col("part_start") < XCORR_CAP, F.struct("part_start", "part", "volts"))
+    piece = F.struct("part_start", "part", "volts")
     g = s.groupBy(*keys).agg(
         *([F.array_sort(F.collect_list(piece)).alias("_p")] if with_lag else []),
         F.sum(F.size("part")).cast("bigint").alias("n_samples"), F.max(F.abs("volts")).alias("peak_cmd_v"),
@@ -332,16 +343,16 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
 
 def command_activity(command: DataFrame, windows: DataFrame, lengths: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Command RMS inside and outside the stimulus windows; a sample in several windows counts
-    once. ``command`` is the command channel's block table in volts."""
+    once. ``command`` is the command channel's block table in volts. A recording without windows is skipped."""
     square = F.aggregate("part", F.lit(0.0), lambda a, x: a + x * x)
     inside = slices(command, merge_overlaps(windows, keys), keys, size).groupBy(*keys).agg(
         F.sum(F.size("part")).alias("_na"), F.sum(square).alias("_sa"))
     every = command.groupBy(*keys).agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x)).alias("_s"))
     nw = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
-    j = every.join(lengths, keys).join(nw, keys).join(inside, keys, "left")
+    j = every.join(lengths, keys).join(nw, keys, "left").join(inside, keys, "left").withColumn("n_windows", F.coalesce("n_windows", F.lit(0).cast("bigint")))
     na, sa = F.coalesce("_na", F.lit(0)), F.coalesce("_sa", F.lit(0.0))
     nq = F.col("n_samples") - na
     j = j.withColumn("active_rms_v", F.when(na > 0, F.sqrt(sa / na)).otherwise(F.lit(0.0)))
     j = j.withColumn("inactive_rms_v", F.when(nq > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("_s") - sa) / nq)).otherwise(F.lit(0.0)))
-    status = F.when(F.col("inactive_rms_v") > 0.25, "warn").when((F.col("n_windows") > 0) & (F.col("active_rms_v") < 0.01), "warn").otherwise("pass")
+    status = F.when(F.col("n_windows") == 0, "skip").when(F.col("inactive_rms_v") > 0.25, "warn").when((F.col("active_rms_v") < 0.01), "warn").otherwise("pass")
     return j.select(*keys, "n_windows", "active_rms_v", "inactive_rms_v", status.alias("status"))

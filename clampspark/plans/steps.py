@@ -133,10 +133,8 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, keys: list[str], path: str) -> bool:
-    """Nine-column CSV per recording folder; nothing is written for an empty result."""
-    if df.isEmpty():
-        return False
+    """Nine-column CSV per recording folder; an empty result writes no file. Tells whether there is any."""
     folders = [F.col(k).alias(f"{k}_part") for k in keys]
     out = rounded(df).select(*INTRINSICS_COLUMNS, *folders)
     out.write.partitionBy(*[f"{k}_part" for k in keys]).option("header", True).csv(path)
-    return True
+    return bool(df.sparkSession.read.schema(out.schema).option("header", True).csv(path).take(1))

@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..config import BLOCK_SAMPLES, CHUNK_SIZE, HALO_SAMPLES, SAMPLE_RATE  # noqa: F401
+from ..config import BLOCK_SAMPLES, CHUNK_SIZE, HALO_SAMPLES
 from .files import list_files
 
 N_CHANNELS = 5
@@ -105,13 +105,15 @@ class _Reader(DataSourceReader):
         self.chunk, self.halo = int(options.get("chunk", CHUNK_SIZE)), int(options.get("halo", HALO_SAMPLES))
 
     def partitions(self):
-        system, inner = locate(self.o["path"])
+        path = self.o["path"].rstrip("/")
+        system, inner = locate(path)
+        scheme = path[:len(path) - len(inner)] if path.endswith(inner) else ""  # workers open files by their full address
         out = []
         for f in system.get_file_info(pafs.FileSelector(inner, recursive=True)):
             if f.is_file and f.path.endswith(".bin"):
                 n = f.size // (self.n_ch * self.chunk * 8) * self.chunk
                 blocks = -(-n // self.block)
-                out += [_Range(f.path, n, b, min(b + 32, blocks)) for b in range(0, blocks, 32)]
+                out += [_Range(scheme + f.path, n, b, min(b + 32, blocks)) for b in range(0, blocks, 32)]
         return out
 
     def read(self, p):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from clampspark.operators import align, calibration as C, kernels
 from clampspark.plans import qc
 from . import query
+from .quality import LINE
 from .sequences import ADAPTIVE
 from .views import BLOCK, KEY, RATE, blk, rec_lengths, sig, sig_blocks, sql, table
 
@@ -62,10 +63,12 @@ def resting_baseline(spark, d):
     return C.resting_baseline(s, KEY, 0.1, 4.0).withColumn("resting", F.round("resting", 6))
 
 
-@query("noise_floor")
+@query("noise_floor", sql("sig", """SELECT recording_id, round(rms, 6) AS rms_display, round(coalesce(line, 0), 6) AS line_fraction, CASE WHEN line > 0.3 THEN 'fail' WHEN line > 0.1 THEN 'warn' ELSE 'pass' END AS status
+    FROM (SELECT recording_id, stddev_pop(v) * 0.1 AS rms FROM sig GROUP BY 1) LEFT JOIN hf USING (recording_id)""", **LINE))
 def noise_floor(spark, d):
-    """RMS and line share at a rate of 32: the spectral part has no plain-SQL form."""
-    return qc.noise_floor(sig_blocks(spark, d), KEY, 32, 0.1, freqs=(8.0, 12.0), band=1.0)
+    """RMS and line share at a rate of 32."""
+    r = qc.noise_floor(sig_blocks(spark, d), KEY, 32, 0.1, freqs=(8.0, 12.0), band=1.0)
+    return r.select("recording_id", F.round("rms_display", 6).alias("rms_display"), F.round("line_fraction", 6).alias("line_fraction"), "status")
 
 
 AMPS = [-30.0, -20.0, -10.0, 10.0]

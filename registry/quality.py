@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clampspark.config import SIGNAL_CHANNELS
 from clampspark.operators import align
 from clampspark.plans import qc
 from clampspark.session import materialise
@@ -80,7 +81,7 @@ def qc_dc_offset(spark, d):
         LEFT JOIN (SELECT recording_id, min(sample_index) AS a FROM evt WHERE event_type = 'apply' GROUP BY 1) USING (recording_id)"""))
 def qc_baseline_rms(spark, d):
     w = qc.baseline_windows(rec_lengths(spark, d), evt(spark, d), KEY)
-    named = channel_samples(spark, d).join(cc(spark).select("channel_index", "name"), "channel_index").where("name IN ('ScAmpOut', 'RawAmpOut', 'I_mem', 'V_pip')")
+    named = channel_samples(spark, d).join(cc(spark).select("channel_index", "name"), "channel_index").where(F.col("name").isin(SIGNAL_CHANNELS))
     r = qc.baseline_rms(named, w, KEY, ["recording_id", "name"], least=3)
     return r.select("recording_id", "name", F.round("rms_v", 6).alias("rms_v"), "status")
 
@@ -93,17 +94,31 @@ def qc_drift(spark, d):
     return r.select("recording_id", *[F.round(c, 6).alias(c) for c in ("slope_v_per_s", "total_change_v", "residual_std_v")])
 
 
-@query("qc_line_noise")
+# Welch's method at a rate of 32: segments of 32 samples, 16 apart, periodic Hann; scale factors cancel in the share.
+LINE = dict(
+    hs="SELECT * FROM (SELECT recording_id, v, sample_index, unnest([sample_index // 16, sample_index // 16 - 1]) AS s FROM sig) WHERE s >= 0",
+    hm="SELECT recording_id, s, avg(v) AS m FROM hs GROUP BY 1, 2 HAVING count(*) = 32",
+    hw="SELECT recording_id, s, sample_index - s * 16 AS j, (v - m) * (0.5 - 0.5 * cos(2 * pi() * (sample_index - s * 16) / 32)) AS x FROM hs JOIN hm USING (recording_id, s)",
+    hk="SELECT unnest(range(0, 17)) AS b",
+    hp="""SELECT recording_id, s, b, (pow(sum(x * cos(2 * pi() * b * j / 32)), 2) + pow(sum(x * sin(2 * pi() * b * j / 32)), 2)) * CASE WHEN b IN (0, 16) THEN 1 ELSE 2 END AS p
+        FROM hw CROSS JOIN hk GROUP BY 1, 2, 3""",
+    hf="""SELECT recording_id, sum(p * CASE WHEN b IN (8, 12) THEN 1 WHEN b IN (7, 9, 11, 13) THEN 0.5 ELSE 0 END) / nullif(sum(p * CASE WHEN b IN (0, 16) THEN 0.5 ELSE 1 END), 0) AS line
+        FROM hp GROUP BY 1""",
+)
+
+
+@query("qc_line_noise", sql("sig len", """SELECT recording_id, round(line, 6) AS line_fraction, CASE WHEN line IS NULL THEN 'skip' WHEN line >= 0.3 THEN 'fail' WHEN line >= 0.1 THEN 'warn' ELSE 'pass' END AS status
+    FROM len LEFT JOIN hf USING (recording_id)""", **LINE))
 def qc_line_noise(spark, d):
-    """Spectral check at a rate of 32, lines at 8 and 12: no plain-SQL form."""
-    return qc.line_noise(sig_blocks(spark, d), KEY, 32, freqs=(8.0, 12.0), band=1.0)
+    """Spectral check at a rate of 32, lines at 8 and 12."""
+    return qc.line_noise(sig_blocks(spark, d), KEY, 32, freqs=(8.0, 12.0), band=1.0).withColumn("line_fraction", F.round("line_fraction", 6))
 
 
 @query("qc_events", sql("evt len", """SELECT recording_id, n_events, n_backward, n_outside, n_double, n_orphan, coalesce(u, '') AS unclosed, array_to_string(msgs[1:3], '; ') AS message,
-      CASE WHEN len(msgs) > 0 THEN 'warn' ELSE 'pass' END AS status FROM (
+      CASE WHEN n_events = 0 THEN 'skip' WHEN len(msgs) > 0 THEN 'warn' ELSE 'pass' END AS status FROM (
     SELECT g.*, u, list_concat(list_concat(CASE WHEN n_backward > 0 THEN ['sample_index not monotonic'] ELSE [] END, CASE WHEN n_outside > 0 THEN [n_outside || ' events outside [0,' || n_samples || ')'] ELSE [] END), coalesce(p, [])) AS msgs
-    FROM (SELECT recording_id, max(n_samples) AS n_samples, count(*) AS n_events, count(*) FILTER (WHERE prev > idx) AS n_backward, count(*) FILTER (WHERE idx < 0 OR idx >= n_samples) AS n_outside,
-        count(*) FILTER (WHERE event_type = 'apply' AND pt = 'apply') AS n_double, count(*) FILTER (WHERE event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) AS n_orphan FROM e2 GROUP BY 1) g
+    FROM (SELECT recording_id, max(n_samples) AS n_samples, count(event_seq) AS n_events, count(*) FILTER (WHERE prev > idx) AS n_backward, count(*) FILTER (WHERE idx < 0 OR idx >= n_samples) AS n_outside,
+        count(*) FILTER (WHERE event_type = 'apply' AND pt = 'apply') AS n_double, count(*) FILTER (WHERE event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) AS n_orphan FROM (SELECT recording_id FROM len) LEFT JOIN e2 USING (recording_id) GROUP BY 1) g
     LEFT JOIN (SELECT recording_id, list(CASE WHEN event_type = 'apply' THEN 'stimulus_index=' || stimulus_index || ' applied twice without clear' ELSE 'stimulus_index=' || stimulus_index || ' cleared without a prior apply' END ORDER BY event_seq) AS p
         FROM e2 WHERE (event_type = 'apply' AND pt = 'apply') OR (event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) GROUP BY 1) USING (recording_id)
     LEFT JOIN (SELECT recording_id, string_agg(stimulus_index::VARCHAR, ',' ORDER BY stimulus_index) AS u FROM (SELECT recording_id, stimulus_index, arg_max(event_type, event_seq) AS t FROM evt GROUP BY 1, 2) WHERE t = 'apply' GROUP BY 1) USING (recording_id))""",
@@ -173,10 +188,10 @@ def qc_log(spark, d):
     return qc.acquisition_log(l, KEY)
 
 
-@query("qc_cmd_continuous", sql("sig evt len", """SELECT recording_id, n_windows, round(a, 6) AS active_rms_v, round(q, 6) AS inactive_rms_v, CASE WHEN q > 0.25 THEN 'warn' WHEN a < 0.01 THEN 'warn' ELSE 'pass' END AS status FROM (
+@query("qc_cmd_continuous", sql("sig evt len", """SELECT recording_id, n_windows, round(a, 6) AS active_rms_v, round(q, 6) AS inactive_rms_v, CASE WHEN n_windows = 0 THEN 'skip' WHEN q > 0.25 THEN 'warn' WHEN a < 0.01 THEN 'warn' ELSE 'pass' END AS status FROM (
     SELECT s.recording_id, coalesce(sqrt(avg(v * v) FILTER (WHERE act)), 0) AS a, coalesce(sqrt(avg(v * v) FILTER (WHERE NOT act)), 0) AS q FROM (
       SELECT s.recording_id, v, EXISTS (SELECT 1 FROM pw WHERE pw.recording_id = s.recording_id AND s.sample_index >= pw.start AND s.sample_index < pw.stop) AS act FROM sig s) s GROUP BY 1)
-    JOIN (SELECT recording_id, count(*) AS n_windows FROM pw GROUP BY 1) USING (recording_id)""", **PAIRED))
+    JOIN (SELECT l.recording_id, count(pw.start) AS n_windows FROM len l LEFT JOIN pw USING (recording_id) GROUP BY 1) USING (recording_id)""", **PAIRED))
 def qc_cmd_continuous(spark, d):
     from clampspark.operators.stimulus import paired_windows
     n = rec_lengths(spark, d)
@@ -246,7 +261,8 @@ CHECKS = dict(
     **SAT,
     ev2="SELECT *, lag(event_type) OVER (PARTITION BY recording_id, stimulus_index ORDER BY event_seq) AS pt FROM evt",
     c1="SELECT recording_id, 'Acquisition integrity' AS section, 1 AS sev FROM len",
-    c2="""SELECT recording_id, 'Acquisition integrity' AS section, max(CASE WHEN (event_type = 'apply' AND pt = 'apply') OR (event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) THEN 2 ELSE 1 END) AS sev FROM ev2 GROUP BY 1""",
+    c2="""SELECT recording_id, 'Acquisition integrity' AS section, max(CASE WHEN event_type IS NULL THEN 0 WHEN (event_type = 'apply' AND pt = 'apply') OR (event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) THEN 2 ELSE 1 END) AS sev
+        FROM (SELECT recording_id FROM len) LEFT JOIN ev2 USING (recording_id) GROUP BY 1""",
     c3="SELECT recording_id, 'Signal sanity' AS section, max(CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS sev FROM sx GROUP BY 1",
     c4="SELECT recording_id, 'Signal sanity' AS section, 1 AS sev FROM len",
     al="SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4",

@@ -121,8 +121,7 @@ def test_asof_with_ties(spark):
         (1, 4, "a"), (1, 5, "a"), (1, 5, "a"), (1, 8, "c"), (1, 50, ""), (2, 3, "z"), (2, 4, "z")]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_quantiles_are_exact(spark, small):
+def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(3)
     groups = {
         1: rng.normal(-65, 0.01, 501), 2: rng.integers(-3, 3, 400).astype(float), 3: np.array([4.0]),
@@ -131,15 +130,39 @@ def test_quantiles_are_exact(spark, small):
     }
     df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "k int, v double")
     probs = {"p01": 0.01, "mid": 0.5, "p99": 0.99}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs, small=small).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", probs).collect()}
     for k in (1, 2, 3, 5):
         for n, q in probs.items():
             assert got[k][n] == pytest.approx(np.quantile(groups[k], q), rel=1e-12, abs=1e-12)
     assert got[4].mid is None and 6 not in got and got[7].mid == 1.0
-    skip = {r.k: r.mid for r in exact_quantiles(df, ["k"], "v", {"mid": 0.5}, skip_nan=True, small=small).collect()}
+    skip = {r.k: r.mid for r in exact_quantiles(df, ["k"], "v", {"mid": 0.5}, skip_nan=True).collect()}
     assert skip[4] == 2.0
 
 
+def test_quantiles_keep_null_keys(spark):
+    df = spark.createDataFrame([(k, float(x)) for k in (None, 1) for x in range(9)], "k int, v double")
+    assert {(r.k, r.mid, r.n) for r in exact_quantiles(df, ["k"], "v", {"mid": 0.5}).collect()} == {(None, 4.0, 9), (1, 4.0, 9)}
+
+
+def test_pack_keeps_places_across_gaps(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(40) if i not in (3, 4, 15, 16) and not 24 <= i < 32], "recording_id bigint, sample_index bigint, v double")
+    b = B.pack(df, KEY, 8, 2)
+    got = {r.sample_index: r.v for r in B.unpack(b, KEY).collect()}
+    assert {i: v for i, v in got.items() if v is not None} == {r.sample_index: r.v for r in df.collect()}
+    assert all(got[i] is None for i in (3, 4, 15, 16)) and 24 not in got
+    by = {r.block_no: r for r in b.collect()}
+    assert by[1].before == [6.0, 7.0] and by[0].after == [8.0, 9.0] and by[2].before == [14.0, None] and by[4].before == []
+    # High from 0 on with a hole: one edge at the start, none where samples come back after a missing block.
+    e = B.edges(b, KEY, lambda x: x >= 0).where("sample_index >= 32").collect()
+    assert e == []
+
+
+def test_pack_refuses_an_index_given_twice(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (1, 1, 3.0), (1, 3, 4.0)], "recording_id bigint, sample_index bigint, v double")
+    with pytest.raises(Exception, match="given twice"):
+        B.pack(df, KEY, 8, 2).collect()
+
+
 def test_interval_join_has_no_nested_loop(spark):
     b = B.pack(long_table(spark, {1: np.arange(50.0)}), KEY, 16, 2)
     w = spark.createDataFrame([(1, 3, 9)], "recording_id bigint, start bigint, end bigint")
