@@ -170,3 +170,10 @@ def test_protocol_decode(spark):
     assert r[2] is None
     odd = [x.k for x in spark.createDataFrame(rows[:2], "j string").select(unknown_keys(F.col("j")).alias("k")).collect()]
     assert odd == [[], ["odd"]]
+
+
+def test_recordings_without_events_are_skipped(spark):
+    log = spark.createDataFrame([(1, 5, 5, "apply", 0), (1, 9, 9, "clear", 0)], "recording_id bigint, event_seq bigint, sample_index bigint, event_type string, stimulus_index int")
+    n = spark.createDataFrame([(1, 20), (2, 20)], "recording_id bigint, n_samples bigint")
+    got = {r.recording_id: (r.status, r.n_events) for r in qc.events(log, n, ["recording_id"]).collect()}
+    assert got == {1: ("pass", 2), 2: ("skip", 0)}
