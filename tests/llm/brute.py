@@ -113,3 +113,28 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
             out[x] = most * sizes[x]
             free.discard(x)
     return out
+
+
+def jaccard_groups(rows, k=5):
+    """rows: (doc_id, text) -> {doc_id: smallest doc_id reachable over pairs of similarity 4/5 or more}"""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[a:a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+    has = {}
+    for i, s in sets.items():
+        for x in s or {()}:
+            has.setdefault(x, []).append(i)
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    for a, b in {(a, b) for ids in has.values() for a in ids for b in ids if a < b}:
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in up}

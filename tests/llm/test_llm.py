@@ -239,3 +239,23 @@ def test_mixing(spark, docs, empty, odd):
     mixed = mixing.apply(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(empty).count() == 0 and mixing.apply(empty).count() == 0 and mixing.mix(odd).count() == 4
+
+
+def family(rng, size, shared, words=300):
+    """Texts of which any two have the first ``shared`` words in common and no other shingle."""
+    base = [f"b{rng.randrange(10 ** 9)}" for _ in range(shared)]
+    return [" ".join(base + [f"o{rng.randrange(10 ** 9)}" for _ in range(words - shared)]) for _ in range(size)]
+
+
+def test_similar_links_exactly_from_the_limit_on(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        rows += [(1000 * k + i, t) for k, t in enumerate(family(rng, 2, rng.randrange(225, 295)))]
+    rows += [(5000 + 10 * i + k, t) for i in range(3) for k, t in enumerate(family(rng, 2, 270 + i))]
+    rows += [(9000 + i, t) for i, t in enumerate(family(rng, 40, 255))]        # clean documents, 0.73 alike
+    rows += [(9500, "same line again " * 50 + "x"), (9501, "same line again " * 90 + "x"), (9502, "a b"), (9503, "A  B")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.groups(df).collect()}
+    want = brute.jaccard_groups(rows)
+    assert got == want and 0 < sum(i != c for i, c in want.items()) < 400
