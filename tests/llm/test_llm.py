@@ -259,3 +259,28 @@ def test_similar_links_exactly_from_the_limit_on(spark):
     got = {r.doc_id: r.component_id for r in similar.groups(df).collect()}
     want = brute.jaccard_groups(rows)
     assert got == want and 0 < sum(i != c for i, c in want.items()) < 400
+
+
+@pytest.mark.parametrize("buckets", [1, 50, 5000])
+def test_similar_pairs_meet_at_any_size(buckets):
+    """Neither the number of buckets nor the order of shingles, all that depends on the size of the input, loses a pair of exactly the limit."""
+    from fractions import Fraction
+    rng = np.random.default_rng(buckets)
+    limit = Fraction(4, 5)
+    places, want = [], set()
+    for i in range(400):
+        both = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        own = [np.concatenate([both, rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) for _ in range(2)]
+        levels = rng.integers(0, 5, 1 << similar.SLOT_BITS).astype(np.uint8) if i % 50 == 0 else levels
+        for k, s in enumerate(own):
+            s = s[np.lexsort((s, levels[similar._slot(s)]))][:90 - 72 + 1]
+            p = np.zeros(len(s), similar.PLACE)
+            p["token"], p["doc"], p["root"], p["n"], p["pos"] = s, 2 * i + k, 2 * i + k, 90, np.arange(len(s))
+            places.append(p)
+        want.add((2 * i, 2 * i + 1))
+    p = np.concatenate(places)
+    for stars in (True, False):
+        got = set()
+        for b in range(buckets):
+            got |= set(map(tuple, similar._pairs_of(p[p["token"] % np.uint64(buckets) == b], limit, stars).tolist())) if (p["token"] % np.uint64(buckets) == b).any() else set()
+        assert got == want
