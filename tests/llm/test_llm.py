@@ -284,3 +284,13 @@ def test_similar_pairs_meet_at_any_size(buckets):
         for b in range(buckets):
             got |= set(map(tuple, similar._pairs_of(p[p["token"] % np.uint64(buckets) == b], limit, stars).tolist())) if (p["token"] % np.uint64(buckets) == b).any() else set()
         assert got == want
+
+
+def test_similar_siblings_in_a_large_family(spark):
+    """Pairs about 0.87 alike in a family of 1,200 otherwise about 0.73 alike: the smallest relative says nothing about them."""
+    rng = random.Random(8)
+    texts = [t.split() for t in family(rng, 600, 51, 60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000 + i, " ".join([*w[:-4], *(f"{x}z" for x in w[-4:])])) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.groups(df).collect()}
+    assert got == {i: i % 1000 for i, _ in rows} == brute.jaccard_groups(rows)
