@@ -20,10 +20,8 @@ from clampspark.llm.text import chunks, column, raw
 
 END = 2
 SHARD_IDS = 3 << 18
-ROUNDS = 8
 STEP = 8
 SLOT_BITS = 18
-MOST_SYMBOLS = 1 << 16
 LEAST = 16         # a pair must occur this often in a shard to become a rule
 PART_BYTES = 48 << 20
 CHUNK_BYTES = 2 << 20
@@ -105,26 +103,24 @@ def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
 
 
-def compress(ids: np.ndarray, lens: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
+def compress(ids: np.ndarray, lens: np.ndarray, base: int, least: int = LEAST):
     """Re-Pair of the documents of one shard: ``(symbols, symbols per document, rules, expansion lengths)``.
 
     ``base`` is the first nonterminal. Each round counts the adjacent pairs within documents and replaces all whose
     count reaches the round's threshold, which falls ``STEP``-fold per round from the count of the commonest pair. Where chosen
     pairs overlap, they are replaced left to right; of two that share a hash slot the commoner one is replaced, the other
-    in a later round.
+    in a later round. Rounds end when no pair occurs ``least`` times.
     """
     sym = ids.astype(np.int32)
     last = np.zeros(len(sym), bool)
     last[np.cumsum(lens) - 1] = True
     rules, limit = np.zeros((0, 2), np.int64), None
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         slot = _slots(sym[:-1], sym[1:])
         filled = np.bincount(slot, minlength=1 << SLOT_BITS)
         # A slot's count bounds that of its pairs, so only slots that reach the threshold are looked at pair by pair.
-        top, room = int(filled.max()), MOST_SYMBOLS - base - len(rules)
-        if top < least or room <= 0:
+        top = int(filled.max())
+        if top < least:
             break
         limit = max(least, (top if limit is None else min(top, limit)) // STEP)
         at = np.flatnonzero((filled >= limit)[slot] & ~last[:-1])
@@ -133,7 +129,11 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int, rounds: int = ROUNDS,
         head = np.flatnonzero(np.diff(ordered, prepend=-1))
         n = np.diff(np.append(head, len(ordered)))
         good = np.flatnonzero(n >= limit)
-        good = good[np.argsort(-n[good], kind="stable")][:room]  # symbols stay within 16 bits: the commonest pairs first
+        if not len(good):
+            if limit == least:
+                break
+            continue
+        good = good[np.argsort(-n[good], kind="stable")]
         pairs = ordered[head[good]]
         table = np.full(1 << SLOT_BITS, -1, np.int64)
         table[_slots(pairs[::-1] >> 32, pairs[::-1] & 0xFFFFFFFF)] = np.arange(len(pairs))[::-1]
@@ -154,8 +154,6 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int, rounds: int = ROUNDS,
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, last = sym[keep], last[keep]
-        if limit == least:
-            break
     size = np.ones(len(rules), np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         size[i] = (size[a - base] if a >= base else 1) + (size[b - base] if b >= base else 1)

@@ -96,6 +96,19 @@ def test_grammar_round_trip(seed):
     assert np.where(sym >= 1000, size[np.maximum(sym - 1000, 0)], 1).sum() == 5000
 
 
+@pytest.mark.parametrize("base", [1000, 65530, 70000])
+def test_grammar_leaves_no_frequent_pair(base):
+    rng = np.random.default_rng(base)
+    ids = rng.choice(rng.integers(0, base, 300), 60000)
+    lens = np.array([1, 19999, 40000])
+    sym, per_doc, rules, size = repair.compress(ids, lens, base, least=4)
+    assert np.array_equal(repair.expand(sym, rules, base), ids) and per_doc.sum() == len(sym)
+    inside = np.ones(len(sym), bool)
+    inside[np.cumsum(per_doc) - 1] = False
+    pairs = np.stack([sym[:-1], sym[1:]], 1)[inside[:-1]]
+    assert np.unique(pairs, axis=0, return_counts=True)[1].max() < 4 and len(rules) > 300
+
+
 def test_winnowing(spark, docs, empty, odd):
     for part_bytes in (1 << 30, 2000):   # one part; many parts
         got = {r.doc_id: r for r in winnow.neighbours(docs, part_bytes).collect()}
