@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clampspark.llm import chat, decontaminate, lang, mixing, quality, query, recompress, repair, secrets, simhash, winnow
+from clampspark.llm import chat, decontaminate, lang, mixing, packing, quality, query, recompress, repair, secrets, simhash, structure, whitening, winnow
 from clampspark.llm.text import small_batches
 from clampspark.session import scratch_path
 
@@ -110,6 +111,31 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query("op11_power_of_two")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document, with the sequence it fills: see ``packing.pieces``."""
+    out = packing.pieces(table(spark, d, "documents"), vocab("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_qdwh_whitening")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """First four whitened coordinates of every embedding: see ``whitening``."""
+    x = whitening.vectors(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    model = whitening.fit(x)
+    if model is None:  # no usable vector: no rows
+        model = whitening.Whitening(0, [0], np.zeros(0), np.zeros((1, 0)), 0.0, 0.0)
+    return whitening.apply(x, model)
+
+
+@query("op13_grammar_repair")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Every damaged conversation with its faults, its cheapest repair and that repair's hash: see ``structure``."""
+    conversations = table(spark, d, "conversations")
+    landed, edits = structure.analyse(structure.damaged(conversations))
+    return structure.digests(conversations, landed, edits)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The corpus pipeline of the repository top."""
