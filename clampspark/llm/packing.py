@@ -12,55 +12,117 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clampspark.llm.text import chunks, column, words
+from clampspark.llm.text import chunks, column, raw
 
 END = 1
 LONGEST = 2048
-CHUNK_BYTES = 2 << 20
-KNOWN_WORDS = 400_000  # words whose ids a task remembers; beyond that it begins anew
+CHUNK_BYTES = 4 << 20
+KNOWN_WORDS = 400_000  # units whose ids a task remembers; beyond that it begins anew
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 LEVEL_BITS, PART_BITS = 58, 32
 
 
+# Kinds of bytes: blank, letter, digit, other visible. Letters are those of ASCII and of U+00C0 to U+027F (two bytes each). Words with
+# anything else, an apostrophe or "<|" are encoded whole.
+_KIND = np.full(256, 4, np.int8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[0x21:0x7F] = 3
+_KIND[0x27] = 4
+for _b in range(0x21, 0x7F):
+    if chr(_b).isalnum():
+        _KIND[_b] = 2 if chr(_b).isdigit() else 1
+_KIND[0x80:0xC0] = _KIND[0xC3:0xCA] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+# The multiplication and division signs, the dotted capital I (two characters once lowered), and what control strings begin with.
+_HARD = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"<|")
+
+
+def units(buf: np.ndarray, off: np.ndarray):
+    """Bytes of what is encoded on its own, its lengths, whether it is a hard word, and where each document's begin."""
+    kind = _KIND[buf]
+    word, edge = kind != 0, np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    first = word & edge[:-1]
+    first[1:] |= word[1:] & ~word[:-1]
+    bad = kind == 4
+    for pair in _HARD:
+        bad[:-1] |= (buf[:-1] == pair[0]) & (buf[1:] == pair[1])
+    start = kind == 2
+    start[1:] |= kind[1:] != kind[:-1]
+    start &= word
+    data = _LOWER[buf]
+    hard = None
+    if bad.any():
+        number = np.cumsum(first)
+        hard = np.zeros(int(number[-1]) + 1, bool)
+        hard[number[bad]] = True
+        hard = hard[number] & word
+        start &= ~hard
+        data = np.where(hard, buf, data)  # case is kept: a control string must not arise from lowering one
+    start |= first
+    s = np.flatnonzero(start)
+    cuts = np.searchsorted(np.flatnonzero(word), s) if not word.all() else s
+    cuts = np.append(cuts, np.count_nonzero(word))
+    return data[word], cuts, np.zeros(len(s), bool) if hard is None else hard[s], np.searchsorted(s, off)
+
+
 def encoder(path: str):
     """Function from an Arrow text array to (ids, lengths), equal to encoding each text on its own.
 
-    No token of this vocabulary holds white space, so the words between ASCII blanks are encoded apart, each distinct one once.
+    This vocabulary drops white space and splits what is between into runs of letters, single digits and runs of other marks. ASCII
+    text is cut there, each distinct unit is encoded once, and units encoded together are told apart by their last token, which ends a word.
     """
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    for piece, i in tok.get_vocab().items():
+        ends[i] = piece.endswith("</w>")
     known: dict[bytes, int] = {}
-    flat, filled = np.zeros(1 << 16, np.int32), 0
-    begin, size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def learn(fresh: list[bytes]) -> None:
-        nonlocal flat, filled, begin, size
-        for at in range(0, len(fresh), 512):
-            for word, e in zip(fresh[at:at + 512], tok.encode_batch_fast([w.decode() for w in fresh[at:at + 512]], add_special_tokens=False)):
-                ids, i = e.ids, len(known)
-                if filled + len(ids) > len(flat):
-                    flat = np.concatenate([flat, np.zeros(max(len(flat), len(ids)), np.int32)])
-                if i == len(begin):
-                    begin, size = np.concatenate([begin, np.zeros_like(begin)]), np.concatenate([size, np.zeros_like(size)])
-                flat[filled:filled + len(ids)] = ids
-                begin[i], size[i], known[word] = filled, len(ids), i
-                filled += len(ids)
+    flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(easy: list[bytes], hard: list[bytes]) -> None:
+        nonlocal flat, begin, size
+        found, n = [flat], [size]
+        for at in range(0, len(easy), 1000):
+            ids = np.array(tok.encode_batch_fast([b" ".join(easy[at:at + 1000]).decode()], add_special_tokens=False)[0].ids, np.int32)
+            found.append(ids)
+            n.append(np.diff(np.flatnonzero(ends[ids]), prepend=-1))
+        for at in range(0, len(hard), 200):
+            many = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([w.decode() for w in hard[at:at + 200]], add_special_tokens=False)]
+            found += many
+            n.append(np.array([len(x) for x in many], np.int64))
+        known.update(zip([*easy, *hard], range(len(known), len(known) + len(easy) + len(hard))))
+        flat, size = np.concatenate(found), np.concatenate(n)
+        begin = np.cumsum(size) - size
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal filled
-        w = words(texts)
-        distinct = w.distinct.to_pylist()
+        nonlocal flat, begin, size
+        buf, off = raw(texts)
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        data, cuts, hard, bounds = units(buf, off)
+        enc = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        index = enc.indices.to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(enc.dictionary), bool)
+        whole[index] = hard
+        distinct = enc.dictionary.to_pylist()
         if len(known) + len(distinct) > KNOWN_WORDS:
             known.clear()
-            filled = 0
-        learn([x for x in distinct if x not in known])
-        at = np.array([known[x] for x in distinct], np.int64)[w.ids]
-        n = size[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        take = np.arange(total[-1]) + np.repeat(begin[at] - total[:-1], n)
-        return flat[take], np.diff(total[w.bounds])
+            flat, begin, size = flat[:0], begin[:0], size[:0]
+        at = np.fromiter((known.get(x, -1) for x in distinct), np.int64, len(distinct))
+        fresh = at < 0
+        if fresh.any():
+            easy, alone = np.flatnonzero(fresh & ~whole), np.flatnonzero(fresh & whole)
+            at[np.concatenate([easy, alone])] = len(known) + np.arange(len(easy) + len(alone))
+            learn([distinct[i] for i in easy], [distinct[i] for i in alone])
+        at = at[index]
+        m = size[at]
+        total = np.concatenate([[0], np.cumsum(m)])
+        take = np.arange(total[-1]) + np.repeat(begin[at] - total[:-1], m)
+        return flat[take], np.diff(total[bounds])
 
     return encode
 
