@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import BLOCK_SAMPLES, MIN_SWING_V, TTL_THRESHOLD_V
 from .blocks import edges
 from .intervals import first_at_or_after, slices
-from .ordered import join_small, ordinal, segment_of
+from .ordered import ordinal, segment_of
+from .store import Store, attach
 
 
 def frame_samples(blocks: DataFrame, keys: list[str], threshold: float = TTL_THRESHOLD_V) -> DataFrame:
@@ -16,20 +17,24 @@ def frame_samples(blocks: DataFrame, keys: list[str], threshold: float = TTL_THR
     return ordinal(e, keys, ["sample_index"], segment_of("sample_index"), "frame_no")
 
 
-def swing(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Lowest and highest value per key; each block is reduced before the shuffle."""
-    return blocks.groupBy(*keys).agg(
-        F.min(F.array_min("samples")).alias("lo"), F.max(F.array_max("samples")).alias("hi"),
-        F.sum(F.size("samples")).cast("bigint").alias("n_samples"),
-    )
+def thresholds(store: Store, min_swing: float = MIN_SWING_V) -> DataFrame:
+    """Midpoint of each key's lowest and highest value, from the store's nodes; null for flat keys."""
+    live = (F.col("n_samples") >= 2) & (F.col("hi") - F.col("lo") >= min_swing)
+    return store.swing().select(*store.keys, F.when(live, 0.5 * (F.col("lo") + F.col("hi"))).alias("threshold"))
+
 
+def adaptive_edges(store: Store, min_swing: float = MIN_SWING_V) -> DataFrame:
+    """Rising edges above each key's midpoint; flat keys have none and an initial high is no edge.
 
-def adaptive_edges(blocks: DataFrame, keys: list[str], min_swing: float = MIN_SWING_V) -> DataFrame:
-    """Rising edges above each key's midpoint; flat keys have none and an initial high is no edge."""
-    s = swing(blocks, keys).withColumn("threshold", F.when(
-        (F.col("n_samples") >= 2) & (F.col("hi") - F.col("lo") >= min_swing), 0.5 * (F.col("lo") + F.col("hi"))))
-    b = join_small(blocks, s.where("threshold IS NOT NULL").select(*keys, "threshold"), keys, F.col("block_no"))
-    t = F.col("threshold")
+    Only blocks that, with the sample before them, lie on both sides of the threshold are opened; the threshold travels to them.
+    """
+    keys, t = store.keys, F.col("threshold")
+    low, high = F.least("lo", F.when(~F.isnan("prior"), F.col("prior"))), F.greatest("hi", F.when(~F.isnan("prior"), F.col("prior")))
+    # A NaN is above any number in comparisons, and a missing sample below: blocks with either are opened too.
+    odd = (F.col("n_good") < F.col("n")) | F.isnan("prior")
+    z = store.per_block(thresholds(store, min_swing).where(t.isNotNull()), [low.alias("_low"), high.alias("_high"), F.coalesce(odd, F.lit(False)).alias("_odd")])
+    crossing = z.where(F.col("_odd") | ((F.col("_low") <= t) & (F.col("_high") > t))).select(*keys, "block_no", "threshold")
+    b = attach(store.blocks, crossing, keys)
     # Centre on the threshold so that the level test is one constant comparison.
     centred = b.select(
         *keys, "block_no", "block_start",
@@ -39,14 +44,11 @@ def adaptive_edges(blocks: DataFrame, keys: list[str], min_swing: float = MIN_SW
     return e.select(*keys, "sample_index")
 
 
-def adaptive_edge_counts(blocks: DataFrame, keys: list[str], min_swing: float = MIN_SWING_V) -> DataFrame:
-    s = swing(blocks, keys)
-    n = adaptive_edges(blocks, keys, min_swing).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"))
-    live = (F.col("n_samples") >= 2) & (F.col("hi") - F.col("lo") >= min_swing)
-    return s.join(n, keys, "left").select(
-        *keys, F.coalesce("n_edges", F.lit(0)).cast("bigint").alias("n_edges"),
-        F.when(live, 0.5 * (F.col("lo") + F.col("hi"))).alias("threshold"),
-    )
+def adaptive_edge_counts(store: Store, min_swing: float = MIN_SWING_V) -> DataFrame:
+    keys = store.keys
+    n = adaptive_edges(store, min_swing).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_edges"))
+    return thresholds(store, min_swing).join(n, keys, "left").select(
+        *keys, F.coalesce("n_edges", F.lit(0)).cast("bigint").alias("n_edges"), "threshold")
 
 
 def pair_frames(triggers: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,8 +85,15 @@ def regions_to_frames(regions: DataFrame, frames: DataFrame, keys: list[str], re
 
 def frame_windows(blocks: DataFrame, frames: DataFrame, keys: list[str], half: int,
                   size: int = BLOCK_SAMPLES) -> DataFrame:
-    """Slices of the trace within ``half`` samples of each frame. Windows outside the recording
-    have no slices; join them back by frame where they are wanted as missing."""
+    """Slices of the trace within ``half`` samples of each frame. A frame outside the recording has one row whose
+    ``part`` is null: its samples are missing."""
     w = frames.select(*keys, "frame_no", F.greatest(F.col("sample_index") - half, F.lit(0)).alias("start"),
                       (F.col("sample_index") + half).alias("end"))
-    return slices(blocks, w, keys, size)
+    met = slices(blocks, w, keys, size)
+    # Which blocks exist is told by their numbers alone; the samples are not read for it.
+    touched = w.where("end > start").withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
+    there = blocks.select(*keys, "block_no", (F.col("block_start") + F.size("samples")).alias("_end"), "block_start")
+    seen = attach(there, touched, keys).where((F.col("start") < F.col("_end")) & (F.col("end") > F.col("block_start"))).select(*keys, "frame_no").distinct()
+    gone = w.join(seen, [*keys, "frame_no"], "left_anti")
+    none = F.lit(None)
+    return met.unionByName(gone.withColumn("part_start", none.cast("bigint")).withColumn("part", none.cast(met.schema["part"].dataType)))

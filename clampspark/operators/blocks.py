@@ -11,7 +11,7 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BLOCK_SAMPLES, HALO_SAMPLES
@@ -131,20 +131,24 @@ def running_median(blocks: DataFrame, kernel: int, halo: int = HALO_SAMPLES) ->
     if kernel % 2 == 0 or halo < h + 1:
         raise ValueError("kernel must be odd and the halo at least kernel // 2 + 1")
 
-    schema = "samples array<double>, before array<double>, after array<double>"
-
-    @F.pandas_udf(schema)
-    def smooth(samples: pd.Series, before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, b, a in zip(samples, before, after):
-            x = np.concatenate([np.asarray(b, float), np.asarray(s, float), np.asarray(a, float)])
-            y = _median_same(x, kernel)
-            # A full halo means that the outermost values lack their own neighbours: drop them.
-            lo = h if len(b) >= halo else 0
-            hi = len(y) - (h if len(a) >= halo else 0)
-            nb, ns = len(b), len(s)
-            out.append((y[nb:nb + ns], y[lo:nb], y[nb + ns:hi]))
-        return pd.DataFrame(out, columns=["samples", "before", "after"])
-
     keep = [c for c in blocks.columns if c not in ("samples", "before", "after")]
-    return blocks.select(*keep, smooth("samples", "before", "after").alias("_s")).select(*keep, "_s.*")
+    arrays = ["samples", "before", "after"]
+
+    def smooth(batches):
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            out: list[list[np.ndarray]] = [[], [], []]
+            for i in range(batch.num_rows):
+                s, b, a = (col[c][i].values.to_numpy(zero_copy_only=False).astype(float) for c in arrays)
+                y = _median_same(np.concatenate([b, s, a]), kernel)
+                # A full halo means that the outermost values lack their own neighbours: drop them.
+                lo = h if len(b) >= halo else 0
+                hi = len(y) - (h if len(a) >= halo else 0)
+                nb, ns = len(b), len(s)
+                for o, part in zip(out, (y[nb:nb + ns], y[lo:nb], y[nb + ns:hi])):
+                    o.append(part)
+            yield pa.RecordBatch.from_arrays([*[col[c] for c in keep], *[pa.array(o, pa.list_(pa.float64())) for o in out]], names=[*keep, *arrays])
+
+    # A step of its own, not a column expression: filters behind it must not pull it in front of a join.
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keep).schema)
+    return blocks.select(*keep, *arrays).mapInArrow(smooth, f"{ddl}, samples array<double>, before array<double>, after array<double>")

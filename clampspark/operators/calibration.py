@@ -8,6 +8,8 @@ from ..config import BLOCK_SAMPLES
 from ..session import materialise
 from ..functions.scalar import array_median
 from .quantiles import exact_median, window_medians
+from .spectra import tones
+from .store import Store, attach
 
 
 def status_by(value: Column, warn: float, fail: float | None = None) -> Column:
@@ -93,29 +95,22 @@ def voltage_scaling(steps: DataFrame, keys: list[str], expected: float) -> DataF
     return g.withColumn("status", status_by(F.coalesce("worst_deviation", F.lit(0.0)), 0.05))
 
 
-def narrowband_rms(samples: DataFrame, lengths: DataFrame, keys: list[str], freqs: dict[str, float], rate: float) -> DataFrame:
+def narrowband_rms(store: Store, freqs: dict[str, float], rate: float) -> DataFrame:
     """RMS at single frequencies under a symmetric Hann window of the whole sweep.
 
-    Two sums per frequency, so a sweep of any length is reduced before the shuffle. ``samples``
-    has ``keys, sample_index, v``; ``lengths`` has ``keys, n_samples``.
+    The sweep's length travels to its blocks; each gives three numbers and more per frequency, which add up.
     """
-    from .ordered import join_small
-    i, n = F.col("sample_index"), F.col("n_samples")
-    s = join_small(samples, lengths, keys, i)
-    w = F.when(n > 1, 0.5 - 0.5 * F.cos(2 * F.pi() * i / (n - 1))).otherwise(F.lit(1.0))
-    s = s.withColumn("_w", w)
-    parts = [F.sum("_w").alias("_sw")]
-    for name, f in freqs.items():
-        a = F.lit(2 * 3.141592653589793 * f / rate) * i
-        parts += [F.sum(F.col("v") * F.col("_w") * F.cos(a)).alias(f"_c_{name}"), F.sum(F.col("v") * F.col("_w") * F.sin(a)).alias(f"_s_{name}")]
-    g = s.groupBy(*keys).agg(*parts)
+    keys = store.keys
+    b = attach(store.blocks.select(*keys, "block_no", "block_start", "samples"), store.per_block(store.lengths()), keys)
+    t = tones(b, keys, freqs, rate)
+    g = t.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in t.columns if c not in keys])
     return g.select(*keys, *[
-        (F.sqrt(F.lit(2.0)) * F.sqrt(F.col(f"_c_{k}") ** 2 + F.col(f"_s_{k}") ** 2) / F.col("_sw")).alias(k) for k in freqs])
+        (F.sqrt(F.lit(2.0)) * F.sqrt(F.col(f"c_{k}") ** 2 + F.col(f"s_{k}") ** 2) / F.col("sw")).alias(k) for k in freqs])
 
 
-def crosstalk(samples: DataFrame, lengths: DataFrame, keys: list[str], drive: float, background: float, rate: float) -> DataFrame:
+def crosstalk(store: Store, drive: float, background: float, rate: float) -> DataFrame:
     """Coupling at the drive frequency with the background bin taken out."""
-    g = narrowband_rms(samples, lengths, keys, {"drive_rms": drive, "background_rms": background}, rate)
+    g = narrowband_rms(store, {"drive_rms": drive, "background_rms": background}, rate)
     c = F.sqrt(F.greatest(F.lit(0.0), F.col("drive_rms") ** 2 - F.col("background_rms") ** 2))
     return g.withColumn("coupled_rms", c).withColumn("status", status_by(F.col("coupled_rms"), 0.01, 0.05))
 

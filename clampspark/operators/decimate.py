@@ -2,56 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .ordered import join_small
+from .blocks import unpack
+from .store import Store, attach, extremes
 
 
-def minmax_decimate(samples: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    """At most ``cap`` points per key: both extremes of each bin at their true index.
+def minmax_decimate(store: Store, cap: int) -> DataFrame:
+    """At most ``cap`` points per key: both extremes of each bin at their true index (of equal values the first; NaN counts as the highest).
 
     Keys with no more than ``cap`` samples pass unchanged. Otherwise ``cap // 2`` equal bins are
-    used; the samples behind the last whole bin belong to it.
+    used; the samples behind the last whole bin belong to it. Bins take whole nodes of the store and open only the blocks their borders cut.
     """
-    n = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    bins = max(2, cap // 2)
-    s = join_small(samples, n, keys, F.col("sample_index"))
-    size = F.floor(F.col("_n") / bins).cast("bigint")
-    small = F.col("_n") <= cap
-    s = s.withColumn("_bin", F.when(small, F.col("sample_index")).otherwise(F.least(F.floor(F.col("sample_index") / size), F.lit(bins - 1))))
-    at = F.col("sample_index")
-    g = s.groupBy(*keys, "_bin", small.alias("_small")).agg(
-        F.min(F.struct(F.col("v"), at.alias("i"))).alias("lo"),
-        F.max(F.struct(F.col("v"), (-at).alias("i"))).alias("hi"),
-    )
-    lo = F.struct(F.col("lo.i").alias("sample_index"), F.col("lo.v").alias("v"))
-    hi = F.struct((-F.col("hi.i")).alias("sample_index"), F.col("hi.v").alias("v"))
-    pair = F.when(F.col("_small"), F.array(lo)).otherwise(F.array(lo, hi))
-    return g.select(*keys, F.explode(pair).alias("_p")).select(*keys, "_p.sample_index", "_p.v")
-
-
-def minmax_envelope(samples: DataFrame, lengths: DataFrame, keys: list[str], columns: int) -> DataFrame:
+    keys, bins = store.keys, max(2, cap // 2)
+    n = store.lengths()
+    size = F.floor(F.col("n_samples") / bins).cast("bigint")
+    wide = n.where(F.col("n_samples") > cap).select(*keys, "n_samples", size.alias("_w"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
+    w = wide.select(*keys, "bin", "n_samples", (F.col("bin") * F.col("_w")).alias("start"),
+                    F.when(F.col("bin") == bins - 1, F.col("n_samples")).otherwise((F.col("bin") + 1) * F.col("_w")).alias("end"))
+    g = extremes(store, w, ["bin"])
+    nan = F.lit(float("nan"))
+    lo = F.struct(F.coalesce("lo_at", "nan_at").alias("sample_index"), F.when(F.col("lo").isNotNull(), F.col("lo")).otherwise(nan).alias("v"))
+    hi = F.struct(F.coalesce("nan_at", "hi_at").alias("sample_index"), F.when(F.col("nan_at").isNotNull(), nan).otherwise(F.col("hi")).alias("v"))
+    pairs = g.select(*keys, F.explode(F.array(lo, hi)).alias("_p")).where("_p.sample_index IS NOT NULL").select(*keys, "_p.sample_index", "_p.v")
+    few = store.per_block(n.where(F.col("n_samples") <= cap).select(*keys))
+    whole = attach(store.blocks.select(*keys, "block_no", "block_start", "samples"), few, keys)
+    return unpack(whole, keys).unionByName(pairs)
+
+
+def minmax_envelope(store: Store, columns: int) -> DataFrame:
     """Lowest and highest valid value in each of ``columns`` overlapping bins, null where none.
 
     Bin edges are ``n / columns`` apart; a bin reaches from the floor of its left edge to the
     ceiling of its right one, so a sample on a fractional edge counts in both neighbours.
     """
-    n, i = F.col("n_samples"), F.col("sample_index")
-    s = join_small(samples, lengths, keys, i)
-    guess = F.floor(i * columns / n).cast("bigint")
-    near = F.sequence(F.greatest(guess - 1, F.lit(0)), F.least(guess + 1, F.lit(columns - 1)))
-
-    # Edge c sits at c * (n / columns), multiplied in this order; the last edge is n itself.
-    def covers(c: Column) -> Column:
-        right = F.when(c == columns - 1, n).otherwise(F.least(F.ceil((c + 1) * (n / columns)), n))
-        return (i >= F.floor(c * (n / columns))) & (i < right)
-
-    s = s.withColumn("column_no", F.explode(F.filter(near, covers)))
-    valid = F.when(~F.isnan("v"), F.col("v"))
-    g = s.groupBy(*keys, "column_no").agg(F.min(valid).alias("col_min"), F.max(valid).alias("col_max"))
+    c, n = F.col("column_no"), F.col("n_samples")
     grid = F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))
-    full = lengths.select(*keys, F.explode(grid).alias("column_no"))
-    return full.join(g, [*keys, "column_no"], "left")
+    full = store.lengths().select(*store.keys, "n_samples", F.explode(grid).alias("column_no"))
+    # Edge c sits at c * (n / columns), multiplied in this order; the last edge is n itself.
+    w = full.withColumn("start", F.floor(c * (n / columns))).withColumn("end", F.when(c == columns - 1, n).otherwise(F.least(F.ceil((c + 1) * (n / columns)), n)))
+    g = extremes(store, w, ["column_no"]).select(*store.keys, "column_no", F.col("lo").alias("col_min"), F.col("hi").alias("col_max"))
+    return full.drop("n_samples").join(g, [*store.keys, "column_no"], "left")
 
 
 def stride(samples: DataFrame, k: int, limit: int | None = None) -> DataFrame:

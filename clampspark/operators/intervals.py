@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import BLOCK_SAMPLES
 from ..session import materialise
 from .ordered import running, segment_of
+from .store import attach
 
 
 def slices(blocks: DataFrame, windows: DataFrame, keys: list[str], size: int = BLOCK_SAMPLES,
-           start: str = "start", end: str = "end") -> DataFrame:
+           start: str = "start", end: str = "end", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Range join of blocks with half-open windows.
 
     A window is spread over the blocks it touches and joined on ``(keys, block_no)``, so one long
-    recording is spread too. Yields the window's columns with ``part_start`` and ``part``, the
-    samples shared by block and window.
+    recording is spread too. On a stored block table only the windows are shuffled. Yields the window's columns
+    with ``part_start`` and ``part``, the samples shared by block and window. ``prepare`` is applied to the blocks that
+    are met, halos included (a filter, say), after the join: a Python step before it would hide how they are stored.
     """
     w = windows.where(F.col(end) > F.col(start)).withColumn(
         "block_no",
         F.explode(F.sequence(F.floor(F.col(start) / size).cast("bigint"),
                              F.floor((F.col(end) - 1) / size).cast("bigint"))),
     )
-    b = blocks.select(*keys, "block_no", "block_start", "samples")
+    halos = ["before", "after"] if prepare else []
+    b = blocks.select(*keys, "block_no", "block_start", "samples", *halos)
     lo = F.greatest(F.col(start), F.col("block_start"))
     hi = F.least(F.col(end), F.col("block_start") + F.size("samples"))
-    j = b.join(w, [*keys, "block_no"])
+    j = attach(b, w, keys)
+    if prepare:
+        j = prepare(j)
     j = j.withColumn("part_start", lo).withColumn("_len", (hi - lo).cast("int")).where("_len > 0")
     part = F.slice("samples", (F.col("part_start") - F.col("block_start") + 1).cast("int"),
                    F.greatest(F.col("_len"), F.lit(0)))
@@ -33,9 +40,9 @@ def slices(blocks: DataFrame, windows: DataFrame, keys: list[str], size: int = B
 
 
 def samples_in(blocks: DataFrame, windows: DataFrame, keys: list[str], size: int = BLOCK_SAMPLES,
-               start: str = "start", end: str = "end") -> DataFrame:
+               start: str = "start", end: str = "end", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Long form of :func:`slices`: the window's columns with ``sample_index`` and ``v``."""
-    s = slices(blocks, windows, keys, size, start, end)
+    s = slices(blocks, windows, keys, size, start, end, prepare)
     return s.select(*windows.columns, "part_start", F.posexplode("part").alias("_p", "v")).select(
         *windows.columns, (F.col("part_start") + F.col("_p")).alias("sample_index"), "v"
     )

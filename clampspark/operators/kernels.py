@@ -65,24 +65,21 @@ def line_power(samples: Column, rate: int, freqs=LINE_FREQS_HZ, band: float = LI
     return kernel(samples)
 
 
-def _lag(expected: np.ndarray, recorded: np.ndarray) -> int:
+def lag_of(expected: np.ndarray, recorded: np.ndarray) -> int:
     size = 1 << int(expected.size + recorded.size - 1).bit_length()
     full = np.fft.irfft(np.fft.rfft(recorded, size) * np.conj(np.fft.rfft(expected, size)), size)
     full = np.concatenate([full[size - expected.size + 1:], full[: recorded.size]])
     return int(np.argmax(np.abs(full))) - (expected.size - 1)
 
 
-@F.pandas_udf(T.LongType())
-def _lag_udf(expected: pd.Series, recorded: pd.Series, mean_e: pd.Series, mean_r: pd.Series, flat: pd.Series) -> pd.Series:
-    return pd.Series([
-        0 if f or not len(e) or not len(r) else _lag(np.asarray(e, float) - a, np.asarray(r, float) - b)
-        for e, r, a, b, f in zip(expected, recorded, mean_e, mean_r, flat)], dtype="int64")
-
-
 def xcorr_lag(expected: Column, recorded: Column, mean_e: Column, mean_r: Column, flat: Column) -> Column:
     """Lag in samples at the largest absolute cross-correlation, positive when ``recorded``
     trails; 0 for flat input. The whole of both arrays counts."""
-    return _lag_udf(expected, recorded, mean_e, mean_r, flat)
+    @F.pandas_udf(T.LongType())
+    def lag(e: pd.Series, r: pd.Series, a: pd.Series, b: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([0 if k or not len(x) or not len(y) else lag_of(np.asarray(x, float) - m, np.asarray(y, float) - n)
+                          for x, y, m, n, k in zip(e, r, a, b, f)], dtype="int64")
+    return lag(expected, recorded, mean_e, mean_r, flat)
 
 
 def _fit_decay(y: np.ndarray, rate: int) -> tuple:

@@ -9,6 +9,7 @@ handles one row per segment.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import RAIL_BAND_V, RAIL_V, SAMPLE_RATE
 from ..functions.scalar import not_finite
-from ..operators.intervals import merge_overlaps, slices
-from ..operators.kernels import line_power, xcorr_lag
+from ..operators.correlate import lags
+from ..operators.intervals import merge_overlaps, samples_in, slices
 from ..operators.ordered import join_small, neighbour, null_safe_join, ordinal, segment_of
+from ..operators.spectra import merged_power, piece_errors, spectra
 from ..session import materialise
 
 
@@ -247,13 +248,16 @@ def trial_baseline_windows(trials: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, F.lit(0).cast("bigint").alias("start"), F.greatest(F.lit(1).cast("bigint"), (F.col("_n") * 0.1).cast("bigint")).alias("end"))
 
 
-def baseline_rms(samples: DataFrame, windows: DataFrame, keys: list[str], group: list[str], least: int = 1000) -> DataFrame:
-    """Population standard deviation inside the baseline window; skipped below ``least`` samples."""
-    s = join_small(samples, windows.select(*keys, "start", "end"), keys, F.col("sample_index"))
-    inside = (F.col("sample_index") >= F.col("start")) & (F.col("sample_index") < F.col("end"))
-    g = s.groupBy(*group).agg(F.stddev_pop(F.when(inside, F.col("v"))).alias("rms_v"), F.max(F.col("end") - F.col("start")).alias("n_window"))
+def baseline_rms(blocks: DataFrame, windows: DataFrame, keys: list[str], group: list[str], size: int, least: int = 1000) -> DataFrame:
+    """Population standard deviation inside the baseline window; skipped below ``least`` samples.
+
+    ``windows`` has ``keys, group, start, end``; the samples of their blocks are summed where they lie.
+    """
+    w = windows.select(*dict.fromkeys([*keys, *group]), "start", "end")
+    g = samples_in(blocks, w.where(F.col("end") - F.col("start") >= least), keys, size).groupBy(*group).agg(F.stddev_pop("v").alias("rms_v"))
+    n = w.groupBy(*group).agg(F.max(F.greatest(F.col("end") - F.col("start"), F.lit(0))).alias("n_window"))
     ok = F.col("n_window") >= least
-    return g.withColumn("rms_v", F.when(ok, F.col("rms_v"))).withColumn("status", F.when(ok, "pass").otherwise("skip"))
+    return null_safe_join(n, g, group, "left").withColumn("status", F.when(ok, "pass").otherwise("skip"))
 
 
 def drift(samples: DataFrame, keys: list[str], rate: int) -> DataFrame:
@@ -272,18 +276,14 @@ def line_share(blocks: DataFrame, keys: list[str], rate: int, **bands) -> DataFr
     """Line-frequency share of whole recordings by Welch's method: ``keys, line_fraction``; null below one second, without
     any power, or with a sample that is not finite.
 
-    A one-second segment gathers its samples from the blocks it touches. Each segment yields two numbers, whose sums
-    are the powers of the averaged spectrum, so no recording is held in one task.
+    Half-overlapping one-second segments inside a block are summed where the block lies. Of a segment that crosses blocks only its
+    partial spectra travel: a few sums per block, which add up. No sample is shuffled.
     """
-    hop = rate - rate // 2
-    at, n, seg = F.col("block_start"), F.size("samples"), F.col("_seg")
-    first = F.greatest(F.lit(0), F.floor((at - rate) / hop) + 1).cast("bigint")
-    p = blocks.select(*keys, "block_start", "samples", F.explode(F.sequence(first, F.floor((at + n - 1) / hop).cast("bigint"))).alias("_seg"))
-    lo, hi = F.greatest(seg * hop, at), F.least(seg * hop + rate, at + n)
-    p = p.select(*keys, "_seg", F.struct(lo.alias("at"), F.slice("samples", (lo - at + 1).cast("int"), (hi - lo).cast("int")).alias("part")).alias("_p"))
-    p = p.groupBy(*keys, "_seg").agg(F.sort_array(F.collect_list("_p")).alias("_p"))
-    p = p.select(*keys, line_power(F.flatten(F.transform("_p", lambda s: s["part"])), rate, **bands).alias("_w"))
-    g = p.groupBy(*keys).agg(F.sum("_w.line").alias("_line"), F.sum("_w.total").alias("_total"), F.min("_w.good").alias("_good"))
+    parts = spectra(blocks, keys, rate, **bands)
+    cut = parts.where("_seg IS NOT NULL").groupBy(*keys, "_seg").agg(F.collect_list("_part").alias("_p"), F.min("_good").alias("_good"))
+    cut = cut.select(*keys, merged_power(F.col("_p"), rate, **bands).alias("_w"), "_good").select(*keys, F.col("_w.line").alias("_line"), F.col("_w.total").alias("_total"), "_good")
+    g = parts.where("_seg IS NULL").select(*keys, "_line", "_total", "_good").unionByName(cut).groupBy(*keys).agg(
+        F.sum("_line").alias("_line"), F.sum("_total").alias("_total"), F.min("_good").alias("_good"))
     return g.select(*keys, F.when(F.col("_good") & (F.col("_total") > 0), F.col("_line") / F.nullif(F.col("_total"), F.lit(0.0))).alias("line_fraction"))
 
 
@@ -304,26 +304,19 @@ def noise_floor(blocks: DataFrame, keys: list[str], rate: int, scale: float = 1.
 
 # ---- commanded against recorded -------------------------------------------------------------
 
-def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size: int, rate: int, with_lag: bool = True) -> DataFrame:
+def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size: int, rate: int, with_lag: bool = True, **lag_sizes) -> DataFrame:
     """Per trial: peak command, RMS error, peak error and lag over the overlap.
 
     ``trials`` is a block table keyed by ``keys`` (recording and trial); ``segments`` has the same
-    keys with ``seg_start, seg_end, volts``. The command is expanded to samples only for the lag,
-    one trial at a time.
+    keys with ``seg_start, seg_end, volts``. Errors are summed where the blocks lie; for the lag of trials that are not flat, the
+    samples move once, in pieces (see ``correlate``).
     """
-    s = slices(trials, segments, keys, size, "seg_start", "seg_end")
-    err = F.transform("part", lambda x: x - F.col("volts"))
-    s = s.withColumn("_err", err)
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
-    piece = F.struct("part_start", "part", "volts")
-    g = s.groupBy(*keys).agg(
-        *([F.array_sort(F.collect_list(piece)).alias("_p")] if with_lag else []),
-        F.sum(F.size("part")).cast("bigint").alias("n_samples"), F.max(F.abs("volts")).alias("peak_cmd_v"),
-        F.sum(total("_err", lambda x: x * x)).alias("_sq"),
-        F.max(F.array_max(F.transform("_err", F.abs))).alias("peak_error_v"),
-        F.sum(F.col("volts") * F.size("part")).alias("_se"), F.sum(total("part", lambda x: x)).alias("_sr"),
-        F.min("volts").alias("_e0"), F.max("volts").alias("_e1"),
-        F.min(F.array_min("part")).alias("_r0"), F.max(F.array_max("part")).alias("_r1"))
+    seg = segments.select(*keys, "seg_start", "seg_end", "volts")
+    p = piece_errors(slices(trials, seg, keys, size, "seg_start", "seg_end"), keys)
+    g = p.groupBy(*keys).agg(
+        F.sum("n").alias("n_samples"), F.max(F.abs("volts")).alias("peak_cmd_v"), F.sum("sq").alias("_sq"), F.max("worst").alias("peak_error_v"),
+        F.sum(F.col("volts") * F.col("n")).alias("_se"), F.sum("total").alias("_sr"), F.min("volts").alias("_e0"), F.max("volts").alias("_e1"),
+        F.min("lo").alias("_r0"), F.max("hi").alias("_r1"), F.min("part_start").alias("_first"), F.max(F.col("part_start") + F.col("n")).alias("_stop"))
     n = F.col("n_samples")
     g = g.withColumn("rmse_v", F.sqrt(F.col("_sq") / n)).withColumn("_me", F.col("_se") / n).withColumn("_mr", F.col("_sr") / n)
     reach = lambda lo, hi, m: F.greatest(F.abs(F.col(lo) - F.col(m)), F.abs(F.col(hi) - F.col(m)))
@@ -333,9 +326,11 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     status = F.when(F.col("rmse_v") > fail, "fail").when(F.col("rmse_v") > warn, "warn").otherwise("pass")
     if not with_lag:
         return g.withColumn("status", status).drop(*[c for c in g.columns if c.startswith("_")])
-    rec = F.flatten(F.transform("_p", lambda x: x["part"]))
-    exp = F.flatten(F.transform("_p", lambda x: F.array_repeat(x["volts"], F.size(x["part"]))))
-    j = g.withColumn("timing_offset_ms", xcorr_lag(exp, rec, F.col("_me"), F.col("_mr"), F.col("_flat")) / rate * 1000.0)
+    g = materialise(g, "command-errors")
+    known = g.where("not _flat").select(*keys, "_first", (F.col("_stop") - F.col("_first")).alias("n"), F.col("_mr").alias("mean_r"), F.col("_me").alias("mean_e"))
+    pieces = slices(trials, null_safe_join(seg, known, keys), keys, size, "seg_start", "seg_end").select(
+        *keys, (F.col("part_start") - F.col("_first")).alias("at"), F.col("part").alias("rec"), F.col("volts").alias("level"), "n", "mean_r", "mean_e")
+    j = null_safe_join(g, lags(pieces, keys, **lag_sizes), keys, "left").withColumn("timing_offset_ms", F.coalesce("lag", F.lit(0)) / rate * 1000.0).drop("lag")
     late = F.abs("timing_offset_ms")
     both = F.when((F.col("rmse_v") > fail) | (late > 5.0), "fail").when((F.col("rmse_v") > warn) | (late > 1.0), "warn").otherwise("pass")
     return j.withColumn("status", both).drop(*[c for c in j.columns if c.startswith("_")])

@@ -60,9 +60,9 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
                protocol_runs: DataFrame, keys: list[str], s: StepSettings = StepSettings()) -> DataFrame:
     """One row per staircase, unrounded: times, steps, amplitude range, resting level, resistance.
 
-    ``command`` and ``response`` are block tables in display units (pA, mV); ``protocol_runs`` has
-    ``run_seq, start_sample, has_pulse``. All medians come from one interval
-    join: pulses on the command, baselines and the last half of leading pulses on the response.
+    ``command`` and ``response`` are stored block tables in display units (pA, mV); ``protocol_runs`` has
+    ``run_seq, start_sample, has_pulse``. Medians come from two interval
+    joins: pulses on the command, baselines and the last half of leading pulses on the response.
     """
     smooth = smooth_command(command, s)
     pulses = detect(smooth, events, lengths, keys, s)
@@ -71,26 +71,18 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
     first = pulses.groupBy(*stair).agg(F.min_by("offset", "onset").alias("offset"), F.min("onset").alias("onset"))
     margin = ms_count(s.margin_ms, s.rate)
 
-    def window(df: DataFrame, channel: int, kind: str, start, end) -> DataFrame:
-        return df.select(*keys, F.lit(channel).alias("_ch"), "apply_sample", F.lit(kind).alias("_kind"), "onset",
-                         start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+    def window(df: DataFrame, kind: str, start, end) -> DataFrame:
+        return df.select(*keys, "apply_sample", F.lit(kind).alias("_kind"), "onset", start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
 
     on, off = F.col("onset"), F.col("offset")
-    wanted = (
-        window(pulses, 1, "amp", on, off)
-        .unionByName(window(first, 0, "base", F.col("apply_sample"), F.greatest(F.col("apply_sample"), on - margin)))
-        .unionByName(window(first, 0, "steady", on + F.floor((off - on) / 2), off))
-    )
-    cols = [*keys, "block_no", "block_start", "samples"]
-    wanted = materialise(wanted, "median-windows")
-    both = smooth.select(*cols).withColumn("_ch", F.lit(1)).unionByName(response.select(*cols).withColumn("_ch", F.lit(0)))
-    med = window_medians(both, wanted, [*keys, "_ch"], [*stair, "_kind", "onset"], "_m", s.block)
-    med = materialise(med, "medians")
-
-    amps = med.where("_kind = 'amp'").select(*stair, "onset", F.col("_m").alias("amplitude"))
-    sides = med.where("_kind <> 'amp'").groupBy(*stair).agg(
+    sides = materialise(window(first, "base", F.col("apply_sample"), F.greatest(F.col("apply_sample"), on - margin))
+                        .unionByName(window(first, "steady", on + F.floor((off - on) / 2), off)), "side-windows")
+    # The command is smoothed after its blocks have met their windows: they stay where they are stored.
+    amps = window_medians(command, window(pulses, "amp", on, off), keys, [*stair, "onset"], "amplitude", s.block, prepare=lambda b: smooth_command(b, s))
+    sides = materialise(window_medians(response, sides, keys, [*stair, "_kind"], "_m", s.block), "medians").groupBy(*stair).agg(
         F.max(F.when(F.col("_kind") == "base", F.col("_m"))).alias("rmp_mV"),
         F.max(F.when(F.col("_kind") == "steady", F.col("_m"))).alias("_steady"))
+    amps = materialise(amps, "amplitudes")
 
     p = pulses.join(amps, [*stair, "onset"]).join(first.select(*stair, F.col("onset").alias("_on0")), stair)
     lead = F.col("onset") == F.col("_on0")

@@ -7,7 +7,7 @@ from clampspark.plans import qc
 from . import query
 from .quality import LINE
 from .sequences import ADAPTIVE
-from .views import BLOCK, KEY, RATE, blk, rec_lengths, sig, sig_blocks, sql, table
+from .views import KEY, RATE, blk, sig_blocks, sig_store, sql, table
 
 TR = ["recording_id", "trial_index"]
 
@@ -42,9 +42,8 @@ def loopback_latency(spark, d):
     FROM r LEFT JOIN (SELECT recording_id, count(*) AS ne, avg(per) AS mp, stddev_pop(per) AS sp FROM (
         SELECT recording_id, (sample_index - lag(sample_index) OVER (PARTITION BY recording_id ORDER BY sample_index)) / 1000.0::DOUBLE AS per FROM h WHERE h AND NOT p) GROUP BY 1) USING (recording_id)""", **ADAPTIVE))
 def ttl_stability(spark, d):
-    b = sig_blocks(spark, d)
-    keys = align.swing(b, KEY).select("recording_id", F.when(F.col("hi") - F.col("lo") >= 200, 1).alias("threshold"))
-    r = C.period_stability(align.adaptive_edges(b, KEY, 200.0), keys, KEY, RATE, 200.0)
+    s = sig_store(spark, d)
+    r = C.period_stability(align.adaptive_edges(s, 200.0), align.thresholds(s, 200.0), KEY, RATE, 200.0)
     return r.select("recording_id", "n_edges", F.round("observed_rate_hz", 6).alias("observed_rate_hz"), F.round("jitter_frac", 6).alias("jitter_frac"), "status")
 
 
@@ -53,7 +52,7 @@ def ttl_stability(spark, d):
       SELECT recording_id, sum(w) AS sw, sum(v * w * cos(2 * pi() * 137 * i / 1000)) AS c1, sum(v * w * sin(2 * pi() * 137 * i / 1000)) AS s1, sum(v * w * cos(2 * pi() * 147 * i / 1000)) AS c2, sum(v * w * sin(2 * pi() * 147 * i / 1000)) AS s2
       FROM (SELECT recording_id, v, sample_index AS i, 0.5 - 0.5 * cos(2 * pi() * sample_index / (n_samples - 1)) AS w FROM sig JOIN len USING (recording_id)) GROUP BY 1)))"""))
 def narrowband_rms(spark, d):
-    r = C.crosstalk(sig(spark, d), rec_lengths(spark, d), KEY, 137.0, 147.0, RATE)
+    r = C.crosstalk(sig_store(spark, d), 137.0, 147.0, RATE)
     return r.select("recording_id", *[F.round(c, 6).alias(c) for c in ("drive_rms", "background_rms", "coupled_rms")], "status")
 
 

@@ -117,4 +117,4 @@ def region_to_frames(spark, d):
 def frame_window(spark, d):
     s = align.frame_windows(sig_blocks(spark, d), frames(spark, d), KEY, 5, BLOCK)
     return s.groupBy("recording_id", "frame_no").agg(
-        F.sum(F.size("part")).cast("bigint").alias("n"), F.min(F.array_min("part")).alias("lo"), F.max(F.array_max("part")).alias("hi"))
+        F.sum(F.coalesce(F.size("part"), F.lit(0))).cast("bigint").alias("n"), F.min(F.array_min("part")).alias("lo"), F.max(F.array_max("part")).alias("hi"))

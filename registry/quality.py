@@ -11,7 +11,7 @@ from .intervals import PAIRED
 from .scalars import CHANNELS_SQL, channels
 from .sequences import ADAPTIVE
 from .stimuli import PIECES, segments
-from .views import BLOCK, CH, KEY, RATE, blk, evt, rec, rec_lengths, sig, sig_blocks, sql, table
+from .views import BLOCK, CH, KEY, RATE, TRIAL, dealt_store, evt, rec, rec_lengths, sig, sig_blocks, sig_store, sql, table, trial_store
 
 NAMED = """SELECT recording_id, sample_index, v / 40 AS v, k % 5 AS channel_index, name FROM sig
     JOIN ch ON ch.channel_index = sig.k % 5 AND ch.clamp_mode = 'current_clamp'"""
@@ -81,8 +81,10 @@ def qc_dc_offset(spark, d):
         LEFT JOIN (SELECT recording_id, min(sample_index) AS a FROM evt WHERE event_type = 'apply' GROUP BY 1) USING (recording_id)"""))
 def qc_baseline_rms(spark, d):
     w = qc.baseline_windows(rec_lengths(spark, d), evt(spark, d), KEY)
-    named = channel_samples(spark, d).join(cc(spark).select("channel_index", "name"), "channel_index").where(F.col("name").isin(SIGNAL_CHANNELS))
-    r = qc.baseline_rms(named, w, KEY, ["recording_id", "name"], least=3)
+    store = dealt_store(spark, d)
+    # Channels are told by the nodes: a recording lacks a row for a channel without samples.
+    there = store.zones().where("n_good > 0").select(*CH).distinct().join(cc(spark).where(F.col("name").isin(SIGNAL_CHANNELS)).select("channel_index", "name"), "channel_index")
+    r = qc.baseline_rms(store.blocks, there.join(w, KEY), CH, ["recording_id", "name"], BLOCK, least=3)
     return r.select("recording_id", "name", F.round("rms_v", 6).alias("rms_v"), "status")
 
 
@@ -165,7 +167,7 @@ def qc_trials(spark, d):
     FROM (SELECT r.recording_id, coalesce(count(*) FILTER (WHERE h AND NOT p), 0) AS n_edges FROM r LEFT JOIN h USING (recording_id) GROUP BY 1) e
     JOIN (SELECT user_id AS recording_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS f, CASE WHEN user_id % 10 = 0 THEN 1 ELSE 0 END AS u FROM events GROUP BY 1, 3) v USING (recording_id)""", **ADAPTIVE))
 def qc_ttl_frames(spark, d):
-    e = align.adaptive_edge_counts(sig_blocks(spark, d), KEY, 200.0)
+    e = align.adaptive_edge_counts(sig_store(spark, d), 200.0)
     ev = table(spark, d, "events").select(F.col("user_id").alias("recording_id"), "event_type")
     v = ev.groupBy("recording_id").agg(F.count_if(F.col("event_type") == "click").alias("frame_count"))
     broken = v.where("recording_id % 10 = 0").select("recording_id", F.lit(None).cast("bigint").alias("frame_count"))
@@ -204,10 +206,9 @@ CMD = dict(**PIECES, pr="""SELECT bs.recording_id, bs.trial_index, sample_index,
 
 def trial_pairs(spark, d):
     """Recorded trials of 64 samples and the segments of the stimulus numbered like their vector."""
-    b = blk(spark, d)
-    trials = b.select("recording_id", "trial_index", F.lit(0).cast("bigint").alias("block_no"), F.lit(0).cast("bigint").alias("block_start"), "samples")
-    seg = segments(spark, d).join(b.select(F.col("vec_id").alias("stimulus_index"), "recording_id", "trial_index"), "stimulus_index")
-    return trials, seg
+    trials = trial_store(spark, d).blocks
+    seg = segments(spark, d).join(trials.select(F.col("vec_id").alias("stimulus_index"), *TRIAL), "stimulus_index")
+    return trials.drop("vec_id"), seg
 
 
 @query("cmd_vs_rec", sql("stim bs", "SELECT recording_id, trial_index, count(*) AS n, round(sum((v - volts) * (v - volts)), 6) AS sq FROM pr GROUP BY 1, 2", **CMD))

@@ -7,7 +7,7 @@ from clampspark.plans import steps
 from clampspark.session import materialise
 from . import query
 from .intervals import APPLY
-from .views import BLOCK, HALO, KEY, RATE, blk, channel_blocks, evt, proto, rec_lengths, sig, sql
+from .views import BLOCK, HALO, KEY, RATE, blk, channel_store, evt, proto, rec_lengths, sql
 
 SETTINGS = steps.StepSettings(rate=RATE, block=BLOCK, halo=HALO, min_amp=60.0, min_step_ms=2.0, max_gap_ms=5.0, margin_ms=1.0)
 
@@ -42,8 +42,7 @@ INTRINSICS = sql("two evt len proto", """SELECT recording_id, CAST(row_number()
 
 
 def run(spark, d):
-    b = channel_blocks(spark, d)
-    cmd, vm = (b.where(F.col("channel_index") == c).drop("channel_index") for c in (2, 0))
+    cmd, vm = (channel_store(spark, d, c).blocks for c in (2, 0))
     return steps.intrinsics(cmd, vm, evt(spark, d), rec_lengths(spark, d), proto(spark, d), KEY, SETTINGS)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from clampspark.operators import align, blocks as B, decimate, pulses as P
 from clampspark.session import materialise
 from . import query
-from .views import BLOCK, CH, HALO, KEY, blk, rec_lengths, sig, sig_blocks, sql, two_channels
+from .views import BLOCK, CH, HALO, KEY, sig, sig_blocks, sig_store, sql
 
 EDGE = """SELECT *, lag(v >= 60, 1, false) OVER (PARTITION BY recording_id ORDER BY sample_index) AS prev FROM sig"""
 ISLANDS = """SELECT recording_id, sample_index, v, sample_index - row_number() OVER (PARTITION BY recording_id ORDER BY sample_index) AS g
@@ -30,7 +30,7 @@ ADAPTIVE = dict(
     CASE WHEN n >= 2 AND hi - lo >= 200 THEN round(0.5 * (lo + hi), 6) END AS threshold
     FROM r LEFT JOIN h USING (recording_id) GROUP BY r.recording_id, n, lo, hi""", **ADAPTIVE))
 def edges_adaptive(spark, d):
-    return align.adaptive_edge_counts(sig_blocks(spark, d), KEY, 200.0).withColumn("threshold", F.round("threshold", 6))
+    return align.adaptive_edge_counts(sig_store(spark, d), 200.0).withColumn("threshold", F.round("threshold", 6))
 
 
 @query("pulse_detect", sql("sig", "SELECT recording_id, onset, stop, round(amplitude, 6) AS amplitude FROM p", isl=ISLANDS, p=PULSES))
@@ -80,7 +80,7 @@ def running_median(spark, d):
     g="""SELECT recording_id, bin, min(v) AS lo, max(v) AS hi, arg_min(sample_index, (v, sample_index)) AS lo_i, arg_min(sample_index, (-v, sample_index)) AS hi_i
         FROM b GROUP BY 1, 2"""))
 def minmax_decimate(spark, d):
-    return decimate.minmax_decimate(sig(spark, d), KEY, 60)
+    return decimate.minmax_decimate(sig_store(spark, d), 60)
 
 
 @query("minmax_envelope", sql("sig len", """SELECT l.recording_id, c AS column_no, min(v) AS col_min, max(v) AS col_max FROM len l
@@ -88,7 +88,7 @@ def minmax_decimate(spark, d):
     AND sample_index >= floor(c * (n_samples / 40)) AND sample_index < CASE WHEN c = 39 THEN n_samples ELSE least(ceil((c + 1) * (n_samples / 40)), n_samples) END
     GROUP BY 1, 2"""))
 def minmax_envelope(spark, d):
-    return decimate.minmax_envelope(sig(spark, d), rec_lengths(spark, d), KEY, 40)
+    return decimate.minmax_envelope(sig_store(spark, d), 40)
 
 
 @query("stride_decimate", sql("sig", "SELECT recording_id, sample_index, v FROM sig WHERE sample_index % 4 = 0"))

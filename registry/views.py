@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clampspark.operators.blocks import pack
 from clampspark.operators.ordered import ordinal, segment_of
+from clampspark.operators.store import Store, land
 from clampspark.session import scratch_path
 
 RATE = 1000          # one sample per millisecond, so that settings in ms stay readable
@@ -16,6 +17,7 @@ BLOCK = 1024
 HALO = 11
 KEY = ["recording_id"]
 CH = ["recording_id", "channel_index"]
+TRIAL = ["recording_id", "trial_index"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,12 +58,50 @@ def sig(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return spark.read.parquet(sample_path(spark, d)).select("recording_id", "sample_index", "v", *extra)
 
 
+_STORES: dict[tuple[str, str, str], Store] = {}
+
+
+def block_store(spark: SparkSession, d: str, name: str, build, keys: list[str]) -> Store:
+    """Land blocks and their nodes once per session."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _STORES:
+        _STORES[at] = land(build(), scratch_path(spark, name), keys, BLOCK)
+    return _STORES[at]
+
+
+def sig_store(spark: SparkSession, d: str) -> Store:
+    return block_store(spark, d, "blocks", lambda: pack(sig(spark, d), KEY, BLOCK, HALO), KEY)
+
+
 def sig_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "blocks", lambda: pack(sig(spark, d), KEY, BLOCK, HALO))
+    return sig_store(spark, d).blocks
+
+
+def channel_store(spark: SparkSession, d: str, channel: int) -> Store:
+    """One channel of the two-channel recordings: 2 the command, 0 the response."""
+    one = lambda: two_channels(spark, d).where(F.col("channel_index") == channel).drop("channel_index")
+    return block_store(spark, d, f"channel-{channel}-blocks", lambda: pack(one(), KEY, BLOCK, HALO), KEY)
 
 
 def channel_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "channel-blocks", lambda: pack(two_channels(spark, d), CH, BLOCK, HALO))
+    """Both channels' blocks, landed."""
+    return channel_store(spark, d, 2).blocks.unionByName(channel_store(spark, d, 0).blocks)
+
+
+def dealt_store(spark: SparkSession, d: str) -> Store:
+    """Samples dealt to five channels by ``k``, in volts; the samples of other channels are missing."""
+    def build():
+        s = sig(spark, d, "k").select("recording_id", (F.col("k") % 5).alias("channel_index"), "sample_index", (F.col("v") / 40).alias("v"))
+        return pack(s, CH, BLOCK, HALO)
+    return block_store(spark, d, "dealt-blocks", build, CH)
+
+
+def trial_store(spark: SparkSession, d: str) -> Store:
+    """Trials of 64 samples, one block each."""
+    none = F.array().cast("array<double>")
+    zero = F.lit(0).cast("bigint")
+    return block_store(spark, d, "trial-blocks", lambda: blk(spark, d).select(
+        "recording_id", "trial_index", "vec_id", zero.alias("block_no"), zero.alias("block_start"), "samples", none.alias("before"), none.alias("after")), TRIAL)
 
 
 def two_channels(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clampspark.functions import scalar as X
+from clampspark.operators.blocks import pack
+from clampspark.operators.store import land
 from clampspark.operators import blocks as B, calibration as C, decimate, kernels, stimulus as S
 from clampspark.plans import qc, steps
 from clampspark.operators.protocols import decode, unknown_keys
@@ -107,10 +109,11 @@ def test_decay_fit(spark, tau_ms):
 
 
 @pytest.mark.parametrize("n", [0, 1, 20, 21, 103])
-def test_minmax_decimation(spark, n):
+def test_minmax_decimation(spark, n, tmp_path):
     x = np.random.default_rng(n).normal(size=n)
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, 0, 1.0)], "recording_id bigint, sample_index bigint, v double")
-    got = sorted((r.sample_index, r.v) for r in decimate.minmax_decimate(df, KEY, 20).where("recording_id = 1").collect())
+    store = land(pack(df, KEY, 16, 2), str(tmp_path / "store"), KEY, 16)
+    got = sorted((r.sample_index, r.v) for r in decimate.minmax_decimate(store, 20).where("recording_id = 1").collect())
     if n <= 20:
         assert got == list(enumerate(x))
         return

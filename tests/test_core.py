@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from clampspark.operators.store import land
 from clampspark.operators import align, blocks as B, intervals as I, ordered as O, pulses as P
 from clampspark.operators.quantiles import exact_quantiles
 
@@ -85,13 +86,13 @@ def test_running_median_reflects_at_ends(spark, size):
 
 
 @pytest.mark.parametrize("size", [3, 50])
-def test_edge_rules(spark, size):
+def test_edge_rules(spark, size, tmp_path):
     ttl = np.tile([5.0] * 2 + [0.0] * 8, 12)          # starts high
     flat, small = np.full(40, 1.0), np.tile([0.0, 0.4], 20)
     b = B.pack(long_table(spark, {1: ttl, 2: flat, 3: small}), KEY, size, 11)
     fixed = align.frame_samples(b, KEY, 2.5).where("recording_id = 1").orderBy("frame_no").collect()
     assert [r.sample_index for r in fixed] == list(range(0, 120, 10))
-    n = {r.recording_id: (r.n_edges, r.threshold) for r in align.adaptive_edge_counts(b, KEY).collect()}
+    n = {r.recording_id: (r.n_edges, r.threshold) for r in align.adaptive_edge_counts(land(b, str(tmp_path / "store"), KEY, size)).collect()}
     assert n == {1: (11, 2.5), 2: (0, None), 3: (0, None)}
 
 
@@ -170,7 +171,7 @@ def test_interval_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_window_medians_long_and_short_agree(spark):
+def test_window_medians_of_long_and_short_windows(spark):
     from clampspark.operators.quantiles import window_medians
     rng = np.random.default_rng(8)
     x = rng.normal(size=300)
@@ -178,9 +179,8 @@ def test_window_medians_long_and_short_agree(spark):
     win = [(1, 0, 300), (1, 5, 6), (1, 30, 70), (1, 250, 900)]
     w = spark.createDataFrame(win, "recording_id bigint, start bigint, end bigint")
     want = {(a, z): np.median(x[a:z]) for _, a, z in win}
-    for short in (1000, 45, 0):
-        got = window_medians(b, w, KEY, ["start", "end"], "m", 32, short=short).collect()
-        assert {(r.start, r.end): r.m for r in got} == pytest.approx(want)
+    got = window_medians(b, w, KEY, ["start", "end"], "m", 32).collect()
+    assert {(r.start, r.end): r.m for r in got} == pytest.approx(want)
 
 
 def test_running_keeps_null_keys_and_segments(spark):
