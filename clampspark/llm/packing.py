@@ -7,11 +7,14 @@ The table is read once and not shuffled: pieces are numbered per bucket inside t
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clampspark.llm.repair import byte_characters
 from clampspark.llm.text import chunks, column, raw
 
 END = 1
@@ -71,31 +74,25 @@ def encoder(path: str):
     """Function from an Arrow text array to (ids, lengths), equal to encoding each text on its own.
 
     This vocabulary drops white space and splits what is between into runs of letters, single digits and runs of other marks. ASCII
-    text is cut there, each distinct unit is encoded once, and units encoded together are told apart by their last token, which ends a word.
+    text is cut there, and each distinct unit is encoded once.
     """
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    ends = np.zeros(tok.get_vocab_size(), bool)
-    for piece, i in tok.get_vocab().items():
-        ends[i] = piece.endswith("</w>")
+    model, as_text = tok.model, byte_characters()
     known: dict[bytes, int] = {}
     flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(easy: list[bytes], hard: list[bytes]) -> None:
+        """An easy unit is one pre-token, which the model takes as it is; hard words pass the whole tokenizer."""
         nonlocal flat, begin, size
-        found, n = [flat], [size]
-        for at in range(0, len(easy), 1000):
-            ids = np.array(tok.encode_batch_fast([b" ".join(easy[at:at + 1000]).decode()], add_special_tokens=False)[0].ids, np.int32)
-            found.append(ids)
-            n.append(np.diff(np.flatnonzero(ends[ids]), prepend=-1))
+        found = [[t.id for t in model.tokenize((x if x.isascii() else x.decode().lower().encode()).decode("latin-1").translate(as_text))] for x in easy]
         for at in range(0, len(hard), 200):
-            many = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([w.decode() for w in hard[at:at + 200]], add_special_tokens=False)]
-            found += many
-            n.append(np.array([len(x) for x in many], np.int64))
-        known.update(zip([*easy, *hard], range(len(known), len(known) + len(easy) + len(hard))))
-        flat, size = np.concatenate(found), np.concatenate(n)
+            found += [e.ids for e in tok.encode_batch_fast([w.decode() for w in hard[at:at + 200]], add_special_tokens=False)]
+        known.update(zip([*easy, *hard], range(len(known), len(known) + len(found))))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        size = np.concatenate([size, np.fromiter(map(len, found), np.int64, len(found))])
         begin = np.cumsum(size) - size
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ lost executor's part is written anew and any file system will do.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ STEP = 8
 SLOT_BITS = 18
 LEAST = 16         # a pair must occur this often in a shard to become a rule
 PART_BYTES = 48 << 20
-CHUNK_BYTES = 2 << 20
-KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; others are encoded again
+CHUNK_BYTES = 4 << 20
+KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; beyond that it begins anew
 SHARD_SCHEMA = ("part int, shard int, first_doc long, n_docs long, n_ids long, base int, doc_ids binary, doc_symbols binary, doc_starts binary, "
                 "rules binary, expansion binary, symbols binary, width int")
 
@@ -35,6 +36,70 @@ _AFTER = np.zeros(256, bool)
 _AFTER[0x21:0x7F] = True
 _AFTER[0xC3:0xE0] = True
 _AFTER[0xE4:0xF5] = True
+# Kinds of bytes: blank, letter (ASCII, or two bytes of U+00C0 to U+027F), digit, other visible ASCII, anything else.
+_KIND = np.full(256, 4, np.int8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[0x21:0x7F] = 3
+_KIND[0x27] = 4
+for _b in range(0x21, 0x7F):
+    if chr(_b).isalnum():
+        _KIND[_b] = 2 if chr(_b).isdigit() else 1
+_KIND[0xC3:0xCA] = 1
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where to cut texts so that every piece is encoded alike on its own, and which pieces are one pre-token: a run with at most a blank before it.
+
+    Cuts lie at a blank before a visible character, where a visible run ends, around a line feed or tab before a visible character, and between
+    letters, digits and other marks; not beside an apostrophe or what is neither ASCII nor a Latin letter, nor within a word
+    that holds the beginning of a control string.
+    """
+    n = len(buf)
+    kind = _KIND[buf]
+    # The second byte of a Latin letter goes with its first; those of other characters stay apart.
+    kind[1:][(buf[:-1] >= 0xC3) & (buf[:-1] < 0xCA)] = 1
+    for second in (0x97, 0xB7):  # the multiplication and division signs are no letters
+        sign = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] == second))
+        kind[sign] = kind[sign + 1] = 4
+    seen = (kind > 0) & (kind < 4)
+    inside = np.ones(n, bool)  # not a text's last byte: what follows it is another text
+    inside[off[1:][off[1:] > 0] - 1] = False
+    cut = np.zeros(n + 1, bool)
+    cut[:-2] = (buf[:-1] == 0x20) & _AFTER[buf[1:]] & inside[:-1]
+    cut[1:-1] |= seen[:-1] & (kind[1:] == 0)
+    # The last of several white space characters before a visible one is a token of its own.
+    first = np.zeros(n, bool)
+    first[off[:-1][off[:-1] < n]] = True
+    known = first.copy()
+    known[1:] |= kind[:-1] != 4
+    last = np.zeros(n, bool)
+    last[:-1] = (kind[:-1] == 0) & (buf[:-1] != 0x20) & seen[1:]
+    last &= known & inside
+    cut[1:] |= last
+    cut[:-1] |= last
+    inner = seen[:-1] & seen[1:] & (kind[1:] != kind[:-1])
+    control = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))
+    if len(control):
+        word = np.cumsum((kind == 0) | first)
+        inner &= ~np.isin(word[1:], word[control])
+        before = control[control > 0] - 1
+        cut[before[buf[before] == 0x20]] = False
+    cut[1:-1] |= inner
+    cut[off] = True
+    at = np.flatnonzero(cut)
+    bad = np.concatenate([[0], np.cumsum(kind == 4)])
+    bad = np.diff(bad[at]) > 0
+    bad |= (kind[at[:-1]] == 0) & ~((buf[at[:-1]] == 0x20) & (at[1:] - at[:-1] > 1) & seen[np.minimum(at[:-1] + 1, n - 1)])
+    if len(control):
+        bad[np.searchsorted(at, control, "right") - 1] = True
+    return at, ~bad
 
 
 def encoder(path: str):
@@ -43,57 +108,46 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # such strings in a text are ordinary text
-    id_bytes = np.zeros(tok.get_vocab_size(), np.int64)
-    for piece, i in tok.get_vocab().items():
-        id_bytes[i] = len(piece)  # byte-level vocabulary: one character per byte
-    known, known_begin, known_size, known_ids = pa.array([], pa.large_binary()), *[np.zeros(0, np.int32)] * 3
-
-    def encode_strings(strings: list[str]) -> np.ndarray:
-        out = [np.zeros(0, np.int32)]
-        for at in range(0, len(strings), 32):  # an encoding takes some hundred bytes per token
-            out += [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(strings[at:at + 32], add_special_tokens=False)]
-        return np.concatenate(out)
+    model, as_text = tok.model, byte_characters()
+    known: dict[bytes, int] = {}
+    flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(plain: list[bytes], alone: list[bytes]) -> None:
+        """A plain piece is one pre-token, which the model takes as it is; the others pass the whole tokenizer."""
+        nonlocal flat, begin, size
+        found = [[t.id for t in model.tokenize(x.decode("latin-1").translate(as_text))] for x in plain]
+        for at in range(0, len(alone), 200):
+            found += [e.ids for e in tok.encode_batch_fast([x.decode() for x in alone[at:at + 200]], add_special_tokens=False)]
+        known.update(zip([*plain, *alone], range(len(known), len(known) + len(found))))
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        size = np.concatenate([size, np.fromiter(map(len, found), np.int64, len(found))])
+        begin = np.cumsum(size) - size
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal known, known_begin, known_size, known_ids
+        nonlocal flat, begin, size
         buf, off = raw(texts)
-        n = len(buf)
-        if not n:
+        if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        cut = np.zeros(n + 1, bool)
-        np.logical_and(buf[:-1] == 0x20, _AFTER[buf[1:]], out=cut[:-2])
-        safe = cut.copy()
-        cut[off] = True
-        at = np.flatnonzero(cut)
+        at, plain = pieces(buf, off)
         enc = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
         index = enc.indices.to_numpy(zero_copy_only=False)
-        # Pieces that begin at a sure boundary may stand behind one another; the others begin a string of their own.
-        pieces = enc.dictionary
-        joins = np.zeros(len(pieces), bool)
-        joins[index] = safe[at[:-1]]
-        old = pc.fill_null(pc.index_in(pieces, value_set=known), -1).to_numpy(zero_copy_only=False)
-        alone, rest = np.flatnonzero(~joins & (old < 0)), np.flatnonzero(joins & (old < 0))
-        strings = [x.decode() for x in pieces.take(pa.array(alone)).to_pylist()]
-        chars, ends = raw(pieces.take(pa.array(rest)))
-        strings += [chars[ends[i]:ends[min(i + 1000, len(rest))]].tobytes().decode() for i in range(0, len(rest), 1000)]
-        fresh = encode_strings(strings)
-        order = np.concatenate([alone, rest])
-        width = np.diff(raw(pieces)[1])[order]
-        first = np.searchsorted(np.cumsum(id_bytes[fresh]), np.cumsum(width) - width, "right")
-        flat = np.concatenate([known_ids, fresh])
-        begin, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        seen = old >= 0
-        begin[seen], size[seen] = known_begin[old[seen]], known_size[old[seen]]
-        begin[order], size[order] = first + len(known_ids), np.diff(np.append(first, len(fresh)))
-        if len(known) + len(order) <= KNOWN_PIECES:
-            known = pa.concat_arrays([known, pieces.take(pa.array(order))])
-            known_begin, known_size, known_ids = np.concatenate([known_begin, begin[order].astype(np.int32)]), np.concatenate([known_size, size[order].astype(np.int32)]), flat
-        m = size[index]
+        distinct = enc.dictionary.to_pylist()
+        safe = np.zeros(len(distinct), bool)
+        safe[index] = plain
+        if len(known) + len(distinct) > KNOWN_PIECES:
+            known.clear()
+            flat, begin, size = flat[:0], begin[:0], size[:0]
+        which = np.fromiter((known.get(x, -1) for x in distinct), np.int64, len(distinct))
+        fresh = which < 0
+        if fresh.any():
+            one, alone = np.flatnonzero(fresh & safe), np.flatnonzero(fresh & ~safe)
+            which[np.concatenate([one, alone])] = len(known) + np.arange(len(one) + len(alone))
+            learn([distinct[i] for i in one], [distinct[i] for i in alone])
+        which = which[index]
+        m = size[which]
         total = np.concatenate([[0], np.cumsum(m)])
-        take = np.arange(total[-1]) - np.repeat(total[:-1] - begin[index], m)
-        bounds = total[np.searchsorted(at, off)]
-        return flat[take], np.diff(bounds)
+        take = np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], m)
+        return flat[take], np.diff(total[np.searchsorted(at, off)])
 
     return encode
 

@@ -58,6 +58,23 @@ def test_power_of_two(spark, tables):
     assert sorted(r.length for r in sorted(rows, key=lambda r: r.sequence_id)) == [r.length for r in sorted(rows, key=lambda r: r.sequence_id)]
 
 
+def test_words_equal_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(vocab("word_bpe_49k.json"))
+    rng = random.Random(12)
+    bits = ["a", "Word", "12", "7", ".", "..", "'", "'s", "'T", " ", "\n", "\t", "é", "ÀÉ", "×", "÷", "İ", "ß", "Ǆ", "中文", "\u00a0", "\u3000", "e\u0301", "\u0301", "\U0001f600",
+            "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "<", "_", "-", "\x1c", "\x00", "\x85", "½", "٣", "ΣΑΣ", "don't", "\u212a"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(6000)] + ["x" * 50_000, ""]
+    encode = packing.encoder(vocab("word_bpe_49k.json"))
+    for at in range(0, len(texts), 1500):
+        part = texts[at:at + 1500]
+        ids, lens = encode(pa.array(part, pa.large_string()))
+        ends = np.cumsum(lens)
+        for t, a, b in zip(part, ends - lens, ends):
+            assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_buckets_on_disk(spark, tables, tmp_path, monkeypatch):
     d, docs, _, _ = tables
     monkeypatch.setattr(packing, "KNOWN_WORDS", 30)  # forgets its words again and again

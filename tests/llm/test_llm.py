@@ -70,7 +70,6 @@ def test_secrets(spark, docs, empty, odd, tmp_path):
 def test_token_files(spark, docs, empty, odd, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(vocab("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     repair.write(docs, str(tmp_path / "a"), vocab("byte_bpe_50k.json"), shard_ids=2000, parts=3)
     got = sorted(tuple(r)[:4] for r in repair.read(spark, str(tmp_path / "a")).collect())
     assert got == brute.tokens(PAIRS, tok)
@@ -86,6 +85,25 @@ def test_token_files(spark, docs, empty, odd, tmp_path):
     assert sorted(str(r.doc_id) for r in repair.read(spark, str(tmp_path / "c")).collect()) == ["1", "1", "None", "None"]
 
 
+def test_encoding_equals_the_library():
+    """The file's own behaviour, special strings included, on texts that put pieces in every neighbourhood, and across chunks."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(vocab("byte_bpe_50k.json"))
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = random.Random(11)
+    bits = ["a", "Word", "12", "7", ".", "..", "'", "'s", "'t", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "é", "ÀÉ", "×", "÷", "İ", "ß", "中文", "\u00a0", "\u3000", "\u2028", "e\u0301", "\U0001f600",
+            "<|endoftext|>", "<|", "|>", "<", "|", "endoftext", "_", "-", "\x1c", "\x00", "\x85", "½", "٣", "don't", "I'll"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(6000)] + ["x" * 100_000, "<|endoftext|>" * 50, ""]
+    encode = repair.encoder(vocab("byte_bpe_50k.json"))
+    for at in range(0, len(texts), 1500):
+        part = texts[at:at + 1500]
+        ids, lens = encode(pa.array(part, pa.large_string()))
+        ends = np.cumsum(lens)
+        for t, a, b in zip(part, ends - lens, ends):
+            assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
