@@ -89,8 +89,10 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(control):
         word = np.cumsum((kind == 0) | first)
         inner &= ~np.isin(word[1:], word[control])
-        before = control[control > 0] - 1
-        cut[before[buf[before] == 0x20]] = False
+        # White space before a control string stays together, as at a text's end.
+        before = control[(control > 0)] - 1
+        cut[before[(kind[before] == 0) & (before > 0) & (kind[before - 1] == 0)]] = False
+        cut[control[kind[np.maximum(control - 1, 0)] == 0]] = False
     cut[1:-1] |= inner
     cut[off] = True
     at = np.flatnonzero(cut)
