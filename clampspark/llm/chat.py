@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Strings that this template or common public ones treat as control marks.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
+PLACE = "<|part:"  # a placeholder, as <|part:image|>
 ESCAPES = {"<": "%3C", "[": "%5B", "%": "%25"}
 # Tokens that one unit (tile, second, page) of an attachment expands to.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
@@ -42,13 +43,25 @@ def _is_text(p: Column) -> Column:
 
 
 def flatten(parts: Column) -> tuple[Column, Column]:
-    """Visit the parts in order: the escaped text with placeholders, and the attachments ``(type, ref, tokens)`` in placeholder order."""
+    """Visit the parts in order: the escaped text with placeholders, and the attachments ``(type, ref, tokens)`` in placeholder order.
+
+    Neighbouring text parts are joined before they are escaped, so that no control string can arise between them. A placeholder names one of a
+    closed list of kinds and begins unlike any control mark; a part of a kind outside the list is an ``other``, named in its attachment.
+    """
     known = F.create_map(*[F.lit(x) for kv in UNIT_TOKENS.items() for x in kv])
-    one = F.transform(parts, lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(p["type"]), F.lit("|>"))))
+
+    def mark(p: Column) -> Column:
+        kind = p["type"]
+        return F.concat(F.lit(PLACE), F.when(kind.isin(*UNIT_TOKENS), kind).otherwise("other"), F.lit("|>"))
+
+    walked = F.aggregate(
+        parts, F.struct(F.lit("").alias("done"), F.lit("").alias("text")),
+        lambda a, p: F.when(_is_text(p), F.struct(a["done"].alias("done"), F.concat(a["text"], F.coalesce(p["text"], F.lit(""))).alias("text"))).otherwise(
+            F.struct(F.concat(a["done"], escape(a["text"]), mark(p)).alias("done"), F.lit("").alias("text"))))
     attached = F.transform(F.filter(parts, lambda p: ~_is_text(p)), lambda p: F.struct(
         p["type"].alias("type"), p["ref"].alias("ref"),
         (F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.element_at(known, p["type"]), F.lit(1))).cast("bigint").alias("tokens")))
-    return F.array_join(one, ""), attached
+    return F.concat(walked["done"], escape(walked["text"])), attached
 
 
 def render(messages: DataFrame) -> DataFrame:

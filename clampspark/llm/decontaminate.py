@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clampspark.llm.text import ALNUM, chunks, column, mix, word_hashes, words
+from clampspark.llm.text import ALNUM, chunks, column, mix, row_filter, whole, word_hashes, words
 
 BLOCK_BYTES = 16 << 20
 MIN_MATCH = 5
@@ -70,39 +70,58 @@ def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], least
 
 
 class Index:
-    """Seeds of one benchmark block: sorted hashes with item and position, behind a bitmap."""
+    """Seeds of one benchmark block: sorted hashes with item and position, behind a bitmap; one table per seed length.
+
+    An item of fewer than ``least`` words is its own seed, so that short items, and those of scripts without spaces, are found as well.
+    """
 
     def __init__(self, items: list[tuple[int, str]], least: int):
         self.ids = [i for i, _ in items]
         w = words(pa.array([t for _, t in items], pa.large_string()), ALNUM)
         self.hash = word_hashes(w.distinct)[w.ids] if len(w.ids) else np.zeros(0, np.uint64)
-        self.bounds, self.least = w.bounds, least
-        key = rolling(self.hash, least)
+        self.bounds = w.bounds
+        size = np.diff(w.bounds)
+        self.tables = [_Seeds(self, n, np.flatnonzero(size >= n if n == least else size == n)) for n in range(1, least + 1)]
+        self.tables = [t for t in self.tables if len(t.key)]
+
+    def words_of(self, item: int) -> np.ndarray:
+        return self.hash[self.bounds[item]:self.bounds[item + 1]]
+
+
+class _Seeds:
+    def __init__(self, index: Index, length: int, items: np.ndarray):
+        self.length = length
+        key = rolling(index.hash, length)
         at = np.arange(len(key))
-        item = np.searchsorted(w.bounds, at, "right") - 1
-        ok = at + least <= w.bounds[item + 1] if len(at) else np.zeros(0, bool)
+        item = np.searchsorted(index.bounds, at, "right") - 1
+        ok = np.isin(item, items)
+        ok[ok] = at[ok] + length <= index.bounds[item[ok] + 1]
         order = np.argsort(key[ok], kind="stable")
-        self.key, self.item, self.pos = key[ok][order], item[ok][order], (at - w.bounds[item])[ok][order]
+        self.key, self.item, self.pos = key[ok][order], item[ok][order], (at - index.bounds[item])[ok][order]
         bits = min(26, max(16, int(len(self.key)).bit_length() + 4))
         self.shift = np.uint64(64 - bits)
         self.seen = np.zeros(1 << bits, bool)
         self.seen[self.key >> self.shift] = True
 
-    def words_of(self, item: int) -> np.ndarray:
-        return self.hash[self.bounds[item]:self.bounds[item + 1]]
-
 
-def _search(texts: pa.Array, index: Index, least: int, coverage: float) -> list[tuple]:
+def _search(texts: pa.Array, index: Index, coverage: float) -> list[tuple]:
     """``(row, item_id, coverage, n_tiles, n_matched, n_item_words)`` of every item found in lower-cased texts."""
     w = words(texts, ALNUM)
-    if len(w.ids) < least or not len(index.key):
+    if not len(w.ids) or not index.tables:
         return []
     h = word_hashes(w.distinct)[w.ids]
+    return [row for table in index.tables for row in _matches(w, h, index, table, coverage)]
+
+
+def _matches(w, h: np.ndarray, index: Index, table: _Seeds, coverage: float) -> list[tuple]:
+    least = table.length
+    if len(h) < least:
+        return []
     key = rolling(h, least)
-    at = np.flatnonzero(index.seen[key >> index.shift])
+    at = np.flatnonzero(table.seen[key >> table.shift])
     key = key[at]
-    lo = np.searchsorted(index.key, key, "left")
-    n = np.searchsorted(index.key, key, "right") - lo
+    lo = np.searchsorted(table.key, key, "left")
+    n = np.searchsorted(table.key, key, "right") - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
     doc = np.searchsorted(w.bounds, at, "right") - 1
     ok = at + least <= w.bounds[doc + 1]
@@ -110,7 +129,7 @@ def _search(texts: pa.Array, index: Index, least: int, coverage: float) -> list[
     pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for a, b, m, d in zip(at.tolist(), lo.tolist(), n.tolist(), doc.tolist()):
         for k in range(b, b + m):
-            pairs.setdefault((d, int(index.item[k])), []).append((a - int(w.bounds[d]), int(index.pos[k])))
+            pairs.setdefault((d, int(table.item[k])), []).append((a - int(w.bounds[d]), int(table.pos[k])))
     rows = []
     for (d, it), seeds in pairs.items():
         text, item = h[w.bounds[d]:w.bounds[d + 1]], index.words_of(it)
@@ -130,7 +149,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], least: int, coverage: f
 
     def run(batches):
         for chunk, texts in chunks(batches):
-            rows = _search(texts, index, least, coverage)
+            rows = _search(texts, index, coverage)
             if rows:
                 ids = column(chunk, "doc_id").to_pylist()
                 rows = [(ids[d], *rest) for d, *rest in rows]
@@ -158,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
     ``(doc_id, item_id, coverage, n_tiles, n_matched, n_item_words)``.
 
     Words are lower-cased runs of letters and digits, so punctuation and spacing do not matter. Null and empty texts match
-    nothing; an item with fewer than ``least`` words has no seed and is never reported. An item given twice with the same
+    nothing; an item with fewer than ``least`` words must occur whole. An item given twice with the same
     text counts once, with two texts as two rows. A document row given twice is reported twice. Without items, or without
     documents, the result is empty.
     """
@@ -170,16 +189,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``docs`` that ``contaminated`` does not report, all columns unchanged; one narrow pass per benchmark block, no shuffle."""
-    names, schema = docs.columns, docs.schema
+    """Rows of ``docs`` that ``contaminated`` does not report, all columns unchanged, whatever their names; one filter per benchmark block, no shuffle.
+
+    Null texts and null doc_ids stay, repeated rows are judged alike, and without items every row stays.
+    """
     for items in blocks(benchmark, block_bytes):
         index = Index(items, least)
 
-        def run(batches, index=index):
-            for chunk, texts in chunks(batches, column="_lower"):
-                keep = np.ones(chunk.num_rows, bool)
-                keep[[r[0] for r in _search(texts, index, least, coverage)]] = False
-                yield chunk.select(names).filter(pa.array(keep))
+        def make(index=index):
+            def mask(texts: pa.Array) -> np.ndarray:
+                keep = np.ones(len(texts), bool)
+                keep[[r[0] for r in _search(whole(texts), index, coverage)]] = False
+                return keep
+            return mask
 
-        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(run, schema)
+        docs = docs.where(row_filter(make)(F.lower("text")))
     return docs

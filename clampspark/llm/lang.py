@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clampspark.llm.text import LETTER, chunks, column, words
+from clampspark.llm.text import LETTER, chunks, column, row_filter, whole, words
 
 PIECE_BYTES = 8      # longest piece used; 8 bytes pack into one machine word
 UNIT_BYTES = 48      # longer runs of letters are scored in units of this many bytes
@@ -236,15 +236,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns unchanged, whose language is told with a score of at least ``least``; no shuffle.
+    """Rows of ``docs``, all columns unchanged, whatever their names, whose language is told with a score of at least ``least``; no shuffle.
 
-    ``und`` has score 0, so null texts and texts without a letter go.
+    ``und`` has score 0, so null texts and texts without a letter go. Repeated rows and null doc_ids are judged each on its own; an empty table stays empty.
     """
-    def run(batches):
+    def make():
         predict = _predictor(model)
-        for chunk, texts in chunks(batches, column="_lower"):
-            _, scores, _ = predict(texts, column(chunk, "_letters").to_pylist())
-            yield chunk.select(docs_columns).filter(pa.array(scores >= least))
 
-    docs_columns = docs.columns
-    return docs.withColumns({"_lower": F.lower("text"), "_letters": F.expr(_LETTERS)}).mapInArrow(run, docs.schema)
+        def mask(texts: pa.Array) -> np.ndarray:
+            return predict(whole(texts), texts.is_valid().to_pylist())[1] >= least
+        return mask
+
+    # A text without a letter is sent as null.
+    return docs.where(row_filter(make)(F.when(F.expr(_LETTERS), F.lower("text"))))

@@ -115,17 +115,18 @@ def _finish(turn):
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, all columns unchanged, each as often as the mix takes it.
+    """The mix itself: rows of ``docs``, all columns unchanged, whatever their names, each as often as the mix takes it.
 
-    Rows that agree in doc_id, source and size share their copies, in order of text.
+    Rows that agree in doc_id, source and size share their copies, in order of text. Null doc_ids and sources are values like any other; an empty table stays empty.
     """
     keys = ["doc_id", "source", "size"]
-    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "_copies", "_rows")
+    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
     size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_mix_size") == F.col("_size"))
-    j = docs.withColumn("_mix_size", size).join(plan, on)
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_size").orderBy("text"))
-    n = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    j = j.withColumn("_place", place).withColumn("_n", n.cast("int")).where("_n > 0")
-    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    # The caller's columns travel as one, so none of their names can meet one of these.
+    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("whole"))
+    on = rows["doc_id"].eqNullSafe(plan["doc_id"]) & rows["source"].eqNullSafe(plan["source"]) & (rows["size"] == plan["size"])
+    j = rows.join(plan, on).select(*[rows[k] for k in keys], "whole", "copies", "rows")
+    j = j.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("whole.text")))
+    n = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    j = j.select("whole", n.cast("int").alias("n")).where("n > 0")
+    return j.select("whole", F.explode(F.sequence(F.lit(1), F.col("n")))).select("whole.*")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -113,6 +114,22 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def row_filter(make, limit: int = CHUNK_BYTES):
+    """Function from a text column to a boolean one. ``make()`` gives, once per task, a function from an Arrow text array to a mask.
+
+    Only that column travels to Python and one bit per row back; the other columns of a filtered table stay in the JVM.
+    """
+    @F.arrow_udf("boolean")
+    def keep(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        mask = make()
+        for texts in batches:
+            out = [np.zeros(0, bool)]
+            for part, _ in chunks([pa.RecordBatch.from_arrays([texts], names=["text"])], limit=limit):
+                out.append(mask(part.column(0)))
+            yield pa.array(np.concatenate(out))
+    return keep
+
+
 def small_batches(spark, rows: int = 1000) -> None:
     """Documents are long: fewer rows per Arrow batch keep both ends of the exchange with Python small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
