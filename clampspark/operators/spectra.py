@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LINE_BAND_HZ, LINE_FREQS_HZ
+from .isolate import guarded
 
 
 @lru_cache(16)
@@ -68,46 +69,47 @@ def _partial(x: np.ndarray, at: int, rate: int, freqs: tuple, band: float) -> di
 def spectra(blocks: DataFrame, keys: list[str], rate: int, freqs=LINE_FREQS_HZ, band: float = LINE_BAND_HZ) -> DataFrame:
     """Per block: one row with the powers of the segments inside it, and one per segment that crosses its border.
 
-    Columns ``keys, _seg, _line, _total, _part, _good``: ``_seg`` and ``_part`` are null in the former. A segment belongs to every half
-    second; one that its recording ends before completing has no power, but its samples must be finite too.
+    Columns ``keys, _seg, _line, _total, _part, _good, _error``: ``_seg`` and ``_part`` are null in the former. A segment belongs to every half
+    second; one that its recording ends before completing has no power, but its samples must be finite too. A block that raises has a
+    row with its error instead.
     """
     freqs, hop = tuple(freqs), rate - rate // 2
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
 
+    part_type = pa.struct([("n", pa.int32()), *[(c, pa.float64()) for c in ("mean", "wx", "wxx", "w", "ww")], *[(c, pa.list_(pa.float64())) for c in ("re", "im", "wre", "wim")]])
+    types = {"_seg": pa.int64(), "_line": pa.float64(), "_total": pa.float64(), "_part": part_type, "_good": pa.bool_()}
+
+    def step(b: pa.RecordBatch):
+        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        out: dict[str, list] = {c: [] for c in (*keys, *types)}
+        for i in range(b.num_rows):
+            x = col["samples"][i].values.to_numpy(zero_copy_only=False).astype(float)
+            start, end = col["block_start"][i].as_py(), col["block_start"][i].as_py() + len(x)
+            good = bool(np.isfinite(x).all())
+            first, last = -(-start // hop), (end - rate) // hop  # segments wholly inside
+            line = total = 0.0
+            rows = []
+            if good and len(x):
+                if last >= first:
+                    view = np.lib.stride_tricks.sliding_window_view(x, rate)[first * hop - start::hop][:last - first + 1]
+                    for a in range(0, len(view), 64):
+                        p = _segment_power(view[a:a + 64], rate, freqs, band)
+                        line, total = line + p[0], total + p[1]
+                for s in range(max(0, (start - rate) // hop + 1), (end - 1) // hop + 1):
+                    if not (last >= first and first <= s <= last):
+                        lo, hi = max(s * hop, start), min(s * hop + rate, end)
+                        rows.append((s, _partial(x[lo - start:hi - start], lo - s * hop, rate, freqs, band)))
+            for seg, part in [(None, None), *rows]:
+                for k in keys:
+                    out[k].append(col[k][i].as_py())
+                for c, v in zip(types, (seg, line if seg is None else None, total if seg is None else None, part, good)):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(v, types.get(c) or col[c].type) for c, v in out.items()], names=list(out))
+
     def run(batches):
-        for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            out: dict[str, list] = {c: [] for c in (*keys, "_seg", "_line", "_total", "_part", "_good")}
-            for i in range(b.num_rows):
-                x = col["samples"][i].values.to_numpy(zero_copy_only=False).astype(float)
-                start, end = col["block_start"][i].as_py(), col["block_start"][i].as_py() + len(x)
-                good = bool(np.isfinite(x).all())
-                first, last = -(-start // hop), (end - rate) // hop  # segments wholly inside
-                line = total = 0.0
-                rows = []
-                if good and len(x):
-                    if last >= first:
-                        view = np.lib.stride_tricks.sliding_window_view(x, rate)[first * hop - start::hop][:last - first + 1]
-                        for a in range(0, len(view), 64):
-                            p = _segment_power(view[a:a + 64], rate, freqs, band)
-                            line, total = line + p[0], total + p[1]
-                    for s in range(max(0, (start - rate) // hop + 1), (end - 1) // hop + 1):
-                        if not (last >= first and first <= s <= last):
-                            lo, hi = max(s * hop, start), min(s * hop + rate, end)
-                            rows.append((s, _partial(x[lo - start:hi - start], lo - s * hop, rate, freqs, band)))
-                for seg, part in [(None, None), *rows]:
-                    for k in keys:
-                        out[k].append(col[k][i].as_py())
-                    out["_seg"].append(seg)
-                    out["_line"].append(line if seg is None else None)
-                    out["_total"].append(total if seg is None else None)
-                    out["_part"].append(part)
-                    out["_good"].append(good)
-            part_type = pa.struct([("n", pa.int32()), *[(c, pa.float64()) for c in ("mean", "wx", "wxx", "w", "ww")], *[(c, pa.list_(pa.float64())) for c in ("re", "im", "wre", "wim")]])
-            types = {"_seg": pa.int64(), "_line": pa.float64(), "_total": pa.float64(), "_part": part_type, "_good": pa.bool_()}
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c) or col[c].type) for c, v in out.items()})
-
-    return blocks.select(*keys, "block_start", "samples").mapInArrow(run, f"{ddl}, _seg bigint, _line double, _total double, _part {_PART}, _good boolean")
+        yield from guarded(batches, step, keys, types)
+
+    return blocks.select(*keys, "block_start", "samples").mapInArrow(run, f"{ddl}, _seg bigint, _line double, _total double, _part {_PART}, _good boolean, _error string")
 
 
 def merged_power(parts: Column, rate: int, freqs=LINE_FREQS_HZ, band: float = LINE_BAND_HZ) -> Column:
@@ -165,23 +167,25 @@ def tones(blocks: DataFrame, keys: list[str], freqs: dict[str, float], rate: flo
 
 
 def piece_errors(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of each piece ``part`` against its constant ``volts``: ``keys, part_start, volts, n, sq, worst, total, lo, hi``."""
+    """Sums of each piece ``part`` against its constant ``volts``: ``keys, part_start, volts, n, sq, worst, total, lo, hi, _error``."""
     cols = {"n": "bigint", "sq": "double", "worst": "double", "total": "double", "lo": "double", "hi": "double"}
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*keys).schema] + ["part_start bigint, volts double"] + [f"{k} {t}" for k, t in cols.items()])
 
+    types = {"part_start": pa.int64(), "volts": pa.float64(), "n": pa.int64(), **{c: pa.float64() for c in list(cols)[1:]}}
+
+    def step(b: pa.RecordBatch):
+        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        off = col["part"].offsets.to_numpy().astype(np.int64)
+        off = off - off[0]
+        x = col["part"].flatten().to_numpy(zero_copy_only=False).astype(float)
+        v = col["volts"].to_numpy(zero_copy_only=False)
+        e = x - np.repeat(v, np.diff(off))
+        at = off[:-1]
+        out = [np.diff(off), np.add.reduceat(e * e, at), np.maximum.reduceat(np.abs(e), at), np.add.reduceat(x, at), np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)]
+        yield pa.RecordBatch.from_arrays([*[col[k] for k in keys], col["part_start"], col["volts"], *map(pa.array, out)], names=[*keys, *types])
+
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            off = col["part"].offsets.to_numpy().astype(np.int64)
-            off = off - off[0]
-            x = col["part"].flatten().to_numpy(zero_copy_only=False).astype(float)
-            v = col["volts"].to_numpy(zero_copy_only=False)
-            e = x - np.repeat(v, np.diff(off))
-            at = off[:-1]
-            out = [np.diff(off), np.add.reduceat(e * e, at), np.maximum.reduceat(np.abs(e), at), np.add.reduceat(x, at), np.minimum.reduceat(x, at), np.maximum.reduceat(x, at)]
-            yield pa.RecordBatch.from_arrays([*[col[k] for k in keys], col["part_start"], col["volts"], *map(pa.array, out)], names=[*keys, "part_start", "volts", *cols])
+        yield from guarded(batches, step, keys, types)
 
     src = pieces.select(*keys, F.col("part_start").cast("bigint").alias("part_start"), F.col("volts").cast("double").alias("volts"), "part").where(F.size("part") > 0)
-    return src.mapInArrow(run, ddl)
+    return src.mapInArrow(run, f"{ddl}, _error string")

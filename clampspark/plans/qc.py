@@ -6,6 +6,7 @@ is their union, so every check of every recording runs in one job.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,7 +69,48 @@ def run_checks(checks: dict[str, Callable[[], DataFrame]], recordings: DataFrame
             r = make()
         except Exception as exc:  # noqa: BLE001
             r = recordings.select(*keys, F.lit("fail").alias("status"))
-            r = as_result(r, keys, section, name, F.lit(f"check raised: {exc}"), {})
+            r = as_result(r, keys, section, name, F.lit(f"not carried out: {exc}"), {})
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@dataclass(frozen=True)
+class Check:
+    """One check of a report: its section, the recording modes it applies to, and how to make its rows.
+
+    ``make()`` gives ``keys, status`` and, where there are any, ``message``, ``metrics`` (map of numbers) and ``error``.
+    """
+    section: str
+    name: str
+    make: Callable[[], DataFrame]
+    modes: tuple[str, ...] = ("continuous", "trial")
+
+
+def dispatch(checks: list[Check], recordings: DataFrame, keys: list[str]) -> DataFrame:
+    """Every check on every recording of its modes: rows as :func:`as_result` makes them.
+
+    ``recordings`` has ``keys, mode``. A recording the check says nothing about is skipped; one on which a kernel raised fails this check and
+    no other; a check that cannot be planned fails for its recordings.
+    """
+    out = None
+    none = F.lit(None).cast("string")
+    for c in checks:
+        mine = recordings.where(F.col("mode").isin(*c.modes)).select(*keys)
+        try:
+            r = c.make()
+            have = r.columns
+            message = F.col("message").cast("string") if "message" in have else none
+            error = F.col("error") if "error" in have else none
+            metrics = F.col("metrics") if "metrics" in have else F.create_map().cast("map<string,double>")
+            r = r.select(*keys, "status", message.alias("message"), error.alias("error"), metrics.alias("metrics"))
+            r = null_safe_join(mine, r, keys, "left")
+        except Exception as exc:  # noqa: BLE001
+            r = mine.select(*keys, none.alias("status"), none.alias("message"), F.lit(f"{type(exc).__name__}: {exc}"[:500]).alias("error"), F.create_map().cast("map<string,double>").alias("metrics"))
+        broken = F.col("error").isNotNull()
+        r = r.select(
+            *keys, F.lit(c.section).alias("section"), F.lit(c.name).alias("check_name"), F.when(broken, "fail").otherwise(F.coalesce("status", F.lit("skip"))).alias("status"),
+            F.when(broken, F.concat(F.lit("not carried out: "), "error")).otherwise(F.coalesce("message", F.lit(""))).alias("message"),
+            F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -153,8 +195,8 @@ def events(log: DataFrame, lengths: DataFrame, keys: list[str], order: str = "ev
     double = (F.col("event_type") == "apply") & was_open
     orphan = (F.col("event_type") == "clear") & ~was_open
     e = e.withColumn("_double", double).withColumn("_orphan", orphan)
-    text = (F.when(F.col("_double"), F.concat(F.lit("stimulus_index="), F.col("stimulus_index"), F.lit(" applied twice without clear")))
-            .when(F.col("_orphan"), F.concat(F.lit("stimulus_index="), F.col("stimulus_index"), F.lit(" cleared without a prior apply"))))
+    text = (F.when(F.col("_double"), F.concat(F.lit("stimulus "), F.col("stimulus_index"), F.lit(" started again while on")))
+            .when(F.col("_orphan"), F.concat(F.lit("stimulus "), F.col("stimulus_index"), F.lit(" ended while off"))))
     e = materialise(e, "event-pairs")
     g = e.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"), F.min(at).alias("min_index"), F.max(at).alias("max_index"),
@@ -168,8 +210,8 @@ def events(log: DataFrame, lengths: DataFrame, keys: list[str], order: str = "ev
     last = last.groupBy(*keys).agg(F.sort_array(F.collect_list("stimulus_index")).alias("unclosed"))
     g = g.join(named, keys, "left").join(last, keys, "left")
     head = F.array(
-        F.when(F.col("n_backward") > 0, F.lit("sample_index not monotonic")),
-        F.when(F.col("n_outside") > 0, F.concat(F.col("n_outside"), F.lit(" events outside [0,"), F.col("n_samples"), F.lit(")"))))
+        F.when(F.col("n_backward") > 0, F.lit("sample indices go back")),
+        F.when(F.col("n_outside") > 0, F.concat(F.col("n_outside"), F.lit(" events beyond the "), F.col("n_samples"), F.lit(" samples"))))
     counts = ("n_events", "n_backward", "n_outside", "n_double", "n_orphan")
     g = lengths.select(*keys).join(g, keys, "full").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts})
     issues = F.slice(F.concat(F.array_compact(head), F.coalesce("_pair", F.array().cast("array<string>"))), 1, 3)
@@ -273,18 +315,19 @@ def drift(samples: DataFrame, keys: list[str], rate: int) -> DataFrame:
 
 
 def line_share(blocks: DataFrame, keys: list[str], rate: int, **bands) -> DataFrame:
-    """Line-frequency share of whole recordings by Welch's method: ``keys, line_fraction``; null below one second, without
-    any power, or with a sample that is not finite.
+    """Line-frequency share of whole recordings by Welch's method: ``keys, line_fraction, error``; null below one second, without
+    any power, with a sample that is not finite, or where a block raised (``error``).
 
     Half-overlapping one-second segments inside a block are summed where the block lies. Of a segment that crosses blocks only its
     partial spectra travel: a few sums per block, which add up. No sample is shuffled.
     """
     parts = spectra(blocks, keys, rate, **bands)
     cut = parts.where("_seg IS NOT NULL").groupBy(*keys, "_seg").agg(F.collect_list("_part").alias("_p"), F.min("_good").alias("_good"))
-    cut = cut.select(*keys, merged_power(F.col("_p"), rate, **bands).alias("_w"), "_good").select(*keys, F.col("_w.line").alias("_line"), F.col("_w.total").alias("_total"), "_good")
-    g = parts.where("_seg IS NULL").select(*keys, "_line", "_total", "_good").unionByName(cut).groupBy(*keys).agg(
-        F.sum("_line").alias("_line"), F.sum("_total").alias("_total"), F.min("_good").alias("_good"))
-    return g.select(*keys, F.when(F.col("_good") & (F.col("_total") > 0), F.col("_line") / F.nullif(F.col("_total"), F.lit(0.0))).alias("line_fraction"))
+    cut = cut.select(*keys, merged_power(F.col("_p"), rate, **bands).alias("_w"), "_good").select(*keys, F.col("_w.line").alias("_line"), F.col("_w.total").alias("_total"), "_good", F.lit(None).cast("string").alias("_error"))
+    g = parts.where("_seg IS NULL").select(*keys, "_line", "_total", "_good", "_error").unionByName(cut).groupBy(*keys).agg(
+        F.sum("_line").alias("_line"), F.sum("_total").alias("_total"), F.min("_good").alias("_good"), F.min("_error").alias("error"))
+    ok = F.col("error").isNull() & F.col("_good") & (F.col("_total") > 0)
+    return g.select(*keys, F.when(ok, F.col("_line") / F.nullif(F.col("_total"), F.lit(0.0))).alias("line_fraction"), "error")
 
 
 def line_noise(blocks: DataFrame, keys: list[str], rate: int, **bands) -> DataFrame:
@@ -313,10 +356,12 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     """
     seg = segments.select(*keys, "seg_start", "seg_end", "volts")
     p = piece_errors(slices(trials, seg, keys, size, "seg_start", "seg_end"), keys)
+    # A trial of which a piece raised has its error and no figures of its own.
     g = p.groupBy(*keys).agg(
         F.sum("n").alias("n_samples"), F.max(F.abs("volts")).alias("peak_cmd_v"), F.sum("sq").alias("_sq"), F.max("worst").alias("peak_error_v"),
         F.sum(F.col("volts") * F.col("n")).alias("_se"), F.sum("total").alias("_sr"), F.min("volts").alias("_e0"), F.max("volts").alias("_e1"),
-        F.min("lo").alias("_r0"), F.max("hi").alias("_r1"), F.min("part_start").alias("_first"), F.max(F.col("part_start") + F.col("n")).alias("_stop"))
+        F.min("lo").alias("_r0"), F.max("hi").alias("_r1"), F.min("part_start").alias("_first"), F.max(F.col("part_start") + F.col("n")).alias("_stop"),
+        F.min("_error").alias("error"))
     n = F.col("n_samples")
     g = g.withColumn("rmse_v", F.sqrt(F.col("_sq") / n)).withColumn("_me", F.col("_se") / n).withColumn("_mr", F.col("_sr") / n)
     reach = lambda lo, hi, m: F.greatest(F.abs(F.col(lo) - F.col(m)), F.abs(F.col(hi) - F.col(m)))
@@ -327,7 +372,7 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     if not with_lag:
         return g.withColumn("status", status).drop(*[c for c in g.columns if c.startswith("_")])
     g = materialise(g, "command-errors")
-    known = g.where("not _flat").select(*keys, "_first", (F.col("_stop") - F.col("_first")).alias("n"), F.col("_mr").alias("mean_r"), F.col("_me").alias("mean_e"))
+    known = g.where("not _flat AND error IS NULL").select(*keys, "_first", (F.col("_stop") - F.col("_first")).alias("n"), F.col("_mr").alias("mean_r"), F.col("_me").alias("mean_e"))
     pieces = slices(trials, null_safe_join(seg, known, keys), keys, size, "seg_start", "seg_end").select(
         *keys, (F.col("part_start") - F.col("_first")).alias("at"), F.col("part").alias("rec"), F.col("volts").alias("level"), "n", "mean_r", "mean_e")
     j = null_safe_join(g, lags(pieces, keys, **lag_sizes), keys, "left").withColumn("timing_offset_ms", F.coalesce("lag", F.lit(0)) / rate * 1000.0).drop("lag")
@@ -336,6 +381,43 @@ def command_error(trials: DataFrame, segments: DataFrame, keys: list[str], size:
     return j.withColumn("status", both).drop(*[c for c in j.columns if c.startswith("_")])
 
 
+def stimulus_by_name(trials: DataFrame, definitions: DataFrame, keys: list[str], position: str = "stimulus_index") -> DataFrame:
+    """Trials with the definition of their stimulus: ``trials`` and the columns of ``definitions`` but ``keys``, and ``found``.
+
+    Both have ``keys`` (what a protocol belongs to) and ``name``; of several definitions of one name the last by ``position`` counts.
+    """
+    rest = [c for c in definitions.columns if c not in (*keys, "name")]
+    last = definitions.groupBy(*keys, "name").agg(F.max_by(F.struct(*rest), position).alias("_d"))
+    j = null_safe_join(trials, last, [*keys, "name"], "left")
+    return j.select(*trials.columns, *[F.col(f"_d.{c}").alias(c) for c in rest], F.col("_d").isNotNull().alias("found"))
+
+
+def command_verdict(trials: DataFrame, errors: DataFrame, keys: list[str], trial: str = "trial_index") -> DataFrame:
+    """Verdict per recording over its trials: the worst, and the first trial at it.
+
+    ``trials`` lists all trials; one without a row in ``errors`` (as :func:`command_error` gives them) had no stimulus of its name, or no samples, and is left out of the
+    verdict. A recording whose trials are all left out passes; a trial that raised fails its recording's check.
+    """
+    j = null_safe_join(trials.select(*keys, trial), errors, [*keys, trial], "left")
+    judged = F.when(F.col("error").isNotNull(), "fail").otherwise(F.col("status"))
+    j = j.withColumn("_s", judged)
+    g = j.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_trials"), F.count_if(F.col("_s").isNull()).alias("n_skipped"), F.min("error").alias("error"), F.avg("rmse_v").alias("mean_rmse_v"),
+        F.min_by(F.struct("_s", F.col(trial).alias("trial"), "rmse_v", "timing_offset_ms"), F.struct(-severity("_s"), F.col(trial))).alias("_w"))
+    status = F.coalesce("_w._s", F.lit("pass"))
+    bad = status.isin("warn", "fail")
+    text = F.when(bad, F.concat(F.lit("trial "), F.col("_w.trial"), F.lit(": error "), F.round(F.col("_w.rmse_v") * 1000, 1), F.lit(" mV, offset "), F.round("_w.timing_offset_ms", 1), F.lit(" ms"))).otherwise("")
+    return g.select(*keys, status.alias("status"), text.alias("message"), "error", "n_trials", "n_skipped", F.when(bad, F.col("_w.trial")).alias("worst_trial"), "mean_rmse_v",
+                    F.create_map(F.lit("n_trials"), F.col("n_trials").cast("double"), F.lit("n_skipped"), F.col("n_skipped").cast("double")).alias("metrics"))
+
+
+def trial_frame_counts(edges: DataFrame, lines: DataFrame, videos: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`frame_counts` on the trigger line of each recording. ``edges`` has one row per line (and trial); a recording without a
+    trigger line is skipped, like one without a video."""
+    chosen = trigger_channel(lines, keys).select(*keys, "channel_index")
+    return frame_counts(edges.join(chosen, [*keys, "channel_index"]), videos, keys)
+
+
 def command_activity(command: DataFrame, windows: DataFrame, lengths: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Command RMS inside and outside the stimulus windows; a sample in several windows counts
     once. ``command`` is the command channel's block table in volts. A recording without windows is skipped."""

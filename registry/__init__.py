@@ -16,5 +16,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import (calibration, catalog, intervals, quality, recording, scalars, sequences, sources,
+    from . import (calibration, catalog, intervals, quality, recording, report, scalars, sequences, sources,
                    stimuli, streams)  # noqa: F401

@@ -113,15 +113,15 @@ LINE = dict(
     FROM len LEFT JOIN hf USING (recording_id)""", **LINE))
 def qc_line_noise(spark, d):
     """Spectral check at a rate of 32, lines at 8 and 12."""
-    return qc.line_noise(sig_blocks(spark, d), KEY, 32, freqs=(8.0, 12.0), band=1.0).withColumn("line_fraction", F.round("line_fraction", 6))
+    return qc.line_noise(sig_blocks(spark, d), KEY, 32, freqs=(8.0, 12.0), band=1.0).select("recording_id", F.round("line_fraction", 6).alias("line_fraction"), "status")
 
 
 @query("qc_events", sql("evt len", """SELECT recording_id, n_events, n_backward, n_outside, n_double, n_orphan, coalesce(u, '') AS unclosed, array_to_string(msgs[1:3], '; ') AS message,
       CASE WHEN n_events = 0 THEN 'skip' WHEN len(msgs) > 0 THEN 'warn' ELSE 'pass' END AS status FROM (
-    SELECT g.*, u, list_concat(list_concat(CASE WHEN n_backward > 0 THEN ['sample_index not monotonic'] ELSE [] END, CASE WHEN n_outside > 0 THEN [n_outside || ' events outside [0,' || n_samples || ')'] ELSE [] END), coalesce(p, [])) AS msgs
+    SELECT g.*, u, list_concat(list_concat(CASE WHEN n_backward > 0 THEN ['sample indices go back'] ELSE [] END, CASE WHEN n_outside > 0 THEN [n_outside || ' events beyond the ' || n_samples || ' samples'] ELSE [] END), coalesce(p, [])) AS msgs
     FROM (SELECT recording_id, max(n_samples) AS n_samples, count(event_seq) AS n_events, count(*) FILTER (WHERE prev > idx) AS n_backward, count(*) FILTER (WHERE idx < 0 OR idx >= n_samples) AS n_outside,
         count(*) FILTER (WHERE event_type = 'apply' AND pt = 'apply') AS n_double, count(*) FILTER (WHERE event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) AS n_orphan FROM (SELECT recording_id FROM len) LEFT JOIN e2 USING (recording_id) GROUP BY 1) g
-    LEFT JOIN (SELECT recording_id, list(CASE WHEN event_type = 'apply' THEN 'stimulus_index=' || stimulus_index || ' applied twice without clear' ELSE 'stimulus_index=' || stimulus_index || ' cleared without a prior apply' END ORDER BY event_seq) AS p
+    LEFT JOIN (SELECT recording_id, list(CASE WHEN event_type = 'apply' THEN 'stimulus ' || stimulus_index || ' started again while on' ELSE 'stimulus ' || stimulus_index || ' ended while off' END ORDER BY event_seq) AS p
         FROM e2 WHERE (event_type = 'apply' AND pt = 'apply') OR (event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) GROUP BY 1) USING (recording_id)
     LEFT JOIN (SELECT recording_id, string_agg(stimulus_index::VARCHAR, ',' ORDER BY stimulus_index) AS u FROM (SELECT recording_id, stimulus_index, arg_max(event_type, event_seq) AS t FROM evt GROUP BY 1, 2) WHERE t = 'apply' GROUP BY 1) USING (recording_id))""",
     e1="SELECT evt.*, n_samples, CASE WHEN event_seq % 17 = 0 THEN event_seq + 20 ELSE event_seq END AS idx FROM evt JOIN len USING (recording_id)",

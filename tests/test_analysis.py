@@ -130,7 +130,7 @@ def test_event_check_and_windows(spark):
     e = spark.createDataFrame(ev, "recording_id bigint, event_seq bigint, sample_index bigint, event_type string, stimulus_index int").withColumn("stimulus_name", F.lit("s"))
     n = spark.createDataFrame([(1, 20), (2, 10)], "recording_id bigint, n_samples bigint")
     r = {x.recording_id: x for x in qc.events(e, n, KEY).collect()}
-    assert r[1].message == ("sample_index not monotonic; 1 events outside [0,20); stimulus_index=0 applied twice without clear")
+    assert r[1].message == ("sample indices go back; 1 events beyond the 20 samples; stimulus 0 started again while on")
     assert r[1].unclosed == [2] and r[1].n_orphan == 1 and r[1].status == "warn"
     assert (r[2].status, r[2].message, r[2].unclosed) == ("pass", "", [])
     w = sorted((x.recording_id, x.start, x.end) for x in S.apply_windows(e, n, KEY).collect())
