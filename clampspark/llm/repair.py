@@ -216,18 +216,43 @@ def compress(ids: np.ndarray, lens: np.ndarray, base: int, least: int = LEAST):
     return sym, np.diff(np.flatnonzero(last), prepend=-1), rules, size
 
 
+def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of every rule in a row, where each rule's begin, and how many they are; rules of one height are filled together."""
+    n = len(rules)
+    parts = np.where(rules >= base, rules - base, -1)
+    size, height = np.ones(n, np.int64), np.zeros(n, np.int64)
+    for i, (a, b) in enumerate(parts.tolist()):  # parts come before the rules that use them
+        size[i] = (size[a] if a >= 0 else 1) + (size[b] if b >= 0 else 1)
+        height[i] = 1 + max(height[a] if a >= 0 else 0, height[b] if b >= 0 else 0)
+    begin = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), np.int64)
+    for h in range(1, int(height.max(initial=0)) + 1):
+        at = np.flatnonzero(height == h)
+        left = np.where(parts[at, 0] >= 0, size[parts[at, 0]], 1)
+        for side, start in ((0, begin[at]), (1, begin[at] + left)):
+            plain = parts[at, side] < 0
+            flat[start[plain]] = rules[at[plain], side]
+            of = parts[at[~plain], side]
+            m = size[of]
+            step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            flat[np.repeat(start[~plain], m) + step] = flat[np.repeat(begin[of], m) + step]
+    return flat, begin, size
+
+
 def expand(sym: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """Ids of a stretch of symbols, last rules first."""
+    """Ids of a stretch of symbols."""
     sym = sym.astype(np.int64)
-    while len(sym) and (big := sym >= base).any():
-        n = np.where(big, 2, 1)
-        at = np.concatenate([[0], np.cumsum(n)])
-        out = np.empty(at[-1], np.int64)
-        r = rules[sym[big] - base]
-        out[at[:-1]] = sym
-        out[at[:-1][big]], out[at[:-1][big] + 1] = r[:, 0], r[:, 1]
-        sym = out
-    return sym
+    big = sym >= base
+    if not big.any():
+        return sym
+    flat, begin, size = expansions(rules, base)
+    of = sym[big] - base
+    m = np.ones(len(sym), np.int64)
+    m[big] = size[of]
+    out = np.repeat(sym, m)
+    m = size[of]
+    out[np.repeat(big, np.where(big, size[np.where(big, sym - base, 0)], 1))] = flat[np.arange(int(m.sum())) + np.repeat(begin[of] - (np.cumsum(m) - m), m)]
+    return out
 
 
 def _pack(x: np.ndarray) -> bytes:
