@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import BLOCK_SAMPLES
 from ..session import materialise
 from ..functions.scalar import array_median
+from .decay import decay_fits
 from .quantiles import exact_median, window_medians
 from .spectra import tones
 from .store import Store, attach
@@ -177,3 +178,8 @@ def capacitance_tau(sweeps: DataFrame, keys: list[str], rate: int) -> DataFrame:
     from .kernels import decay_fit
     r = sweeps.select(*keys, decay_fit(F.col("samples"), rate).alias("_f")).select(*keys, "_f.*")
     return r.withColumn("status", F.when(F.col("converged"), "pass").otherwise("warn"))
+
+
+def capacitance_fits(store: Store, rate: float) -> DataFrame:
+    """:func:`decay_fits` of every stored sweep, of any length, with its status; a fit that fails is a warning."""
+    return decay_fits(store, rate).withColumn("status", F.when(F.col("converged"), "pass").otherwise("warn"))

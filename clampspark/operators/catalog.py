@@ -108,6 +108,13 @@ def log_order(log: DataFrame, key: str = "metadata_file") -> DataFrame:
     return log.orderBy(*time, F.coalesce(F.col(key), F.lit("")))
 
 
+def write_log(log: DataFrame, path: str, owned: list[str] = LOG_COLUMNS, key: str = "metadata_file") -> None:
+    """The log as CSV: the owned columns it has first and in their order, then the user's in theirs; rows as :func:`log_order` puts them, over
+    files that follow one another by name."""
+    cols = [c for c in owned if c in log.columns] + [c for c in log.columns if c not in owned]
+    log_order(log, key).select(*cols).write.option("header", True).option("escape", '"').csv(path)
+
+
 def coerce_log(log: DataFrame) -> DataFrame:
     """Typed log: bad timestamps and numbers become null, flags are true only for true, 1, yes."""
     out = log

@@ -76,21 +76,28 @@ def scan(files: DataFrame, n_ch: int = N_CHANNELS, block: int = BLOCK_SAMPLES, c
     return r.mapInArrow(read, BLOCK_SCHEMA)
 
 
-def scan_trials(index: DataFrame, n_ch: int = N_CHANNELS) -> DataFrame:
-    """Trial blocks by ``(path, trial_index, byte_offset, n_samples)``: one row per channel."""
-    schema = "path string, trial_index bigint, channel_index int, samples array<double>"
-    arrow = pa.schema([("path", pa.string()), ("trial_index", pa.int64()), ("channel_index", pa.int32()), ("samples", pa.list_(pa.float64()))])
+def scan_trials(index: DataFrame, n_ch: int = N_CHANNELS, block: int = BLOCK_SAMPLES) -> DataFrame:
+    """Trials by ``(path, trial_index, byte_offset, n_samples)`` as blocks: one row per channel and at most ``block`` samples.
+
+    A trial's channels lie one behind the other, so each block is one range of bytes; a long trial is read by many tasks.
+    """
+    schema = "path string, trial_index bigint, channel_index int, block_no bigint, block_start bigint, samples array<double>"
+    arrow = pa.schema([("path", pa.string()), ("trial_index", pa.int64()), ("channel_index", pa.int32()), ("block_no", pa.int64()), ("block_start", pa.int64()), ("samples", pa.list_(pa.float64()))])
 
     def read(batches):
         for b in batches:
             for row in b.to_pylist():
+                n = min(block, row["n_samples"] - row["block_no"] * block)
                 with _open(row["path"]) as f:
-                    f.seek(row["byte_offset"])
-                    d = np.frombuffer(f.read(n_ch * row["n_samples"] * 8), dtype="<f8").reshape(n_ch, row["n_samples"])
-                cols = [[row["path"]] * n_ch, [row["trial_index"]] * n_ch, list(range(n_ch)), list(d)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(cols, arrow)], schema=arrow)
-
-    return index.select("path", F.col("trial_index").cast("bigint"), "byte_offset", "n_samples").repartition("path", "trial_index").mapInArrow(read, schema)
+                    f.seek(row["byte_offset"] + (row["channel_index"] * row["n_samples"] + row["block_no"] * block) * 8)
+                    d = np.frombuffer(f.read(n * 8), dtype="<f8")
+                cols = [row["path"], row["trial_index"], row["channel_index"], row["block_no"], row["block_no"] * block, d]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(cols, arrow)], schema=arrow)
+
+    last = F.greatest(F.floor((F.col("n_samples") - 1) / block), F.lit(0)).cast("bigint")
+    parts = index.select("path", F.col("trial_index").cast("bigint"), "byte_offset", "n_samples", F.explode(F.sequence(F.lit(0), F.lit(n_ch - 1))).alias("channel_index"))
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block_no"))
+    return parts.repartition("path", "trial_index", "block_no").mapInArrow(read, schema)
 
 
 class _Range(InputPartition):

@@ -7,7 +7,7 @@ from clampspark.plans import qc
 from . import query
 from .quality import LINE
 from .sequences import ADAPTIVE
-from .views import KEY, RATE, blk, sig_blocks, sig_store, sql, table
+from .views import KEY, RATE, blk, sig_blocks, sig_store, sql, sweep_store, table
 
 TR = ["recording_id", "trial_index"]
 
@@ -102,14 +102,27 @@ def vc_scaling(spark, d):
                     F.round("worst_deviation", 6).alias("worst_deviation"), "status")
 
 
-@query("tau_fit", sql("blk", "SELECT recording_id, trial_index, 'pass' AS status, (1 + vec_id % 16)::DOUBLE AS tau_ms FROM blk"))
+# The best tau is where the pull of its normal equation changes sign: 60 bisections of its logarithm.
+TAU = dict(
+    y="SELECT recording_id, trial_index, list_reverse_sort(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS y FROM blk",
+    r="""SELECT recording_id, trial_index, y, 0 AS k, ln(0.01::DOUBLE) AS lo, ln(100000.0::DOUBLE) AS hi FROM y
+        UNION ALL SELECT recording_id, trial_index, y, k + 1, CASE WHEN pull > 0 THEN mid ELSE lo END, CASE WHEN pull > 0 THEN hi ELSE mid END FROM (
+            SELECT *, d * list_sum(list_transform(range(1, len(y) + 1), lambda i: (y[i] - (sy - d * se) / len(y) - d * e[i]) * e[i] * (i - 1))) AS pull FROM (
+                SELECT *, (len(y) * sye - se * sy) / (len(y) * see - se * se) AS d FROM (
+                    SELECT *, list_sum(e) AS se, list_sum(list_transform(e, lambda x: x * x)) AS see, list_sum(y) AS sy, list_dot_product(e, y) AS sye FROM (
+                        SELECT *, (lo + hi) / 2 AS mid, list_transform(range(0, len(y)), lambda i: exp(-i / exp((lo + hi) / 2))) AS e FROM r WHERE k < 60))))""",
+    f="""SELECT recording_id, trial_index, y, exp((lo + hi) / 2) AS tau, list_transform(range(0, len(y)), lambda i: exp(-i / exp((lo + hi) / 2))) AS e FROM r WHERE k = 60""",
+    g="SELECT *, (len(y) * list_dot_product(e, y) - list_sum(e) * list_sum(y)) / (len(y) * list_dot_product(e, e) - list_sum(e) * list_sum(e)) AS d FROM f",
+    h="SELECT *, (list_sum(y) - d * list_sum(e)) / len(y) AS c FROM g",
+)
+
+
+@query("tau_fit", sql("blk", """SELECT recording_id, trial_index, round(tau, 4) AS tau_ms, round(c, 6) AS i_ss, round(d, 6) AS d_i,
+    round(sqrt(list_sum(list_transform(range(1, len(y) + 1), lambda i: pow(y[i] - c - d * e[i], 2))) / len(y)), 6) AS rmse, true AS at_rest, 'pass' AS status FROM h""", **TAU).replace("WITH blk", "WITH RECURSIVE blk", 1))
 def tau_fit(spark, d):
-    """Decays with a known constant, 1 to 16 ms by vector; the vector's first value sets the level."""
-    b = blk(spark, d)
-    tau = (F.col("vec_id") % 16 + 1) / 1000.0
-    y = F.transform("samples", lambda x, i: F.element_at("samples", 1) + (F.lit(2.0) + F.col("trial_index")) * F.exp(-(i / RATE) / tau))
-    r = C.capacitance_tau(b.select(*TR, y.alias("samples")), TR, RATE)
-    return r.select(*TR, F.round("tau_ms", 4).alias("tau_ms"), "status")
+    """Decay of each recorded vector's magnitudes in falling order, one sample per millisecond."""
+    r = C.capacitance_fits(sweep_store(spark, d), RATE)
+    return r.select(*TR, F.round("tau_ms", 4).alias("tau_ms"), F.round("i_ss", 6).alias("i_ss"), F.round("d_i", 6).alias("d_i"), F.round("rmse", 6).alias("rmse"), (F.col("gradient") < 1e-7).alias("at_rest"), "status")
 
 
 HIST = dict(

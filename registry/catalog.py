@@ -152,24 +152,39 @@ def log_coerce(spark, d):
 
 
 UPSERT = dict(
-    o="""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'm' || (doc_id % 5000) END AS metadata_file, 'old' || doc_id AS expt_id, 'u' || quality AS rating FROM labels""",
+    o="""SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'gone' || (doc_id % 5000) ELSE 'm' || (doc_id % 5000) END AS metadata_file, 'old' || doc_id AS expt_id, 'u' || quality AS rating FROM labels""",
     od="SELECT metadata_file, arg_max(expt_id, doc_id) AS expt_id, arg_max(rating, doc_id) AS rating FROM o WHERE metadata_file <> '' GROUP BY 1",
-    n="SELECT 'm' || (doc_id % 5000) AS metadata_file, arg_max(source, doc_id) AS expt_id, arg_max(lang, doc_id) AS genotype, arg_max(n_chars, doc_id)::VARCHAR AS duration_seconds FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1",
+    n="SELECT 'm' || (doc_id % 5000) AS metadata_file, arg_max(source, doc_id) AS expt_id, arg_max(lang, doc_id) AS genotype, arg_max(n_chars, doc_id)::VARCHAR AS duration_seconds FROM documents GROUP BY 1",
 )
 
 
-@query("log_upsert", sql("", """SELECT coalesce(od.metadata_file, n.metadata_file) AS metadata_file, CASE WHEN n.metadata_file IS NULL THEN od.expt_id ELSE n.expt_id END AS expt_id, coalesce(n.genotype, '') AS genotype,
+UPSERTED = sql("", """SELECT coalesce(od.metadata_file, n.metadata_file) AS metadata_file, CASE WHEN n.metadata_file IS NULL THEN od.expt_id ELSE n.expt_id END AS expt_id, coalesce(n.genotype, '') AS genotype,
     coalesce(n.duration_seconds, '') AS duration_seconds, coalesce(od.rating, '') AS rating,
-    CASE WHEN n.metadata_file IS NULL THEN 'kept' WHEN od.metadata_file IS NULL THEN 'added' ELSE 'updated' END AS change FROM od FULL JOIN n ON od.metadata_file = n.metadata_file""", **UPSERT))
-def log_upsert(spark, d):
+    CASE WHEN n.metadata_file IS NULL THEN 'kept' WHEN od.metadata_file IS NULL THEN 'added' ELSE 'updated' END AS change FROM od FULL JOIN n ON od.metadata_file = n.metadata_file""", **UPSERT)
+
+
+def upserted(spark, d):
+    """Labels are the old log, documents the fresh metadata. Every fourth row of the old log names a file that has vanished."""
     i = F.col("doc_id")
     key = F.concat(F.lit("m"), i % 5000)
-    old = table(spark, d, "labels").select(F.when(i % 13 == 0, "").otherwise(key).alias("metadata_file"), F.concat(F.lit("old"), i).alias("expt_id"),
+    old = table(spark, d, "labels").select(F.when(i % 13 == 0, "").when(i % 4 == 0, F.concat(F.lit("gone"), i % 5000)).otherwise(key).alias("metadata_file"), F.concat(F.lit("old"), i).alias("expt_id"),
                                            F.concat(F.lit("u"), F.col("quality")).alias("rating"), i.alias("row_no"))
-    new = table(spark, d, "documents").where(i % 4 != 0).select(key.alias("metadata_file"), F.col("source").alias("expt_id"), F.col("lang").alias("genotype"),
-                                                                F.col("n_chars").alias("duration_seconds"), i.alias("row_no"))
-    owned = ["expt_id", "genotype", "metadata_file", "duration_seconds"]
-    return K.log_order(K.upsert_log(old, new, owned=owned))
+    new = table(spark, d, "documents").select(key.alias("metadata_file"), F.col("source").alias("expt_id"), F.col("lang").alias("genotype"), F.col("n_chars").alias("duration_seconds"), i.alias("row_no"))
+    return K.upsert_log(old, new, owned=["expt_id", "genotype", "metadata_file", "duration_seconds"])
+
+
+@query("log_upsert", UPSERTED)
+def log_upsert(spark, d):
+    return K.log_order(upserted(spark, d))
+
+
+@query("log_sink", UPSERTED)
+def log_sink(spark, d):
+    """The merged log written as CSV, owned columns first, and read back."""
+    path = scratch_path(spark, "log")
+    K.write_log(upserted(spark, d), path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
 
 
 WHERE = """regexp_matches(expt_id, '(?i)customer#0000000?[0-4]') AND genotype IN ('1-URGENT', '2-HIGH') AND has_video AND start_time >= TIMESTAMP '1996-01-01' AND start_time < TIMESTAMP '1999-01-01'"""

@@ -70,10 +70,10 @@ def scan_trialbin(spark, d):
     from clampspark.session import materialise
     b = blk(spark, d).withColumn("piece", F.floor(F.col("trial_index") / 256))
     index = b.groupBy("recording_id", "piece").applyInPandas(write, "path string, trial_index bigint, byte_offset bigint, n_samples bigint")
-    t = rawbin.scan_trials(materialise(index, "trial-index"), 2)
+    t = rawbin.scan_trials(materialise(index, "trial-index"), 2, 24)  # three blocks per trial and channel
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    return t.select(F.regexp_extract("path", r"/rec(\d+)_", 1).cast("bigint").alias("recording_id"), "trial_index", "channel_index",
-                    F.size("samples").cast("bigint").alias("n"), F.round(total, 6).alias("total"))
+    return t.groupBy(F.regexp_extract("path", r"/rec(\d+)_", 1).cast("bigint").alias("recording_id"), "trial_index", "channel_index").agg(
+        F.sum(F.size("samples")).alias("n"), F.round(F.sum(total), 6).alias("total"))
 
 
 @query("write_blocks", sql("sig", "SELECT recording_id, count(*) AS n, round(sum(v), 6) AS total, max(sample_index) AS last_index FROM sig GROUP BY 1"))

@@ -112,6 +112,14 @@ def two_channels(spark: SparkSession, d: str) -> DataFrame:
     return s.select("recording_id", "c.channel_index", "sample_index", "c.v")
 
 
+def sweep_store(spark: SparkSession, d: str) -> Store:
+    """Each trial's magnitudes in falling order, as a sweep of one block."""
+    falling = F.reverse(F.array_sort(F.transform("samples", lambda x: F.abs(x))))
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<double>")
+    return block_store(spark, d, "sweep-blocks", lambda: blk(spark, d).select(
+        "recording_id", "trial_index", zero.alias("block_no"), zero.alias("block_start"), falling.alias("samples"), none.alias("before"), none.alias("after")), TRIAL)
+
+
 def lengths(samples: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
 
