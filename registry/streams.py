@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from clampspark.operators.blocks import pack
 from clampspark.session import scratch_path
+from clampspark.config import CHUNK_SIZE
 from clampspark.streaming import live
+from clampspark.streaming.ordered import on_time
 from . import query
 from .intervals import FRAMES
-from .views import KEY, sample_path, sig, sql, stored_path
+from .views import _STORED, BLOCK, KEY, sample_path, sig, sig_blocks, sql, stored_path, table
 
 CHUNK = 4
 
@@ -32,21 +34,21 @@ def event_stream(spark, d):
 
 @query("stream_ingest", sql("sig", "SELECT recording_id, sample_index // 4 AS chunk_seq, count(*) AS n, max(sample_index) + 1 AS n_saved, round(sum(v), 6) AS total FROM sig GROUP BY 1, 2"))
 def stream_ingest(spark, d):
-    r = live.run_available(live.ingest(chunk_stream(spark, d), CHUNK), scratch_path(spark, "ingest"))
+    r = on_time(live.run_available(live.ingest(chunk_stream(spark, d)), scratch_path(spark, "ingest")))
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     return r.select("recording_id", "chunk_seq", F.size("samples").cast("bigint").alias("n"), "n_saved", F.round(total, 6).alias("total"))
 
 
 @query("stream_edges", sql("sig", "SELECT l.recording_id, coalesce(n, 0) AS n_edges FROM (SELECT DISTINCT recording_id FROM sig) l LEFT JOIN (SELECT recording_id, count(*) AS n FROM fr GROUP BY 1) USING (recording_id)", **FRAMES))
 def stream_edges(spark, d):
-    r = live.run_available(live.count_edges(chunk_stream(spark, d), 60.0), scratch_path(spark, "edges"))
+    r = on_time(live.run_available(live.count_edges(chunk_stream(spark, d), 60.0), scratch_path(spark, "edges")))
     return r.groupBy("recording_id").agg(F.max("n_edges").alias("n_edges"))
 
 
 @query("stream_rolling", sql("sig len", """SELECT l.recording_id, p AS pos, coalesce(s.v, 0) AS v FROM len l CROSS JOIN (SELECT unnest(range(0, 80, 4)) AS p) q
     LEFT JOIN sig s ON s.recording_id = l.recording_id AND s.sample_index = n_samples - 80 + p"""))
 def stream_rolling(spark, d):
-    r = live.run_available(live.rolling_view(chunk_stream(spark, d), 80, 4), scratch_path(spark, "rolling"))
+    r = live.run_available(live.rolling_view(chunk_stream(spark, d), 80, 4, CHUNK), scratch_path(spark, "rolling"))
     last = r.groupBy("recording_id").agg(F.max_by("samples", "last_chunk").alias("s"))
     return last.select("recording_id", F.posexplode("s").alias("p", "v")).select("recording_id", (F.col("p") * 4).cast("bigint").alias("pos"), "v")
 
@@ -58,14 +60,32 @@ SEGMENT = dict(
 )
 
 
-@query("stream_segment", sql("len", "SELECT recording_id, trial_pos, CAST(stop - span + 8 AS BIGINT) AS data_start, total AS n_saved FROM cu WHERE stop <= n_samples // 4 * 4 OR stop - n_samples % 4 <= n_samples // 4 * 4 AND stop <= n_samples", **SEGMENT))
+@query("stream_segment", sql("len", "SELECT recording_id, trial_pos, CAST(stop - span + 8 AS BIGINT) AS data_start, total AS n_saved FROM cu WHERE stop - span + 8 + total <= n_samples", **SEGMENT))
 def stream_segment(spark, d):
-    """Five planned trials per recording; interval 6 and pre phase 5 samples, rounded up to chunks."""
+    """Five planned trials per recording, cut out of the stream; interval 6 and pre phase 5 samples, rounded up to chunks. Whole trials only."""
+    bounds = planned_bounds(spark, d)
+    r = live.run_available(live.segment_trials(chunk_stream(spark, d), bounds, CHUNK), scratch_path(spark, "segments"))
+    g = r.groupBy("recording_id", "trial_pos", "data_start", "n_samples").agg(F.sum(F.size("part")).alias("n_saved"))
+    return g.where("n_saved = n_samples").drop("n_samples")
+
+
+def planned_bounds(spark, d):
+    from clampspark.operators.stimulus import trial_bounds
     from .views import rec_lengths
-    plan = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint")), lambda p: 10 + (F.col("recording_id") + p) % 5)
-    plans = rec_lengths(spark, d).select("recording_id", F.lit(6).alias("iti"), F.lit(5).alias("pre"), plan.alias("plan"))
-    whole = chunk_stream(spark, d).where(F.size("samples") == CHUNK)
-    return live.run_available(live.segment_trials(whole, plans), scratch_path(spark, "segments"))
+    p = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("trial_pos")
+    plans = rec_lengths(spark, d).select("recording_id", p).select("recording_id", "trial_pos", F.lit(6.0).alias("iti_ms"), F.lit(5.0).alias("pre_ms"),
+                                                                   (10 + (F.col("recording_id") + F.col("trial_pos")) % 5).alias("n_samples"))
+    return trial_bounds(plans, KEY, 1000, CHUNK).select("recording_id", "trial_pos", "data_start", F.col("n_saved").alias("n_samples"))
+
+
+@query("trial_cut", sql("sig len", """SELECT cu.recording_id, trial_pos, count(*) AS n, round(sum(v), 6) AS total FROM cu JOIN sig s ON s.recording_id = cu.recording_id AND sample_index >= stop - span + 8 AND sample_index < stop - span + 8 + total
+    GROUP BY 1, 2""", **SEGMENT))
+def trial_cut(spark, d):
+    """The same trials cut out of the stored recording."""
+    from clampspark.operators.intervals import samples_in
+    w = planned_bounds(spark, d).select("recording_id", "trial_pos", F.col("data_start").alias("start"), (F.col("data_start") + F.col("n_samples")).alias("end"))
+    s = samples_in(sig_blocks(spark, d), w, KEY, BLOCK)
+    return s.groupBy("recording_id", "trial_pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
 @query("stream_alerts", sql("sig", """, f AS (SELECT recording_id, sample_index, v FROM sig WHERE floor(v * 10) >= 1000),
@@ -77,7 +97,8 @@ def stream_alerts(spark, d):
     path = sample_path(spark, d)
     s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     fill = s.select("recording_id", F.col("sample_index").alias("chunk_seq"), F.floor(F.col("v") * 10).cast("bigint").alias("available"))
-    return live.run_available(live.backlog_alerts(fill, 1000, 5), scratch_path(spark, "alerts"))
+    r = on_time(live.run_available(live.backlog_alerts(fill, 1000, 5, CHUNK_SIZE), scratch_path(spark, "alerts")))
+    return r.select("recording_id", "sample_index", "available")
 
 
 FINAL = dict(
@@ -95,6 +116,17 @@ def stream_finalise(spark, d):
     return r.select("recording_id", F.unix_micros("started").alias("started_us"), F.unix_micros("last_seen").alias("last_us"), "n_chunks")
 
 
+def archive_path(spark, d) -> str:
+    """The stored samples in folders by recording."""
+    at = (spark.sparkContext.applicationId, d, "sample-archive")
+    if at not in _STORED:
+        path = scratch_path(spark, "sample-archive")
+        s = table(spark, d, "events").select(F.col("user_id").alias("recording_id"), (F.col("value") / 40).alias("v"))
+        s.withColumn("part", live.archive_part()).repartition("part").write.partitionBy("part").parquet(path)
+        _STORED[at] = path
+    return _STORED[at]
+
+
 @query("stream_qc", sql("", """SELECT recording_id, count(*) AS n_final, round(max(hi), 6) AS max_v, max(status) AS status FROM fin JOIN (SELECT user_id AS recording_id, max(value) / 40 AS hi,
     CASE WHEN count(*) FILTER (WHERE value / 40 >= 9.95) / count(*) >= 1e-3 THEN 'fail' ELSE 'pass' END AS status FROM events GROUP BY 1) USING (recording_id) GROUP BY 1""", **FINAL))
 def stream_qc(spark, d):
@@ -102,11 +134,11 @@ def stream_qc(spark, d):
     from clampspark.plans import qc
     e = event_stream(spark, d).select(F.col("user_id").alias("recording_id"), F.col("ts").cast("timestamp").alias("ts"))
     path = scratch_path(spark, "stream-qc")
+    archive = archive_path(spark, d)
 
     def work(batch):
-        s = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("recording_id"), (F.col("value") / 40).alias("v"))
         done = batch.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_final"))
-        r = qc.saturation(qc.channel_stats(s.join(done.select("recording_id"), "recording_id", "left_semi"), KEY))
+        r = qc.saturation(qc.channel_stats(live.of_batch(spark.read.parquet(archive), done), KEY))
         return r.join(done, "recording_id").select("recording_id", "n_final", "max_v", "status")
 
     live.on_batch(live.finalised(e, "ts", "6 hours"), path, work, path + "-checkpoint")
