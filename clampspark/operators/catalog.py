@@ -20,6 +20,34 @@ def recording_mode(recordings: DataFrame) -> DataFrame:
     return r.withColumn("start_time", F.coalesce("start_time", F.lit("")))
 
 
+def assemble(recordings: DataFrame, channels: DataFrame, trials: DataFrame, events: DataFrame, sidecars: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recordings put together from landed tables: ``(recordings, trials, events)``.
+
+    A recording has its mode, a start time (empty where there is none), its channels in order as arrays ``channel_names, display_scales, units``, its number of trials
+    or events, and whether it has a sidecar. Trials belong to trial recordings and events to continuous ones; rows of the other mode are
+    left out. A trial lacking a number or a stimulus has -1, lacking a text has the empty text. A recording without channels has empty arrays.
+    """
+    r = recording_mode(recordings)
+    mode = r.select(*keys, "mode")
+    fields = ["name", "display_scale", "units"]
+    ch = channels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("channel_index", *fields))).alias("_c"))  # a fixed small number per recording
+    t = trials.join(mode.where("mode = 'trial'").select(*keys), keys)
+    numbers, texts = ("trial_index", "stimulus_index"), ("stimulus_name", "onset_time", "video_file")
+    rest = [c for c in t.columns if c not in (*numbers, *texts)]
+    t = t.select(*rest, *[F.coalesce(F.col(c).cast("bigint"), F.lit(-1).cast("bigint")).alias(c) for c in numbers if c in t.columns],
+                 *[F.coalesce(c, F.lit("")).alias(c) for c in texts if c in t.columns])
+    e = events.join(mode.where("mode = 'continuous'").select(*keys), keys)
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    out = r.join(ch, keys, "left").join(count(t, "n_trials"), keys, "left").join(count(e, "n_events"), keys, "left").join(sidecars.select(*keys, F.lit(True).alias("has_sidecar")).distinct(), keys, "left")
+    empty = {"name": "string", "display_scale": "double", "units": "string"}
+    lists = [F.coalesce(F.col("_c")[f], F.array().cast(f"array<{empty[f]}>")).alias(n) for f, n in zip(fields, ("channel_names", "display_scales", "units"))]
+    zero = F.lit(0).cast("bigint")
+    return out.select(*r.columns, *lists, F.coalesce("n_trials", zero).alias("n_trials"), F.coalesce("n_events", zero).alias("n_events"), F.coalesce("has_sidecar", F.lit(False)).alias("has_sidecar")), t, e
+
+
 def continuous_only(recordings: DataFrame) -> DataFrame:
     """Rows a continuous reader accepts; a trial recording raises."""
     ok = F.when(F.col("mode") == "continuous", F.lit(True)).otherwise(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import CHUNK_SIZE, MV_PER_VOLT, PA_PER_VOLT, SAMPLE_RATE
 from ..functions.scalar import ms_to_samples
 from .intervals import latest_before
-from .ordered import neighbour, running, segment_of
+from .ordered import neighbour, ordinal, running, segment_of
 
 
 def apply_windows(events: DataFrame, lengths: DataFrame, keys: list[str], order: str = "event_seq",
@@ -121,6 +121,20 @@ def logged_index(offset: Column, run_start: Column, chunk: int = CHUNK_SIZE) ->
     return run_start + F.greatest(c, (F.ceil(offset / chunk) * chunk).cast("bigint"))
 
 
+def timing_residuals(planned: DataFrame, log: DataFrame, keys: list[str], chunk: int = CHUNK_SIZE) -> DataFrame:
+    """Logged against planned events, the k-th with the k-th of its kind: ``keys, event_type, place, planned_index, sample_index, residual``.
+
+    ``planned`` has ``keys, event_type, offset, run_start``, ``log`` ``keys, event_type, sample_index, event_seq``. An event that was planned and not
+    logged has no residual; one that was logged and not planned is left out.
+    """
+    by = [*keys, "event_type"]
+    p = planned.withColumn("planned_index", logged_index(F.col("offset"), F.col("run_start"), chunk))
+    p = ordinal(p, by, ["offset"], segment_of("offset", 1 << 20), "place")
+    g = ordinal(log.select(*by, "sample_index", "event_seq"), by, ["event_seq"], segment_of("event_seq"), "place")
+    j = p.select(*by, "place", "planned_index").join(g.select(*by, "place", "sample_index"), [*by, "place"], "left")
+    return j.withColumn("residual", F.col("sample_index") - F.col("planned_index"))
+
+
 def trial_bounds(trials: DataFrame, keys: list[str], rate: int = SAMPLE_RATE, chunk: int = CHUNK_SIZE) -> DataFrame:
     """Where each trial's data lies in the chunk stream: ``data_start`` and ``n_saved``.
 

@@ -26,13 +26,15 @@ def build_session(app: str = "clampspark", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Unset, as in tests, it becomes a folder beside the tables of ``spark.sql.warehouse.dir``, never a machine's own temporary folder.
+    Unset on a local master, as in tests, it is a folder beside the tables of ``spark.sql.warehouse.dir``; unset on a cluster it is an error, as
+    the machines' own folders are not shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from clampspark.config import SIGNAL_CHANNELS
 from clampspark.operators import align
 from clampspark.operators.blocks import pack
-from clampspark.operators.catalog import recording_mode
-from clampspark.operators.stimulus import paired_windows
+from clampspark.operators.catalog import assemble, recording_mode
+from clampspark.operators.stimulus import paired_windows, timing_residuals
 from clampspark.plans import qc
 from clampspark.session import materialise, scratch_path
 from . import query
 from .intervals import PAIRED
 from .quality import CMD_LAG, LINE, SAT, cc, channel_samples, log_lines
+from .scalars import channels
 from .stimuli import segments
 from .views import BLOCK, CH, HALO, KEY, RATE, TRIAL, block_store, dealt_store, evt, rec_lengths, sig, sig_store, sql, stim, table, trial_store
 
@@ -151,6 +152,41 @@ def baseline_by_mode(spark, d):
     return baselines(spark, d).join(recordings(spark, d), "recording_id").select("recording_id", "mode", F.col("end").alias("stop"))
 
 
+# ---- recordings put together, and the log against the plan ------------------------------------
+
+@query("recording_assembly", sql("len blk evt", """SELECT rm.recording_id, mode, '' AS start_time, CASE WHEN rm.recording_id % 3 = 0 THEN 'I_mem,V_pip,AmpCmd,Camera,TTLLoopback' ELSE 'ScAmpOut,RawAmpOut,AmpCmd,Camera,TTLLoopback' END AS names,
+    CASE WHEN mode = 'trial' THEN coalesce(n, 0) ELSE 0 END AS n_trials, CASE WHEN mode = 'trial' THEN coalesce(d, 0) ELSE 0 END AS n_unnumbered, CASE WHEN mode = 'trial' THEN coalesce(u, 0) ELSE 0 END AS n_unnamed,
+    CASE WHEN mode = 'continuous' THEN coalesce(e, 0) ELSE 0 END AS n_events, rm.recording_id % 7 <> 0 AS has_sidecar FROM rm
+    LEFT JOIN (SELECT recording_id, count(*) AS n, count(*) FILTER (WHERE vec_id % 7 = 0) AS d, count(*) FILTER (WHERE vec_id % 3 = 0) AS u FROM blk GROUP BY 1) USING (recording_id)
+    LEFT JOIN (SELECT recording_id, count(*) AS e FROM evt GROUP BY 1) USING (recording_id)""", **MODES))
+def recording_assembly(spark, d):
+    i, v = F.col("recording_id"), F.col("vec_id")
+    r = rec_lengths(spark, d).select("recording_id", (i % 2 == 0).alias("has_trials"), ((i % 2 == 1) | (i % 10 == 0)).alias("has_continuous"), F.lit(None).cast("string").alias("start_time"))
+    ch = r.select("recording_id", F.when(i % 3 == 0, "voltage_clamp").otherwise("current_clamp").alias("clamp_mode")).join(channels(spark), "clamp_mode")
+    t = trial_store(spark, d).blocks.select(
+        "recording_id", F.when(v % 7 != 0, F.col("trial_index")).alias("trial_index"), F.lit(None).cast("bigint").alias("stimulus_index"),
+        F.when(v % 3 != 0, F.concat(F.lit("part "), v)).alias("stimulus_name"), F.lit(None).cast("string").alias("onset_time"))
+    out, trials, _ = assemble(r, ch, t, evt(spark, d), r.where(i % 7 != 0), KEY)
+    n = trials.groupBy("recording_id").agg(F.count_if((F.col("trial_index") == -1) & (F.col("stimulus_index") == -1)).alias("n_unnumbered"), F.count_if((F.col("stimulus_name") == "") & (F.col("onset_time") == "")).alias("n_unnamed"))
+    zero = F.lit(0).cast("bigint")
+    return out.join(n, "recording_id", "left").select(
+        "recording_id", "mode", "start_time", F.array_join("channel_names", ",").alias("names"), "n_trials", F.coalesce("n_unnumbered", zero).alias("n_unnumbered"), F.coalesce("n_unnamed", zero).alias("n_unnamed"),
+        "n_events", "has_sidecar")
+
+
+@query("event_residual", sql("evt len", """SELECT p.recording_id, p.event_type, p.place, p.planned_index, coalesce(g.sample_index - p.planned_index, -1000000) AS residual
+    FROM (SELECT recording_id, CASE WHEN q % 2 = 0 THEN 'apply' ELSE 'clear' END AS event_type, q // 2 AS place, 3 + greatest(4, CAST(ceil((q * 9 + recording_id % 3) / 4.0) * 4 AS BIGINT)) AS planned_index
+        FROM len CROSS JOIN (SELECT unnest(range(0, 6)) AS q)) p
+    LEFT JOIN (SELECT recording_id, event_type, sample_index, row_number() OVER (PARTITION BY recording_id, event_type ORDER BY event_seq) - 1 AS place FROM evt) g USING (recording_id, event_type, place)"""))
+def event_residual(spark, d):
+    """Six planned events per recording against the logged ones; -1000000 where the log has none."""
+    q = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("q")
+    plan = rec_lengths(spark, d).select("recording_id", q).select(
+        "recording_id", F.when(F.col("q") % 2 == 0, "apply").otherwise("clear").alias("event_type"), (F.col("q") * 9 + F.col("recording_id") % 3).alias("offset"), F.lit(3).cast("bigint").alias("run_start"))
+    r = timing_residuals(plan, evt(spark, d), KEY, 4)
+    return r.select("recording_id", "event_type", "place", "planned_index", F.coalesce("residual", F.lit(-1000000)).alias("residual"))
+
+
 # ---- the report ------------------------------------------------------------------------------
 
 def checks(spark, d) -> list[qc.Check]:
