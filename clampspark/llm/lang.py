@@ -12,27 +12,58 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from clampspark.llm.text import LETTER, chunks, column, row_filter, whole, words
+from clampspark.llm.text import LETTER, chunks, column, mix, row_filter, whole, words
 
-PIECE_BYTES = 8      # longest piece used; 8 bytes pack into one machine word
-UNIT_BYTES = 48      # longer runs of letters are scored in units of this many bytes
+UNIT_BYTES = 48      # bytes of a word worked on at a time; the forward columns are carried on to the next ones
+SHORT = 8            # longer pieces are looked up only where their last bytes are those of such a piece
+ROWS = 1 << 15       # words times languages in one block
 SAMPLE_DOCS = 1500   # training rows per language, about (bounded sample)
 ROUNDS = 2           # expectation-maximisation rounds
 SCALE = 64.0         # per byte, keeps products in range
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
-def vocabulary(path: str) -> np.ndarray:
-    """Packed pieces (little-endian bytes) of at most ``PIECE_BYTES``, from a rank file; sorted."""
+
+def vocabulary(path: str) -> list[bytes]:
+    """Every piece of a rank file that is letters with at most a space before them, of any length, and every byte."""
     pieces = {bytes([b]) for b in range(1, 256)}
     with open(path, "rb") as f:
         for line in f:
             piece = base64.b64decode(line.split()[0])
-            if len(piece) <= PIECE_BYTES and b"\0" not in piece and (piece[:1] == b" " or all(LETTER[c] for c in piece)):
-                if all(LETTER[c] for c in piece.lstrip(b" ")) and piece.count(b" ") <= 1:
-                    pieces.add(piece.lower() if piece.isascii() else piece)
-    return np.array(sorted(int.from_bytes(x, "little") for x in pieces), np.uint64)
+            if b"\0" not in piece and all(LETTER[c] for c in piece[piece[:1] == b" ":]):
+                pieces.add(piece.lower() if piece.isascii() else piece)
+    return sorted(pieces)
+
+
+class Pieces:
+    """The vocabulary by a 64-bit hash of each piece that is quick to get for any stretch of a word."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.size = np.array([len(x) for x in pieces], np.int64)
+        self.longest = int(self.size.max(initial=1))
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _BASE)]))
+        keys = np.array([self._key(x) for x in pieces], np.uint64)
+        if len(np.unique(keys)) != len(keys):
+            raise ValueError("two pieces have one hash")
+        self.find = Lookup(keys)
+        long = self.size > SHORT
+        self.tails = Lookup(np.unique(np.array([self._key(x[-SHORT:]) for x in pieces if len(x) > SHORT], np.uint64))) if long.any() else None
+        self.short_sizes = [n for n in range(1, min(SHORT, self.longest) + 1)]
+        self.long_sizes = sorted(set(self.size[long].tolist()))
+
+    @staticmethod
+    def _key(piece: bytes) -> int:
+        h = 0
+        for b in piece:
+            h = (h * int(_BASE) + int(_BYTE[b])) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def __len__(self):
+        return len(self.size)
 
 
 class Lookup:
@@ -71,79 +102,132 @@ class Lookup:
         return out
 
 
-def units(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words as rows of bytes with a leading space: matrix, lengths, and the word of each row."""
-    rows, of = [], []
-    for i, w in enumerate(distinct.to_pylist()):
-        w = b" " + w
-        for at in range(0, len(w), UNIT_BYTES):
-            rows.append(w[at:at + UNIT_BYTES])
-            of.append(i)
-    lens = np.fromiter(map(len, rows), np.int64, len(rows))
-    mat = np.frombuffer(b"".join(r.ljust(UNIT_BYTES, b"\0") for r in rows), np.uint8).reshape(len(rows), UNIT_BYTES)
-    return mat, lens, np.array(of, np.int64)
-
-
-def lattice(mat: np.ndarray, lens: np.ndarray, look: Lookup):
-    """For a block of units sorted by length, longest first: ``(end, piece length, ids, rows)``."""
-    wide = mat.astype(np.uint64)
-    for end in range(1, int(lens.max(initial=0)) + 1):
-        n = int(np.searchsorted(-lens, -end, "right"))
-        key = np.zeros(n, np.uint64)
-        for size in range(1, min(end, PIECE_BYTES) + 1):
-            key = (key << np.uint64(8)) | wide[:n, end - size]
-            yield end, size, look(key)
-
-
-def forward(mat, lens, look, probs, store=None):
-    """Log probability of each unit (rows) under each language (columns); ``probs[id, lang]``, a last row of zeros."""
-    alpha = np.zeros((int(lens.max(initial=0)) + 1, len(lens), probs.shape[1]))
-    alpha[0] = 1.0
-    for end, size, ids in lattice(mat, lens, look):
-        alpha[end, :len(ids)] += alpha[end - size, :len(ids)] * probs[ids] * SCALE ** size
-        if store is not None:
-            store.append((end, size, ids))
-    total = alpha[lens, np.arange(len(lens))]
-    return np.log(np.maximum(total, 1e-300)) - lens[:, None] * np.log(SCALE), alpha
-
-
-def _blocks(mat, lens, rows: int = 1 << 14):
-    order = np.argsort(-lens, kind="stable")
-    for at in range(0, len(order), rows):
-        yield order[at:at + rows]
+class Block:
+    """Distinct words with a leading space, longest first, worked on in waves of ``UNIT_BYTES`` bytes.
+
+    A wave's buffers begin with the last columns of the wave before it, as many as the longest piece has bytes, so segmentations
+    run across waves as if there were none. Columns are scaled anew at each wave.
+    """
+
+    def __init__(self, words_: list[bytes], pieces: Pieces):
+        self.pieces, self.n = pieces, len(words_)
+        self.lens = np.array([len(w) + 1 for w in words_], np.int64)
+        self.buf = np.frombuffer(b"".join(b" " + w for w in words_) + bytes(UNIT_BYTES), np.uint8)
+        self.off = np.cumsum(self.lens) - self.lens
+        self.unit = int(min(UNIT_BYTES, self.lens.max(initial=1)))
+        self.back = pieces.longest
+        self.waves = -(-int(self.lens.max(initial=1)) // self.unit)
+
+    def active(self, byte: int) -> int:
+        """Words longer than ``byte`` bytes; they come first."""
+        return int(np.searchsorted(-self.lens, -byte, "left"))
+
+    def arcs(self, w: int, hashes: np.ndarray):
+        """Pieces that end in wave ``w``: ``(end, size, rows, ids)``, ends rising; ``rows`` is a slice or an index."""
+        p, back, base = self.pieces, self.back, w * self.unit
+        m = self.active(base)
+        mat = self.buf[self.off[:m, None] + base + np.arange(self.unit)]
+        for end in range(1, int(min(self.unit, self.lens[0] - base)) + 1):
+            n = self.active(base + end - 1)
+            hashes[:n, back + end] = hashes[:n, back + end - 1] * _BASE + _BYTE[mat[:n, end - 1]]
+            here, near = hashes[:n, back + end], None
+            for size in p.short_sizes:
+                if size > base + end:
+                    break
+                key = here - hashes[:n, back + end - size] * p.power[size]
+                yield end, size, slice(0, n), p.find(key)
+                if size == SHORT and p.tails is not None:
+                    near = np.flatnonzero(p.tails(key) >= 0)
+            if near is not None and len(near):
+                for size in p.long_sizes:
+                    if size > base + end:
+                        break
+                    ids = p.find(here[near] - hashes[near, back + end - size] * p.power[size])
+                    hit = ids >= 0
+                    if hit.any():
+                        yield end, size, near[hit], ids[hit]
+
+    def forward(self, probs: np.ndarray, store: list | None = None) -> np.ndarray:
+        """Log probability of each word (rows) under each language (columns); ``probs[id, lang]``, a last row of zeros.
+
+        ``store`` receives per wave the scaled columns, the arcs, and the factor the carried columns were divided by.
+        """
+        back, width, k = self.back, self.back + self.unit + 1, probs.shape[1]
+        alpha, hashes = np.zeros((width, self.n, k)), np.zeros((self.n, width), np.uint64)
+        out, logs = np.zeros((self.n, k)), np.zeros((self.n, k))
+        steps = SCALE ** np.arange(back + 1)
+        alpha[back] = 1.0
+        for w in range(self.waves):
+            m, scale = self.active(w * self.unit), np.ones((self.n, k))
+            if w:
+                alpha[:back + 1, :m], hashes[:m, :back + 1] = alpha[self.unit:, :m].copy(), hashes[:m, self.unit:].copy()
+                alpha[back + 1:] = 0.0
+                scale[:m] = alpha[:back + 1, :m].max(0)
+                scale[scale <= 0] = 1.0
+                alpha[:back + 1, :m] /= scale[:m]
+                logs += np.log(scale)
+            arcs = []
+            for end, size, rows, ids in self.arcs(w, hashes):
+                alpha[back + end, rows] += alpha[back + end - size, rows] * probs[ids] * steps[size]
+                if store is not None:
+                    arcs.append((end, size, rows, ids))
+            done = np.arange(self.active((w + 1) * self.unit), m)
+            last = alpha[back + self.lens[done] - w * self.unit, done]
+            out[done] = np.log(np.maximum(last, 1e-300)) + logs[done] - self.lens[done, None] * np.log(SCALE)
+            if store is not None:
+                store.append((alpha[:, :m].copy(), arcs, scale))
+        return out
+
+    def counts(self, probs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece under one language's ``probs``, words counted ``weight`` times."""
+        store: list = []
+        self.forward(probs[:, None], store)
+        back, out = self.back, np.zeros(len(probs))
+        steps, beta = SCALE ** np.arange(back + 1), np.zeros((self.back + self.unit + 1, self.n))
+        for w in range(self.waves - 1, -1, -1):
+            alpha, arcs, _ = store[w]
+            m, further = self.active(w * self.unit), self.active((w + 1) * self.unit)
+            if w < self.waves - 1:
+                beta[self.unit:, :further] = beta[:back + 1, :further] / store[w + 1][2][:further, 0]
+                beta[:self.unit] = 0.0
+            done = np.arange(further, m)
+            beta[:, done] = 0.0
+            at = back + self.lens[done] - w * self.unit
+            beta[at, done] = 1.0 / np.maximum(alpha[at, done, 0], 1e-300)
+            for end, size, rows, ids in reversed(arcs):
+                flow = probs[ids] * steps[size] * beta[back + end, rows]
+                used = alpha[back + end - size, rows, 0] * flow * weight[rows]
+                out += np.bincount(np.where(ids < 0, len(probs) - 1, ids), used, len(probs))
+                beta[back + end - size, rows] += flow
+        out[-1] = 0
+        return out
+
+
+def _blocks(distinct: pa.Array, langs: int):
+    """Places of distinct words in blocks of bounded size, longest first, each with its words."""
+    order = np.argsort(-pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64), kind="stable")
+    step = max(64, ROWS // max(1, langs))
+    for at in range(0, len(order), step):
+        part = order[at:at + step]
+        yield part, distinct.take(pa.array(part)).to_pylist()
 
 
 class Model:
-    def __init__(self, langs: list[str], vocab: np.ndarray, probs: np.ndarray):
+    def __init__(self, langs: list[str], vocab: list[bytes], probs: np.ndarray):
         self.langs, self.vocab, self.probs = langs, vocab, probs
 
-    def word_scores(self, distinct: pa.Array, look: Lookup, probs: np.ndarray) -> np.ndarray:
-        mat, lens, of = units(distinct)
+    def word_scores(self, distinct: pa.Array, pieces: Pieces) -> np.ndarray:
         out = np.zeros((len(distinct), len(self.langs)))
-        for part in _blocks(mat, lens):
-            score, _ = forward(mat[part], lens[part], look, probs)
-            np.add.at(out, of[part], score)
+        for at, words_ in _blocks(distinct, len(self.langs)):
+            out[at] = Block(words_, pieces).forward(self.probs)
         return out
 
 
-def expected_counts(distinct: pa.Array, counts: np.ndarray, look: Lookup, probs: np.ndarray) -> np.ndarray:
+def expected_counts(distinct: pa.Array, counts: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece when words (with their counts) are segmented under one language's ``probs``."""
-    mat, lens, of = units(distinct)
     out = np.zeros(len(probs))
-    for part in _blocks(mat, lens):
-        arcs: list = []
-        _, alpha = forward(mat[part], lens[part], look, probs[:, None], arcs)
-        alpha = alpha[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[lens[part], np.arange(len(part))] = 1.0
-        total = np.maximum(alpha[lens[part], np.arange(len(part))], 1e-300)
-        weight = counts[of[part]]
-        for end, size, ids in reversed(arcs):
-            n = len(ids)
-            step = probs[ids] * SCALE ** size
-            out += np.bincount(np.where(ids < 0, len(probs) - 1, ids), alpha[end - size, :n] * step * beta[end, :n] / total[:n] * weight[:n], len(probs))
-            beta[end - size, :n] += step * beta[end, :n]
-    out[-1] = 0
+    for at, words_ in _blocks(distinct, 4):
+        out += Block(words_, pieces).counts(probs, counts[at])
     return out
 
 
@@ -165,20 +249,20 @@ def train(docs: DataFrame, vocab_path: str, sample_docs: int = SAMPLE_DOCS, roun
     cut = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / sizes[k]))])
     part = F.pmod(F.xxhash64(F.lit("lang sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(part < cut[F.col("lang")]).select("lang", F.lower("text").alias("text"))
-    size = np.array([max(1, (int(k).bit_length() + 7) // 8) for k in vocab])
+    size = np.array([len(x) for x in vocab])
     probs[:-1] = (0.02 ** np.minimum(size, 4) / size)[:, None]
     for _ in range(rounds):
         now = probs.copy()
 
         def count(batches):
-            look = Lookup(vocab)
+            pieces = Pieces(vocab)
             for chunk, texts in chunks(batches):
                 w = words(texts, LETTER)
                 lang = np.array([langs.index(x) for x in column(chunk, "lang").to_pylist()])
                 of = lang[w.doc] if len(w.ids) else np.zeros(0, np.int64)
                 for k in np.unique(of):
                     ids, n = np.unique(w.ids[of == k], return_counts=True)
-                    got = expected_counts(w.distinct.take(pa.array(ids)), n.astype(float), look, now[:, k])
+                    got = expected_counts(w.distinct.take(pa.array(ids)), n.astype(float), pieces, now[:, k])
                     hit = np.flatnonzero(got)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), k, np.int32)), pa.array(hit.astype(np.int32)), pa.array(got[hit])],
                                                      names=["k", "piece", "n"])
@@ -194,7 +278,7 @@ def train(docs: DataFrame, vocab_path: str, sample_docs: int = SAMPLE_DOCS, roun
 
 def _predictor(model: Model):
     """Function from (lower-cased texts, whether each has a letter) to (languages, scores, numbers of words)."""
-    langs, probs, look = model.langs, model.probs, Lookup(model.vocab)
+    langs, pieces = model.langs, Pieces(model.vocab)
 
     def predict(texts: pa.Array, letters: list):
         w = words(texts, LETTER)
@@ -202,7 +286,7 @@ def _predictor(model: Model):
         total = np.zeros((len(n), max(1, len(langs))))
         if langs and len(w.ids):
             ll = np.zeros((len(w.ids) + 1, len(langs)))
-            np.cumsum(model.word_scores(w.distinct, look, probs)[w.ids], 0, out=ll[1:])
+            np.cumsum(model.word_scores(w.distinct, pieces)[w.ids], 0, out=ll[1:])
             total = ll[w.bounds[1:]] - ll[w.bounds[:-1]]
         total = total * (np.minimum(n, 16) / np.maximum(n, 1))[:, None]
         best = total.argmax(1)

@@ -204,20 +204,54 @@ def test_language(spark, docs, empty, odd):
     assert {r.lang_pred for r in lang.predict(docs, none).collect()} == {"und"} and lang.predict(empty, model).count() == 0 and lang.predict(odd, model).count() == 4
 
 
-def test_forward_sums_all_segmentations():
+def test_forward_sums_all_segmentations(monkeypatch):
     import itertools
 
     import pyarrow as pa
-    pieces = {b" ": .1, b" a": .2, b"a": .1, b"b": .2, b"ab": .3, b"ba": .1}
-    keys = np.array(sorted(int.from_bytes(p, "little") for p in pieces), np.uint64)
-    probs = np.append([pieces[int(k).to_bytes(8, "little").rstrip(b"\0")] for k in keys], 0.0)[:, None]
-    got = lang.Model(["x"], keys, probs).word_scores(pa.array([b"abab"]), lang.Lookup(keys), probs)[0, 0]
-    text, total = b" abab", 0.0
-    for n in range(len(text)):
-        for cut in itertools.combinations(range(1, len(text)), n):
-            parts = [text[a:b] for a, b in zip((0, *cut), (*cut, len(text)))]
-            total += np.prod([pieces.get(p, 0.0) for p in parts])
-    assert abs(got - np.log(total)) < 1e-9
+    pieces = {b" ": .1, b" a": .2, b"a": .1, b"b": .2, b"ab": .3, b"ba": .1, b"abababababab": .4, b"babababababa": .2, b"babababab": .05}
+    names = sorted(pieces)
+    probs = np.append([pieces[x] for x in names], 0.0)[:, None]
+
+    def brute(text):
+        total, uses = 0.0, np.zeros(len(names) + 1)
+        for n in range(len(text)):
+            for cut in itertools.combinations(range(1, len(text)), n):
+                parts = [text[a:b] for a, b in zip((0, *cut), (*cut, len(text)))]
+                p = np.prod([pieces.get(x, 0.0) for x in parts])
+                total += p
+                if p:
+                    for x in parts:
+                        uses[names.index(x)] += p
+        return np.log(total), uses / total
+
+    for unit in (48, 5, 3, 1):  # the same sums wherever a word is cut into units
+        monkeypatch.setattr(lang, "UNIT_BYTES", unit)
+        words = [b"abab", b"abababababababa", b"ab", b"a", b"babababababababa"[:13]]
+        p = lang.Pieces(names)
+        got = lang.Model(["x"], names, probs).word_scores(pa.array(words), p)[:, 0]
+        want = [brute(b" " + w) for w in words]
+        assert np.allclose(got, [t for t, _ in want], atol=1e-9)
+        n = np.array([2.0, 1.0, 3.0, 1.0, 0.5])
+        uses = lang.expected_counts(pa.array(words), n, p, probs[:, 0])
+        assert np.allclose(uses, sum(k * u for k, (_, u) in zip(n, want)), atol=1e-9)
+
+
+def test_long_runs_and_scripts_without_spaces(spark):
+    """A word of 100,000 bytes is scored whole, and languages of three bytes a letter are told apart."""
+    import pyarrow as pa
+    names = [bytes([b]) for b in range(1, 256)] + [b"ab" * 16]
+    probs = np.append(np.full(len(names), 1 / len(names)), 0.0)[:, None]
+    score = lang.Model(["x"], sorted(names), probs).word_scores(pa.array([b"ab" * 50_000]), lang.Pieces(sorted(names)))[0, 0]
+    assert np.isfinite(score) and score > -100_001 * np.log(256) * 0.5
+    rng = random.Random(4)
+    said = {"zh": "我们今天去北京看他的朋友因为这里有很多人说话可是时间不够", "ja": "わたしたちはきょうともだちとはなしてからいえにかえりました", "ko": "우리는오늘친구와함께학교에가서공부를하고집에왔습니다", "ru": "мысегодняпошливгородчтобывидетьдрузей"}
+    rows = [(i, "".join(rng.choice(said[la]) for _ in range(rng.randrange(60, 400))), la) for i, la in enumerate(list(said) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.train(docs.where("doc_id % 2 = 0"), vocab("byte_bpe_multi_50k.tiktoken"))
+    # doc_id % 2 = 0 leaves two of the four languages; the other two are trained from the odd rows.
+    both = lang.train(docs.where("doc_id < 40"), vocab("byte_bpe_multi_50k.tiktoken"))
+    got = {r.doc_id: r.lang_pred for r in lang.predict(docs.where("doc_id >= 40"), both).collect()}
+    assert sorted(model.langs) != sorted(both.langs) and np.mean([got[i] == la for i, _, la in rows[40:]]) == 1.0
 
 
 @pytest.mark.parametrize("width", [13, 5])
