@@ -20,6 +20,7 @@ from clampspark.llm.text import chunks, column, mix
 K = 32          # characters in a gram, a power of two
 WINDOW = 64     # grams in a window, a power of two
 PART_BYTES = 32 << 20
+LEVEL = 2048    # parts cut in one step
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -96,10 +97,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 LEAST = -(1 << 63)
 
 
-def in_order(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def in_order(docs: DataFrame, part_bytes: int = PART_BYTES, level: int = LEVEL) -> DataFrame:
     """``(part, peek, doc_id, no, text)``: documents cut into parts of descending doc_id, each part followed by the first document(s) of the next.
 
-    The cuts are quantiles of doc_id, moved to ids that exist; only these few ids come to the driver. A part's follower is a copy of the
+    The cuts are quantiles of doc_id, moved to ids that exist; the driver and the tasks hold two numbers per part, the plan none. Beyond ``level`` parts they are taken
+    in two steps, quantiles within quantiles, so parts stay near ``part_bytes`` at any size. A part's follower is a copy of the
     next part's head, so neighbours meet without a window over all rows: the texts are shuffled once. The last part is
     followed by the first document of all. A null doc_id comes last.
     """
@@ -107,27 +109,35 @@ def in_order(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     stat = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.max(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).alias("top")).first()
     n = max(1, -(-(stat["b"] or 0) // part_bytes))
     top = LEAST if stat["top"] is None else stat["top"]
+
+    def quantiles(k: int):
+        return F.percentile_approx("no", [i / k for i in range(1, k)], max(10_000, 8 * k))
+
+    def numbered(cuts: np.ndarray):
+        @pandas_udf("int")
+        def part_of(no: pd.Series) -> pd.Series:
+            return pd.Series((len(cuts) - np.searchsorted(cuts, no.to_numpy(), "left")).astype("int32"))
+        return part_of("no")
+
     cuts = np.zeros(0, np.int64)
     if n > 1:
-        got = src.agg(F.percentile_approx("no", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"]
-        cuts = np.unique(np.array([x for x in got if x < top], np.int64))
+        cuts = np.unique(np.array([x for x in src.agg(quantiles(min(n, level)).alias("q")).first()["q"] if x < top], np.int64))
+    if n > level:
+        inner = src.groupBy(numbered(cuts).alias("first")).agg(quantiles(-(-n // level)).alias("q")).select(F.explode("q").alias("cut")).toPandas()["cut"].to_numpy()
+        cuts = np.unique(np.concatenate([cuts, inner[inner < top]]))
+    src = src.withColumn("part", numbered(cuts))
+    # The approximate cuts only say where to cut; each part's head is looked up exactly.
+    found = src.groupBy("part").agg(F.max("no").alias("head")).toPandas().sort_values("part") if n > 1 else pd.DataFrame({"part": [0], "head": [top]})
+    parts, heads = found["part"].to_numpy(), found["head"].to_numpy(np.int64)
 
-    @pandas_udf("int")
-    def part_of(no: pd.Series) -> pd.Series:
-        return pd.Series((len(cuts) - np.searchsorted(cuts, no.to_numpy(), "left")).astype("int32"))
+    @pandas_udf("part int, before int")
+    def placed(part: pd.Series, no: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(parts, part.to_numpy())
+        return pd.DataFrame({"part": at.astype("int32"), "before": np.where(heads[at] == no.to_numpy(), (at - 1) % len(heads), -1).astype("int32")})
 
-    src = src.withColumn("part", part_of("no"))
-    # The approximate cuts only say where to cut; each part's head is looked up exactly.
-    got = {r["part"]: r["head"] for r in src.groupBy("part").agg(F.max("no").alias("head")).collect()} if n > 1 else {0: top}
-    order = sorted(got)
-    heads = [got[q] for q in order]
-    place = F.create_map(*[F.lit(x) for i, q in enumerate(order) for x in (q, i)]) if heads else F.create_map(F.lit(0), F.lit(0))
-    src = src.withColumn("part", place[F.col("part")])
-    last = len(heads) - 1
-    head = F.col("no").isin([int(x) for x in heads])
-    before = F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1)
-    copies = F.when(head, F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("peek")), F.struct(before.alias("part"), F.lit(1).alias("peek")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("peek"))))
+    src = src.select("no", "text", placed("part", "no").alias("p"))
+    mine = F.struct(F.col("p.part").alias("part"), F.lit(0).alias("peek"))
+    copies = F.when(F.col("p.before") >= 0, F.array(mine, F.struct(F.col("p.before").alias("part"), F.lit(1).alias("peek")))).otherwise(F.array(mine))
     out = src.select("no", "text", F.explode(copies).alias("c")).select("c.part", "c.peek", "no", "text")
     return out.repartitionById(max(len(heads), 1), "part").sortWithinPartitions("part", "peek", F.col("no").desc(), "text")
 

@@ -74,6 +74,17 @@ def test_op3(spark, folder):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out) and by[94].near_edited > 0.3 and by[40].near_next < 0.9
 
 
+def test_op3_in_many_parts(spark, folder, monkeypatch):
+    """Parts of a few documents, cut in two steps, meet like one."""
+    from clampspark.llm import winnow
+    d, rows, _ = folder
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id <> 94")
+    whole = sorted(map(str, winnow.neighbours(docs).collect()))
+    parts = winnow.in_order(docs, 1500, 4).select("part").distinct().count()
+    monkeypatch.setattr(winnow.in_order, "__defaults__", (1500, 4))
+    assert parts > 12 and sorted(map(str, winnow.neighbours(docs, 1500).collect())) == whole
+
+
 def test_op4(spark, folder):
     d, rows, _ = folder
     assert {(r.doc_id, r.item_id) for r in QUERIES["op4_string_tiling"](spark, d).collect()} == {(20, 1)}
