@@ -250,22 +250,22 @@ def result_rows(spark, d):
     fin = qc.finite(stats, KEY)
     off = stats.groupBy("recording_id").agg(F.avg("mean_v").alias("mean_v")).withColumn("status", F.lit("pass"))
     return qc.run_checks({
-        "Finite values (no NaN/Inf)": lambda: qc.as_result(fin, KEY, "Acquisition integrity", "Finite values (no NaN/Inf)", F.lit(""), {"n_nonfinite": "n_nonfinite"}),
-        "Stimulus event table": lambda: qc.as_result(qc.events(evt(spark, d), n, KEY), KEY, "Acquisition integrity", "Stimulus event table", F.col("message"), {"n_events": "n_events"}),
-    }, n, KEY, "Acquisition integrity").unionByName(qc.run_checks({
-        "Saturation": lambda: qc.as_result(sat, KEY, "Signal sanity", "Saturation", F.coalesce("channel", F.lit("no channel near DAQ rails")), {"value": "value"}),
-        "DC offset": lambda: qc.as_result(off, KEY, "Signal sanity", "DC offset", F.lit(""), {"mean_v": "mean_v"}),
-    }, n, KEY, "Signal sanity"))
+        "finite values": lambda: qc.as_result(fin, KEY, "Acquisition", "finite values", F.lit(""), {"n_nonfinite": "n_nonfinite"}),
+        "events": lambda: qc.as_result(qc.events(evt(spark, d), n, KEY), KEY, "Acquisition", "events", F.col("message"), {"n_events": "n_events"}),
+    }, n, KEY, "Acquisition").unionByName(qc.run_checks({
+        "saturation": lambda: qc.as_result(sat, KEY, "Signal", "saturation", F.coalesce("channel", F.lit("all channels within limits")), {"value": "value"}),
+        "offset": lambda: qc.as_result(off, KEY, "Signal", "offset", F.lit(""), {"mean_v": "mean_v"}),
+    }, n, KEY, "Signal"))
 
 
 CHECKS = dict(
     **SAT,
     ev2="SELECT *, lag(event_type) OVER (PARTITION BY recording_id, stimulus_index ORDER BY event_seq) AS pt FROM evt",
-    c1="SELECT recording_id, 'Acquisition integrity' AS section, 1 AS sev FROM len",
-    c2="""SELECT recording_id, 'Acquisition integrity' AS section, max(CASE WHEN event_type IS NULL THEN 0 WHEN (event_type = 'apply' AND pt = 'apply') OR (event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) THEN 2 ELSE 1 END) AS sev
+    c1="SELECT recording_id, 'Acquisition' AS section, 1 AS sev FROM len",
+    c2="""SELECT recording_id, 'Acquisition' AS section, max(CASE WHEN event_type IS NULL THEN 0 WHEN (event_type = 'apply' AND pt = 'apply') OR (event_type = 'clear' AND (pt IS NULL OR pt <> 'apply')) THEN 2 ELSE 1 END) AS sev
         FROM (SELECT recording_id FROM len) LEFT JOIN ev2 USING (recording_id) GROUP BY 1""",
-    c3="SELECT recording_id, 'Signal sanity' AS section, max(CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS sev FROM sx GROUP BY 1",
-    c4="SELECT recording_id, 'Signal sanity' AS section, 1 AS sev FROM len",
+    c3="SELECT recording_id, 'Signal' AS section, max(CASE status WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS sev FROM sx GROUP BY 1",
+    c4="SELECT recording_id, 'Signal' AS section, 1 AS sev FROM len",
     al="SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4",
 )
 
