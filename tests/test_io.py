@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from clampspark.operators import blocks as B, catalog as K
 from clampspark.sources import files, rawbin, tables
+from clampspark.operators.stimulus import trial_bounds
 from clampspark.streaming import live
+from clampspark.streaming.ordered import on_time
 
 KEY = ["recording_id"]
 
@@ -107,15 +109,17 @@ def test_streams_equal_batch(spark, tmp_path, parts):
     x[0] = 5.0
     rows = [(1, 0, k, x[k * 4:k * 4 + 4].tolist()) for k in range(30)]
     out = {n: str(tmp_path / n) for n in ("edges", "roll", "seg")}
-    plans = spark.createDataFrame([(1, 6, 5, [12, 10, 31])], "recording_id bigint, iti int, pre int, plan array<int>")
+    plans = spark.createDataFrame([(1, k, 6.0, 5.0, n) for k, n in enumerate([12, 10, 31])], "recording_id bigint, trial_pos bigint, iti_ms double, pre_ms double, n_samples bigint")
+    bounds = trial_bounds(plans, ["recording_id"], 1000, 4).select("recording_id", "trial_pos", "data_start", F.col("n_saved").alias("n_samples"))
     for s in feed(spark, str(tmp_path / "in"), rows, CHUNKS, parts):
         e = live.run_available(live.count_edges(s, 2.5), out["edges"])
-        r = live.run_available(live.rolling_view(s, 50, 4), out["roll"])
-        g = live.run_available(live.segment_trials(s, plans), out["seg"])
+        r = live.run_available(live.rolling_view(s, 50, 4, 4), out["roll"])
+        g = live.run_available(live.segment_trials(s, bounds, 4), out["seg"])
     want = int((np.diff(np.concatenate([[0], x >= 2.5]).astype(int)) == 1).sum())
     assert e.agg(F.max("n_edges")).first()[0] == want
     assert r.orderBy(F.desc("last_chunk")).first().samples == x[-50:][::4].tolist()
     # Waits end at 8, pre phases after 8 more, stimulus phases at the next chunk end.
+    g = g.groupBy("recording_id", "trial_pos", "data_start").agg(F.sum(F.size("part")).alias("n"))
     assert sorted(tuple(t) for t in g.collect()) == [(1, 0, 8, 12), (1, 1, 32, 10), (1, 2, 56, 31)]
 
 
@@ -130,4 +134,4 @@ def test_alerts_keep_their_distance(spark, tmp_path):
         if a >= 1400 and quiet >= 3:
             want.append(((k + 1) * 200, a))
             quiet = 0
-    assert sorted((x.sample_index, x.available) for x in r.collect()) == want
+    assert sorted((x.sample_index, x.available) for x in on_time(r).collect()) == want
