@@ -19,7 +19,7 @@ from clampspark.llm.text import LETTER, chunks, column, mix, row_filter, whole,
 
 UNIT_BYTES = 48      # bytes of a word worked on at a time; the forward columns are carried on to the next ones
 SHORT = 8            # longer pieces are looked up only where their last bytes are those of such a piece
-ROWS = 1 << 15       # words times languages in one block
+ROWS = 1 << 14       # words times languages in one block
 SAMPLE_DOCS = 1500   # training rows per language, about (bounded sample)
 ROUNDS = 2           # expectation-maximisation rounds
 SCALE = 64.0         # per byte, keeps products in range
