@@ -1,17 +1,25 @@
-"""Documents of a given Jaccard similarity, found exactly: prefix filter over distinct word shingles, then a count of the common ones.
+"""Documents of a given Jaccard similarity: SimHash tries find most pairs, a prefix filter the rest, and a count of the common shingles decides.
+
+Each document has ``TRIES`` independent 32-bit SimHash values of its distinct word shingles. The leading bits of each go through the trie
+self-join of ``simhash`` with a budget of ``BUDGET`` bits; documents that agree in a key are linked through the smallest of them. A pair that
+meets in any trie is compared by its whole sets. Tries miss some pairs, more of them the larger the input, so an exact way follows.
 
 Put the distinct shingles of all documents in one order. Two sets of similarity t or more then share a shingle among the
 first ``n - ceil(t n) + 1`` of each, and at the first one they share, enough must be left on either side. Every pair that passes
 is compared by its whole sets, so no pair of the wanted similarity is missed and none below it is linked, at any size of input.
 Any order gives the same links; rare shingles first (by counts in hashed slots) keeps the pairs to compare few.
 
-Equal sets are one node. A family of near copies does not form all pairs: first each shingle links its documents with the smallest
+Equal sets are one node. A family of near copies does not form all pairs: first the tries, and each shingle links its documents with the smallest
 of them; after that only pairs that are not yet connected are compared, with every other document of the shingle.
+
+Most pairs to compare are far below the wanted similarity. Each set has a parity bitmap: two sets differ in no fewer shingles than their
+bitmaps in bits, so most are told apart by 64 bytes, none wrongly, and only the whole sets of the others travel.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from clampspark.llm.decontaminate import rolling
 from clampspark.llm.graph import components
+from clampspark.llm.simhash import walk
 from clampspark.llm.text import WORD, chunks, column, give_back, mix, word_hashes, words
 from clampspark.session import materialise
 
@@ -28,6 +37,12 @@ BUCKET_ROWS = 1 << 19
 PAIRS = 1 << 21     # pairs of places looked at together
 SALTS = 64
 LEVELS = 8          # steps per doubling of a slot's count
+TRIES = 8
+BUDGET = 2          # differing bits of two trie keys that meet
+NODE_ROWS = 1 << 17
+PARITY_WORDS = 8
+SKETCH = [f"s{j}" for j in range(TRIES // 2)]
+PARITY = [f"p{j}" for j in range(PARITY_WORDS)]
 
 
 def _sets(batches, shingle: int):
@@ -56,11 +71,33 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (mix(h) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+# A byte's bits as eight byte-wide counters; 255 of them add up without a carry.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (j + 1) % (1 << 64) for j in range(TRIES // 2)], np.uint64)[:, None]
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Sign bits of ``TRIES`` x 32 sums over the shingles, as 64-bit words."""
+    ones = np.zeros((TRIES // 2, 64), np.int64)
+    for at in range(0, len(s), 255):
+        lanes = _LANES[mix(s[at:at + 255] ^ _SEEDS).view(np.uint8).reshape(TRIES // 2, -1, 8)]
+        ones += lanes.sum(1, dtype=np.uint64).view(np.uint8)
+    return np.packbits((2 * ones > len(s)).astype(np.uint8), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Bit b is set when an odd number of shingles fall on it: the bitmaps of two sets differ in at most as many bits as the sets in shingles."""
+    at = (mix(s ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * PARITY_WORDS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _digests(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row per document with the digest and size of its set; and, with a block, how many sets have a shingle in each slot."""
-    schema = "doc_id long, d0 long, d1 long, n long, block int, slots binary, counts binary"
-    names = ["doc_id", "d0", "d1", "n", "block", "slots", "counts"]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
+    """One row per document with the digest, size, sketch and parity bitmap of its set; and, with a block, how many sets have a shingle in each slot."""
+    words = [*SKETCH, *PARITY]
+    names = ["doc_id", "d0", "d1", "n", *words, "block", "slots", "counts"]
+    types = [pa.int64()] * (4 + len(words)) + [pa.int32(), pa.binary(), pa.binary()]
+    schema = f"doc_id long, d0 long, d1 long, n long, {', '.join(f'{w} long' for w in words)}, block int, slots binary, counts binary"
 
     def run(batches):
         total = np.zeros(1 << SLOT_BITS, np.uint32)
@@ -69,14 +106,16 @@ def _digests(docs: DataFrame, shingle: int) -> DataFrame:
                 np.add.at(total, _slot(s), 1)
             d = [_digest(s) for s in sets]
             n = chunk.num_rows
+            w = np.array([np.concatenate([_sketch(s), _parity(s)]) for s in sets], np.int64).reshape(n, len(words))
             yield pa.RecordBatch.from_arrays([column(chunk, "doc_id"), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()),
-                                              pa.array([len(s) for s in sets], pa.int64()), *(pa.nulls(n, t) for t in types[4:])], names=names)
+                                              pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(w[:, j])) for j in range(len(words))),
+                                              *(pa.nulls(n, t) for t in types[-3:])], names=names)
         rows = []
         for block, part in enumerate(total.reshape(-1, 1 << BLOCK_BITS)):
             at = np.flatnonzero(part)
             if len(at):
                 rows.append((block, at.astype("<u2").tobytes(), part[at].tobytes()))
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in types[:4]), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types[4:]))], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in types[:-3]), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types[-3:]))], names=names)
 
     return _lowered(docs).mapInArrow(run, schema)
 
@@ -113,6 +152,56 @@ def _prefixes(docs: DataFrame, shingle: int, t: Fraction, levels: np.ndarray) ->
     return _lowered(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, d0 long, n long, tokens binary").where("n > 0")
 
 
+def _meet(nodes: DataFrame, bits: int, p: int) -> DataFrame:
+    """``nodes(trie, key)``, keys of ``bits`` bits -> ``(trie, a, b)``: keys within the budget. Visits travel packed, one row per batch and node pair."""
+    masks = [sum(1 << i for i in c) for r in range(BUDGET + 1) for c in combinations(range(p), r)]
+
+    def send(batches):
+        for batch in batches:
+            trie, key = (column(batch, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("trie", "key"))
+            own = key >> (bits - p)
+            other = own[:, None] ^ np.array(masks, np.int64)
+            pair = (trie[:, None] << 40 | np.minimum(own[:, None], other) << 20 | np.maximum(own[:, None], other)).ravel()
+            keys = np.repeat(key, len(masks)).astype(np.uint32)
+            order = np.argsort(pair, kind="stable")
+            pair, keys = pair[order], keys[order]
+            at = np.flatnonzero(np.diff(pair, prepend=-1))
+            end = np.append(at[1:], len(pair)) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(pair[at]), pa.array([keys[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist())], pa.binary())], names=["pair", "keys"])
+
+    def join(key, group):
+        pair = key[0].as_py()
+        trie, lo, hi = pair >> 40, pair >> 20 & 0xFFFFF, pair & 0xFFFFF
+        k = np.unique(np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint32)).astype(np.uint64)
+        side = k >> np.uint64(bits - p)
+        back = np.uint64(64 - bits)
+        k = k << back
+        a, b = k[side == lo], k[side == hi]
+        i, j = walk(a, b, p, bin(lo ^ hi).count("1"), BUDGET, lo == hi)
+        return pa.table({"trie": pa.array(np.full(len(i), trie, np.int64)), "a": (a[i] >> back).astype(np.int64), "b": (b[j] >> back).astype(np.int64)})
+
+    return nodes.mapInArrow(send, "pair long, keys binary").groupBy("pair").applyInArrow(join, "trie long, a long, b long")
+
+
+def _trie_pairs(sketches: DataFrame) -> DataFrame:
+    """``sketches(doc_id, s0, ...)``, one row per set -> ``(u, v)``: documents whose keys meet in a trie, each key by its smallest document.
+
+    The key length follows the logarithm of the number of documents, which keeps chance meetings per document constant.
+    """
+    n = sketches.count()
+    bits = min(32, max(20, max(1, n).bit_length() + 9))
+    p = min(16, max(2, (n // NODE_ROWS).bit_length()))
+    keys = F.array(*[F.struct(F.lit(j).cast("long").alias("trie"), F.shiftrightunsigned(F.col(SKETCH[j // 2]), 32 * (j % 2)).bitwiseAND(F.lit((1 << bits) - 1)).alias("key"))
+                     for j in range(TRIES)])
+    placed = sketches.select("doc_id", F.explode(keys).alias("k")).select("k.trie", "k.key", "doc_id")
+    nodes = materialise(placed.groupBy("trie", "key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), "trie-nodes")
+    met = materialise(_meet(nodes.select("trie", "key"), bits, p).where("a <> b"), "trie-links")
+    met = met.join(nodes.select("trie", F.col("key").alias("a"), F.col("rep").alias("u")), ["trie", "a"]).join(
+        nodes.select("trie", F.col("key").alias("b"), F.col("rep").alias("v")), ["trie", "b"]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    same = placed.join(nodes.where("k > 1").drop("k"), ["trie", "key"]).where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    return met.where("u <> v").union(same).distinct()
+
+
 PLACE = np.dtype([("token", "<u8"), ("doc", "<i8"), ("root", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -180,6 +269,18 @@ def _candidates(prefixes: DataFrame, buckets: int, t: Fraction, stars: bool) ->
     return prefixes.mapInArrow(send, "bucket long, places binary").groupBy("bucket").applyInArrow(join, "u long, v long").distinct()
 
 
+def _alike(pairs: DataFrame, marks: DataFrame, t: Fraction) -> DataFrame:
+    """``pairs(u, v)`` without those whose sizes or parity bitmaps rule out similarity ``t``: ``marks(doc_id, n, p0, ...)``, one row per set.
+
+    Similarity t means that at most (1 - t) / (1 + t) of both sizes together differ.
+    """
+    x, y = (marks.select(F.col("doc_id").alias(end), F.struct("n", *PARITY).alias(name)) for end, name in (("u", "x"), ("v", "y")))
+    differ = sum((F.bit_count(F.col("x")[p].bitwiseXOR(F.col("y")[p])) for p in PARITY), F.lit(0)).cast("long")
+    differ = F.greatest(differ, F.abs(F.col("x.n") - F.col("y.n")))
+    near = differ * (t.denominator + t.numerator) <= (F.col("x.n") + F.col("y.n")) * (t.denominator - t.numerator)
+    return pairs.join(x, "u").join(y, "v").where(near).select("u", "v")
+
+
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
     """Those of ``pairs(u, v)`` whose whole sets have similarity ``t`` or more. Each document's set goes to blocks of its pairs."""
     def run(batches):
@@ -213,15 +314,19 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     known = rows.where("doc_id IS NOT NULL")
     many = known.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     copies = materialise(known.select("doc_id", "d0", "d1").join(many, ["d0", "d1"]).where("doc_id <> rep").select("doc_id", "d0", "rep").distinct(), "copies")
+    marks = known.where("n > 0").join(copies, ["doc_id", "d0"], "leftanti").dropDuplicates(["doc_id", "d0"])
+    marks = materialise(marks.select("doc_id", "n", *SKETCH, *PARITY), "marks")
+    tries = materialise(_alike(_trie_pairs(marks.select("doc_id", *SKETCH)), marks, t), "trie-pairs")
     prefixes = materialise(_prefixes(docs, shingle, t, levels).join(copies, ["doc_id", "d0"], "leftanti").dropDuplicates(["doc_id", "d0"]), "prefixes")
     places = prefixes.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     buckets = max(256, places // 8 // BUCKET_ROWS)
 
-    stars = materialise(_candidates(prefixes.withColumn("root", F.col("doc_id")), buckets, t, True), "stars")
-    links = materialise(_similar(stars, docs, shingle, t), "star-links")
+    stars = _alike(_candidates(prefixes.withColumn("root", F.col("doc_id")), buckets, t, True), marks, t)
+    first = materialise(tries.union(stars).distinct(), "stars")
+    links = materialise(_similar(first, docs, shingle, t), "star-links")
     roots = components(links)
     rooted = prefixes.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "tokens", F.coalesce("root", "doc_id").alias("root"))
-    rest = materialise(_candidates(rooted, buckets, t, False).join(stars, ["u", "v"], "leftanti"), "candidates")
+    rest = materialise(_alike(_candidates(rooted, buckets, t, False), marks, t).join(first, ["u", "v"], "leftanti"), "candidates")
     links = links.union(_similar(rest, docs, shingle, t)).union(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     roots = components(links)
     return rows.select("doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
