@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+
+# Small files that one task writes.
+FILES_PER_TASK = 256
 
 
 def build_session(app: str = "clampspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,6 +44,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_files(df: DataFrame, by: list[Column], per_task: int = FILES_PER_TASK) -> tuple[DataFrameWriter, int]:
+    """Writer of ``df`` for one small file per value of ``by``, and their number.
+
+    To the planner many small files are little data, which it would leave to one task; here the tasks follow the number of files. Each task
+    moves its own files into place, not the driver all of them one by one. ``df`` is read twice.
+    """
+    n = df.select(*by).distinct().count()
+    return df.repartition(max(1, -(-n // per_task)), *by).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2"), n
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: reused by several branches and
     safe against lost executors."""

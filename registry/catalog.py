@@ -1,10 +1,13 @@
 """Catalogue, files and log."""
 
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clampspark.operators import catalog as K, protocols
-from clampspark.session import scratch_path
-from clampspark.sources import files as S
+from clampspark.session import FILES_PER_TASK, scratch_path
+from clampspark.sources import files as S, rawbin
 from . import query
 from .views import rec, sql, stim, table
 
@@ -87,6 +90,9 @@ def protocol_decode(spark, d):
         F.col("p.pre_ms").alias("pre_ms"), s["type"].alias("type"))
 
 
+FOLDERS = 256
+
+
 def sidecar_text(spark, d):
     """Sidecar JSON of every supplier; some are damaged, some keep the mode under the protocol."""
     s = table(spark, d, "supplier")
@@ -104,8 +110,26 @@ def sidecar_text(spark, d):
 def sidecars(spark, d):
     """One file per sidecar in the shared folder, read back by the sidecar reader."""
     path = scratch_path(spark, "sidecars")
-    sidecar_text(spark, d).repartition("id").write.partitionBy("id").text(path)
-    return S.read_sidecars(spark, path, "part-*").withColumn("id", F.regexp_extract("metadata_file", r"id=(\d+)/", 1).cast("bigint"))
+    t = sidecar_text(spark, d)
+    tasks = max(1, -(-t.count() // FILES_PER_TASK))
+
+    def write(batches):
+        system, inner = rawbin.locate(path)
+        rows = ((i, v) for b in batches for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        n, made = 0, set()
+        for i, group in groupby(rows, lambda r: r[0]):
+            folder = f"{inner}/{(i or 0) % FOLDERS}"
+            if folder not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
+            with system.open_output_stream(f"{folder}/{i}_metadata.json") as f:
+                f.write("".join(f"{v}\n" for _, v in group).encode())
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    # Small files are little data: the number of tasks follows that of the files, and each task writes its own.
+    t.select("id", "value").repartition(tasks, "id").sortWithinPartitions("id").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    return S.read_sidecars(spark, path).withColumn("id", F.regexp_extract("metadata_file", r"/(\d+)_metadata", 1).try_cast("bigint"))
 
 
 @query("scan_sidecars", """SELECT s_suppkey AS id, CASE WHEN bad THEN '' ELSE s_name END AS expt_id, CASE WHEN bad THEN '' WHEN s_suppkey % 3 = 0 THEN 'voltage_clamp' ELSE 'current_clamp' END AS clamp_mode,
