@@ -14,7 +14,7 @@ from ..operators.ordered import ordinal, segment_of
 from ..operators.pulses import clip_runs, command_runs, start_by_gap
 from ..operators.quantiles import window_medians
 from ..operators.stimulus import apply_windows
-from ..session import materialise
+from ..session import materialise, small_files
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,9 @@ INTRINSICS_COLUMNS = ["staircase_index", "stimulus_name", "t_start_s", "t_end_s"
                       "max_amp_pA", "rmp_mV", "input_resistance_MOhm"]
 
 
+CSV_ROWS = 1 << 16
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """The report precision: two decimals for times, one for the rest, half to even."""
     places = {"t_start_s": 2, "t_end_s": 2, "min_amp_pA": 1, "max_amp_pA": 1, "rmp_mV": 1, "input_resistance_MOhm": 1}
@@ -125,8 +128,9 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, keys: list[str], path: str) -> bool:
-    """Nine-column CSV per recording folder; an empty result writes no file. Tells whether there is any."""
-    folders = [F.col(k).alias(f"{k}_part") for k in keys]
-    out = rounded(df).select(*INTRINSICS_COLUMNS, *folders)
-    out.write.partitionBy(*[f"{k}_part" for k in keys]).option("header", True).csv(path)
-    return bool(df.sparkSession.read.schema(out.schema).option("header", True).csv(path).take(1))
+    """Nine-column CSV per recording folder, in one file per ``CSV_ROWS`` staircases; an empty result writes no file. Tells whether there is any."""
+    folders = [f"{k}_part" for k in keys]
+    out = materialise(rounded(df).select(*INTRINSICS_COLUMNS, *[F.col(k).alias(f) for k, f in zip(keys, folders)]), "staircases")
+    files, n = small_files(out, [*[F.col(f) for f in folders], F.floor(F.col("staircase_index") / CSV_ROWS)])
+    files.partitionBy(*folders).option("header", True).csv(path)
+    return n > 0
