@@ -42,8 +42,9 @@ class InOrder(StatefulProcessor):
     def _row(self, key, seq: int, kind: str, values: tuple) -> tuple:
         return (int(key[0]), int(key[1]) if self.n_keys > 1 else 0, int(seq), kind, *values)
 
-    def _drain(self, key, seq: int, carry: tuple, out: list) -> tuple[int, tuple]:
-        while self.early.containsKey((seq,)):
+    def _drain(self, key, seq: int, carry: tuple, out: list, held: bool = True) -> tuple[int, tuple]:
+        """Chunks that waited for this one; ``held`` tells whether any chunk of an earlier batch waits."""
+        while held and self.early.containsKey((seq,)):
             row = tuple(self.early.getValue((seq,)))
             self.early.removeKey((seq,))
             carry, made = self.take(carry, seq, row)
@@ -65,15 +66,18 @@ class InOrder(StatefulProcessor):
         p = pd.concat(list(rows)).sort_values("chunk_seq", kind="stable")
         fields = [c.split()[0] for c in self.payload.split(", ")]
         first_wait = None
+        # The batch is taken in order, so only chunks of earlier batches can fill in behind one of its own: without any the map is not asked.
+        held, mine = self.early.exists(), set()
         for at, *values in p[["chunk_seq", *fields]].itertuples(index=False, name=None):
             at = int(at)
-            if at < seq or self.early.containsKey((at,)):
+            if at < seq or at in mine or held and self.early.containsKey((at,)):
                 out.append(self._row(key, at, "late", none))
             elif at == seq:
                 carry, made = self.take(carry, at, tuple(values))
                 out += [self._row(key, at, "chunk", m) for m in made]
-                seq, carry = self._drain(key, at + 1, carry, out)
+                seq, carry = self._drain(key, at + 1, carry, out, held)
             else:
+                mine.add(at)
                 self.early.updateValue((at,), tuple(v.tolist() if hasattr(v, "tolist") else v for v in values))
                 first_wait = at if first_wait is None else first_wait
         self.next.update((seq,))
