@@ -15,8 +15,12 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 # Samples per segment: about 52 s at 20 kHz. A month of one recording has about 50,000 segments.
 SEGMENT_SAMPLES = 1 << 20
+# A key of no more rows is one task's work.
+WHOLE_ROWS = 1 << 20
 
 
 def segment_of(index: str | Column, size: int = SEGMENT_SAMPLES) -> Column:
@@ -84,6 +88,26 @@ def running(
     return inside.join(carry, reduce(and_, on), "left").select(*[F.col(f"_in.{c}") for c in df.columns], *out)
 
 
+def running_by_size(df: DataFrame, keys: list[str], order: list[str], segment: Column, values: dict[str, tuple[str, Column]], inclusive: bool = True,
+                    most: int = WHOLE_ROWS) -> DataFrame:
+    """:func:`running` for tables of many keys with few rows each: rows of keys of at most ``most`` rows travel once, to one window per
+    key; only those of larger keys go by segments. The keys are counted first, and there are few large ones."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    large = materialise(n.select(*keys), "large-keys")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    fold = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+
+    def whole(rows: DataFrame) -> DataFrame:
+        out = rows.select("*", *[expr.alias(f"_v_{n}") for n, (_, expr) in values.items()])
+        got = {n: fold[how](F.col(f"_v_{n}")).over(w) for n, (how, _) in values.items()}
+        return out.select(*df.columns, *[(F.coalesce(c, F.lit(0)) if values[n][0] == "sum" else c).alias(n) for n, c in got.items()])
+
+    if large.isEmpty():
+        return whole(df)
+    split = running(null_safe_join(df, large, keys, "left_semi"), keys, order, segment, values, inclusive)
+    return whole(null_safe_join(df, large, keys, "left_anti")).unionByName(split)
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[str], segment: Column, name: str) -> DataFrame:
     """Zero-based position of each row within its key."""
     return running(df, keys, order, segment, {name: ("sum", F.lit(1).cast("bigint"))}, inclusive=False)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import CHUNK_SIZE, MV_PER_VOLT, PA_PER_VOLT, SAMPLE_RATE
 from ..functions.scalar import ms_to_samples
 from .intervals import latest_before
-from .ordered import neighbour, ordinal, running, segment_of
+from .ordered import neighbour, ordinal, running_by_size, segment_of
 
 
 def apply_windows(events: DataFrame, lengths: DataFrame, keys: list[str], order: str = "event_seq",
@@ -110,7 +110,7 @@ def planned_timeline(trials: DataFrame, keys: list[str], rate: int = SAMPLE_RATE
     """
     pre, post, iti = (ms_to_samples(c, rate) for c in ("pre_ms", "post_ms", "iti_ms"))
     length = pre + F.col("waveform_samples") + post + iti
-    t = running(trials, keys, ["trial_pos"], segment_of("trial_pos", 4096), {"_before": ("sum", length)}, inclusive=False)
+    t = running_by_size(trials, keys, ["trial_pos"], segment_of("trial_pos", 4096), {"_before": ("sum", length)}, inclusive=False)
     t = t.withColumn("apply_offset", iti + F.col("_before") + pre).drop("_before")
     return t.withColumn("clear_offset", F.col("apply_offset") + F.col("waveform_samples") + post)
 
@@ -150,7 +150,7 @@ def trial_bounds(trials: DataFrame, keys: list[str], rate: int = SAMPLE_RATE, ch
     pre = ms_to_samples("pre_ms", rate)
     wait = phase(ms_to_samples("iti_ms", rate))
     hold = phase(pre) + phase(F.col("n_samples") - pre)
-    t = running(trials, keys, ["trial_pos"], segment_of("trial_pos", 4096), {"_before": ("sum", wait + hold)}, inclusive=False)
+    t = running_by_size(trials, keys, ["trial_pos"], segment_of("trial_pos", 4096), {"_before": ("sum", wait + hold)}, inclusive=False)
     t = t.withColumn("data_start", wait + F.col("_before")).drop("_before")
     return t.withColumn("n_saved", F.least(F.col("n_samples"), hold))
 

@@ -53,13 +53,13 @@ def trials(spark, d):
 
 def _trials(spark, d):
     """Trial order of a run: the order's items; every trial carries its planned waveform length."""
-    from clampspark.operators.ordered import ordinal
+    from clampspark.operators.ordered import running_by_size
     li = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("recording_id"), F.col("l_partkey").alias("stimulus_index"),
         "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity")
-    t = ordinal(li, KEY, ["stimulus_index", "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity"],
-                F.floor(F.col("stimulus_index") / 1024), "trial_pos").select("recording_id", "trial_pos", "stimulus_index")
-    s = stim(spark, d).withColumn("n_samples", S.planned_samples(RATE))
+    t = running_by_size(li, KEY, ["stimulus_index", "l_extendedprice", "l_linenumber", "l_suppkey", "l_quantity"], F.floor(F.col("stimulus_index") / 1024),
+                        {"trial_pos": ("sum", F.lit(1).cast("bigint"))}, inclusive=False).select("recording_id", "trial_pos", "stimulus_index")
+    s = stim(spark, d).select("stimulus_index", "name", "type", "pre_ms", "post_ms", "iti_ms", S.planned_samples(RATE).alias("n_samples"))
     return t.join(s, "stimulus_index").withColumn(
         "waveform_samples", F.when(F.col("type") == "baseline", 0).otherwise(F.col("n_samples")).cast("bigint"))
 
