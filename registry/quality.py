@@ -207,7 +207,8 @@ CMD = dict(**PIECES, pr="""SELECT bs.recording_id, bs.trial_index, sample_index,
 def trial_pairs(spark, d):
     """Recorded trials of 64 samples and the segments of the stimulus numbered like their vector."""
     trials = trial_store(spark, d).blocks
-    seg = segments(spark, d).join(trials.select(F.col("vec_id").alias("stimulus_index"), *TRIAL), "stimulus_index")
+    named = trials.select(F.col("vec_id").alias("stimulus_index"), *TRIAL)
+    seg = segments(spark, d, named.select("stimulus_index")).join(named, "stimulus_index")
     return trials.drop("vec_id"), seg
 
 

@@ -111,7 +111,8 @@ def named_trials(spark, d):
 
 def commands(spark, d):
     t = materialise(named_trials(spark, d), "named-trials")
-    seg = segments(spark, d).join(t.where("found").select(*TRIAL, "stimulus_index"), "stimulus_index").drop("stimulus_index")
+    named = t.where("found").select(*TRIAL, "stimulus_index")
+    seg = segments(spark, d, named.select("stimulus_index")).join(named, "stimulus_index").drop("stimulus_index")
     e = qc.command_error(trial_store(spark, d).blocks.drop("vec_id"), seg, TRIAL, BLOCK, RATE)
     return qc.command_verdict(t, e, KEY)
 

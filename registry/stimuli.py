@@ -27,8 +27,10 @@ PIECES = {
 }
 
 
-def segments(spark, d):
-    return S.expected_segments(stim(spark, d), ["stimulus_index"], RATE)
+def segments(spark, d, used=None):
+    """Expected segments of all stimuli, or of those in ``used(stimulus_index)``: one that no trial has is not laid out."""
+    s = stim(spark, d)
+    return S.expected_segments(s if used is None else s.join(used, "stimulus_index", "left_semi"), ["stimulus_index"], RATE)
 
 
 @query("expected_segments", sql("stim", "SELECT stimulus_index, seg_start, seg_end, round(volts, 9) AS volts FROM seg WHERE seg_end > seg_start", **PIECES))
