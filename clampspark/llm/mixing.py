@@ -119,13 +119,15 @@ def apply(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and size share their copies, in order of text. Null doc_ids and sources are values like any other; an empty table stays empty.
     """
-    keys = ["doc_id", "source", "size"]
-    plan = mix(docs, **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    # Keys without nulls, in plain equality, deal out the documents once for the join and the window.
+    keys = {"id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "no_id": F.col("doc_id").isNull(),
+            "of": F.coalesce(F.col("source").cast("string"), F.lit("")), "no_source": F.col("source").isNull(), "size": F.col("size")}
+    key = [c.alias(k) for k, c in keys.items()]
+    plan = mix(docs, **options).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
     size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
     # The caller's columns travel as one, so none of their names can meet one of these.
-    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("whole"))
-    on = rows["doc_id"].eqNullSafe(plan["doc_id"]) & rows["source"].eqNullSafe(plan["source"]) & (rows["size"] == plan["size"])
-    j = rows.join(plan, on).select(*[rows[k] for k in keys], "whole", "copies", "rows")
+    rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*[F.col(c) for c in docs.columns]).alias("whole")).select(*key, "whole")
+    j = rows.join(plan, list(keys))
     j = j.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("whole.text")))
     n = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("place") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
     j = j.select("whole", n.cast("int").alias("n")).where("n > 0")

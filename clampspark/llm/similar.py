@@ -41,6 +41,7 @@ TRIES = 8
 BUDGET = 2          # differing bits of two trie keys that meet
 NODE_ROWS = 1 << 17
 PARITY_WORDS = 8
+IDS_SENT = 1 << 21  # ids, about 50 MB of them, that travel to the documents
 SKETCH = [f"s{j}" for j in range(TRIES // 2)]
 PARITY = [f"p{j}" for j in range(PARITY_WORDS)]
 
@@ -57,6 +58,11 @@ def _sets(batches, shingle: int):
     give_back()
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Landed ``ids`` to join documents with: they travel to the documents, so that no text is shuffled, unless they are very many."""
+    return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     import xxhash
     d = xxhash.xxh3_128_digest(s.tobytes())
@@ -289,8 +295,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, t: Fraction) -> Da
             yield pa.RecordBatch.from_arrays([column(chunk, "doc_id"), pa.array([_digest(s)[0] for s in sets], pa.int64()),
                                               pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "d0", "s"])
 
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialise(_lowered(docs).join(ids, "doc_id", "leftsemi").mapInArrow(run, "doc_id long, d0 long, s array<long>").dropDuplicates(["doc_id", "d0"]), "sets")
+    ids = materialise(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct(), "pair-ids")
+    sets = materialise(_lowered(docs).join(_sent(ids), "doc_id", "leftsemi").mapInArrow(run, "doc_id long, d0 long, s array<long>").dropDuplicates(["doc_id", "d0"]), "sets")
     salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("su"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).alias("sv"))
 
     def side(name, salt, out):
@@ -332,16 +338,21 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     return rows.select("doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """``docs`` as one column ``whole``, with ``node``: the doc_id, or for a doc_id that names several texts a number of (doc_id, text)."""
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as one column ``whole``, with ``node``: the doc_id, or for a doc_id that names several texts a number of (doc_id, text).
+
+    And the doc_ids, null too, that stand in more than one row: ``(doc_id, again)``, landed.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(c) for c in docs.columns]).alias("whole"))
     h = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
-    twice = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("doc_id")
-    twice = materialise(twice.withColumn("several", F.lit(True)), "several-texts")
+    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), (F.min(h) != F.max(h)).alias("several")).where("rows > 1")
+    again = materialise(again.select("doc_id", F.lit(True).alias("again"), "several"), "repeated-ids")
+    twice = again.where("doc_id IS NOT NULL AND several").select("doc_id", "several")
+    again = again.select("doc_id", "again")
     if twice.isEmpty():
-        return rows.withColumn("node", F.col("doc_id"))
+        return rows.withColumn("node", F.col("doc_id")), again
     own = F.xxhash64(F.lit("node"), "doc_id", h)
-    return rows.join(twice, "doc_id", "left").select("doc_id", "text", "whole", F.when(F.col("several"), own).otherwise(F.col("doc_id")).alias("node"))
+    return rows.join(_sent(twice), "doc_id", "left").select("doc_id", "text", "whole", F.when(F.col("several"), own).otherwise(F.col("doc_id")).alias("node")), again
 
 
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -350,11 +361,16 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Rows that agree in doc_id and text are one document; a doc_id with several texts is several documents, and of those that are alike the
     one with the smallest hash stays. Documents without a doc_id stay, rows that agree in a null doc_id and text once. Blank and null texts form one group.
     """
-    rows = _nodes(docs)
+    rows, again = _nodes(docs)
     found = groups(rows.select(F.col("node").alias("doc_id"), "text"), shingle, similarity).where("doc_id IS NOT NULL").distinct()
     named = found.join(rows.where("doc_id IS NOT NULL AND node <> doc_id").select("node", F.col("doc_id").alias("own")).distinct(), F.col("doc_id") == F.col("node"), "left")
     named = named.select(F.col("doc_id").alias("node"), "component_id", F.struct(F.coalesce("own", "doc_id").alias("id"), F.col("doc_id").alias("node")).alias("place"))
     first = named.groupBy("component_id").agg(F.min("place").alias("first"))
-    gone = named.join(first, "component_id").where("place <> first").select(F.col("node").alias("gone")).distinct()
-    kept = rows.join(gone, F.col("node") == F.col("gone"), "leftanti")
-    return kept.dropDuplicates(["doc_id", "text"]).select("whole.*")
+    gone = materialise(named.join(first, "component_id").where("place <> first").select(F.col("node").alias("gone")).distinct(), "gone")
+    kept = rows.join(_sent(gone), F.col("node") == F.col("gone"), "leftanti").select("doc_id", "text", "whole")
+    if again.isEmpty():
+        return kept.select("whole.*")
+    # Only rows that share their doc_id can be the same document; the others are not shuffled.
+    kept = kept.alias("l").join(_sent(again).alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("l.*", "again")
+    once, more = kept.where("again IS NULL"), kept.where("again")
+    return once.select("whole").union(more.dropDuplicates(["doc_id", "text"]).select("whole")).select("whole.*")
