@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clampspark.llm.repair import byte_characters
-from clampspark.llm.text import chunks, column, raw
+from clampspark.llm.text import chunks, column, load_tokenizer, raw
 
 END = 1
 LONGEST = 2048
@@ -76,10 +76,7 @@ def encoder(path: str):
     This vocabulary drops white space and splits what is between into runs of letters, single digits and runs of other marks. ASCII
     text is cut there, and each distinct unit is encoded once.
     """
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(path)
+    tok = load_tokenizer(path)
     model, as_text = tok.model, byte_characters()
     known: dict[bytes, int] = {}
     flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clampspark.llm.text import chunks, column, raw
+from clampspark.llm.text import chunks, column, give_back, load_tokenizer, raw
 
 END = 2
 SHARD_IDS = 3 << 18
@@ -26,6 +26,7 @@ SLOT_BITS = 18
 LEAST = 16         # a pair must occur this often in a shard to become a rule
 PART_BYTES = 48 << 20
 CHUNK_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20  # text cut into pieces at a time, which takes many times its size
 KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; beyond that it begins anew
 SHARD_SCHEMA = ("part int, shard int, first_doc long, n_docs long, n_ids long, base int, doc_ids binary, doc_symbols binary, doc_starts binary, "
                 "rules binary, expansion binary, symbols binary, width int")
@@ -106,10 +107,7 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encoder(path: str):
     """Function from an Arrow text array to (ids, lengths), equal to encoding each text on its own; distinct pieces are encoded once."""
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(path)
+    tok = load_tokenizer(path)
     model, as_text = tok.model, byte_characters()
     known: dict[bytes, int] = {}
     flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -273,6 +271,7 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int = SHA
     src = src.withColumn("part", F.spark_partition_id())
 
     def run(batches):
+        give_back()
         encode, held, n, shard = encoder(tokenizer), [], 0, 0
 
         def flush():
@@ -290,7 +289,9 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int = SHA
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], names=_NAMES)
 
         for chunk, texts in chunks(batches, limit=CHUNK_BYTES):
-            ids, lens = encode(texts)
+            found = [encode(part) for _, part in chunks([chunk], limit=ENCODE_BYTES)]
+            ids, lens = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            del found
             ends = np.cumsum(lens + 1) - 1
             out = np.full(len(ids) + len(lens), end, np.int32)
             mask = np.ones(len(out), bool)
@@ -304,6 +305,8 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END, shard_ids: int = SHA
                 yield flush()
         if held:
             yield flush()
+        encode = None
+        give_back()
 
     return src.mapInArrow(run, SHARD_SCHEMA)
 
@@ -347,8 +350,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SHARD_SCHEMA).parquet(path)
 
     def decode(batches):
+        give_back()
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 rules = _unpack(row["rules"]).reshape(-1, 2)
                 doc_ids, null = _unpack(row["doc_ids"]).reshape(2, -1)
                 counts, starts = _unpack(row["doc_symbols"]), _unpack(row["doc_starts"])
@@ -360,6 +365,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     pa.array(doc_ids, mask=null.astype(bool)), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64()),
                     pa.array(np.full(len(counts), row["part"], np.int32)), pa.array(np.full(len(counts), row["shard"], np.int32))],
                     names=["doc_id", "inner", "n_tokens", "ids_crc32", "part", "shard"])
+        give_back()
 
     docs = files.mapInArrow(decode, "doc_id long, inner long, n_tokens long, ids_crc32 long, part int, shard int")
     return docs.join(_starts(files), ["part", "shard"]).select(

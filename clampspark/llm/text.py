@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,16 @@ def give_back() -> None:
         pass
 
 
+def load_tokenizer(path: str):
+    """The tokenizer of one task, without the library's cache of words: that outlives the tokenizer, some 5 MB for each task of a worker, and callers remember ids themselves."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    if hasattr(tok.model, "_resize_cache"):
+        tok.model._resize_cache(0)
+    return tok
+
+
 def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of at most ``limit`` bytes of text, one row at least, each with its texts."""
     for batch in batches:
