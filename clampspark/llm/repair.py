@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clampspark.llm.text import chunks, column, give_back, load_tokenizer, raw
+from clampspark.llm.text import byte_strings, chunks, column, give_back, load_tokenizer, mix, raw
 
 END = 2
 SHARD_IDS = 3 << 18
@@ -27,7 +27,7 @@ LEAST = 16         # a pair must occur this often in a shard to become a rule
 PART_BYTES = 48 << 20
 CHUNK_BYTES = 4 << 20
 ENCODE_BYTES = 1 << 20  # text cut into pieces at a time, which takes many times its size
-KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; beyond that it begins anew
+KNOWN_PIECES = 400_000  # pieces whose ids a task remembers; beyond that it forgets those seen in one chunk alone
 SHARD_SCHEMA = ("part int, shard int, first_doc long, n_docs long, n_ids long, base int, doc_ids binary, doc_symbols binary, doc_starts binary, "
                 "rules binary, expansion binary, symbols binary, width int")
 
@@ -105,49 +105,128 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ~bad
 
 
+class Known:
+    """Numbers of the pieces that a task has encoded, looked up for many pieces at once.
+
+    A piece of up to 16 bytes is told exactly by its first and last 8 bytes and its length; a hash of these finds the
+    candidate. Longer pieces are in a dict.
+    """
+
+    def __init__(self):
+        self.told = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        self.hashes, self.numbers, self.long = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+
+    def __len__(self) -> int:
+        return len(self.told[2])
+
+    @staticmethod
+    def tell(values: pa.LargeBinaryArray) -> tuple[list[np.ndarray], np.ndarray]:
+        data, off = raw(values)
+        m = np.diff(off)
+        at_byte = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        first, last = at_byte[off[:-1]], at_byte[np.maximum(off[1:] - 8, off[:-1])]
+        inside = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(m, 8))).astype(np.uint64)
+        first, last = first & inside, last & inside
+        return [first, last, m], mix(mix(first) ^ (last + m.astype(np.uint64)))
+
+    def find(self, values: pa.LargeBinaryArray) -> np.ndarray:
+        """Number of each non-empty piece, -1 where it is not known."""
+        told, h = self.tell(values)
+        which = np.full(len(h), -1, np.int64)
+        if len(self.hashes):
+            order = np.argsort(h)
+            place = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+            number = np.empty(len(h), np.int64)
+            number[order] = self.numbers[place]
+            same = told[2] <= 16
+            for mine, theirs in zip(self.told, told):
+                same &= mine[number] == theirs
+            which[same] = number[same]
+        long = np.flatnonzero(told[2] > 16)
+        if len(long):
+            which[long] = [self.long.get(x, -1) for x in byte_strings(values.take(pa.array(long)))]
+        return which
+
+    def add(self, values: pa.LargeBinaryArray) -> None:
+        """New pieces get the next numbers, in their order."""
+        told, h = self.tell(values)
+        number = np.arange(len(self), len(self) + len(h))
+        self.told = [np.concatenate(x) for x in zip(self.told, told)]
+        order = np.flatnonzero(told[2] <= 16)
+        order = order[np.argsort(h[order])]
+        place = np.searchsorted(self.hashes, h[order])
+        self.hashes, self.numbers = np.insert(self.hashes, place, h[order]), np.insert(self.numbers, place, number[order])
+        long = np.flatnonzero(told[2] > 16)
+        if len(long):
+            self.long.update(zip(byte_strings(values.take(pa.array(long))), number[long].tolist()))
+
+    def keep(self, stay: np.ndarray) -> None:
+        """Forget all pieces but those of a mask, which are numbered anew in their order."""
+        anew = np.where(stay, np.cumsum(stay) - 1, -1)
+        self.told = [x[stay] for x in self.told]
+        left = stay[self.numbers]
+        self.hashes, self.numbers = self.hashes[left], anew[self.numbers[left]]
+        self.long = {x: int(anew[n]) for x, n in self.long.items() if stay[n]}
+
+
 def encoder(path: str):
     """Function from an Arrow text array to (ids, lengths), equal to encoding each text on its own; distinct pieces are encoded once."""
     tok = load_tokenizer(path)
-    model, as_text = tok.model, byte_characters()
-    known: dict[bytes, int] = {}
+    model, known = tok.model, Known()
+    as_text = np.array([ord(c) for _, c in sorted(byte_characters().items())], "<u2")
     flat, begin, size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    again = np.zeros(0, bool)  # pieces that were asked for once more since they were learned or last kept
 
-    def learn(plain: list[bytes], alone: list[bytes]) -> None:
+    def ids_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces in a row, and where each piece's begin."""
+        m = size[which]
+        total = np.concatenate([[0], np.cumsum(m)])
+        return flat[np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], m)], total
+
+    def forget(room: int) -> None:
+        """Keep the pieces that came again, if they leave half of the room; else begin anew."""
+        nonlocal flat, begin, size, again
+        stay = again if 2 * (np.count_nonzero(again) + room) <= KNOWN_PIECES else np.zeros(len(again), bool)
+        known.keep(stay)
+        flat, total = ids_of(np.flatnonzero(stay))
+        begin, size = total[:-1], np.diff(total)
+        again = np.zeros(len(size), bool)
+
+    def learn(plain: pa.LargeBinaryArray, alone: pa.LargeBinaryArray) -> None:
         """A plain piece is one pre-token, which the model takes as it is; the others pass the whole tokenizer."""
-        nonlocal flat, begin, size
-        found = [[t.id for t in model.tokenize(x.decode("latin-1").translate(as_text))] for x in plain]
-        for at in range(0, len(alone), 200):
-            found += [e.ids for e in tok.encode_batch_fast([x.decode() for x in alone[at:at + 200]], add_special_tokens=False)]
-        known.update(zip([*plain, *alone], range(len(known), len(known) + len(found))))
+        nonlocal flat, begin, size, again
+        data, off = raw(plain)
+        shown, off = as_text[data].tobytes().decode("utf-16-le"), off.tolist()
+        found = [[t.id for t in model.tokenize(shown[a:b])] for a, b in zip(off, off[1:])]
+        texts = [x.decode() for x in byte_strings(alone)]
+        for at in range(0, len(texts), 200):
+            found += [e.ids for e in tok.encode_batch_fast(texts[at:at + 200], add_special_tokens=False)]
+        known.add(pa.concat_arrays([plain, alone]))
         flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.int32)])
         size = np.concatenate([size, np.fromiter(map(len, found), np.int64, len(found))])
         begin = np.cumsum(size) - size
+        again = np.concatenate([again, np.zeros(len(found), bool)])
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal flat, begin, size
         buf, off = raw(texts)
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         at, plain = pieces(buf, off)
         enc = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
-        index = enc.indices.to_numpy(zero_copy_only=False)
-        distinct = enc.dictionary.to_pylist()
+        index, distinct = enc.indices.to_numpy(zero_copy_only=False), enc.dictionary
         safe = np.zeros(len(distinct), bool)
         safe[index] = plain
         if len(known) + len(distinct) > KNOWN_PIECES:
-            known.clear()
-            flat, begin, size = flat[:0], begin[:0], size[:0]
-        which = np.fromiter((known.get(x, -1) for x in distinct), np.int64, len(distinct))
+            forget(len(distinct))
+        which = known.find(distinct)
         fresh = which < 0
+        again[which[~fresh]] = True
         if fresh.any():
             one, alone = np.flatnonzero(fresh & safe), np.flatnonzero(fresh & ~safe)
             which[np.concatenate([one, alone])] = len(known) + np.arange(len(one) + len(alone))
-            learn([distinct[i] for i in one], [distinct[i] for i in alone])
-        which = which[index]
-        m = size[which]
-        total = np.concatenate([[0], np.cumsum(m)])
-        take = np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], m)
-        return flat[take], np.diff(total[np.searchsorted(at, off)])
+            learn(distinct.take(pa.array(one)), distinct.take(pa.array(alone)))
+        ids, total = ids_of(which[index])
+        return ids, np.diff(total[np.searchsorted(at, off)])
 
     return encode
 

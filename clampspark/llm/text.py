@@ -50,12 +50,20 @@ def give_back() -> None:
         libc = ctypes.CDLL("libc.so.6")
         if not _TUNED:
             libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD: fixed at 128 KB otherwise, so arrays in use again and again would leave and fault in each time
             _TUNED.append(True)
         libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
+def byte_strings(values: pa.LargeBinaryArray) -> list[bytes]:
+    """Values of an array without nulls, in a third of the time of ``to_pylist``."""
+    off = np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1].tolist()
+    data = bytes(values.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(off, off[1:])]
+
+
 def load_tokenizer(path: str):
     """The tokenizer of one task, without the library's cache of words: that outlives the tokenizer, some 5 MB for each task of a worker, and callers remember ids themselves."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
