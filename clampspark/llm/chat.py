@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Strings that this template or common public ones treat as control marks.
 CONTROLS = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
-PLACE = "<|part:"  # a placeholder, as <|part:image|>
+PLACE, PART_OF = "<|", "<|part:"  # a placeholder is <|image|> in the formatted text; read back, it is <|part:image|>
 ESCAPES = {"<": "%3C", "[": "%5B", "%": "%25"}
 # Tokens that one unit (tile, second, page) of an attachment expands to.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
+KINDS = (*UNIT_TOKENS, "other")
 PART = "struct<type:string,text:string,ref:string,units:bigint>"
 
 
@@ -33,6 +34,11 @@ def unescape(x: Column) -> Column:
     return x
 
 
+def reread(x: Column) -> Column:
+    """A body as it was, with its placeholders named as parts; texts hold no ``<|`` before they are unescaped."""
+    return unescape(F.regexp_replace(x, rf"<\|({'|'.join(KINDS)})\|>", PART_OF + "$1|>"))
+
+
 def text_parts(text: Column) -> Column:
     """A plain text as a message of one text part; null is empty."""
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("bigint").alias("units")))
@@ -46,7 +52,7 @@ def flatten(parts: Column) -> tuple[Column, Column]:
     """Visit the parts in order: the escaped text with placeholders, and the attachments ``(type, ref, tokens)`` in placeholder order.
 
     Neighbouring text parts are joined before they are escaped, so that no control string can arise between them. A placeholder names one of a
-    closed list of kinds and begins unlike any control mark; a part of a kind outside the list is an ``other``, named in its attachment.
+    closed list of kinds, none of which is a control mark; a part of a kind outside the list is an ``other``, named in its attachment.
     """
     known = F.create_map(*[F.lit(x) for kv in UNIT_TOKENS.items() for x in kv])
 
@@ -95,6 +101,6 @@ def parse(formatted: DataFrame) -> DataFrame:
     raw = F.filter(F.split("formatted", r"<\|turn\|>"), lambda x: F.length(x) > 0)
     turns = F.transform(raw, lambda x: F.struct(
         unescape(F.substring_index(x, BODY, 1)).alias("role"),
-        unescape(F.substring_index(F.substring_index(x, BODY, -1), END, 1)).alias("text")))
-    masked = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
+        reread(F.substring_index(F.substring_index(x, BODY, -1), END, 1)).alias("text")))
+    masked = F.transform("loss", lambda s: reread(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
     return formatted.select("conv_id", turns.alias("turns"), masked.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))
