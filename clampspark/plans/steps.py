@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import (BASELINE_MARGIN_MS, BLOCK_SAMPLES, HALO_SAMPLES, MAX_GAP_MS, MIN_AMP_PA, MIN_STEP_MS, SAMPLE_RATE)
 from ..functions.scalar import ms_count
@@ -14,7 +15,7 @@ from ..operators.ordered import ordinal, segment_of
 from ..operators.pulses import clip_runs, command_runs, start_by_gap
 from ..operators.quantiles import window_medians
 from ..operators.stimulus import apply_windows
-from ..session import materialise, small_files
+from ..session import materialise, mounted_path, small_files, write_lines
 
 
 @dataclass(frozen=True)
@@ -116,6 +117,8 @@ def intrinsics(command: DataFrame, response: DataFrame, events: DataFrame, lengt
 
 INTRINSICS_COLUMNS = ["staircase_index", "stimulus_name", "t_start_s", "t_end_s", "n_steps", "min_amp_pA",
                       "max_amp_pA", "rmp_mV", "input_resistance_MOhm"]
+INTRINSICS_SCHEMA = ("staircase_index bigint, stimulus_name string, t_start_s double, t_end_s double, n_steps bigint, min_amp_pA double, "
+                     "max_amp_pA double, rmp_mV double, input_resistance_MOhm double")
 
 
 CSV_ROWS = 1 << 16
@@ -128,9 +131,30 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, keys: list[str], path: str) -> bool:
-    """Nine-column CSV per recording folder, in one file per ``CSV_ROWS`` staircases; an empty result writes no file. Tells whether there is any."""
+    """Nine-column CSV per recording folder, in one file per ``CSV_ROWS`` staircases; an empty result writes no file. Tells whether there is any.
+
+    The recordings' folders lie in as many folders as each of these holds recordings, so they are listed by few tasks.
+    """
     folders = [f"{k}_part" for k in keys]
     out = materialise(rounded(df).select(*INTRINSICS_COLUMNS, *[F.col(k).alias(f) for k, f in zip(keys, folders)]), "staircases")
-    files, n = small_files(out, [*[F.col(f) for f in folders], F.floor(F.col("staircase_index") / CSV_ROWS)])
-    files.partitionBy(*folders).option("header", True).csv(path)
+    part = F.floor(F.col("staircase_index") / CSV_ROWS)
+    n = out.select(*folders, part).distinct().count()
+    out = out.withColumn("folder", F.pmod(F.hash(*folders), F.lit(max(1, math.isqrt(n)))))
+    mounted = mounted_path(df.sparkSession, path)
+    if mounted:
+        write_lines(out.withColumn("_part", part), ["folder", *folders], n, "_part", ["staircase_index"], F.to_csv(F.struct(*INTRINSICS_COLUMNS)),
+                    ",".join(INTRINSICS_COLUMNS), mounted)
+    else:
+        files, n = small_files(out, [*[F.col(f) for f in folders], part])
+        files.partitionBy("folder", *folders).option("header", True).csv(path)
     return n > 0
+
+
+def read_csv(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The files of :func:`write_csv` with their integer ``keys``.
+
+    A key is read from each file's path: as partitions, the folders would be parsed by the driver one after another. Files are read whole
+    (``multiLine``), which opens each of them at half the cost, and line ends inside a name stay.
+    """
+    r = spark.read.schema(INTRINSICS_SCHEMA).option("header", True).option("multiLine", True).option("recursiveFileLookup", True).csv(path)
+    return r.select(*INTRINSICS_COLUMNS, *[F.regexp_extract("_metadata.file_path", f"/{k}_part=([^/]*)/", 1).try_cast("bigint").alias(k) for k in keys])

@@ -61,10 +61,7 @@ def intrinsics_csv(spark, d):
     from clampspark.session import scratch_path
     path = scratch_path(spark, "intrinsics-csv")
     steps.write_csv(run(spark, d), KEY, path)
-    schema = ("staircase_index bigint, stimulus_name string, t_start_s double, t_end_s double, n_steps bigint, min_amp_pA double, "
-              "max_amp_pA double, rmp_mV double, input_resistance_MOhm double, recording_id_part bigint")
-    back = spark.read.schema(schema).option("header", True).csv(path)
-    return back.groupBy(F.col("recording_id_part").alias("recording_id")).agg(
+    return steps.read_csv(spark, path, KEY).groupBy("recording_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("n_steps").alias("n_steps"), F.round(F.sum("t_start_s"), 4).alias("t_total"))
 
 

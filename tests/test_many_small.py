@@ -3,6 +3,7 @@
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from clampspark.operators.ordered import running, running_by_size
@@ -31,6 +32,65 @@ def test_csv_has_one_file_per_recording(spark, tmp_path):
     assert not steps.write_csv(df.limit(0), ["recording_id"], str(tmp_path / "none"))
 
 
+def _staircases(spark, rows, key):
+    cols = ("staircase_index bigint, stimulus_name string, t_start_s double, t_end_s double, n_steps bigint, min_amp_pA double, max_amp_pA double, "
+            f"rmp_mV double, input_resistance_MOhm double, recording_id {key}")
+    return spark.createDataFrame(rows, cols).repartition(5)
+
+
+def _lines(path):
+    """Lines below each innermost folder, and the files."""
+    found = {}
+    for r, _, fs in os.walk(path):
+        for f in fs:
+            if f.endswith(".csv"):
+                text = open(f"{r}/{f}", newline="").read()
+                assert text.endswith("\n")
+                found.setdefault(os.path.basename(r), []).append(sorted(text.split("\n")))
+    return found
+
+
+def test_csv_folders_lie_in_few_folders(spark, tmp_path):
+    rows = [(i // 400, "a", 1.0, 2.0, 3, 1.0, 2.0, -70.0, 5.0, i % 400) for i in range(1000)]
+    assert steps.write_csv(_staircases(spark, rows, "bigint"), ["recording_id"], str(tmp_path / "csv"))
+    assert len([x for x in os.listdir(tmp_path / "csv") if "=" in x]) <= 20
+    assert len(_lines(tmp_path / "csv")) == 400
+    # Nothing came by Spark's writer, which on a mounted store starts a program for every file.
+    assert not [f for _, _, fs in os.walk(tmp_path / "csv") for f in fs if f.endswith(".crc")]
+    got = sorted((r.recording_id, r.staircase_index, r.n_steps) for r in steps.read_csv(spark, str(tmp_path / "csv"), ["recording_id"]).collect())
+    assert got == sorted((i % 400, i // 400, 3) for i in range(1000))
+
+
+def test_csv_is_as_spark_writes_it(spark, tmp_path, monkeypatch):
+    odd = [None, "", "a,b", 'say "x"', " lead and trail ", "\\", "é", "#", "null"]
+    keys = [None, "a", "a b", "x/y=z%", "q:?*[]{}^'\"#\\", "é", "..", "\x7f\t"]
+    rows = [(i, odd[i % 9], float(i) / 3, 1e300 * i, None if i % 4 == 0 else i, -0.0, float("nan") if i % 5 == 0 else 1e-9, None, float("inf"), keys[i % 8]) for i in range(144)]
+    df = _staircases(spark, rows, "string")
+    assert steps.write_csv(df, ["recording_id"], str(tmp_path / "own"))
+    monkeypatch.setattr(steps, "mounted_path", lambda *_: None)
+    assert steps.write_csv(df, ["recording_id"], str(tmp_path / "spark"))
+    assert _lines(tmp_path / "own") == _lines(tmp_path / "spark")
+    assert len(_lines(tmp_path / "own")) == 8
+
+
+def test_csv_in_parts_and_in_other_stores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(steps, "CSV_ROWS", 10)
+    rows = [(i, "two\nlines", 1.0, 2.0, 3, 1.0, 2.0, None, 5.0, k) for k, n in ((None, 3), (7, 25), (-8, 1)) for i in range(n)]
+    want = sorted([(k, i, "two\nlines", None) for i, *_, k in rows], key=str)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.many.link./out", f"file://{tmp_path}")
+    for path in (str(tmp_path / "own"), f"file://{tmp_path}/uri", "viewfs://many/out/spark"):
+        assert steps.write_csv(_staircases(spark, rows, "bigint"), ["recording_id"], path)
+        back = steps.read_csv(spark, path, ["recording_id"])
+        assert sorted([(r.recording_id, r.staircase_index, r.stimulus_name, r.rmp_mV) for r in back.collect()], key=str) == want
+        files = {k: len(v) for k, v in _lines(tmp_path / path.rsplit("/", 1)[1]).items()}
+        # Spark's writer puts the parts that one task holds into one file.
+        assert files == {"recording_id_part=__HIVE_DEFAULT_PARTITION__": 1, "recording_id_part=7": 1 if path.startswith("viewfs") else 3, "recording_id_part=-8": 1}
+    with pytest.raises(FileExistsError):
+        steps.write_csv(_staircases(spark, rows, "bigint"), ["recording_id"], str(tmp_path / "own"))
+    assert not steps.write_csv(_staircases(spark, [], "bigint"), ["recording_id"], str(tmp_path / "none"))
+    assert steps.read_csv(spark, str(tmp_path / "none"), ["recording_id"]).count() == 0
+
+
 def test_sidecars_lie_in_few_folders(spark, tmp_path):
     rows = [(i, f"s{i}", i % 25, float(i)) for i in range(1, 601)]
     spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
